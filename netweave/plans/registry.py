@@ -87,3 +87,112 @@ def q_top_ips_by_packets(spark, sf):
 @register("top_ips_by_destinations", _top_sql("distinct_destinations"))
 def q_top_ips_by_destinations(spark, sf):
     return reports.top_source_ips(enriched(spark, sf), "destinations", 10)
+
+
+# --- generated rules -------------------------------------------------------------
+
+from netweave.operators import rules as R  # noqa: E402
+from netweave.functions import net as NF  # noqa: E402
+from netweave.session import materialize  # noqa: E402
+
+
+def as_of(df: DataFrame, col: str = "last_seen"):
+    """Reference instant of a data set: its newest ``col`` value (a scalar)."""
+    return df.agg(F.max(col)).first()[0]
+
+
+def all_rules(spark, sf):
+    fl = flows(spark, sf)
+    return R.generate_rules(fl, as_of(fl))
+
+
+def _rules_sql(select: str, extra: list[str] | None = None) -> str:
+    return "WITH " + ",\n".join([O.flows_cte()] + O.rules_ctes() + (extra or [])) + "\n" + select
+
+
+@register("rules_protocol", _rules_sql("SELECT * FROM rules_protocol"))
+def q_rules_protocol(spark, sf):
+    fl = flows(spark, sf)
+    return R.protocol_rules(fl, as_of(fl))
+
+
+@register("rules_port", _rules_sql("SELECT * FROM rules_port"))
+def q_rules_port(spark, sf):
+    fl = flows(spark, sf)
+    return R.port_rules(fl, as_of(fl))
+
+
+@register("rules_temporal", _rules_sql("SELECT * FROM rules_temporal"))
+def q_rules_temporal(spark, sf):
+    fl = flows(spark, sf)
+    return R.temporal_rules(fl, as_of(fl))
+
+
+@register("rules_behavioral", _rules_sql("SELECT * FROM rules_behavioral"))
+def q_rules_behavioral(spark, sf):
+    fl = flows(spark, sf)
+    return R.behavioral_rules(fl, as_of(fl))
+
+
+@register("rules_all", _rules_sql("SELECT * FROM rules_all"))
+def q_rules_all(spark, sf):
+    return all_rules(spark, sf)
+
+
+@register("rules_by_type", _rules_sql(f"SELECT * FROM rules_all WHERE rule_type = '{R.K.RULE_PORT}'"))
+def q_rules_by_type(spark, sf):
+    return R.rules_by_type(all_rules(spark, sf), R.K.RULE_PORT)
+
+
+@register("rule_generation_summary", _rules_sql(
+    "SELECT f.metric, coalesce(c.n, 0) AS value FROM (VALUES ('protocol_rules', 'protocol_anomaly'), "
+    "('port_rules', 'port_anomaly'), ('temporal_rules', 'temporal_anomaly'), "
+    "('behavioral_rules', 'behavioral_anomaly')) f(metric, rule_type) LEFT JOIN "
+    "(SELECT rule_type, count(*) AS n FROM rules_all GROUP BY rule_type) c USING (rule_type) "
+    "UNION ALL SELECT 'total_rules', count(*) FROM rules_all"))
+def q_rule_generation_summary(spark, sf):
+    return R.rule_generation_summary(all_rules(spark, sf))
+
+
+@register("rule_statistics", _rules_sql(
+    "SELECT 'total_rules' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM rules_all "
+    "UNION ALL SELECT 'rule_types', rule_type, CAST(count(*) AS DOUBLE) FROM rules_all GROUP BY rule_type "
+    "UNION ALL SELECT 'severity_distribution', severity, CAST(count(*) AS DOUBLE) FROM rules_all GROUP BY severity "
+    "UNION ALL SELECT 'avg_confidence', '', coalesce(sum(confidence) / count(*), 0.0) FROM rules_all "
+    "UNION ALL SELECT 'rule_breakdown', f.rule_type, CAST(coalesce(c.n, 0) AS DOUBLE) FROM "
+    "(VALUES ('protocol_anomaly'), ('port_anomaly'), ('temporal_anomaly'), ('behavioral_anomaly')) f(rule_type) "
+    "LEFT JOIN (SELECT rule_type, count(*) AS n FROM rules_all GROUP BY rule_type) c USING (rule_type)"))
+def q_rule_statistics(spark, sf):
+    return R.rule_statistics(all_rules(spark, sf))
+
+
+@register("rules_triggered", _rules_sql(
+    "SELECT flow_id, rule_id, rule_type, severity, description, confidence FROM triggered",
+    [O.triggered_cte()]))
+def q_rules_triggered(spark, sf):
+    fl = flows(spark, sf)
+    rules = materialize(R.generate_rules(fl, as_of(fl)))
+    return R.apply_rules(fl, rules).select("flow_id", "rule_id", "rule_type", "severity",
+                                           "description", "confidence")
+
+
+@register("rules_triggered_by_flow", _rules_sql(
+    "SELECT * FROM by_flow", [O.triggered_cte(), O.by_flow_cte()]))
+def q_rules_triggered_by_flow(spark, sf):
+    fl = flows(spark, sf)
+    rules = materialize(R.generate_rules(fl, as_of(fl)))
+    return R.triggered_by_flow(R.apply_rules(fl, rules)).select(
+        "flow_id", "ml_rule_count", "ml_reasons", "ml_rule_ids")
+
+
+@register("rule_protocol_label", "WITH " + O.flows_cte() + " SELECT DISTINCT proto_num, "
+          + NF.sql_rule_protocol_label("proto_num") + " AS rule_protocol_label FROM flows")
+def q_rule_protocol_label(spark, sf):
+    return flows(spark, sf).select("proto_num", NF.rule_protocol_label("proto_num").alias(
+        "rule_protocol_label")).distinct()
+
+
+@register("port_severity", "WITH " + O.flows_cte() + " SELECT DISTINCT port, "
+          + NF.sql_port_severity("port") + " AS port_severity FROM flows")
+def q_port_severity(spark, sf):
+    return flows(spark, sf).select("port", NF.port_severity("port").alias("port_severity")).distinct()
