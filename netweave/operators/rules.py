@@ -240,7 +240,8 @@ def _maybe_broadcast(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
 
 
 def apply_rules(flows: DataFrame, rules: DataFrame, flow_key: str = "flow_id",
-                broadcast_max_rows: int = BROADCAST_RULES_MAX_ROWS) -> DataFrame:
+                broadcast_max_rows: int = BROADCAST_RULES_MAX_ROWS,
+                carry: list[str] | None = None) -> DataFrame:
     """One row per (flow, triggered rule).
 
     protocol / port / hour-of-``last_seen`` / source IP equality AND
@@ -257,7 +258,9 @@ def apply_rules(flows: DataFrame, rules: DataFrame, flow_key: str = "flow_id",
                      "packets_threshold", "avg_packets_per_flow_threshold")
     sizes = {row["rule_type"]: row["n"] for row in
              r.groupBy("rule_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fl = flows.select(flow_key, "proto_num", "port", "src_ip", "packets", hour_of("last_seen").alias("__hour"))
+    carry = [c for c in (carry or []) if c not in (flow_key,)]
+    base = [flow_key, "proto_num", "port", "src_ip", "packets"]
+    fl = flows.select(*dict.fromkeys(base + carry), hour_of("last_seen").alias("__hour"))
     spec = [
         (K.RULE_PROTOCOL, "proto_num", "r_protocol", "packets_threshold", True),
         (K.RULE_PORT, "port", "r_port", "packets_threshold", True),
@@ -272,7 +275,8 @@ def apply_rules(flows: DataFrame, rules: DataFrame, flow_key: str = "flow_id",
         side = r.where(F.col("rule_type") == rule_type)
         side = F.broadcast(side) if always_broadcast else _maybe_broadcast(side, n, broadcast_max_rows)
         j = fl.join(side, (fl[f_key] == side[r_key]) & (fl["packets"] > side[thr]), "inner")
-        j = j.select(flow_key, "rule_id", "rule_type", "severity", "description", "confidence",
+        j = j.select(*[fl[c] for c in dict.fromkeys([flow_key] + carry)],
+                     "rule_id", "rule_type", "severity", "description", "confidence",
                      "created_at", "family_order", "r_protocol", "r_port", "r_hour", "r_src_ip")
         out = j if out is None else out.unionByName(j)
     if out is None:

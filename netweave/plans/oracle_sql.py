@@ -56,7 +56,7 @@ def static_reasons_expr(alias: str = "e") -> str:
               f"WHEN {a}.bytes > {K.HIGH_BYTES_LIMIT} THEN '{K.REASON_HIGH_BYTES}' END")
     third = (f"CASE WHEN {a}.port > {K.DYNAMIC_PORT_FLOOR} AND {a}.packets > {K.DYNAMIC_PORT_PACKETS_LIMIT} "
              f"THEN '{K.REASON_DYNAMIC_PORT}' END")
-    return f"list_filter([{first}, {second}, {third}], x -> x IS NOT NULL)"
+    return f"list_filter([{first}, {second}, {third}], lambda x: x IS NOT NULL)"
 
 
 def policy_cte() -> str:
@@ -185,3 +185,53 @@ def by_flow_cte(triggered: str = "triggered", name: str = "by_flow") -> str:
             f"string_agg('{K.ML_REASON_PREFIX}' || description, '{K.REASON_SEPARATOR}' ORDER BY {TRIGGER_ORDER}) "
             f"AS ml_reasons, string_agg(rule_id, ';' ORDER BY {TRIGGER_ORDER}) AS ml_rule_ids "
             f"FROM {triggered} GROUP BY flow_id)")
+
+
+# --- detection and alerts ---------------------------------------------------------
+
+def suspicious_ctes(use_policy: bool, use_rules: bool, src: str = "enriched") -> list[str]:
+    """CTEs ``susp`` (one row per suspicious flow) over ``src``; expects the
+    enriched/rules/triggered/by_flow CTEs when ``use_rules``."""
+    out = []
+    if use_policy:
+        out.append(policy_cte())
+        out.append(f"pol AS (SELECT e.*, pl.p_text AS policy_reason FROM {src} e LEFT JOIN policy pl "
+                   f"ON e.proto_num = pl.p_proto AND e.port = pl.p_port AND NOT ends_with(pl.p_text, 'Normal'))")
+        arr = (f"list_concat(CASE WHEN e.policy_reason IS NULL THEN CAST([] AS VARCHAR[]) "
+               f"ELSE [e.policy_reason] END, {static_reasons_expr('e')})")
+        out.append(f"st AS (SELECT e.*, {arr} AS st_arr FROM pol e)")
+    else:
+        out.append(f"st AS (SELECT e.*, {static_reasons_expr('e')} AS st_arr FROM {src} e)")
+    sep = K.REASON_SEPARATOR
+    if use_rules:
+        reason = (f"CASE WHEN len(s.st_arr) = 0 THEN b.ml_reasons WHEN b.ml_reasons IS NULL "
+                  f"THEN array_to_string(s.st_arr, '{sep}') "
+                  f"ELSE array_to_string(s.st_arr, '{sep}') || '{sep}' || b.ml_reasons END")
+        out.append(f"susp AS (SELECT s.*, {reason} AS suspicion_reason, "
+                   f"CAST(coalesce(b.ml_rule_count, 0) AS INTEGER) AS ml_rule_count "
+                   f"FROM st s LEFT JOIN by_flow b ON s.flow_id = b.flow_id "
+                   f"WHERE len(s.st_arr) > 0 OR b.flow_id IS NOT NULL)")
+    else:
+        out.append(f"susp AS (SELECT s.*, array_to_string(s.st_arr, '{sep}') AS suspicion_reason, "
+                   f"CAST(0 AS INTEGER) AS ml_rule_count FROM st s WHERE len(s.st_arr) > 0)")
+    return out
+
+
+def alerts_cte(src: str = "susp", ca: str = "(SELECT ca FROM p)") -> str:
+    t = S.sql_score_tenths("a.suspicion_reason", "a.protocol", "a.direction", "a.country", "a.port")
+    return (f"alerts AS (SELECT {S.sql_alert_id('a.last_seen', 'a.flow_id', 'a.suspicion_reason')} AS alert_id, "
+            f"a.last_seen AS timestamp, a.src_ip, a.dst_ip, a.protocol, CAST(a.packets AS BIGINT) AS packets, "
+            f"CAST(a.bytes AS BIGINT) AS bytes, {S.sql_threat_type('a.suspicion_reason', 'a.port')} AS threat_type, "
+            f"round(({t}) / CAST(10.0 AS DOUBLE), 3) AS anomaly_score, {S.sql_severity_from_tenths(t)} AS severity, "
+            f"a.suspicion_reason, a.direction, a.country, CAST(a.port AS INTEGER) AS port, "
+            f"CAST(a.proto_num AS INTEGER) AS proto_num, {ca} AS created_at FROM {src} a)")
+
+
+def alert_pipeline_sql(select: str, use_rules: bool = True, extra: list[str] | None = None) -> str:
+    ctes = [flows_cte(), geoip_cte(), enriched_cte()]
+    if use_rules:
+        ctes += rules_ctes() + [triggered_cte(), by_flow_cte()]
+    else:
+        ctes.append("p AS (SELECT max(last_seen) AS ca FROM flows)")
+    ctes += suspicious_ctes(True, use_rules) + [alerts_cte()] + (extra or [])
+    return "WITH " + ",\n".join(ctes) + "\n" + select

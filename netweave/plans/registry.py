@@ -196,3 +196,76 @@ def q_rule_protocol_label(spark, sf):
           + NF.sql_port_severity("port") + " AS port_severity FROM flows")
 def q_port_severity(spark, sf):
     return flows(spark, sf).select("port", NF.port_severity("port").alias("port_severity")).distinct()
+
+
+# --- detection ------------------------------------------------------------------------
+
+from netweave.operators import alerts as AL  # noqa: E402
+from netweave.operators import detect as DT  # noqa: E402
+from netweave.plans import pipelines as P  # noqa: E402
+
+
+def _susp_sql(select: str, use_policy: bool, use_rules: bool) -> str:
+    ctes = [O.flows_cte(), O.geoip_cte(), O.enriched_cte()]
+    if use_rules:
+        ctes += O.rules_ctes() + [O.triggered_cte(), O.by_flow_cte()]
+    return "WITH " + ",\n".join(ctes + O.suspicious_ctes(use_policy, use_rules)) + "\n" + select
+
+
+@register("suspicious_static", _susp_sql(
+    "SELECT flow_id, src_ip, dst_ip, proto_num, port, packets, bytes, suspicion_reason FROM susp", False, False))
+def q_suspicious_static(spark, sf):
+    return DT.static_suspicious(enriched(spark, sf)).select(
+        "flow_id", "src_ip", "dst_ip", "proto_num", "port", "packets", "bytes", "suspicion_reason")
+
+
+@register("proto_port_policy", O.with_enriched(O.policy_cte()) +
+          "SELECT e.flow_id, e.proto_num, e.port, p.p_text AS policy_reason FROM enriched e "
+          "JOIN policy p ON e.proto_num = p.p_proto AND e.port = p.p_port WHERE NOT ends_with(p.p_text, 'Normal')")
+def q_proto_port_policy(spark, sf):
+    return (DT.with_policy(enriched(spark, sf)).where(F.col("policy_reason").isNotNull())
+            .select("flow_id", "proto_num", "port", "policy_reason"))
+
+
+_SUSP_OUT = ("flow_id, src_ip, dst_ip, protocol, port, proto_num, packets, bytes, timestamp, "
+             "suspicion_reason, direction, country, ml_rule_count")
+
+
+@register("suspicious_flows", _susp_sql(
+    "SELECT " + _SUSP_OUT.replace("timestamp", "last_seen AS timestamp") + " FROM susp", False, True))
+def q_suspicious_flows(spark, sf):
+    fl = flows(spark, sf)
+    rules = P.generated_rules(fl)
+    return P.suspicious_flows(fl, X.geoip(spark, sf), rules).selectExpr(
+        *[c.strip() for c in _SUSP_OUT.split(",")])
+
+
+def alerts_table(spark, sf, use_rules: bool = True) -> DataFrame:
+    return P.structured_alerts(flows(spark, sf), X.geoip(spark, sf), use_rules=use_rules)
+
+
+@register("structured_alerts", O.alert_pipeline_sql("SELECT * FROM alerts"))
+def q_structured_alerts(spark, sf):
+    return alerts_table(spark, sf)
+
+
+@register("alert_score", O.alert_pipeline_sql("SELECT alert_id, anomaly_score FROM alerts", use_rules=False))
+def q_alert_score(spark, sf):
+    return alerts_table(spark, sf, use_rules=False).select("alert_id", "anomaly_score")
+
+
+@register("alert_threat_type", O.alert_pipeline_sql("SELECT alert_id, threat_type FROM alerts", use_rules=False))
+def q_alert_threat_type(spark, sf):
+    return alerts_table(spark, sf, use_rules=False).select("alert_id", "threat_type")
+
+
+@register("alert_severity", O.alert_pipeline_sql(
+    "SELECT alert_id, anomaly_score, severity FROM alerts", use_rules=False))
+def q_alert_severity(spark, sf):
+    return alerts_table(spark, sf, use_rules=False).select("alert_id", "anomaly_score", "severity")
+
+
+@register("alert_identity", O.alert_pipeline_sql(
+    "SELECT alert_id, timestamp, src_ip, dst_ip FROM alerts", use_rules=False))
+def q_alert_identity(spark, sf):
+    return alerts_table(spark, sf, use_rules=False).select("alert_id", "timestamp", "src_ip", "dst_ip")
