@@ -45,7 +45,12 @@ def is_private_ip(col) -> Column:
 
     Invalid texts, IPv6 and NULL give false.
     """
-    n = ipv4_to_long(col)
+    return in_private_ranges(ipv4_to_long(col))
+
+
+def in_private_ranges(ip_long) -> Column:
+    """Range test on an address already converted by ``ipv4_to_long``."""
+    n = _c(ip_long)
     cond = None
     for lo, hi in private_ranges_as_longs():
         term = n.between(lo, hi)

@@ -70,29 +70,21 @@ def detect_suspicious(flows: DataFrame, rules: DataFrame | None = None, use_poli
                       flow_key: str = "flow_id") -> DataFrame:
     """Suspicious flows = static reasons (+ policy) and triggered generated rules.
 
-    Plan: rule families are broadcast-joined to flows (no shuffle of
-    flows); only triggered rows and statically flagged rows are unioned and
-    grouped by ``flow_key`` to merge their reasons, so the single shuffle
-    carries suspicious rows only, never the whole flow table.
+    Plan: one scan of the flows; rules are probed through one broadcast
+    join (``rules.match_rules``); the only shuffle groups the suspicious
+    rows (flows with a reason or a triggered rule) by ``flow_key`` to merge
+    their reasons in rule-file order. Unsuspicious flows are dropped before
+    the shuffle.
     """
     carry = [c for c in FLOW_OUT if c in flows.columns and c != flow_key]
     fl = with_policy(flows) if use_policy else flows.withColumn("policy_reason", F.lit(None).cast("string"))
     fl = fl.withColumn("__static", _reason_array(use_policy))
-    rule_struct_fields = ["rule_id", "rule_type", "severity", "description", "confidence"]
-    order_fields = ["created_at", "family_order", "r_protocol", "r_port", "r_hour", "r_src_ip", "rule_id"]
-    static_rows = (fl.where(F.size("__static") > 0)
-                   .select(flow_key, *carry, "__static", F.lit(None).cast(
-                       "struct<created_at:timestamp_ntz,family_order:int,r_protocol:int,r_port:int,r_hour:int,"
-                       "r_src_ip:string,rule_id:string,rule:struct<rule_id:string,rule_type:string,"
-                       "severity:string,description:string,confidence:double>>").alias("__rule")))
-    merged = static_rows
+    cols = [flow_key] + carry + ["__static"]
     if rules is not None:
-        trig = R.apply_rules(fl, rules, flow_key=flow_key, carry=carry + ["__static"])
-        trig_rows = trig.select(flow_key, *carry, "__static",
-                                F.struct(*[F.col(c) for c in order_fields],
-                                         F.struct(*rule_struct_fields).alias("rule")).alias("__rule"))
-        merged = static_rows.unionByName(trig_rows)
-    g = (merged.groupBy(flow_key)
+        rows = R.match_rules(fl, rules, cols, keep_unmatched=F.size("__static") > 0)
+    else:
+        rows = fl.where(F.size("__static") > 0).select(*cols, F.lit(None).cast(R.RULE_STRUCT_TYPE).alias("__rule"))
+    g = (rows.groupBy(flow_key)
          .agg(*[F.first(c).alias(c) for c in carry], F.first("__static").alias("__static"),
               F.array_sort(F.collect_list("__rule")).alias("__rules")))
     ml_rules = F.transform("__rules", lambda x: x["rule"])

@@ -69,11 +69,16 @@ def enrich_flows(flows: DataFrame, geoip: DataFrame | None = None) -> DataFrame:
     Country is ``Internal`` for a private destination, else the GeoIP
     country of the destination (``Unknown`` when none matches or no table).
     """
+    # Address -> long once per column; range tests then read that column
+    # (keeps generated code small; the regex runs once per address).
     df = (flows
           .withColumn("protocol_name", net.protocol_name("proto_num"))
           .withColumn("protocol", F.col("protocol_name"))
-          .withColumn("is_internal_src", net.is_private_ip("src_ip"))
-          .withColumn("is_internal_dst", net.is_private_ip("dst_ip"))
+          .withColumn("__src_long", net.ipv4_to_long("src_ip"))
+          .withColumn("__dst_long", net.ipv4_to_long("dst_ip"))
+          .withColumn("is_internal_src", net.in_private_ranges("__src_long"))
+          .withColumn("is_internal_dst", net.in_private_ranges("__dst_long"))
+          .drop("__src_long", "__dst_long")
           .withColumn("direction", net.direction_from_flags("is_internal_src", "is_internal_dst")))
     if geoip is not None:
         df = with_country(df, geoip, "dst_ip", "__geo_country")

@@ -230,62 +230,91 @@ def rule_statistics(rules: DataFrame) -> DataFrame:
 
 # --- rule application ------------------------------------------------------------
 
-TRIGGER_COLUMNS = ["rule_id", "rule_type", "severity", "description", "confidence"] + \
-    [c for c in RULE_ORDER_KEYS if c not in ("src_ip", "protocol", "port", "hour")] + \
-    ["r_protocol", "r_port", "r_hour", "r_src_ip"]
+ORDER_FIELDS = ["created_at", "family_order", "r_protocol", "r_port", "r_hour", "r_src_ip", "rule_id"]
+RULE_INFO = ["rule_id", "rule_type", "severity", "description", "confidence"]
+RULE_STRUCT_TYPE = ("struct<created_at:timestamp_ntz,family_order:int,r_protocol:int,r_port:int,r_hour:int,"
+                    "r_src_ip:string,rule_id:string,rule:struct<rule_id:string,rule_type:string,"
+                    "severity:string,description:string,confidence:double>>")
 
 
-def _maybe_broadcast(df: DataFrame, n_rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= limit else df
+def rule_lookup(rules: DataFrame) -> DataFrame:
+    """Rules as (family, match key, packet threshold, sortable rule struct).
+
+    The match key is the family's flow attribute as text: protocol number,
+    port, hour of ``last_seen`` or source IP. Behavioral rules compare the
+    flow's packets with the per-flow average threshold.
+    """
+    key = (F.when(F.col("family_order") == 0, F.col("protocol").cast("string"))
+           .when(F.col("family_order") == 1, F.col("port").cast("string"))
+           .when(F.col("family_order") == 2, F.col("hour").cast("string"))
+           .otherwise(F.col("src_ip")))
+    thr = F.when(F.col("family_order") == 3, F.col("avg_packets_per_flow_threshold")) \
+        .otherwise(F.col("packets_threshold"))
+    order = F.struct(F.col("created_at"), F.col("family_order"), F.col("protocol").alias("r_protocol"),
+                     F.col("port").alias("r_port"), F.col("hour").alias("r_hour"),
+                     F.col("src_ip").alias("r_src_ip"), F.col("rule_id"),
+                     F.struct(*RULE_INFO).alias("rule"))
+    return rules.select(F.col("family_order").alias("__fam"), key.alias("__key"), thr.alias("__thr"),
+                        order.alias("__rule"))
+
+
+def _flow_keys() -> F.Column:
+    return F.explode(F.array(
+        F.struct(F.lit(0).alias("f"), F.col("proto_num").cast("string").alias("k")),
+        F.struct(F.lit(1).alias("f"), F.col("port").cast("string").alias("k")),
+        F.struct(F.lit(2).alias("f"), hour_of("last_seen").cast("string").alias("k")),
+        F.struct(F.lit(3).alias("f"), F.col("src_ip").alias("k"))))
+
+
+def match_rules(flows: DataFrame, rules: DataFrame, carry: list[str],
+                keep_unmatched=None, broadcast_max_rows: int = BROADCAST_RULES_MAX_ROWS) -> DataFrame:
+    """Rows (carry..., __rule) for every (flow, triggered rule).
+
+    Flows are read once: each flow row is expanded in-task into its four
+    family keys and probed against ONE broadcast rule table (equi on family
+    + key, theta on packets). With ``keep_unmatched`` (a flow predicate),
+    one row with a NULL rule is kept for flows matching no rule but
+    satisfying it. The rule table's size is counted first; when it is too
+    large to broadcast, the bounded families (protocol, port, hour) stay
+    broadcast and only behavioral rules use a shuffle join (AQE splits
+    hot source IPs).
+    """
+    lookup = rule_lookup(rules)
+    n_rules = lookup.count()
+    fl = flows.select(*dict.fromkeys(carry + ["packets", "proto_num", "port", "src_ip", "last_seen"]))
+    exploded = fl.select("*", _flow_keys().alias("__fk")) \
+        .select("*", F.col("__fk.f").alias("__ffam"), F.col("__fk.k").alias("__fkey")).drop("__fk")
+    if n_rules <= broadcast_max_rows:
+        sides = [(F.broadcast(lookup), exploded)]
+    else:
+        small = F.broadcast(lookup.where(F.col("__fam") < 3))
+        sides = [(small, exploded.where(F.col("__ffam") < 3)),
+                 (lookup.where(F.col("__fam") == 3), exploded.where(F.col("__ffam") == 3))]
+    out = None
+    for side, ex in sides:
+        cond = (ex["__ffam"] == side["__fam"]) & (ex["__fkey"] == side["__key"]) & (ex["packets"] > side["__thr"])
+        if keep_unmatched is None:
+            j = ex.join(side, cond, "inner")
+        else:
+            j = ex.join(side, cond, "left")
+        out = j if out is None else out.unionByName(j)
+    if keep_unmatched is not None:
+        # A flow with no triggered rule keeps exactly one (family 0) row.
+        out = out.where(F.col("__rule").isNotNull() | ((F.col("__ffam") == 0) & keep_unmatched))
+    return out.select(*carry, "__rule")
 
 
 def apply_rules(flows: DataFrame, rules: DataFrame, flow_key: str = "flow_id",
-                broadcast_max_rows: int = BROADCAST_RULES_MAX_ROWS,
-                carry: list[str] | None = None) -> DataFrame:
+                broadcast_max_rows: int = BROADCAST_RULES_MAX_ROWS) -> DataFrame:
     """One row per (flow, triggered rule).
 
     protocol / port / hour-of-``last_seen`` / source IP equality AND
-    ``packets`` above the family's packet threshold (behavioral rules use the
-    per-flow average threshold). Each family is a separate hash join whose
-    rule side is broadcast after its size was counted; protocol (≤256 keys)
-    and hour (24 keys) must never be shuffle-joined, since all flows would
-    land in ≤256 partitions.
+    ``packets`` above the family's packet threshold (behavioral rules use
+    the per-flow average threshold).
     """
-    r = rules.select(*[F.col(c) for c in ["rule_id", "rule_type", "severity", "description", "confidence",
-                                           "created_at", "family_order"]],
-                     F.col("protocol").alias("r_protocol"), F.col("port").alias("r_port"),
-                     F.col("hour").alias("r_hour"), F.col("src_ip").alias("r_src_ip"),
-                     "packets_threshold", "avg_packets_per_flow_threshold")
-    sizes = {row["rule_type"]: row["n"] for row in
-             r.groupBy("rule_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-    carry = [c for c in (carry or []) if c not in (flow_key,)]
-    base = [flow_key, "proto_num", "port", "src_ip", "packets"]
-    fl = flows.select(*dict.fromkeys(base + carry), hour_of("last_seen").alias("__hour"))
-    spec = [
-        (K.RULE_PROTOCOL, "proto_num", "r_protocol", "packets_threshold", True),
-        (K.RULE_PORT, "port", "r_port", "packets_threshold", True),
-        (K.RULE_TEMPORAL, "__hour", "r_hour", "packets_threshold", True),
-        (K.RULE_BEHAVIORAL, "src_ip", "r_src_ip", "avg_packets_per_flow_threshold", False),
-    ]
-    out = None
-    for rule_type, f_key, r_key, thr, always_broadcast in spec:
-        n = sizes.get(rule_type, 0)
-        if n == 0:
-            continue
-        side = r.where(F.col("rule_type") == rule_type)
-        side = F.broadcast(side) if always_broadcast else _maybe_broadcast(side, n, broadcast_max_rows)
-        j = fl.join(side, (fl[f_key] == side[r_key]) & (fl["packets"] > side[thr]), "inner")
-        j = j.select(*[fl[c] for c in dict.fromkeys([flow_key] + carry)],
-                     "rule_id", "rule_type", "severity", "description", "confidence",
-                     "created_at", "family_order", "r_protocol", "r_port", "r_hour", "r_src_ip")
-        out = j if out is None else out.unionByName(j)
-    if out is None:
-        spark = flows.sparkSession
-        return spark.createDataFrame([], f"{flow_key} string, rule_id string, rule_type string, "
-                                     "severity string, description string, confidence double, "
-                                     "created_at timestamp_ntz, family_order int, r_protocol int, "
-                                     "r_port int, r_hour int, r_src_ip string")
-    return out
+    m = match_rules(flows, rules, [flow_key], broadcast_max_rows=broadcast_max_rows)
+    return m.select(flow_key, *[F.col(f"__rule.rule.{c}").alias(c) for c in RULE_INFO],
+                    *[F.col(f"__rule.{c}").alias(c) for c in ORDER_FIELDS if c != "rule_id"])
 
 
 def triggered_by_flow(triggered: DataFrame, flow_key: str = "flow_id") -> DataFrame:

@@ -269,3 +269,75 @@ def q_alert_severity(spark, sf):
     "SELECT alert_id, timestamp, src_ip, dst_ip FROM alerts", use_rules=False))
 def q_alert_identity(spark, sf):
     return alerts_table(spark, sf, use_rules=False).select("alert_id", "timestamp", "src_ip", "dst_ip")
+
+
+# --- alert filters, search, statistics, listings -----------------------------------------
+
+_ALERT_COLS = ", ".join(AL.ALERT_COLUMNS)
+
+
+def _newest_sql(where: str, limit: int, by: str = "timestamp") -> str:
+    return O.alert_pipeline_sql(f"SELECT {_ALERT_COLS} FROM alerts WHERE {where} "
+                                f"ORDER BY {by} DESC, alert_id ASC LIMIT {limit}")
+
+
+@register("alerts_by_severity", _newest_sql("severity = 'HIGH'", 50))
+def q_alerts_by_severity(spark, sf):
+    return AL.alerts_by_severity(alerts_table(spark, sf), "high", 50)
+
+
+@register("alerts_by_threat_type", _newest_sql("threat_type = 'DNS Tunneling'", 100))
+def q_alerts_by_threat_type(spark, sf):
+    return AL.alerts_by_threat_type(alerts_table(spark, sf), "DNS Tunneling", 100)
+
+
+@register("alerts_by_protocol", _newest_sql("protocol = 'UDP'", 100))
+def q_alerts_by_protocol(spark, sf):
+    return AL.alerts_by_protocol(alerts_table(spark, sf), "udp", 100)
+
+
+@register("alerts_by_ip", _newest_sql("src_ip = '192.168.0.16' OR dst_ip = '192.168.0.16'", 100))
+def q_alerts_by_ip(spark, sf):
+    return AL.alerts_by_ip(alerts_table(spark, sf), "192.168.0.16", 100)
+
+
+@register("alerts_by_date_range", _newest_sql(
+    "timestamp BETWEEN TIMESTAMP '1995-03-01 00:00:00' AND TIMESTAMP '1995-03-31 23:59:59'", 100))
+def q_alerts_by_date_range(spark, sf):
+    return AL.alerts_by_date_range(alerts_table(spark, sf), "1995-03-01 00:00:00", "1995-03-31 23:59:59", 100)
+
+
+_SEARCH_BLOB = "lower(concat_ws(' ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')"
+                                                    for c in AL.SEARCH_FIELDS) + "))"
+
+
+@register("alerts_search", _newest_sql(
+    f"contains({_SEARCH_BLOB}, 'rdp') AND contains(lower(src_ip), '192.168') "
+    "AND anomaly_score >= 0.6 AND anomaly_score <= 1.0", 100))
+def q_alerts_search(spark, sf):
+    return AL.search_alerts(alerts_table(spark, sf), text="RDP", src_ip="192.168",
+                            min_score=0.6, max_score=1.0, limit=100)
+
+
+@register("alerts_last_24h", O.alert_pipeline_sql(
+    f"SELECT {_ALERT_COLS} FROM alerts WHERE timestamp >= (SELECT max(timestamp) FROM alerts) - INTERVAL 24 HOUR "
+    "AND timestamp <= (SELECT max(timestamp) FROM alerts) ORDER BY timestamp DESC, alert_id ASC LIMIT 100"))
+def q_alerts_last_24h(spark, sf):
+    al = alerts_table(spark, sf)
+    return AL.alerts_last_hours(al, as_of(al, "timestamp"), 24, 100)
+
+
+@register("alert_statistics", O.alert_pipeline_sql(
+    "SELECT 'total_alerts' AS metric, '' AS key, count(*) AS value FROM alerts "
+    "UNION ALL SELECT 'recent_alerts_24h', '', count(*) FILTER (WHERE created_at >= "
+    "(SELECT max(last_seen) FROM flows) - INTERVAL 24 HOUR) FROM alerts "
+    "UNION ALL SELECT 'severity_distribution', severity, count(*) FROM alerts GROUP BY severity "
+    "UNION ALL SELECT 'threat_type_distribution', threat_type, count(*) FROM alerts GROUP BY threat_type"))
+def q_alert_statistics(spark, sf):
+    fl = flows(spark, sf)
+    return AL.alert_statistics(alerts_table(spark, sf), as_of(fl), 24)
+
+
+@register("alerts_latest", _newest_sql("true", 100, by="created_at"))
+def q_alerts_latest(spark, sf):
+    return AL.latest_alerts(alerts_table(spark, sf), 100)
