@@ -341,3 +341,158 @@ def q_alert_statistics(spark, sf):
 @register("alerts_latest", _newest_sql("true", 100, by="created_at"))
 def q_alerts_latest(spark, sf):
     return AL.latest_alerts(alerts_table(spark, sf), 100)
+
+
+# --- packets ---------------------------------------------------------------------------
+
+from netweave.operators import packets as PK  # noqa: E402
+
+
+def packets(spark, sf):
+    return X.packets(spark, sf)
+
+
+def _pk_sql(select: str, extra: list[str] | None = None) -> str:
+    return "WITH " + ",\n".join([O.packets_cte()] + (extra or [])) + "\n" + select
+
+
+_PFLOWS_CTE = (
+    "pflows AS (SELECT concat_ws('|', g.src_ip, g.dst_ip, CAST(g.proto_num AS VARCHAR)) AS flow_id, "
+    "g.src_ip, g.dst_ip, g.proto_num, l.src_port, l.dst_port, "
+    "CASE WHEN l.dst_port > 0 THEN l.dst_port ELSE l.src_port END AS port, g.packets, g.bytes, "
+    "g.first_seen, g.last_seen FROM (SELECT src_ip, dst_ip, proto_num, count(*) AS packets, "
+    "CAST(sum(length) AS BIGINT) AS bytes, min(ts) AS first_seen, max(ts) AS last_seen FROM packets "
+    "GROUP BY src_ip, dst_ip, proto_num) g JOIN (SELECT src_ip, dst_ip, proto_num, src_port, dst_port, "
+    "row_number() OVER (PARTITION BY src_ip, dst_ip, proto_num ORDER BY ts DESC, packet_id DESC) AS rn "
+    "FROM packets) l ON g.src_ip = l.src_ip AND g.dst_ip = l.dst_ip AND g.proto_num = l.proto_num AND l.rn = 1)")
+
+
+@register("packets_scan", _pk_sql("SELECT * FROM packets"))
+def q_packets_scan(spark, sf):
+    return packets(spark, sf)
+
+
+@register("flows_from_packets", _pk_sql("SELECT * FROM pflows", [_PFLOWS_CTE]))
+def q_flows_from_packets(spark, sf):
+    return PK.flows_from_packets(packets(spark, sf))
+
+
+_DUR = "(CAST(epoch_us(t1) - epoch_us(t0) AS DOUBLE) / 1e6)"
+
+
+def _rate_sql(num: str, den: str) -> str:
+    return f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / {den} ELSE 0.0 END"
+
+
+@register("flow_stats_unidirectional", _pk_sql(
+    f"SELECT src_ip, dst_ip, proto_num, {_DUR} AS flow_duration, n AS total_fwd_packets, "
+    f"CAST(0 AS BIGINT) AS total_backward_packets, nbytes AS total_length_fwd_packets, "
+    f"CAST(0 AS BIGINT) AS total_length_bwd_packets, {_rate_sql('nbytes', 'CAST(n AS DOUBLE)')} AS fwd_packet_length_mean, "
+    f"0.0 AS bwd_packet_length_mean, {_rate_sql('nbytes', _DUR)} AS flow_bytes_per_s, "
+    f"{_rate_sql('n', _DUR)} AS flow_packets_per_s, {_DUR} AS fwd_iat_total, 0.0 AS bwd_iat_total, "
+    f"t0 AS first_seen, t1 AS last_seen FROM (SELECT src_ip, dst_ip, proto_num, count(*) AS n, "
+    f"CAST(sum(length) AS BIGINT) AS nbytes, min(ts) AS t0, max(ts) AS t1 FROM packets GROUP BY ALL)"))
+def q_flow_stats_unidirectional(spark, sf):
+    return PK.flow_statistics(packets(spark, sf), bidirectional=False)
+
+
+def _bidir_sql() -> str:
+    d = lambda a, b: f"coalesce(CAST(epoch_us({b}) - epoch_us({a}) AS DOUBLE) / 1e6, 0.0)"
+    pick = lambda x, y: f"CASE WHEN fa THEN {x} ELSE {y} END"
+    nf, nb = pick("n_a", "n_b"), pick("n_b", "n_a")
+    bf, bb = pick("by_a", "by_b"), pick("by_b", "by_a")
+    return _pk_sql(
+        f"SELECT {pick('lo', 'hi')} AS src_ip, {pick('hi', 'lo')} AS dst_ip, proto_num, {_DUR} AS flow_duration, "
+        f"{nf} AS total_fwd_packets, {nb} AS total_backward_packets, {bf} AS total_length_fwd_packets, "
+        f"{bb} AS total_length_bwd_packets, {_rate_sql(bf, f'CAST({nf} AS DOUBLE)')} AS fwd_packet_length_mean, "
+        f"{_rate_sql(bb, f'CAST({nb} AS DOUBLE)')} AS bwd_packet_length_mean, "
+        f"{_rate_sql(f'({bf}) + ({bb})', _DUR)} AS flow_bytes_per_s, "
+        f"{_rate_sql(f'({nf}) + ({nb})', _DUR)} AS flow_packets_per_s, "
+        f"{d(pick('t0_a', 't0_b'), pick('t1_a', 't1_b'))} AS fwd_iat_total, "
+        f"{d(pick('t0_b', 't0_a'), pick('t1_b', 't1_a'))} AS bwd_iat_total, t0 AS first_seen, t1 AS last_seen "
+        "FROM (SELECT lo, hi, proto_num, first(a ORDER BY ts, packet_id) AS fa, count(*) FILTER (WHERE a) AS n_a, "
+        "count(*) FILTER (WHERE NOT a) AS n_b, CAST(coalesce(sum(length) FILTER (WHERE a), 0) AS BIGINT) AS by_a, "
+        "CAST(coalesce(sum(length) FILTER (WHERE NOT a), 0) AS BIGINT) AS by_b, min(ts) FILTER (WHERE a) AS t0_a, "
+        "max(ts) FILTER (WHERE a) AS t1_a, min(ts) FILTER (WHERE NOT a) AS t0_b, max(ts) FILTER (WHERE NOT a) AS t1_b, "
+        "min(ts) AS t0, max(ts) AS t1 FROM (SELECT *, src_ip = least(src_ip, dst_ip) AS a, "
+        "least(src_ip, dst_ip) AS lo, greatest(src_ip, dst_ip) AS hi FROM packets) GROUP BY lo, hi, proto_num)")
+
+
+@register("flow_stats_bidirectional", _bidir_sql())
+def q_flow_stats_bidirectional(spark, sf):
+    return PK.flow_statistics(packets(spark, sf), bidirectional=True)
+
+
+_RUN_W = "OVER (PARTITION BY src_ip, dst_ip, proto_num ORDER BY ts, packet_id ROWS UNBOUNDED PRECEDING)"
+
+
+@register("flow_running_features", _pk_sql(
+    "SELECT packet_id, ts, src_ip, dst_ip, proto_num, d AS flow_duration, n AS total_fwd_packets, "
+    "CAST(0 AS BIGINT) AS total_backward_packets, nbytes AS total_length_fwd_packets, "
+    "CAST(0 AS BIGINT) AS total_length_bwd_packets, CAST(nbytes AS DOUBLE) / n AS fwd_packet_length_mean, "
+    f"0.0 AS bwd_packet_length_mean, {_rate_sql('nbytes', 'd')} AS flow_bytes_per_s, "
+    f"{_rate_sql('n', 'd')} AS flow_packets_per_s, CASE WHEN n > 1 THEN d ELSE 0.0 END AS fwd_iat_total, "
+    "0.0 AS bwd_iat_total FROM (SELECT *, CAST(epoch_us(ts) - epoch_us(t0) AS DOUBLE) / 1e6 AS d FROM "
+    f"(SELECT *, count(*) {_RUN_W} AS n, CAST(sum(length) {_RUN_W} AS BIGINT) AS nbytes, "
+    "min(ts) OVER (PARTITION BY src_ip, dst_ip, proto_num) AS t0 FROM packets))"))
+def q_flow_running_features(spark, sf):
+    return PK.running_features(packets(spark, sf))
+
+
+@register("packet_rate_sliding", _pk_sql(
+    "SELECT window_start, window_start + INTERVAL 10 SECOND AS window_end, count(*) AS packets, "
+    "count(*) / 10.0 AS packets_per_second FROM (SELECT date_trunc('second', ts) - to_seconds(r.i) AS window_start "
+    "FROM packets CROSS JOIN range(0, 10) AS r(i)) GROUP BY window_start"))
+def q_packet_rate_sliding(spark, sf):
+    return PK.packet_rate(packets(spark, sf), 10, 1)
+
+
+@register("packet_rate_tumbling", _pk_sql(
+    "SELECT window_start, window_start + INTERVAL 10 SECOND AS window_end, count(*) AS packets, "
+    "count(*) / 10.0 AS packets_per_second FROM (SELECT TIMESTAMP '1970-01-01 00:00:00' + "
+    "to_seconds(CAST(floor(epoch_us(ts) / 10000000) AS BIGINT) * 10) AS window_start FROM packets) GROUP BY window_start"))
+def q_packet_rate_tumbling(spark, sf):
+    return PK.packet_rate(packets(spark, sf), 10, None)
+
+
+SESSION_GAP_SECONDS = 6 * 3600
+
+
+@register("flow_sessions", _pk_sql(
+    "SELECT src_ip, dst_ip, proto_num, CAST(session_no AS BIGINT) AS session_no, min(ts) AS session_start, "
+    "max(ts) AS session_last, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM "
+    f"(SELECT *, sum(CASE WHEN prev IS NULL OR CAST(epoch_us(ts) - epoch_us(prev) AS DOUBLE) / 1e6 >= "
+    f"{SESSION_GAP_SECONDS} THEN 1 ELSE 0 END) {_RUN_W} AS session_no FROM "
+    "(SELECT *, lag(ts) OVER (PARTITION BY src_ip, dst_ip, proto_num ORDER BY ts, packet_id) AS prev FROM packets)) "
+    "GROUP BY src_ip, dst_ip, proto_num, session_no"))
+def q_flow_sessions(spark, sf):
+    return PK.flow_sessions(packets(spark, sf), SESSION_GAP_SECONDS)
+
+
+# evidence: flows built from packets, policy on, then the packets of suspicious flows
+def _evidence_sql(select: str) -> str:
+    ctes = [O.packets_cte(), _PFLOWS_CTE, O.geoip_cte(), O.enriched_cte("pflows", "enriched")]
+    return "WITH " + ",\n".join(ctes + O.suspicious_ctes(True, False)) + "\n" + select
+
+
+def _evidence(spark, sf):
+    pk = packets(spark, sf)
+    susp = P.suspicious_flows(PK.flows_from_packets(pk), X.geoip(spark, sf), None, use_policy=True)
+    return DT.evidence_packets(pk, susp)
+
+
+_EVIDENCE_SEMI = ("FROM packets p WHERE EXISTS (SELECT 1 FROM susp s WHERE s.src_ip = p.src_ip "
+                  "AND s.dst_ip = p.dst_ip AND s.proto_num = p.proto_num)")
+
+
+@register("evidence_packets", _evidence_sql(f"SELECT p.*, CAST(p.ts AS DATE) AS date {_EVIDENCE_SEMI}"))
+def q_evidence_packets(spark, sf):
+    from netweave.sources.io import roundtrip_parquet
+    return roundtrip_parquet(_evidence(spark, sf), "evidence", partition_by=["date"])
+
+
+@register("evidence_manifest", _evidence_sql(
+    "SELECT src_ip, dst_ip, proto_num, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, "
+    f"min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT p.* {_EVIDENCE_SEMI}) GROUP BY ALL"))
+def q_evidence_manifest(spark, sf):
+    return DT.evidence_manifest(_evidence(spark, sf))
