@@ -172,13 +172,15 @@ def append_structured_alerts(new_alerts: DataFrame, existing: DataFrame | None,
     batch = new_alerts.dropDuplicates(["alert_id"])
     if existing is not None:
         batch = batch.join(existing.select("alert_id"), "alert_id", "left_anti")
-    batch.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").parquet(path)
+    from netweave.sources.io import write_by_date
+    write_by_date(batch.withColumn("date", F.to_date("timestamp")), path, "date", "timestamp")
     return batch
 
 
 def append_attack_alerts(alerts: DataFrame, path: str) -> None:
     """Append attack alerts, partitioned by date for pruning."""
-    alerts.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").parquet(path)
+    from netweave.sources.io import write_by_date
+    write_by_date(alerts.withColumn("date", F.to_date("timestamp")), path, "date", "timestamp")
 
 
 def export_csv(alerts: DataFrame, path: str) -> DataFrame:

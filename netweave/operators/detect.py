@@ -120,7 +120,8 @@ def evidence_packets(packets: DataFrame, suspicious: DataFrame,
 
 def write_evidence(evidence: DataFrame, path: str) -> None:
     """Append evidence packets as Parquet partitioned by capture date."""
-    evidence.write.mode("append").partitionBy("date").parquet(path)
+    from netweave.sources.io import write_by_date
+    write_by_date(evidence, path, "date", "ts")
 
 
 def evidence_manifest(evidence: DataFrame) -> DataFrame:

@@ -143,8 +143,10 @@ def upload_enrichment(df: DataFrame) -> DataFrame:
     src = F.col("src_ip") if has_ips else F.lit(None).cast("string")
     dst = F.col("dst_ip") if has_ips else F.lit(None).cast("string")
     known = src.isNotNull() & dst.isNotNull()
-    s_int, d_int = net.is_private_ip(src), net.is_private_ip(dst)
-    return df.withColumns({
+    df = (df.withColumn("__s_int", net.in_private_ranges(net.ipv4_to_long(src)))
+          .withColumn("__d_int", net.in_private_ranges(net.ipv4_to_long(dst))))
+    s_int, d_int = F.col("__s_int"), F.col("__d_int")
+    df = df.withColumns({
         "src_ip": F.coalesce(src, F.lit("N/A")),
         "dst_ip": F.coalesce(dst, F.lit("N/A")),
         "proto_num": proto,
@@ -154,6 +156,7 @@ def upload_enrichment(df: DataFrame) -> DataFrame:
         "is_internal_dst": F.when(known, d_int).otherwise(F.lit(False)),
         "country": F.when(known & d_int, F.lit(K.COUNTRY_INTERNAL)).otherwise(F.lit(K.COUNTRY_UNKNOWN)),
     })
+    return df.drop("__s_int", "__d_int")
 
 
 FEATURE_COLUMNS = [

@@ -84,11 +84,11 @@ def rule_select(values: dict[str, str]) -> str:
     return ", ".join(cols)
 
 
-def _stamp(ca: str = "p.ca") -> str:
+def _stamp(ca: str = "@p.ca") -> str:
     return f"strftime({ca}, '%Y%m%d_%H%M%S')"
 
 
-def rules_ctes(source: str = "flows", ca_sql: str | None = None) -> list[str]:
+def rules_ctes(source: str = "flows", ca_sql: str | None = None, prefix: str = "") -> list[str]:
     """CTEs rules_protocol, rules_port, rules_temporal, rules_behavioral and
     rules_all over ``source`` (needs a ``flows``-shaped relation)."""
     ca = ca_sql or f"SELECT max(last_seen) AS ca FROM {source}"
@@ -99,7 +99,7 @@ def rules_ctes(source: str = "flows", ca_sql: str | None = None) -> list[str]:
         "rule_type": f"'{K.RULE_PROTOCOL}'", "family_order": "0", "protocol": "g.proto_num",
         "protocol_name": lab, "severity": "'MEDIUM'",
         "description": f"concat('ML-generated protocol anomaly rule for ', {lab})",
-        "confidence": str(K.PROTOCOL_RULE_CONFIDENCE), "created_at": "p.ca",
+        "confidence": str(K.PROTOCOL_RULE_CONFIDENCE), "created_at": "@p.ca",
         "packets_threshold": thr("g.pm", "g.ps"), "bytes_threshold": thr("g.bm", "g.bs"),
         "unique_ports_threshold": "floor(g.d_port * 1.5)", "unique_src_ips_threshold": "floor(g.d_src * 1.5)",
         "unique_dst_ips_threshold": "floor(g.d_dst * 1.5)",
@@ -109,7 +109,7 @@ def rules_ctes(source: str = "flows", ca_sql: str | None = None) -> list[str]:
         "rule_type": f"'{K.RULE_PORT}'", "family_order": "1", "port": "g.port",
         "severity": N.sql_port_severity("g.port"),
         "description": "concat('ML-generated port anomaly rule for port ', CAST(g.port AS VARCHAR))",
-        "confidence": str(K.PORT_RULE_CONFIDENCE), "created_at": "p.ca",
+        "confidence": str(K.PORT_RULE_CONFIDENCE), "created_at": "@p.ca",
         "packets_threshold": thr("g.pm", "g.ps"), "bytes_threshold": thr("g.bm", "g.bs"),
         "unique_src_ips_threshold": "floor(g.d_src * 1.5)", "unique_dst_ips_threshold": "floor(g.d_dst * 1.5)",
         "protocols_threshold": "floor(g.d_proto * 1.5)",
@@ -119,7 +119,7 @@ def rules_ctes(source: str = "flows", ca_sql: str | None = None) -> list[str]:
         "rule_id": f"concat('ML_TEMPORAL_', {hh}, '_', {_stamp()})",
         "rule_type": f"'{K.RULE_TEMPORAL}'", "family_order": "2", "hour": "g.hr", "severity": "'LOW'",
         "description": f"concat('ML-generated temporal anomaly rule for hour ', {hh}, ':00')",
-        "confidence": str(K.TEMPORAL_RULE_CONFIDENCE), "created_at": "p.ca",
+        "confidence": str(K.TEMPORAL_RULE_CONFIDENCE), "created_at": "@p.ca",
         "packets_threshold": "g.pm * CAST(1.5 AS DOUBLE)", "bytes_threshold": "g.bm * CAST(1.5 AS DOUBLE)",
         "unique_src_ips_threshold": "floor(g.d_src * 1.3)", "unique_dst_ips_threshold": "floor(g.d_dst * 1.3)",
         "avg_packets": "g.pm", "avg_bytes": "g.bm", "flow_count": "g.n"})
@@ -127,7 +127,7 @@ def rules_ctes(source: str = "flows", ca_sql: str | None = None) -> list[str]:
         "rule_id": f"concat('ML_BEHAVIOR_', replace(s.src_ip, '.', '_'), '_', {_stamp()})",
         "rule_type": f"'{K.RULE_BEHAVIORAL}'", "family_order": "3", "src_ip": "s.src_ip", "severity": "'HIGH'",
         "description": "concat('ML-generated behavioral anomaly rule for source IP ', s.src_ip)",
-        "confidence": str(K.BEHAVIORAL_RULE_CONFIDENCE), "created_at": "p.ca",
+        "confidence": str(K.BEHAVIORAL_RULE_CONFIDENCE), "created_at": "@p.ca",
         "total_packets_threshold": "s.p_sum * CAST(0.8 AS DOUBLE)",
         "avg_packets_per_flow_threshold": "s.p_mean * CAST(1.2 AS DOUBLE)",
         "unique_destinations_threshold": "floor(s.d_dst * 0.8)", "unique_ports_threshold": "floor(s.d_port * 0.8)",
@@ -135,29 +135,30 @@ def rules_ctes(source: str = "flows", ca_sql: str | None = None) -> list[str]:
         "total_packets": "s.p_sum", "avg_packets_per_flow": "s.p_mean", "unique_destinations": "s.d_dst",
         "unique_ports": "s.d_port", "unique_protocols": "s.d_proto", "flow_count": "s.n"})
     ms = lambda c, a: f"round(avg({c}), 2) AS {a}m, round(stddev_samp({c}), 2) AS {a}s"
-    return [
-        f"p AS ({ca})",
-        (f"rules_protocol AS (SELECT {prot} FROM (SELECT proto_num, {ms('packets', 'p')}, count(packets) AS n, "
+    out = [
+        f"@p AS ({ca})",
+        (f"@rules_protocol AS (SELECT {prot} FROM (SELECT proto_num, {ms('packets', 'p')}, count(packets) AS n, "
          f"{ms('bytes', 'b')}, count(DISTINCT port) AS d_port, count(DISTINCT src_ip) AS d_src, "
-         f"count(DISTINCT dst_ip) AS d_dst FROM {source} WHERE proto_num IS NOT NULL GROUP BY proto_num) g, p)"),
-        (f"rules_port AS (SELECT {port} FROM (SELECT port, {ms('packets', 'p')}, count(packets) AS n, "
+         f"count(DISTINCT dst_ip) AS d_dst FROM {source} WHERE proto_num IS NOT NULL GROUP BY proto_num) g, @p)"),
+        (f"@rules_port AS (SELECT {port} FROM (SELECT port, {ms('packets', 'p')}, count(packets) AS n, "
          f"{ms('bytes', 'b')}, count(DISTINCT src_ip) AS d_src, count(DISTINCT dst_ip) AS d_dst, "
          f"count(DISTINCT proto_num) AS d_proto FROM {source} WHERE port IS NOT NULL GROUP BY port "
-         f"HAVING count(packets) > {K.PORT_RULE_MIN_FLOWS}) g, p)"),
-        (f"rules_temporal AS (SELECT {temp} FROM (SELECT hour(last_seen) AS hr, round(avg(packets), 2) AS pm, "
+         f"HAVING count(packets) > {K.PORT_RULE_MIN_FLOWS}) g, @p)"),
+        (f"@rules_temporal AS (SELECT {temp} FROM (SELECT hour(last_seen) AS hr, round(avg(packets), 2) AS pm, "
          f"count(packets) AS n, round(avg(bytes), 2) AS bm, count(DISTINCT src_ip) AS d_src, "
-         f"count(DISTINCT dst_ip) AS d_dst FROM {source} WHERE last_seen IS NOT NULL GROUP BY hour(last_seen)) g, p)"),
-        (f"src_stats AS (SELECT src_ip, CAST(sum(packets) AS BIGINT) AS p_sum, round(avg(packets), 2) AS p_mean, "
+         f"count(DISTINCT dst_ip) AS d_dst FROM {source} WHERE last_seen IS NOT NULL GROUP BY hour(last_seen)) g, @p)"),
+        (f"@src_stats AS (SELECT src_ip, CAST(sum(packets) AS BIGINT) AS p_sum, round(avg(packets), 2) AS p_mean, "
          f"count(packets) AS n, count(DISTINCT dst_ip) AS d_dst, count(DISTINCT port) AS d_port, "
          f"count(DISTINCT proto_num) AS d_proto FROM {source} WHERE src_ip IS NOT NULL GROUP BY src_ip)"),
-        (f"src_q AS (SELECT quantile_cont(p_sum, {K.BEHAVIORAL_QUANTILE}) AS q1, "
+        (f"@src_q AS (SELECT quantile_cont(p_sum, {K.BEHAVIORAL_QUANTILE}) AS q1, "
          f"quantile_cont(d_dst, {K.BEHAVIORAL_QUANTILE}) AS q2, "
-         f"quantile_cont(d_port, {K.BEHAVIORAL_QUANTILE}) AS q3 FROM src_stats)"),
-        (f"rules_behavioral AS (SELECT {beh} FROM src_stats s, src_q q, p "
+         f"quantile_cont(d_port, {K.BEHAVIORAL_QUANTILE}) AS q3 FROM @src_stats)"),
+        (f"@rules_behavioral AS (SELECT {beh} FROM @src_stats s, @src_q q, @p "
          f"WHERE s.p_sum > q.q1 OR s.d_dst > q.q2 OR s.d_port > q.q3)"),
-        ("rules_all AS (SELECT * FROM rules_protocol UNION ALL SELECT * FROM rules_port "
-         "UNION ALL SELECT * FROM rules_temporal UNION ALL SELECT * FROM rules_behavioral)"),
+        ("@rules_all AS (SELECT * FROM @rules_protocol UNION ALL SELECT * FROM @rules_port "
+         "UNION ALL SELECT * FROM @rules_temporal UNION ALL SELECT * FROM @rules_behavioral)"),
     ]
+    return [c.replace("@", prefix) for c in out]
 
 
 def triggered_cte(flows: str = "flows", rules: str = "rules_all", name: str = "triggered") -> str:

@@ -496,3 +496,292 @@ def q_evidence_packets(spark, sf):
     f"min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT p.* {_EVIDENCE_SEMI}) GROUP BY ALL"))
 def q_evidence_manifest(spark, sf):
     return DT.evidence_manifest(_evidence(spark, sf))
+
+
+# --- projections -------------------------------------------------------------------------
+
+from netweave.functions import timeparts as TP  # noqa: E402
+from netweave.sources import io as IO  # noqa: E402
+
+
+@register("flows_conformed", "WITH " + O.flows_cte() + " SELECT flow_id, src_ip, dst_ip, '' AS protocol_name, "
+          "'' AS direction, false AS is_internal_src, false AS is_internal_dst, '' AS country, bytes, packets, "
+          "last_seen, first_seen, dst_port, src_port, port, proto_num, '' AS protocol FROM flows")
+def q_flows_conformed(spark, sf):
+    return enrich.conform_flows(flows(spark, sf)).select("flow_id", *enrich.REQUIRED_COLUMNS)
+
+
+@register("primary_port", "WITH " + O.flows_cte() +
+          " SELECT flow_id, src_port, dst_port, CASE WHEN dst_port > 0 THEN dst_port ELSE src_port END AS primary_port "
+          "FROM flows")
+def q_primary_port(spark, sf):
+    return flows(spark, sf).select("flow_id", "src_port", "dst_port",
+                                   NF.primary_port("dst_port", "src_port").alias("primary_port"))
+
+
+_ADDR_SQL = "(SELECT src_ip AS ip FROM flows UNION SELECT dst_ip FROM flows)"
+
+
+@register("ip_is_private", "WITH " + O.flows_cte() + f" SELECT ip, {NF.sql_is_private('ip')} AS is_private FROM {_ADDR_SQL}")
+def q_ip_is_private(spark, sf):
+    fl = flows(spark, sf)
+    addrs = fl.select(F.col("src_ip").alias("ip")).union(fl.select("dst_ip")).distinct()
+    return addrs.select("ip", NF.is_private_ip("ip").alias("is_private"))
+
+
+@register("flow_direction", O.with_enriched() + "SELECT flow_id, src_ip, dst_ip, direction FROM enriched")
+def q_flow_direction(spark, sf):
+    return flows(spark, sf).select("flow_id", "src_ip", "dst_ip",
+                                   NF.flow_direction("src_ip", "dst_ip").alias("direction"))
+
+
+@register("protocol_name", "WITH " + O.flows_cte() +
+          f" SELECT DISTINCT proto_num, {NF.sql_protocol_name('proto_num')} AS protocol_name FROM flows")
+def q_protocol_name(spark, sf):
+    return flows(spark, sf).select("proto_num", NF.protocol_name("proto_num").alias("protocol_name")).distinct()
+
+
+@register("upload_enrichment", O.with_enriched() +
+          "SELECT flow_id, src_ip, dst_ip, proto_num, protocol_name, direction, is_internal_src, is_internal_dst, "
+          f"CASE WHEN is_internal_dst THEN 'Internal' ELSE 'Unknown' END AS country FROM enriched")
+def q_upload_enrichment(spark, sf):
+    up = flows(spark, sf).select("flow_id", "src_ip", "dst_ip", F.col("proto_num").alias("protocol"))
+    return enrich.upload_enrichment(up).select("flow_id", "src_ip", "dst_ip", "proto_num", "protocol_name",
+                                               "direction", "is_internal_src", "is_internal_dst", "country")
+
+
+@register("flow_time_parts", "WITH " + O.flows_cte() +
+          " SELECT flow_id, last_seen AS timestamp, hour(last_seen) AS hour, CAST(last_seen AS DATE) AS date, "
+          "isodow(last_seen) - 1 AS day_of_week FROM flows")
+def q_flow_time_parts(spark, sf):
+    return enrich.with_time_parts(flows(spark, sf)).select("flow_id", "timestamp", "hour", "date", "day_of_week")
+
+
+_FEAT_DUR = "(CAST(epoch_us(last_seen) - epoch_us(first_seen) AS DOUBLE) / 1e6)"
+
+
+@register("flow_features", O.with_enriched() +
+          f"SELECT flow_id, {_FEAT_DUR} AS flow_duration, CAST(packets AS DOUBLE) / ({_FEAT_DUR} + 1) AS packets_per_second, "
+          "CAST(bytes AS DOUBLE) / (packets + 1) AS bytes_per_packet, CAST(bytes AS DOUBLE) / (packets + 1) AS packet_size_variance, "
+          "proto_num AS protocol_numeric, port AS port_numeric, CAST(is_internal_src AS INTEGER) AS is_internal_src, "
+          "CAST(is_internal_dst AS INTEGER) AS is_internal_dst, "
+          "CAST(is_internal_src AND NOT is_internal_dst AS INTEGER) AS internal_to_external, "
+          "CAST(NOT is_internal_src AND is_internal_dst AS INTEGER) AS external_to_internal, "
+          "CAST(is_internal_src AND is_internal_dst AS INTEGER) AS internal_to_internal, "
+          "hour(last_seen) AS hour_of_day, isodow(last_seen) - 1 AS day_of_week FROM enriched")
+def q_flow_features(spark, sf):
+    return enrich.flow_features(enriched(spark, sf))
+
+
+LOOKBACK_HOURS = 168
+
+
+@register("flows_lookback", "WITH " + O.flows_cte() +
+          f" SELECT * FROM flows WHERE last_seen >= (SELECT max(last_seen) FROM flows) - INTERVAL {LOOKBACK_HOURS} HOUR")
+def q_flows_lookback(spark, sf):
+    fl = flows(spark, sf)
+    return IO.flows_lookback(fl, LOOKBACK_HOURS, as_of(fl))
+
+
+RECENT_SECONDS = 3600
+
+
+@register("live_flows_recent", "WITH " + O.flows_cte() +
+          f" SELECT * FROM flows WHERE last_seen >= (SELECT max(last_seen) FROM flows) - INTERVAL {RECENT_SECONDS} SECOND")
+def q_live_flows_recent(spark, sf):
+    fl = flows(spark, sf)
+    return PK.live_flows_recent(fl, as_of(fl), RECENT_SECONDS)
+
+
+# --- attack alerts (stored model verdicts) ------------------------------------------------
+
+def attack_alerts(spark, sf):
+    return X.attack_alerts_from(enriched(spark, sf))
+
+
+_ATTACK_CTE = (f"attack AS (SELECT flow_id AS id, last_seen AS timestamp, src_ip, dst_ip, "
+               f"{X.ATTACK_PREDICTION_SQL} AS prediction, CAST(packets % 100 AS DOUBLE) / 100 AS confidence, "
+               f"direction, protocol_name, is_internal_src, is_internal_dst, country FROM enriched)")
+
+
+@register("alerts_lookback", O.with_enriched(_ATTACK_CTE) +
+          "SELECT timestamp, src_ip, dst_ip, protocol_name, direction, is_internal_src, is_internal_dst, country "
+          f"FROM attack WHERE timestamp >= (SELECT max(last_seen) FROM flows) - INTERVAL {LOOKBACK_HOURS} HOUR")
+def q_alerts_lookback(spark, sf):
+    return IO.alerts_lookback(attack_alerts(spark, sf), LOOKBACK_HOURS, as_of(flows(spark, sf)))
+
+
+_AS_FLOWS_PORT = "CASE protocol_name " + " ".join(f"WHEN '{n}' THEN {p}" for n, p in R.K.ALERT_NAME_TO_PORT) + " ELSE 0 END"
+_AS_FLOWS_PROTO = "CASE protocol_name " + " ".join(f"WHEN '{n}' THEN {p}" for n, p in R.K.ALERT_NAME_TO_PROTO) + " ELSE 0 END"
+_AS_FLOWS_SQL = ("SELECT timestamp, src_ip, dst_ip, protocol_name, direction, is_internal_src, is_internal_dst, country, "
+                 "hour(timestamp) AS hour, CAST(timestamp AS DATE) AS date, CAST(NULL AS BIGINT) AS bytes, "
+                 f"CAST(NULL AS BIGINT) AS packets, {_AS_FLOWS_PORT} AS dst_port, CAST(NULL AS INTEGER) AS src_port, "
+                 f"{_AS_FLOWS_PORT} AS port, {_AS_FLOWS_PROTO} AS proto_num, protocol_name AS protocol, "
+                 "timestamp AS last_seen FROM attack")
+
+
+@register("alerts_as_flows", O.with_enriched(_ATTACK_CTE) + _AS_FLOWS_SQL)
+def q_alerts_as_flows(spark, sf):
+    return IO.alerts_as_flows(attack_alerts(spark, sf))
+
+
+@register("flow_source_fallback", "WITH " + O.flows_cte() +
+          " SELECT * FROM flows WHERE last_seen >= (SELECT max(last_seen) FROM flows) - INTERVAL 24 HOUR")
+def q_flow_source_fallback(spark, sf):
+    fl = flows(spark, sf)
+    recent = IO.flows_lookback(fl, 24, as_of(fl))
+    return IO.choose_source(recent, attack_alerts(spark, sf))
+
+
+@register("attack_alerts_latest", O.with_enriched(_ATTACK_CTE) +
+          "SELECT * FROM attack ORDER BY timestamp DESC, id ASC LIMIT 100")
+def q_attack_alerts_latest(spark, sf):
+    return AL.latest_attack_alerts(attack_alerts(spark, sf), 100)
+
+
+@register("attack_alerts_append", O.with_enriched(_ATTACK_CTE) + "SELECT *, CAST(timestamp AS DATE) AS date FROM attack")
+def q_attack_alerts_append(spark, sf):
+    from netweave.session import scratch_path
+    path = scratch_path(spark, "attack_alerts")
+    src = attack_alerts(spark, sf)
+    AL.append_attack_alerts(src, path)
+    return spark.read.parquet(path).select(*src.columns, "date")
+
+
+_EVOLVE_CUT = "1998-01-01 00:00:00"
+
+
+@register("alerts_evolved", O.with_enriched(_ATTACK_CTE) +
+          f"SELECT id, timestamp, src_ip, dst_ip, prediction, confidence, "
+          f"CASE WHEN timestamp < TIMESTAMP '{_EVOLVE_CUT}' THEN NULL ELSE direction END AS direction, "
+          f"CASE WHEN timestamp < TIMESTAMP '{_EVOLVE_CUT}' THEN NULL ELSE protocol_name END AS protocol_name, "
+          f"CASE WHEN timestamp < TIMESTAMP '{_EVOLVE_CUT}' THEN NULL ELSE is_internal_src END AS is_internal_src, "
+          f"CASE WHEN timestamp < TIMESTAMP '{_EVOLVE_CUT}' THEN NULL ELSE is_internal_dst END AS is_internal_dst, "
+          f"CASE WHEN timestamp < TIMESTAMP '{_EVOLVE_CUT}' THEN NULL ELSE country END AS country FROM attack")
+def q_alerts_evolved(spark, sf):
+    al = attack_alerts(spark, sf)
+    cut = TP.ntz_literal(_EVOLVE_CUT)
+    old = al.where(F.col("timestamp") < cut).select("id", "timestamp", "src_ip", "dst_ip", "prediction", "confidence")
+    new = al.where(F.col("timestamp") >= cut)
+    return AL.evolve_alert_table(old, new)
+
+
+# --- structured-alert sinks -----------------------------------------------------------------
+
+@register("structured_alerts_append", _rules_sql(
+    "SELECT * FROM old_alerts UNION ALL SELECT * FROM alerts WHERE alert_id NOT IN (SELECT alert_id FROM old_alerts)",
+    [O.geoip_cte(), O.enriched_cte(), O.triggered_cte(), O.by_flow_cte()]
+    + O.suspicious_ctes(True, True) + [O.alerts_cte()]
+    + [c.replace("st AS", "st0 AS").replace("susp AS", "susp0 AS").replace("FROM st s", "FROM st0 s")
+       .replace("policy(", "policy0(").replace("pol AS", "pol0 AS").replace("FROM pol e", "FROM pol0 e")
+       .replace("JOIN policy pl", "JOIN policy0 pl")
+       for c in O.suspicious_ctes(True, False)]
+    + [O.alerts_cte("susp0").replace("alerts AS", "old_alerts AS")]))
+def q_structured_alerts_append(spark, sf):
+    from netweave.session import scratch_path
+    path = scratch_path(spark, "structured_alerts")
+    old = alerts_table(spark, sf, use_rules=False)
+    AL.append_structured_alerts(old, None, path)
+    stored = spark.read.parquet(path).select(*AL.ALERT_COLUMNS)
+    AL.append_structured_alerts(alerts_table(spark, sf), stored, path)
+    return spark.read.parquet(path).select(*AL.ALERT_COLUMNS)
+
+
+@register("alerts_csv_export", O.alert_pipeline_sql(
+    "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS \"{t}\"" for c, t in R.K.EXPORT_COLUMNS) + " FROM alerts"))
+def q_alerts_csv_export(spark, sf):
+    from netweave.session import scratch_path
+    path = scratch_path(spark, "alerts_csv")
+    AL.export_csv(alerts_table(spark, sf), path)
+    return spark.read.option("header", True).csv(path)
+
+
+# --- rule store ---------------------------------------------------------------------------
+
+_BATCH1_HOURS = 24 * 365 * 3
+
+
+def _rule_store(spark, sf):
+    """Two appended generation runs: an earlier one over the flows of the
+    three years before (created a day earlier) and one over all flows."""
+    import datetime as dt
+    from netweave.session import scratch_path
+    fl = flows(spark, sf)
+    t = as_of(fl)
+    path = scratch_path(spark, "rules")
+    b1 = R.generate_rules(P.lookback(fl, _BATCH1_HOURS, t), t - dt.timedelta(days=1))
+    b1.write.mode("append").parquet(path)
+    R.generate_rules(fl, t).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select(*R.RULE_NAMES)
+
+
+def _store_sql(select: str) -> str:
+    flows1 = (f"flows1 AS (SELECT * FROM flows WHERE last_seen >= (SELECT max(last_seen) FROM flows) "
+              f"- INTERVAL {_BATCH1_HOURS} HOUR)")
+    b1 = O.rules_ctes("flows1", "SELECT max(last_seen) - INTERVAL 1 DAY AS ca FROM flows", prefix="b1_")
+    b2 = O.rules_ctes("flows", prefix="b2_")
+    store = "store AS (SELECT * FROM b1_rules_all UNION ALL SELECT * FROM b2_rules_all)"
+    return "WITH " + ",\n".join([O.flows_cte(), flows1] + b1 + b2 + [store]) + "\n" + select
+
+
+@register("rules_append", _store_sql("SELECT * FROM store"))
+def q_rules_append(spark, sf):
+    return _rule_store(spark, sf)
+
+
+@register("rules_latest", _store_sql(
+    "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY rule_type, protocol, port, hour, src_ip "
+    "ORDER BY created_at DESC, rule_id DESC) AS rn FROM store) WHERE rn = 1"))
+def q_rules_latest(spark, sf):
+    return R.latest_rules(_rule_store(spark, sf))
+
+
+# --- reports ------------------------------------------------------------------------------
+
+_DIRS = [("internal_to_external_flows", "Internal-to-External"), ("external_to_internal_flows", "External-to-Internal"),
+         ("internal_to_internal_flows", "Internal-to-Internal"), ("external_to_external_flows", "External-to-External")]
+_SUMMARY_SQL = ("SELECT count(*) AS total_flows, count(DISTINCT src_ip) AS unique_src_ips, "
+                "count(DISTINCT dst_ip) AS unique_dst_ips, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS total_bytes, "
+                "CAST(coalesce(sum(packets), 0) AS BIGINT) AS total_packets, "
+                + ", ".join(f"count(*) FILTER (WHERE direction = '{d}') AS {n}" for n, d in _DIRS) + " FROM enriched")
+
+
+@register("summary_stats", O.with_enriched() + _SUMMARY_SQL)
+def q_summary_stats(spark, sf):
+    return reports.summary_stats(enriched(spark, sf))
+
+
+@register("protocol_counts", O.with_enriched() +
+          "SELECT protocol_name, count(*) AS flow_count FROM enriched GROUP BY protocol_name")
+def q_protocol_counts(spark, sf):
+    return reports.protocol_counts(enriched(spark, sf))
+
+
+_HEAT_SQL = ("SELECT hour(last_seen) AS hour, protocol_name, CAST(sum(bytes) AS BIGINT) AS bytes, "
+             "CAST(sum(packets) AS BIGINT) AS packets FROM enriched WHERE last_seen IS NOT NULL AND protocol_name IS NOT NULL "
+             "AND bytes IS NOT NULL AND packets IS NOT NULL GROUP BY 1, 2")
+
+
+@register("protocol_heatmap", O.with_enriched() + _HEAT_SQL)
+def q_protocol_heatmap(spark, sf):
+    return reports.protocol_heatmap(enriched(spark, sf))
+
+
+def _pivot_sql(value: str, names: list[str]) -> str:
+    cols = ", ".join(f"CAST(coalesce(sum({value}) FILTER (WHERE protocol_name = '{n}'), 0) AS BIGINT) AS \"{n}\""
+                     for n in names)
+    return O.with_enriched(f"heat AS ({_HEAT_SQL})") + f"SELECT hour, {cols} FROM heat GROUP BY hour"
+
+
+# Protocol names present in the flow fixture (the pivot's column list).
+_FIXTURE_PROTOCOLS = ["ICMP", "Protocol_23", "SSH", "TCP", "UDP"]
+
+
+@register("heatmap_bytes_pivot", _pivot_sql("bytes", _FIXTURE_PROTOCOLS))
+def q_heatmap_bytes_pivot(spark, sf):
+    return reports.heatmap_pivot(reports.protocol_heatmap(enriched(spark, sf)), "bytes")
+
+
+@register("heatmap_packets_pivot", _pivot_sql("packets", _FIXTURE_PROTOCOLS))
+def q_heatmap_packets_pivot(spark, sf):
+    return reports.heatmap_pivot(reports.protocol_heatmap(enriched(spark, sf)), "packets")

@@ -51,14 +51,85 @@ def clean_flow_features(df: DataFrame) -> DataFrame:
     return stripped.select(*cols)
 
 
+def write_by_date(df: DataFrame, path: str, date_col: str = "date", order_col: str | None = None,
+                  mode: str = "append", num_partitions: int | None = None) -> None:
+    """Append ``df`` as Parquet partitioned by ``date_col``.
+
+    Rows are first range-partitioned on (date, order column): each task
+    writes a contiguous run of dates (files ≈ tasks + dates instead of
+    tasks x dates), and a hot date is still split across tasks by the
+    secondary key.
+    """
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [date_col] + ([order_col] if order_col else [])
+    (df.repartitionByRange(n, *keys).write.mode(mode).partitionBy(date_col).parquet(path))
+
+
 def roundtrip_parquet(df: DataFrame, name: str, partition_by: list[str] | None = None,
                       mode: str = "append") -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back
     (used by sink queries to verify what was stored)."""
     path = scratch_path(df.sparkSession, name)
-    w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        write_by_date(df, path, partition_by[0], mode=mode)
+    else:
+        df.write.mode(mode).parquet(path)
     back = df.sparkSession.read.parquet(path)
     return back.select(*df.columns)
+
+
+# --- lookbacks and source choice ---------------------------------------------------------
+
+ALERT_LOOKBACK_COLUMNS = ["timestamp", "src_ip", "dst_ip", "protocol_name", "direction",
+                          "is_internal_src", "is_internal_dst", "country"]
+
+
+def flows_lookback(flows: DataFrame, hours: float, as_of, col: str = "last_seen") -> DataFrame:
+    """Flows seen in the last ``hours`` before ``as_of``, newest first.
+
+    The bound is a literal, so it is pushed into the Parquet scan (and
+    prunes ``date`` partitions when the table is partitioned by date).
+    """
+    import datetime as dt
+    lo = as_of - dt.timedelta(hours=hours)
+    return (flows.where(F.col(col) >= F.lit(str(lo)).cast("timestamp_ntz"))
+            .orderBy(F.col(col).desc()))
+
+
+def alerts_lookback(attack_alerts: DataFrame, hours: float, as_of) -> DataFrame:
+    """Attack alerts of the last ``hours`` (8 columns)."""
+    import datetime as dt
+    lo = as_of - dt.timedelta(hours=hours)
+    return (attack_alerts.where(F.col("timestamp") >= F.lit(str(lo)).cast("timestamp_ntz"))
+            .select(*ALERT_LOOKBACK_COLUMNS))
+
+
+def alerts_as_flows(alerts: DataFrame) -> DataFrame:
+    """Attack alerts reshaped into the flow analysis frame.
+
+    Ports and protocol numbers come from the protocol name; packet/byte
+    counts and the source port are unknown (NULL), never invented.
+    """
+    name = F.col("protocol_name")
+    port = None
+    for n, p in K.ALERT_NAME_TO_PORT:
+        port = F.when(name == n, F.lit(p)) if port is None else port.when(name == n, F.lit(p))
+    port = port.otherwise(F.lit(0))
+    proto = None
+    for n, p in K.ALERT_NAME_TO_PROTO:
+        proto = F.when(name == n, F.lit(p)) if proto is None else proto.when(name == n, F.lit(p))
+    proto = proto.otherwise(F.lit(0))
+    return alerts.select(
+        "timestamp", "src_ip", "dst_ip", "protocol_name", "direction", "is_internal_src", "is_internal_dst",
+        "country", F.hour("timestamp").alias("hour"), F.to_date("timestamp").alias("date"),
+        F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("long").alias("packets"),
+        port.alias("dst_port"), F.lit(None).cast("int").alias("src_port"), port.alias("port"),
+        proto.alias("proto_num"), name.alias("protocol"), F.col("timestamp").alias("last_seen"))
+
+
+def choose_source(flows_recent: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Recent flows when there are any, else attack alerts as flows (never
+    fabricated sample data). One cheap ``isEmpty`` probe picks the plan."""
+    if not flows_recent.isEmpty():
+        return flows_recent
+    return alerts_as_flows(alerts)
