@@ -785,3 +785,151 @@ def q_heatmap_bytes_pivot(spark, sf):
 @register("heatmap_packets_pivot", _pivot_sql("packets", _FIXTURE_PROTOCOLS))
 def q_heatmap_packets_pivot(spark, sf):
     return reports.heatmap_pivot(reports.protocol_heatmap(enriched(spark, sf)), "packets")
+
+
+# --- windows, ML and composite reports ------------------------------------------------------
+
+from netweave.operators import iforest as IF  # noqa: E402
+from netweave.operators import ml as ML  # noqa: E402
+from netweave.plans import reports as PR  # noqa: E402
+
+
+@register("top_ports_per_protocol", O.with_enriched() +
+          "SELECT protocol_numeric, port_numeric, flow_count, rank FROM (SELECT protocol_numeric, port_numeric, flow_count, "
+          "row_number() OVER (PARTITION BY protocol_numeric ORDER BY flow_count DESC, port_numeric ASC) AS rank FROM "
+          "(SELECT proto_num AS protocol_numeric, port AS port_numeric, count(*) AS flow_count FROM enriched "
+          "GROUP BY 1, 2)) WHERE rank <= 10")
+def q_top_ports_per_protocol(spark, sf):
+    feats = enrich.flow_features(enriched(spark, sf))
+    return ML.top_values_per_group(feats, "protocol_numeric", "port_numeric", 10).select(
+        "protocol_numeric", "port_numeric", "flow_count", F.col("rank").cast("long").alias("rank"))
+
+
+def labelled(spark, sf):
+    return X.labelled_flows_from(flows(spark, sf))
+
+
+_LDUR = "(CAST(epoch_us(last_seen) - epoch_us(first_seen) AS DOUBLE) / 1e6)"
+_CLEAN_SQL = ("SELECT flow_id, " + f"{_LDUR} AS \"Flow Duration\", CAST(packets AS DOUBLE) AS \"Total Fwd Packets\", "
+              "CAST(packets % 7 AS DOUBLE) AS \"Total Backward Packets\", CAST(bytes AS DOUBLE) AS \"Total Length of Fwd Packets\", "
+              "CAST(bytes % 1009 AS DOUBLE) AS \"Total Length of Bwd Packets\", "
+              "CAST(bytes AS DOUBLE) / packets AS \"Fwd Packet Length Mean\", "
+              "CASE WHEN packets % 7 = 0 THEN 0.0 ELSE CAST(bytes % 1009 AS DOUBLE) / (packets % 7) END AS \"Bwd Packet Length Mean\", "
+              f"CASE WHEN {_LDUR} = 0 THEN 0.0 ELSE (bytes + bytes % 1009) / {_LDUR} END AS \"Flow Bytes/s\", "
+              f"CASE WHEN {_LDUR} = 0 THEN 0.0 ELSE (packets + packets % 7) / {_LDUR} END AS \"Flow Packets/s\", "
+              f"{_LDUR} AS \"Fwd IAT Total\", CASE WHEN packets % 7 > 1 THEN {_LDUR} ELSE 0.0 END AS \"Bwd IAT Total\", "
+              f"CASE WHEN {X.ATTACK_PREDICTION_SQL} = 'Attack' THEN 'DDoS' ELSE 'BENIGN' END AS \"Label\" FROM flows")
+
+
+@register("clean_flow_features", "WITH " + O.flows_cte() + " " + _CLEAN_SQL)
+def q_clean_flow_features(spark, sf):
+    return IO.clean_flow_features(labelled(spark, sf))
+
+
+@register("train_test_split", "WITH " + O.flows_cte() +
+          " SELECT flow_id, CASE WHEN CAST('0x' || substring(md5(flow_id), 1, 8) AS BIGINT) % 100 < 80 "
+          "THEN 'train' ELSE 'test' END AS split FROM flows")
+def q_train_test_split(spark, sf):
+    return ML.train_test_split(flows(spark, sf).select("flow_id"), "flow_id")
+
+
+@register("classification_report", "WITH " + O.flows_cte() + f""",
+pred AS (SELECT CASE WHEN {X.ATTACK_PREDICTION_SQL} = 'Attack' THEN 1 ELSE 0 END AS y,
+  CASE WHEN len({O.static_reasons_expr('f')}) > 0 THEN 1 ELSE 0 END AS p FROM flows f),
+cm AS (SELECT y, p, count(*) AS n FROM pred GROUP BY y, p),
+cls AS (SELECT y AS c FROM cm UNION SELECT p FROM cm),
+per AS (SELECT cls.c, coalesce((SELECT sum(n) FROM cm WHERE y = cls.c AND p = cls.c), 0) AS tp,
+  coalesce((SELECT sum(n) FROM cm WHERE y = cls.c), 0) AS support,
+  coalesce((SELECT sum(n) FROM cm WHERE p = cls.c), 0) AS predicted FROM cls),
+m AS (SELECT CAST(c AS VARCHAR) AS class, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+  CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, CAST(support AS BIGINT) AS support FROM per),
+m2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m)
+SELECT * FROM m2
+UNION ALL SELECT 'accuracy', NULL, NULL, (SELECT sum(n) FROM cm), (SELECT sum(n) FILTER (WHERE y = p) FROM cm) / (SELECT sum(n) FROM cm)
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), CAST(sum(support) AS BIGINT), avg(f1) FROM m2
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  CAST(sum(support) AS BIGINT), sum(f1 * support) / sum(support) FROM m2""")
+def q_classification_report(spark, sf):
+    """Static detector (flagged or not) evaluated against the flow labels."""
+    fl = flows(spark, sf)
+    pred = fl.select(F.when(F.expr(X.ATTACK_PREDICTION_SQL) == "Attack", 1).otherwise(0).alias("label"),
+                     F.when(F.size(DT.static_reasons()) > 0, 1).otherwise(0).alias("prediction"))
+    return ML.classification_report(pred)
+
+
+def _train_frame(spark, sf):
+    clean = IO.clean_flow_features(labelled(spark, sf))
+    return ML.train_test_split(ML.labelled_training_frame(clean), "flow_id")
+
+
+@register("attack_predictions")
+def q_attack_predictions(spark, sf):
+    """Random forest trained on the hash-selected 80 %, scored on the rest."""
+    data = materialize(_train_frame(spark, sf))
+    model = ML.train_attack_model(data.where("split = 'train'"))
+    return ML.predict_attacks(model, data.where("split = 'test'")).select(
+        "flow_id", "label", "prediction", "prediction_label", "confidence_last_class", "confidence_predicted")
+
+
+def _features(spark, sf):
+    return enrich.flow_features(enriched(spark, sf))
+
+
+@register("flow_clusters")
+def q_flow_clusters(spark, sf):
+    return ML.cluster_flows(_features(spark, sf), enrich.FEATURE_COLUMNS, k=5).select("flow_id", "cluster")
+
+
+@register("cluster_profiles")
+def q_cluster_profiles(spark, sf):
+    return ML.cluster_profiles(ML.cluster_flows(_features(spark, sf), enrich.FEATURE_COLUMNS, k=5))
+
+
+@register("flow_anomalies")
+def q_flow_anomalies(spark, sf):
+    return IF.isolation_forest(_features(spark, sf), "flow_id", enrich.FEATURE_COLUMNS)
+
+
+@register("anomaly_patterns")
+def q_anomaly_patterns(spark, sf):
+    feats = materialize(_features(spark, sf))
+    return IF.anomaly_patterns(feats, IF.isolation_forest(feats, "flow_id", enrich.FEATURE_COLUMNS))
+
+
+_REPORT_TOP = "SELECT src_ip, {m} AS v FROM s ORDER BY {m} DESC, src_ip ASC LIMIT 10"
+
+
+def _analysis_sql() -> str:
+    ctes = ([O.flows_cte(), O.geoip_cte(), O.enriched_cte()] + O.rules_ctes() + [O.triggered_cte(), O.by_flow_cte()]
+            + O.suspicious_ctes(False, True) + [f"s AS ({_SRC_STATS_SQL})", f"heat AS ({_HEAT_SQL})",
+                                               f"summ AS ({_SUMMARY_SQL})"])
+    summ_cols = ["total_flows", "unique_src_ips", "unique_dst_ips", "total_bytes", "total_packets"] + [n for n, _ in _DIRS]
+    parts = [f"SELECT 'summary' AS section, '{c}' AS key, CAST({c} AS DOUBLE) AS value FROM summ" for c in summ_cols]
+    parts.append("SELECT 'summary', 'suspicious_flows_count', CAST(count(*) AS DOUBLE) FROM susp")
+    parts.append("SELECT 'protocols_detected', protocol_name, CAST(count(*) AS DOUBLE) FROM enriched GROUP BY protocol_name")
+    for by, m in [("bytes", "total_bytes"), ("packets", "total_packets"), ("destinations", "distinct_destinations")]:
+        parts.append(f"SELECT 'top_by_{by}', src_ip, CAST(v AS DOUBLE) FROM ({_REPORT_TOP.format(m=m)})")
+    for v in ("bytes", "packets"):
+        parts.append(f"SELECT 'heatmap_{v}', concat_ws('|', CAST(hour AS VARCHAR), protocol_name), CAST({v} AS DOUBLE) FROM heat")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(parts)
+
+
+@register("analysis_report", _analysis_sql())
+def q_analysis_report(spark, sf):
+    fl = flows(spark, sf)
+    return PR.analysis_report(enrich.enrich_flows(fl, X.geoip(spark, sf)), P.generated_rules(fl))
+
+
+APPLY_WINDOW_HOURS = 24 * 30
+
+
+@register("rule_application_summary", _rules_sql(
+    "SELECT (SELECT count(*) FROM recent) AS total_flows_checked, (SELECT count(DISTINCT flow_id) FROM rt) AS "
+    "flows_with_triggers, (SELECT count(*) FROM rt) AS total_triggers",
+    [f"recent AS (SELECT * FROM flows WHERE last_seen >= (SELECT max(last_seen) FROM flows) - INTERVAL {APPLY_WINDOW_HOURS} HOUR)",
+     O.triggered_cte("recent", name="rt")]))
+def q_rule_application_summary(spark, sf):
+    fl = flows(spark, sf)
+    t = as_of(fl)
+    rules = P.generated_rules(fl, t)
+    return PR.rule_application_summary(P.lookback(fl, APPLY_WINDOW_HOURS, t), rules)
