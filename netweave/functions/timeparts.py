@@ -46,3 +46,15 @@ def day_of_week(col) -> Column:
 
 def ntz_literal(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
+
+
+def ntz_to_instant(col) -> Column:
+    """UTC wall clock (``timestamp_ntz``) -> ``timestamp`` instant, independent
+    of the session time zone (watermarks need ``timestamp``)."""
+    us = F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), _c(col))
+    return F.timestamp_micros(us)
+
+
+def instant_to_ntz(col) -> Column:
+    """``timestamp`` instant -> UTC wall clock ``timestamp_ntz``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(col)), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
