@@ -32,12 +32,22 @@ def private_ranges_as_longs() -> list[tuple[int, int]]:
 
 
 def ipv4_to_long(col) -> Column:
-    """Dotted IPv4 -> long; NULL for anything that is not a valid IPv4 text."""
+    """Dotted IPv4 -> long; NULL for anything that is not a valid IPv4 text
+    (exactly four decimal octets 0-255, no signs, spaces or leading zeros).
+
+    No regex: octets are cut with ``substring_index`` and validated by a
+    round trip through ``try_cast`` (same acceptance as ``IPV4_PATTERN``).
+    """
     c = _c(col)
-    parts = F.split(c, r"\.")
-    value = (parts.getItem(0).cast("long") * 16777216 + parts.getItem(1).cast("long") * 65536
-             + parts.getItem(2).cast("long") * 256 + parts.getItem(3).cast("long"))
-    return F.when(c.rlike(IPV4_PATTERN), value)
+    dots = F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
+    octets = [F.substring_index(F.substring_index(c, ".", i), ".", -1) for i in range(1, 5)]
+    nums = [o.try_cast("int") for o in octets]
+    ok = dots == 3
+    for o, n in zip(octets, nums):
+        ok = ok & (n.cast("string") == o) & n.between(0, 255)
+    value = (nums[0].cast("long") * 16777216 + nums[1].cast("long") * 65536
+             + nums[2].cast("long") * 256 + nums[3].cast("long"))
+    return F.when(F.coalesce(ok, F.lit(False)), value)
 
 
 def is_private_ip(col) -> Column:

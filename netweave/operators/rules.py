@@ -47,9 +47,41 @@ def _stamp(created_at) -> F.Column:
     return F.date_format(created_at, "yyyyMMdd_HHmmss")
 
 
-def _mean_std(col: str):
-    return (F.round(F.avg(col), 2).alias(f"{col}_mean"),
-            F.round(F.stddev_samp(col), 2).alias(f"{col}_std"))
+FAMILY_KEYS = ["proto_num", "port", "hour", "src_ip"]
+
+
+def _gid(key: str) -> int:
+    """``grouping_id()`` of the grouping set ``[key]`` (first column = MSB)."""
+    n = len(FAMILY_KEYS)
+    return sum(1 << (n - 1 - i) for i, k in enumerate(FAMILY_KEYS) if k != key)
+
+
+def family_statistics(flows: DataFrame) -> DataFrame:
+    """All per-family statistics in ONE pass over the flows.
+
+    ``GROUPING SETS ((proto_num), (port), (hour), (src_ip))``: packets
+    mean/std/count/sum, bytes mean/std and the distinct ports, sources,
+    destinations and protocols of every group. Output rows ≤ 256 protocols +
+    65,536 ports + 24 hours + #sources, so it is materialised once and every
+    rule family is derived from it.
+    """
+    base = flows.select("proto_num", "port", hour_of("last_seen").alias("hour"), "src_ip", "dst_ip",
+                        "packets", "bytes")
+    return base.groupingSets([[k] for k in FAMILY_KEYS], *FAMILY_KEYS).agg(
+        F.grouping_id().alias("gid"),
+        F.avg("packets").alias("p_avg"), F.stddev_samp("packets").alias("p_std"),
+        F.count("packets").alias("n"), F.sum("packets").alias("p_sum"),
+        F.avg("bytes").alias("b_avg"), F.stddev_samp("bytes").alias("b_std"),
+        F.count_distinct("port").alias("d_port"), F.count_distinct("src_ip").alias("d_src"),
+        F.count_distinct("dst_ip").alias("d_dst"), F.count_distinct("proto_num").alias("d_proto"))
+
+
+def _family(flows: DataFrame, stats: DataFrame | None, key: str) -> DataFrame:
+    st = stats if stats is not None else family_statistics(flows)
+    return (st.where((F.col("gid") == _gid(key)) & F.col(key).isNotNull())
+            .select(key, F.round("p_avg", 2).alias("packets_mean"), F.round("p_std", 2).alias("packets_std"),
+                    "n", "p_sum", F.round("b_avg", 2).alias("bytes_mean"), F.round("b_std", 2).alias("bytes_std"),
+                    "d_port", "d_src", "d_dst", "d_proto"))
 
 
 def _threshold(col: str) -> F.Column:
@@ -62,14 +94,11 @@ def _trunc(col, factor: float) -> F.Column:
         else F.floor(col * F.lit(factor)).cast("long")
 
 
-def protocol_rules(flows: DataFrame, created_at) -> DataFrame:
+def protocol_rules(flows: DataFrame, created_at, stats: DataFrame | None = None) -> DataFrame:
     """One rule per protocol number: mean + 2 std thresholds (3 x mean when
     the std is undefined), distinct counts x 1.5 truncated."""
     ca = ntz_literal(created_at)
-    g = (flows.where(F.col("proto_num").isNotNull()).groupBy("proto_num")
-         .agg(*_mean_std("packets"), F.count("packets").alias("n"), *_mean_std("bytes"),
-              F.count_distinct("port").alias("d_port"), F.count_distinct("src_ip").alias("d_src"),
-              F.count_distinct("dst_ip").alias("d_dst")))
+    g = _family(flows, stats, "proto_num")
     label = net.rule_protocol_label("proto_num")
     return conform_rules(g.select(
         F.concat(F.lit("ML_PROTOCOL_"), F.col("proto_num").cast("string"), F.lit("_"), _stamp(ca)).alias("rule_id"),
@@ -86,14 +115,10 @@ def protocol_rules(flows: DataFrame, created_at) -> DataFrame:
         F.col("n").alias("flow_count")))
 
 
-def port_rules(flows: DataFrame, created_at) -> DataFrame:
+def port_rules(flows: DataFrame, created_at, stats: DataFrame | None = None) -> DataFrame:
     """One rule per port seen in more than 10 flows; severity by port class."""
     ca = ntz_literal(created_at)
-    g = (flows.where(F.col("port").isNotNull()).groupBy("port")
-         .agg(*_mean_std("packets"), F.count("packets").alias("n"), *_mean_std("bytes"),
-              F.count_distinct("src_ip").alias("d_src"), F.count_distinct("dst_ip").alias("d_dst"),
-              F.count_distinct("proto_num").alias("d_proto"))
-         .where(F.col("n") > K.PORT_RULE_MIN_FLOWS))
+    g = _family(flows, stats, "port").where(F.col("n") > K.PORT_RULE_MIN_FLOWS)
     return conform_rules(g.select(
         F.concat(F.lit("ML_PORT_"), F.col("port").cast("string"), F.lit("_"), _stamp(ca)).alias("rule_id"),
         F.lit(K.RULE_PORT).alias("rule_type"), F.lit(1).alias("family_order"), F.col("port"),
@@ -108,55 +133,52 @@ def port_rules(flows: DataFrame, created_at) -> DataFrame:
         F.col("n").alias("flow_count")))
 
 
-def temporal_rules(flows: DataFrame, created_at) -> DataFrame:
+def temporal_rules(flows: DataFrame, created_at, stats: DataFrame | None = None) -> DataFrame:
     """One rule per hour of day (of ``last_seen``): mean x 1.5 thresholds."""
     ca = ntz_literal(created_at)
-    g = (flows.withColumn("__hour", hour_of("last_seen")).where(F.col("__hour").isNotNull())
-         .groupBy("__hour")
-         .agg(F.round(F.avg("packets"), 2).alias("pm"), F.count("packets").alias("n"),
-              F.round(F.avg("bytes"), 2).alias("bm"),
-              F.count_distinct("src_ip").alias("d_src"), F.count_distinct("dst_ip").alias("d_dst")))
-    hh = F.lpad(F.col("__hour").cast("string"), 2, "0")
+    g = _family(flows, stats, "hour")
+    hh = F.lpad(F.col("hour").cast("string"), 2, "0")
     return conform_rules(g.select(
         F.concat(F.lit("ML_TEMPORAL_"), hh, F.lit("_"), _stamp(ca)).alias("rule_id"),
         F.lit(K.RULE_TEMPORAL).alias("rule_type"), F.lit(2).alias("family_order"),
-        F.col("__hour").alias("hour"), F.lit("LOW").alias("severity"),
+        F.col("hour"), F.lit("LOW").alias("severity"),
         F.concat(F.lit("ML-generated temporal anomaly rule for hour "), hh, F.lit(":00")).alias("description"),
         F.lit(K.TEMPORAL_RULE_CONFIDENCE).alias("confidence"), ca.alias("created_at"),
-        (F.col("pm") * K.TEMPORAL_MULTIPLIER).alias("packets_threshold"),
-        (F.col("bm") * K.TEMPORAL_MULTIPLIER).alias("bytes_threshold"),
+        (F.col("packets_mean") * K.TEMPORAL_MULTIPLIER).alias("packets_threshold"),
+        (F.col("bytes_mean") * K.TEMPORAL_MULTIPLIER).alias("bytes_threshold"),
         _trunc("d_src", K.TEMPORAL_DISTINCT_MULTIPLIER).alias("unique_src_ips_threshold"),
         _trunc("d_dst", K.TEMPORAL_DISTINCT_MULTIPLIER).alias("unique_dst_ips_threshold"),
-        F.col("pm").alias("avg_packets"), F.col("bm").alias("avg_bytes"), F.col("n").alias("flow_count")))
+        F.col("packets_mean").alias("avg_packets"), F.col("bytes_mean").alias("avg_bytes"),
+        F.col("n").alias("flow_count")))
 
 
-def source_behaviour(flows: DataFrame) -> DataFrame:
-    """Per source IP: packet sum/mean/count, byte sum/mean, distinct
+def source_behaviour(flows: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Per source IP: packet sum/mean/count, byte mean, distinct
     destinations, ports and protocols (rounded to 2 like the other stats)."""
-    return (flows.where(F.col("src_ip").isNotNull()).groupBy("src_ip")
-            .agg(F.sum("packets").alias("p_sum"), F.round(F.avg("packets"), 2).alias("p_mean"),
-                 F.count("packets").alias("n"), F.sum("bytes").alias("b_sum"),
-                 F.round(F.avg("bytes"), 2).alias("b_mean"),
-                 F.count_distinct("dst_ip").alias("d_dst"), F.count_distinct("port").alias("d_port"),
-                 F.count_distinct("proto_num").alias("d_proto")))
+    return _family(flows, stats, "src_ip").select(
+        "src_ip", "p_sum", F.col("packets_mean").alias("p_mean"), "n", F.col("bytes_mean").alias("b_mean"),
+        "d_dst", "d_port", "d_proto")
 
 
-def behavioral_rules(flows: DataFrame, created_at, quantile: float = K.BEHAVIORAL_QUANTILE) -> DataFrame:
+def behavioral_rules(flows: DataFrame, created_at, quantile: float = K.BEHAVIORAL_QUANTILE,
+                     stats: DataFrame | None = None) -> DataFrame:
     """Rules for sources whose packet total, distinct destinations or
     distinct ports is strictly above the 95th percentile over all sources.
 
-    The per-source table is checkpointed once (it feeds three quantiles and
-    the final filter); quantiles are exact (``functions.quantile``).
+    The per-source table is materialised once (it feeds three exact
+    quantiles and the final filter; ``functions.quantile``).
     """
     from netweave.session import materialize
-    stats = materialize(source_behaviour(flows))
-    qs = exact_quantiles(stats, ["p_sum", "d_dst", "d_port"], quantile)
+    src = source_behaviour(flows, stats)
+    if stats is None:
+        src = materialize(src)
+    qs = exact_quantiles(src, ["p_sum", "d_dst", "d_port"], quantile)
     cond = F.lit(False)
     for c in ["p_sum", "d_dst", "d_port"]:
         if qs[c] is not None:
             cond = cond | (F.col(c) > F.lit(float(qs[c])))
     ca = ntz_literal(created_at)
-    return conform_rules(stats.where(cond).select(
+    return conform_rules(src.where(cond).select(
         F.concat(F.lit("ML_BEHAVIOR_"), F.regexp_replace("src_ip", r"\.", "_"), F.lit("_"), _stamp(ca)).alias("rule_id"),
         F.lit(K.RULE_BEHAVIORAL).alias("rule_type"), F.lit(3).alias("family_order"), F.col("src_ip"),
         F.lit("HIGH").alias("severity"),
@@ -173,11 +195,14 @@ def behavioral_rules(flows: DataFrame, created_at, quantile: float = K.BEHAVIORA
 
 
 def generate_rules(flows: DataFrame, created_at) -> DataFrame:
-    """All four families, concatenated in family order (bag union)."""
-    return (protocol_rules(flows, created_at)
-            .unionByName(port_rules(flows, created_at))
-            .unionByName(temporal_rules(flows, created_at))
-            .unionByName(behavioral_rules(flows, created_at)))
+    """All four families, concatenated in family order (bag union), from
+    one materialised ``family_statistics`` pass over the flows."""
+    from netweave.session import materialize
+    st = materialize(family_statistics(flows))
+    return (protocol_rules(flows, created_at, st)
+            .unionByName(port_rules(flows, created_at, st))
+            .unionByName(temporal_rules(flows, created_at, st))
+            .unionByName(behavioral_rules(flows, created_at, stats=st)))
 
 
 def rules_by_type(rules: DataFrame, rule_type: str) -> DataFrame:

@@ -107,16 +107,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _balanced(df: DataFrame) -> DataFrame:
+    from netweave.session import balanced
+    return balanced(df)
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow per lineitem row (FIXTURES.md §3)."""
-    return (_table(spark, sf_dir, "lineitem")
+    return (_balanced(_table(spark, sf_dir, "lineitem"))
             .selectExpr(*flow_inner_columns(SPARK))
             .selectExpr(*FLOW_OUTER))
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet per events row."""
-    return (_table(spark, sf_dir, "events")
+    return (_balanced(_table(spark, sf_dir, "events"))
             .selectExpr(*packet_inner_columns(SPARK))
             .selectExpr(*PACKET_OUTER))
 
