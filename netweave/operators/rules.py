@@ -66,9 +66,9 @@ def family_statistics(flows: DataFrame) -> DataFrame:
     rule family is derived from it.
     """
     base = flows.select("proto_num", "port", hour_of("last_seen").alias("hour"), "src_ip", "dst_ip",
-                        "packets", "bytes")
+                        "packets", "bytes", "last_seen")
     return base.groupingSets([[k] for k in FAMILY_KEYS], *FAMILY_KEYS).agg(
-        F.grouping_id().alias("gid"),
+        F.grouping_id().alias("gid"), F.max("last_seen").alias("max_seen"),
         F.avg("packets").alias("p_avg"), F.stddev_samp("packets").alias("p_std"),
         F.count("packets").alias("n"), F.sum("packets").alias("p_sum"),
         F.avg("bytes").alias("b_avg"), F.stddev_samp("bytes").alias("b_std"),
@@ -76,8 +76,23 @@ def family_statistics(flows: DataFrame) -> DataFrame:
         F.count_distinct("dst_ip").alias("d_dst"), F.count_distinct("proto_num").alias("d_proto"))
 
 
+def _single_family(flows: DataFrame, key: str) -> DataFrame:
+    """Statistics of one family only (plain hash aggregation on its key)."""
+    base = flows.select("proto_num", "port", hour_of("last_seen").alias("hour"), "src_ip", "dst_ip",
+                        "packets", "bytes")
+    return base.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.lit(_gid(key)).alias("gid"),
+        F.avg("packets").alias("p_avg"), F.stddev_samp("packets").alias("p_std"),
+        F.count("packets").alias("n"), F.sum("packets").alias("p_sum"),
+        F.avg("bytes").alias("b_avg"), F.stddev_samp("bytes").alias("b_std"),
+        *[F.count_distinct(c).alias(a) for c, a in
+          [("port", "d_port"), ("src_ip", "d_src"), ("dst_ip", "d_dst"), ("proto_num", "d_proto")] if c != key],
+        *[F.lit(1).cast("long").alias(a) for c, a in
+          [("port", "d_port"), ("src_ip", "d_src"), ("dst_ip", "d_dst"), ("proto_num", "d_proto")] if c == key])
+
+
 def _family(flows: DataFrame, stats: DataFrame | None, key: str) -> DataFrame:
-    st = stats if stats is not None else family_statistics(flows)
+    st = stats if stats is not None else _single_family(flows, key)
     return (st.where((F.col("gid") == _gid(key)) & F.col(key).isNotNull())
             .select(key, F.round("p_avg", 2).alias("packets_mean"), F.round("p_std", 2).alias("packets_std"),
                     "n", "p_sum", F.round("b_avg", 2).alias("bytes_mean"), F.round("b_std", 2).alias("bytes_std"),
@@ -194,11 +209,17 @@ def behavioral_rules(flows: DataFrame, created_at, quantile: float = K.BEHAVIORA
         F.col("d_proto").alias("unique_protocols"), F.col("n").alias("flow_count")))
 
 
-def generate_rules(flows: DataFrame, created_at) -> DataFrame:
+def generate_rules(flows: DataFrame, created_at=None) -> DataFrame:
     """All four families, concatenated in family order (bag union), from
-    one materialised ``family_statistics`` pass over the flows."""
+    one materialised ``family_statistics`` pass over the flows.
+
+    ``created_at`` defaults to the newest ``last_seen`` of the flows, read
+    from the (small) statistics table instead of another scan.
+    """
     from netweave.session import materialize
     st = materialize(family_statistics(flows))
+    if created_at is None:
+        created_at = st.agg(F.max("max_seen")).first()[0]
     return (protocol_rules(flows, created_at, st)
             .unionByName(port_rules(flows, created_at, st))
             .unionByName(temporal_rules(flows, created_at, st))

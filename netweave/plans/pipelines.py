@@ -31,9 +31,9 @@ def lookback(flows: DataFrame, hours: float | None, as_of_value, col: str = "las
 
 
 def generated_rules(flows: DataFrame, created_at=None) -> DataFrame:
-    """All rule families over ``flows``, materialised once (small table)."""
-    ca = created_at if created_at is not None else as_of(flows)
-    return materialize(R.generate_rules(flows, ca))
+    """All rule families over ``flows``, materialised once (small table);
+    ``created_at`` defaults to the newest ``last_seen``."""
+    return materialize(R.generate_rules(flows, created_at))
 
 
 def suspicious_flows(flows: DataFrame, geoip: DataFrame | None, rules: DataFrame | None,
@@ -45,7 +45,12 @@ def structured_alerts(flows: DataFrame, geoip: DataFrame | None, use_rules: bool
                       created_at=None) -> DataFrame:
     """flows -> enrichment -> (generated rules) -> detection with the
     (protocol, port) policy -> scored structured alerts."""
-    ca = created_at if created_at is not None else as_of(flows)
-    rules = generated_rules(flows, ca) if use_rules else None
+    rules, ca = None, created_at
+    if use_rules:
+        rules = generated_rules(flows, created_at)
+        if ca is None:
+            ca = rules.agg(F.max("created_at")).first()[0]
+    if ca is None:
+        ca = as_of(flows)
     susp = suspicious_flows(flows, geoip, rules, use_policy=True)
     return A.to_alerts(susp, ca)

@@ -102,8 +102,7 @@ def as_of(df: DataFrame, col: str = "last_seen"):
 
 
 def all_rules(spark, sf):
-    fl = flows(spark, sf)
-    return R.generate_rules(fl, as_of(fl))
+    return R.generate_rules(flows(spark, sf))
 
 
 def _rules_sql(select: str, extra: list[str] | None = None) -> str:
@@ -171,7 +170,7 @@ def q_rule_statistics(spark, sf):
     [O.triggered_cte()]))
 def q_rules_triggered(spark, sf):
     fl = flows(spark, sf)
-    rules = materialize(R.generate_rules(fl, as_of(fl)))
+    rules = materialize(R.generate_rules(fl))
     return R.apply_rules(fl, rules).select("flow_id", "rule_id", "rule_type", "severity",
                                            "description", "confidence")
 
@@ -180,7 +179,7 @@ def q_rules_triggered(spark, sf):
     "SELECT * FROM by_flow", [O.triggered_cte(), O.by_flow_cte()]))
 def q_rules_triggered_by_flow(spark, sf):
     fl = flows(spark, sf)
-    rules = materialize(R.generate_rules(fl, as_of(fl)))
+    rules = materialize(R.generate_rules(fl))
     return R.triggered_by_flow(R.apply_rules(fl, rules)).select(
         "flow_id", "ml_rule_count", "ml_reasons", "ml_rule_ids")
 
@@ -334,8 +333,8 @@ def q_alerts_last_24h(spark, sf):
     "UNION ALL SELECT 'severity_distribution', severity, count(*) FROM alerts GROUP BY severity "
     "UNION ALL SELECT 'threat_type_distribution', threat_type, count(*) FROM alerts GROUP BY threat_type"))
 def q_alert_statistics(spark, sf):
-    fl = flows(spark, sf)
-    return AL.alert_statistics(alerts_table(spark, sf), as_of(fl), 24)
+    al = materialize(alerts_table(spark, sf))
+    return AL.alert_statistics(al, as_of(al, "created_at"), 24)
 
 
 @register("alerts_latest", _newest_sql("true", 100, by="created_at"))

@@ -80,6 +80,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder
-    (survives executor loss, unlike local checkpoints)."""
+    (survives executor loss, unlike local checkpoints).
+
+    The input is persisted for the duration of the checkpoint so the plan
+    runs once (a bare eager checkpoint computes it twice), then released.
+    """
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
