@@ -54,3 +54,25 @@ def structured_alerts(flows: DataFrame, geoip: DataFrame | None, use_rules: bool
         ca = as_of(flows)
     susp = suspicious_flows(flows, geoip, rules, use_policy=True)
     return A.to_alerts(susp, ca)
+
+
+def upload_analysis(spark, csv_path: str, model, alerts_path: str | None = None, now=None) -> DataFrame:
+    """Labelled-flow CSV -> cleaned features -> model verdicts -> derived
+    fields (``Unknown`` without addresses) -> attack-alert rows, appended to
+    ``alerts_path`` when given. Returns the alert rows."""
+    import datetime as dt
+    from netweave.operators import ml as ML
+    from netweave.sources import io as IO
+    clean = IO.clean_flow_features(spark.read.option("header", True).csv(csv_path))
+    feats = clean.select("*", *[F.col(f"`{c}`").alias(ML.snake(c)) for c in ML.K.MODEL_FEATURES])
+    pred = ML.predict_attacks(model, feats)
+    enriched = E.upload_enrichment(pred)
+    ts = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    rows = enriched.select(
+        F.xxhash64(*[F.col(f"`{c}`") for c in ML.K.MODEL_FEATURES], F.lit(str(ts))).cast("string").alias("id"),
+        F.lit(str(ts)).cast("timestamp_ntz").alias("timestamp"), "src_ip", "dst_ip",
+        F.col("prediction_label").alias("prediction"), F.col("confidence_last_class").alias("confidence"),
+        "direction", "protocol_name", "is_internal_src", "is_internal_dst", "country")
+    if alerts_path:
+        A.append_attack_alerts(rows, alerts_path)
+    return rows

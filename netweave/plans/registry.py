@@ -140,7 +140,12 @@ def q_rules_all(spark, sf):
 
 @register("rules_by_type", _rules_sql(f"SELECT * FROM rules_all WHERE rule_type = '{R.K.RULE_PORT}'"))
 def q_rules_by_type(spark, sf):
-    return R.rules_by_type(all_rules(spark, sf), R.K.RULE_PORT)
+    """Rules of one type read back from the rule store (one generation run)."""
+    from netweave.session import scratch_path
+    from netweave.sources import rulestore as RS
+    path = scratch_path(spark, "rule_store")
+    RS.append_rules(all_rules(spark, sf), path)
+    return RS.read_rules(spark, path, R.K.RULE_PORT)
 
 
 @register("rule_generation_summary", _rules_sql(

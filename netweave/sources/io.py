@@ -84,16 +84,20 @@ ALERT_LOOKBACK_COLUMNS = ["timestamp", "src_ip", "dst_ip", "protocol_name", "dir
                           "is_internal_src", "is_internal_dst", "country"]
 
 
-def flows_lookback(flows: DataFrame, hours: float, as_of, col: str = "last_seen") -> DataFrame:
+def flows_lookback(flows: DataFrame, hours: float, as_of, col: str = "last_seen",
+                   date_col: str = "date") -> DataFrame:
     """Flows seen in the last ``hours`` before ``as_of``, newest first.
 
-    The bound is a literal, so it is pushed into the Parquet scan (and
-    prunes ``date`` partitions when the table is partitioned by date).
+    The bound is a literal, so it is pushed into the Parquet scan; when the
+    table has a ``date`` partition column an equivalent date bound is added
+    so whole partitions are pruned.
     """
     import datetime as dt
     lo = as_of - dt.timedelta(hours=hours)
-    return (flows.where(F.col(col) >= F.lit(str(lo)).cast("timestamp_ntz"))
-            .orderBy(F.col(col).desc()))
+    cond = F.col(col) >= F.lit(str(lo)).cast("timestamp_ntz")
+    if date_col in flows.columns:
+        cond = cond & (F.col(date_col) >= F.lit(lo.date().isoformat()).cast("date"))
+    return flows.where(cond).orderBy(F.col(col).desc())
 
 
 def alerts_lookback(attack_alerts: DataFrame, hours: float, as_of) -> DataFrame:
