@@ -264,8 +264,9 @@ def rule_statistics(rules: DataFrame) -> DataFrame:
         .select(F.lit("rule_types").alias("metric"), F.col("rule_type").alias("key"), "value")
     by_sev = per.groupBy("severity").agg(F.sum("n").cast("double").alias("value")) \
         .select(F.lit("severity_distribution").alias("metric"), F.col("severity").alias("key"), "value")
+    # Rounded to 10 decimals: the mean is then independent of summation order.
     avg_conf = per.agg(F.lit("avg_confidence").alias("metric"), F.lit("").alias("key"),
-                       F.coalesce(F.sum("conf_sum") / F.sum("n"), F.lit(0.0)).alias("value"))
+                       F.round(F.coalesce(F.sum("conf_sum") / F.sum("n"), F.lit(0.0)), 10).alias("value"))
     fam = rules.sparkSession.createDataFrame([(f, i) for i, f in enumerate(K.RULE_FAMILIES)],
                                              "rule_type string, i int")
     breakdown = (F.broadcast(fam).join(per.groupBy("rule_type").agg(F.sum("n").alias("n")), "rule_type", "left")

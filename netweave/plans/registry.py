@@ -162,7 +162,7 @@ def q_rule_generation_summary(spark, sf):
     "SELECT 'total_rules' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM rules_all "
     "UNION ALL SELECT 'rule_types', rule_type, CAST(count(*) AS DOUBLE) FROM rules_all GROUP BY rule_type "
     "UNION ALL SELECT 'severity_distribution', severity, CAST(count(*) AS DOUBLE) FROM rules_all GROUP BY severity "
-    "UNION ALL SELECT 'avg_confidence', '', coalesce(sum(confidence) / count(*), 0.0) FROM rules_all "
+    "UNION ALL SELECT 'avg_confidence', '', round(coalesce(sum(confidence) / count(*), 0.0), 10) FROM rules_all "
     "UNION ALL SELECT 'rule_breakdown', f.rule_type, CAST(coalesce(c.n, 0) AS DOUBLE) FROM "
     "(VALUES ('protocol_anomaly'), ('port_anomaly'), ('temporal_anomaly'), ('behavioral_anomaly')) f(rule_type) "
     "LEFT JOIN (SELECT rule_type, count(*) AS n FROM rules_all GROUP BY rule_type) c USING (rule_type)"))
