@@ -11,6 +11,13 @@ by a single core. Here each key is split into time buckets:
    timestamp of the previous bucket (a window over the small summary table,
    ≤ span / bucket rows per key);
 4. an equi-join on ``(key, bucket)`` adds the offsets back.
+
+A burst (one key with more than ``max_rows_per_group`` rows inside one
+bucket) is split further: such hot (key, bucket) groups are found with a
+partially aggregated count, broadcast (≤ rows / max_rows_per_group entries,
+counted before broadcasting) and cut into ``ceil(count / max_rows)`` equal
+time slices, so no group handed to one task exceeds the budget unless a
+single instant holds that many rows.
 """
 
 from __future__ import annotations
@@ -21,18 +28,46 @@ from pyspark.sql import functions as F
 from netweave.functions.timeparts import epoch_seconds
 
 DEFAULT_BUCKET_SECONDS = 3600
+DEFAULT_MAX_ROWS_PER_GROUP = 2_000_000
+HOT_BROADCAST_MAX_ROWS = 2_000_000
+
+
+def _fine_buckets(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int,
+                  max_rows_per_group: int) -> DataFrame:
+    """Add ``__b``: coarse bucket * 2^20 + time slice inside hot groups."""
+    from netweave.functions.timeparts import EPOCH_NTZ
+    us = F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col(ts))
+    width_us = bucket_seconds * 1_000_000
+    coarse = df.withColumn("__cb", F.floor(us / F.lit(width_us)).cast("long")).withColumn("__us", us)
+    hot = (coarse.groupBy(*keys, "__cb").agg(F.count(F.lit(1)).alias("__n"))
+           .where(F.col("__n") > max_rows_per_group)
+           .select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.col("__cb").alias("__hcb"),
+                   F.ceil(F.col("__n") / F.lit(max_rows_per_group)).cast("long").alias("__s")))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return coarse.withColumn("__b", F.col("__cb") * F.lit(1 << 20)).drop("__cb", "__us")
+    side = F.broadcast(hot) if n_hot <= HOT_BROADCAST_MAX_ROWS else hot
+    cond = F.col("__cb") == F.col("__hcb")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__h{i}"))
+    j = coarse.join(side, cond, "left")
+    slices = F.coalesce(F.col("__s"), F.lit(1))
+    offset = F.col("__us") - F.col("__cb") * F.lit(width_us)
+    fine = F.least(F.floor(offset * slices / F.lit(width_us)).cast("long"), slices - 1)
+    return (j.withColumn("__b", F.col("__cb") * F.lit(1 << 20) + fine)
+            .drop("__cb", "__us", "__hcb", "__s", *[f"__h{i}" for i in range(len(keys))]))
 
 
 def bucketed_scan(df: DataFrame, keys: list[str], ts: str, tie: str,
                   sums: dict[str, Column] | None = None, want_prev_ts: bool = False,
                   want_first_ts: bool = False,
-                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+                  max_rows_per_group: int = DEFAULT_MAX_ROWS_PER_GROUP) -> DataFrame:
     """Add ``run_<name>`` (inclusive running sum per key in (ts, tie) order),
     optionally ``prev_ts`` (timestamp of the key's previous row, NULL for
     the first) and ``first_ts`` (the key's earliest timestamp)."""
     sums = sums or {}
-    b = F.floor(epoch_seconds(F.col(ts)) / F.lit(bucket_seconds)).cast("long")
-    base = df.withColumn("__b", b)
+    base = _fine_buckets(df, keys, ts, bucket_seconds, max_rows_per_group)
     for name, c in sums.items():
         base = base.withColumn(f"__v_{name}", c)
     w_local = Window.partitionBy(*keys, "__b").orderBy(F.col(ts), F.col(tie))

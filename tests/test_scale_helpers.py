@@ -26,8 +26,14 @@ def test_bucketed_scan_matches_plain_window_with_a_hot_key(spark):
     df = (spark.createDataFrame(rows, "k string, id long, base string, off long, v long")
           .withColumn("ts", F.timestamp_add("SECOND", F.col("off"), F.col("base").cast("timestamp_ntz")))
           .drop("base", "off"))
+    _check_scan(df, dict(bucket_seconds=3600))
+    # burst: force hot (key, bucket) groups to be cut into finer time slices
+    _check_scan(df, dict(bucket_seconds=86400 * 30, max_rows_per_group=50))
+
+
+def _check_scan(df, kw):
     got = bucketed_scan(df, ["k"], "ts", "id", sums={"v": F.col("v")}, want_prev_ts=True,
-                        want_first_ts=True, bucket_seconds=3600)
+                        want_first_ts=True, **kw)
     w = Window.partitionBy("k").orderBy("ts", "id")
     ref = df.select("id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("rv"),
                     F.lag("ts").over(w).alias("pt"), F.min("ts").over(Window.partitionBy("k")).alias("ft"))
