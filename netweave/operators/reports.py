@@ -51,14 +51,18 @@ def source_ip_stats(flows: DataFrame) -> DataFrame:
 _TOP_METRICS = {"bytes": "total_bytes", "packets": "total_packets", "destinations": "distinct_destinations"}
 
 
-def top_source_ips(flows: DataFrame, by: str = "bytes", n: int = 10) -> DataFrame:
+def top_source_ips(flows: DataFrame, by: str = "bytes", n: int = 10,
+                   stats: DataFrame | None = None) -> DataFrame:
     """Top ``n`` sources by one metric; ties keep source order (ascending).
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each task keeps
-    its own top n, only n rows per task reach the final merge.
+    its own top n, only n rows per task reach the final merge. Pass
+    ``stats`` (a materialised ``source_ip_stats``) to rank several metrics
+    without re-aggregating the flows.
     """
     metric = _TOP_METRICS[by]
-    return source_ip_stats(flows).orderBy(F.col(metric).desc(), F.col("src_ip").asc()).limit(n)
+    st = stats if stats is not None else source_ip_stats(flows)
+    return st.orderBy(F.col(metric).desc(), F.col("src_ip").asc()).limit(n)
 
 
 def protocol_heatmap(flows: DataFrame, ts_col: str = "last_seen") -> DataFrame:

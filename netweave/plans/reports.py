@@ -27,8 +27,11 @@ def analysis_report(enriched: DataFrame, rules: DataFrame | None, top_n: int = 1
         F.struct(F.lit("summary").alias("section"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
         for c in cols])).alias("r")).select("r.*")]
     parts.append(_long(RP.protocol_counts(enriched), "protocols_detected", "protocol_name", "flow_count"))
+    # One per-source aggregation (≤ #sources rows) feeds all three rankings.
+    from netweave.session import materialize
+    src_stats = materialize(RP.source_ip_stats(enriched))
     for by, metric in [("bytes", "total_bytes"), ("packets", "total_packets"), ("destinations", "distinct_destinations")]:
-        parts.append(_long(RP.top_source_ips(enriched, by, top_n), f"top_by_{by}", "src_ip", metric))
+        parts.append(_long(RP.top_source_ips(enriched, by, top_n, stats=src_stats), f"top_by_{by}", "src_ip", metric))
     heat = RP.protocol_heatmap(enriched)
     for v in ("bytes", "packets"):
         parts.append(heat.select(F.lit(f"heatmap_{v}").alias("section"),
