@@ -214,16 +214,24 @@ def generate_rules(flows: DataFrame, created_at=None) -> DataFrame:
     one materialised ``family_statistics`` pass over the flows.
 
     ``created_at`` defaults to the newest ``last_seen`` of the flows, read
-    from the (small) statistics table instead of another scan.
+    from the (small) statistics table instead of another scan. The result
+    is a union of projections over the checkpointed statistics, so using it
+    several times re-reads only that small table.
     """
+    return generate_rules_at(flows, created_at)[0]
+
+
+def generate_rules_at(flows: DataFrame, created_at=None):
+    """``generate_rules`` plus the ``created_at`` it used."""
     from netweave.session import materialize
     st = materialize(family_statistics(flows))
     if created_at is None:
         created_at = st.agg(F.max("max_seen")).first()[0]
-    return (protocol_rules(flows, created_at, st)
-            .unionByName(port_rules(flows, created_at, st))
-            .unionByName(temporal_rules(flows, created_at, st))
-            .unionByName(behavioral_rules(flows, created_at, stats=st)))
+    rules = (protocol_rules(flows, created_at, st)
+             .unionByName(port_rules(flows, created_at, st))
+             .unionByName(temporal_rules(flows, created_at, st))
+             .unionByName(behavioral_rules(flows, created_at, stats=st)))
+    return rules, created_at
 
 
 def rules_by_type(rules: DataFrame, rule_type: str) -> DataFrame:

@@ -9,7 +9,6 @@ from netweave.operators import alerts as A
 from netweave.operators import detect as D
 from netweave.operators import enrich as E
 from netweave.operators import rules as R
-from netweave.session import materialize
 
 
 def as_of(df: DataFrame, col: str = "last_seen"):
@@ -31,9 +30,9 @@ def lookback(flows: DataFrame, hours: float | None, as_of_value, col: str = "las
 
 
 def generated_rules(flows: DataFrame, created_at=None) -> DataFrame:
-    """All rule families over ``flows``, materialised once (small table);
-    ``created_at`` defaults to the newest ``last_seen``."""
-    return materialize(R.generate_rules(flows, created_at))
+    """All rule families over ``flows`` (from one checkpointed statistics
+    pass); ``created_at`` defaults to the newest ``last_seen``."""
+    return R.generate_rules(flows, created_at)
 
 
 def suspicious_flows(flows: DataFrame, geoip: DataFrame | None, rules: DataFrame | None,
@@ -47,9 +46,7 @@ def structured_alerts(flows: DataFrame, geoip: DataFrame | None, use_rules: bool
     (protocol, port) policy -> scored structured alerts."""
     rules, ca = None, created_at
     if use_rules:
-        rules = generated_rules(flows, created_at)
-        if ca is None:
-            ca = rules.agg(F.max("created_at")).first()[0]
+        rules, ca = R.generate_rules_at(flows, created_at)
     if ca is None:
         ca = as_of(flows)
     susp = suspicious_flows(flows, geoip, rules, use_policy=True)
