@@ -28,7 +28,8 @@ def geo_buckets(geoip: DataFrame) -> DataFrame:
 
 def with_country(flows: DataFrame, geoip: DataFrame, ip_col: str = "dst_ip",
                  out_col: str = "country",
-                 broadcast_max_rows: int = GEO_BROADCAST_MAX_ROWS) -> DataFrame:
+                 broadcast_max_rows: int = GEO_BROADCAST_MAX_ROWS,
+                 ip_long_col: str | None = None) -> DataFrame:
     """Country of ``ip_col`` via a bucketed range join; no match -> ``Unknown``.
 
     GeoIP ranges are assumed disjoint (as in GeoIP databases). When the
@@ -37,7 +38,7 @@ def with_country(flows: DataFrame, geoip: DataFrame, ip_col: str = "dst_ip",
     shuffle join on the bucket and joined back on the address.
     """
     buckets = geo_buckets(geoip)
-    ip_long = net.ipv4_to_long(F.col(ip_col))
+    ip_long = F.col(ip_long_col) if ip_long_col else net.ipv4_to_long(F.col(ip_col))
     n_bucket_rows = buckets.count()
     if n_bucket_rows <= broadcast_max_rows:
         fl = flows.withColumn("__ip", ip_long).withColumn("__bucket", F.shiftright("__ip", GEO_BUCKET_BITS))
@@ -78,15 +79,17 @@ def enrich_flows(flows: DataFrame, geoip: DataFrame | None = None) -> DataFrame:
           .withColumn("__dst_long", net.ipv4_to_long("dst_ip"))
           .withColumn("is_internal_src", net.in_private_ranges("__src_long"))
           .withColumn("is_internal_dst", net.in_private_ranges("__dst_long"))
-          .drop("__src_long", "__dst_long")
+          .drop("__src_long")
           .withColumn("direction", net.direction_from_flags("is_internal_src", "is_internal_dst")))
     if geoip is not None:
-        df = with_country(df, geoip, "dst_ip", "__geo_country")
+        # Private destinations never need a country lookup: their join key is NULL.
+        df = df.withColumn("__dst_long", F.when(~F.col("is_internal_dst"), F.col("__dst_long")))
+        df = with_country(df, geoip, "dst_ip", "__geo_country", ip_long_col="__dst_long")
     else:
         df = df.withColumn("__geo_country", F.lit(K.COUNTRY_UNKNOWN))
     return (df.withColumn("country", F.when(F.col("is_internal_dst"), F.lit(K.COUNTRY_INTERNAL))
                           .otherwise(F.col("__geo_country")))
-            .drop("__geo_country"))
+            .drop("__geo_country", "__dst_long"))
 
 
 # --- conformed analysis frame ---------------------------------------------------

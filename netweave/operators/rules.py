@@ -32,7 +32,6 @@ RULE_COLUMNS = [
     ("unique_destinations", "long"), ("unique_ports", "long"), ("unique_protocols", "long"),
 ]
 RULE_NAMES = [n for n, _ in RULE_COLUMNS]
-RULE_ORDER_KEYS = ["created_at", "family_order", "protocol", "port", "hour", "src_ip"]
 BROADCAST_RULES_MAX_ROWS = 1_000_000
 
 
