@@ -20,6 +20,9 @@ _SCALE_CONF = {
     # JVM and run interpreted (measured 3x slower on the enrichment stage);
     # let Spark split such stages instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Streaming session windows: merge a key's sessions inside each
+    # partition before the shuffle (a hot flow sends a few rows, not all).
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

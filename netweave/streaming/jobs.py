@@ -27,6 +27,11 @@ def event_time(packets: DataFrame, col: str = "ts") -> DataFrame:
     return packets
 
 
+def _user_set(spark, key: str) -> bool:
+    """True when the key was set explicitly in the Spark configuration."""
+    return spark.sparkContext.getConf().contains(key)
+
+
 def packet_rate_stream(packets: DataFrame, window_seconds: int = 10, slide_seconds: int = 1,
                        watermark: str = "30 seconds") -> DataFrame:
     """Packets per second over sliding event-time windows (append mode:
@@ -45,6 +50,10 @@ def flow_sessions_stream(packets: DataFrame, gap_seconds: int, watermark: str |
     are emitted in append mode and their state is dropped. Rows later than
     the watermark are discarded."""
     wm = watermark or f"{gap_seconds} seconds"
+    spark = packets.sparkSession
+    merge_conf = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    if spark.conf.get(merge_conf, None) in (None, "false") and not _user_set(spark, merge_conf):
+        spark.conf.set(merge_conf, "true")  # pre-merge per partition before the shuffle
     s = F.session_window("ts", f"{gap_seconds} seconds")
     return (event_time(packets).withWatermark("ts", wm).groupBy(*FLOW_KEY, s.alias("s"))
             .agg(F.count(F.lit(1)).alias("packets"), F.sum("length").cast("long").alias("bytes"),
