@@ -39,3 +39,16 @@ def test_evidence_shuffle_path_equals_broadcast(spark, sf):
     assert a.count() > 0
     assert a.count() == b.count()
     assert a.exceptAll(b).count() == 0
+
+
+def test_source_choice_falls_back_to_alerts_when_no_recent_flows(spark, sf):
+    import datetime as dt
+
+    from netweave.sources import io as IO
+    fl = X.flows(spark, sf)
+    alerts = X.attack_alerts_from(E.enrich_flows(fl, X.geoip(spark, sf)))
+    future = P.as_of(fl) + dt.timedelta(days=3650)
+    empty_recent = IO.flows_lookback(fl, 1, future).where(F.col("last_seen") > F.lit(str(future)).cast("timestamp_ntz"))
+    out = IO.choose_source(empty_recent, alerts)
+    assert out.count() == alerts.count()
+    assert "packets" in out.columns and out.where(F.col("packets").isNotNull()).count() == 0
