@@ -39,7 +39,9 @@ def with_country(flows: DataFrame, geoip: DataFrame, ip_col: str = "dst_ip",
     """
     buckets = geo_buckets(geoip)
     ip_long = F.col(ip_long_col) if ip_long_col else net.ipv4_to_long(F.col(ip_col))
-    n_bucket_rows = buckets.count()
+    # Rows of the bucketed table = sum of bucket spans (no explode needed).
+    span = F.shiftright("end_ip", GEO_BUCKET_BITS) - F.shiftright("start_ip", GEO_BUCKET_BITS) + 1
+    n_bucket_rows = geoip.agg(F.coalesce(F.sum(span), F.lit(0))).first()[0]
     if n_bucket_rows <= broadcast_max_rows:
         fl = flows.withColumn("__ip", ip_long).withColumn("__bucket", F.shiftright("__ip", GEO_BUCKET_BITS))
         g = F.broadcast(buckets.select(F.col("ip_bucket").alias("__g_bucket"),
