@@ -45,3 +45,11 @@ def q_best_fit_packing(spark, sf):
     from netweave.llm.token_files import vocabulary
     cut = P.pieces(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), end_id=0)
     return P.pack(spark, cut)
+
+
+@register("op1_substring_dedup")
+def q_substring_dedup(spark, sf):
+    """Windows of 50 words that also start in a smaller doc_id, removed."""
+    from netweave.llm import substring_dedup as S
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return S.strip_spans(docs, S.repeated_spans(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
