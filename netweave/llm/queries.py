@@ -53,3 +53,10 @@ def q_substring_dedup(spark, sf):
     from netweave.llm import substring_dedup as S
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return S.strip_spans(docs, S.repeated_spans(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op2_sharding")
+def q_sharding(spark, sf):
+    """All documents in 40 shards of even counts, copies together."""
+    from netweave.llm import sharding as H
+    return H.shard(table(spark, sf, "documents"))
