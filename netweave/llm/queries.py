@@ -60,3 +60,10 @@ def q_sharding(spark, sf):
     """All documents in 40 shards of even counts, copies together."""
     from netweave.llm import sharding as H
     return H.shard(table(spark, sf, "documents"))
+
+
+@register("op3_near_duplicates")
+def q_near_duplicates(spark, sf):
+    """Components of documents that share 80 % of their two-word shingles."""
+    from netweave.llm import neardup as N
+    return N.near_duplicates(table(spark, sf, "documents"), shingle=2)
