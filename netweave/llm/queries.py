@@ -67,3 +67,10 @@ def q_near_duplicates(spark, sf):
     """Components of documents that share 80 % of their two-word shingles."""
     from netweave.llm import neardup as N
     return N.near_duplicates(table(spark, sf, "documents"), shingle=2)
+
+
+@register("op10_license_scan")
+def q_license_scan(spark, sf):
+    """Licence phrases and covered licence templates of all documents."""
+    from netweave.llm import licenses as L
+    return L.scan_licenses(table(spark, sf, "documents")).drop("spans")

@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 
-CACHE_SIZE = 400_000
+CACHE_SIZE = 1_000_000
 #: Texts beyond this many characters go through the cache piece by piece.
 PIECE_CHARS = 1 << 20
 
@@ -75,8 +76,8 @@ class Encoder:
         if len(self.known) > CACHE_SIZE:
             self.known = {}
         parts = [None if _OTHER.search(t) else [self.split(p) for p in self._pieces(t)] for t in texts]
-        fresh = set().union(*(p for ps in parts if ps for p in ps))
-        fresh.difference_update(self.known)
+        words = chain.from_iterable(p for ps in parts if ps for p in ps)
+        fresh = set(filterfalse(self.known.__contains__, words))
         if fresh:
             self._learn(list(fresh))
         get = self.known.__getitem__
