@@ -74,3 +74,10 @@ def q_license_scan(spark, sf):
     """Licence phrases and covered licence templates of all documents."""
     from netweave.llm import licenses as L
     return L.scan_licenses(table(spark, sf, "documents")).drop("spans")
+
+
+@register("op9_decontamination")
+def q_decontamination(spark, sf):
+    """Benchmark items that stand in documents, substituted words allowed."""
+    from netweave.llm import decontaminate as D
+    return D.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
