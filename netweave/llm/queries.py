@@ -81,3 +81,18 @@ def q_decontamination(spark, sf):
     """Benchmark items that stand in documents, substituted words allowed."""
     from netweave.llm import decontaminate as D
     return D.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op6_language_id")
+def q_language_id(spark, sf):
+    """Language of every document, learned outside the held-out fold."""
+    from netweave.llm import langid as G
+    docs = table(spark, sf, "documents")
+    return G.predict(docs, *G.training_rows(docs))
+
+
+@register("op7_quality_classifier")
+def q_quality_classifier(spark, sf):
+    """Junk and toxicity of every document, and whether it is kept."""
+    from netweave.llm import quality as Q
+    return Q.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
