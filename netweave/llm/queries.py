@@ -96,3 +96,12 @@ def q_quality_classifier(spark, sf):
     """Junk and toxicity of every document, and whether it is kept."""
     from netweave.llm import quality as Q
     return Q.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op5_hash_prefix_forest")
+def q_hash_prefix_forest(spark, sf):
+    """The five nearest vectors of every fiftieth one."""
+    from pyspark.sql import functions as F
+
+    from netweave.llm import hash_forest as A
+    return A.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
