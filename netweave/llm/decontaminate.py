@@ -113,28 +113,33 @@ def _overlaps(seeds: _Seeds, words: np.ndarray, bounds: np.ndarray, doc: np.ndar
     return out
 
 
+def _found(seeds: _Seeds, column, share: float):
+    """Rows (document row, item, begin in the document, words that match) of one
+    column of texts."""
+    out = [np.zeros((0, 4), np.int64)]
+    for group in W.words_of(column, W.LOWER):
+        words, bounds = group.hashes[0], group.bounds
+        found = [seeds.hits(t, _spaced(words, m)) for m, t in zip(seeds.masks, seeds.tables)]
+        found += [seeds.hits(t, W.sequence_hashes(words, size)) for size, t in seeds.short]
+        place, item, inner = (np.concatenate([f[i] for f in found]) for i in range(3))
+        if len(place):
+            doc = np.searchsorted(bounds, place, side="right") - 1
+            diagonals = np.unique(np.stack([doc, item, place - inner], 1), axis=0)
+            out += [np.array([[d + group.first, i, b - bounds[d], same]], np.int64)
+                    for d, i, b, same in _overlaps(seeds, words, bounds, *diagonals.T, share)]
+    return np.concatenate(out)
+
+
 def _scan(docs: DataFrame, seeds: _Seeds, share: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def task(batches):
         s = shared.value
         for batch in batches:
-            for group in W.words_of(batch.column(1), W.LOWER):
-                words, bounds = group.hashes[0], group.bounds
-                found = [s.hits(t, _spaced(words, m)) for m, t in zip(s.masks, s.tables)]
-                found += [s.hits(t, W.sequence_hashes(words, size)) for size, t in s.short]
-                place, item, inner = (np.concatenate([f[i] for f in found]) for i in range(3))
-                if not len(place):
-                    continue
-                doc = np.searchsorted(bounds, place, side="right") - 1
-                diagonals = np.unique(np.stack([doc, item, place - inner], 1), axis=0)
-                rows = _overlaps(s, words, bounds, *diagonals.T, share)
-                if rows:
-                    d, i, b, same = (np.array(c, np.int64) for c in zip(*rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(d + group.first)), pa.array(s.ids[i]),
-                         pa.array(b - bounds[d]), pa.array(same), pa.array(s.sizes[i])],
-                        ["doc_id", "item_id", "start", "matched", "item_words"])
+            row, item, begin, same = _found(s, batch.column(1), share).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(s.ids[item]), pa.array(begin), pa.array(same), pa.array(s.sizes[item])],
+                ["doc_id", "item_id", "start", "matched", "item_words"])
 
     return docs.mapInArrow(task, _OUT)
 
@@ -169,3 +174,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks=MAS
         "doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.matched").alias("matched"),
         F.col("best.item_words").alias("item_words"),
         (F.col("best.matched") / F.col("best.item_words")).alias("similarity"))
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks=MASKS,
+                 block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item, all columns as
+    they are. Decided row by row, so nothing is shuffled."""
+    names = docs.columns
+
+    def filtered(rows: DataFrame, seeds: _Seeds) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(seeds)
+
+        def task(batches):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[_found(shared.value, batch.column(len(names)), share)[:, 0]] = False
+                yield pa.RecordBatch.from_arrays(batch.columns[:len(names)], names).filter(pa.array(keep))
+
+        return rows.select("*", F.col("text").cast("string").alias("whole text")).mapInArrow(task, docs.schema)
+
+    for items in _blocks(benchmark, block_words):
+        docs = filtered(docs, _Seeds(items, tuple(masks)))
+    return docs

@@ -32,11 +32,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netweave.llm import words as W
 from netweave.llm.graph import components
-from netweave.session import materialize, scratch_path
+from netweave.llm.scratch import written
+from netweave.session import materialize
 
 CHUNKS, CHUNK = 20, 5
 SYMBOLS = CHUNKS * CHUNK
@@ -181,27 +183,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     ``similarity`` in hundredths, 80 or more (the index is laid out for that)."""
     if not 80 <= similarity <= 100:
         raise ValueError("similarity is 80 to 100 hundredths")
-    spark = docs.sparkSession
-    path = scratch_path(spark, "signatures")
-    signatures(docs, shingle).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = written(signatures(docs, shingle), "signatures")
     some = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes_of = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    path = scratch_path(spark, "classes")
-    (some.join(classes_of, ["set_a", "set_b", "n_shingles"]).where("doc_id = rep")
-     .select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"]).write.parquet(path))
-    classes = spark.read.parquet(path)
-
-    path = scratch_path(spark, "index")
-    _keys(classes).write.parquet(path)
-    index = spark.read.parquet(path)
+    classes = written(some.join(classes_of, ["set_a", "set_b", "n_shingles"]).where("doc_id = rep")
+                      .select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"]), "classes")
+    index = _keys(classes)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    path = scratch_path(spark, "held")
-    index.join(shared, "key").write.parquet(path)
-    held = spark.read.parquet(path)
-    path = scratch_path(spark, "sets")
-    _sets(docs, held.select("doc_id").distinct(), shingle).dropDuplicates(["doc_id"]).write.parquet(path)
-    sets = spark.read.parquet(path)
+    held = written(index.join(shared, "key"), "index")
+    sets = written(_sets(docs, held.select("doc_id").distinct(), shingle).dropDuplicates(["doc_id"]), "sets")
 
     roots = None  # rows (node, root) of documents that are not their own root
     for turn in range(HUB_ROUNDS + 1):
@@ -237,3 +227,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
         F.coalesce("root", "rep"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, all columns as they are:
+    the row of the smallest doc_id, of several such rows the one whose text has
+    the least hash. Rows without doc_id stay."""
+    kept = near_duplicates(docs.select("doc_id", "text"), shingle, similarity).where("kept AND doc_id IS NOT NULL")
+    ids = kept.select(F.col("doc_id").alias("kept doc_id")).distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text").cast("string"))))
+    one = docs.join(ids, F.col("doc_id").cast("long") == F.col("kept doc_id"), "left_semi")
+    one = one.withColumn("first of doc_id", first).where("`first of doc_id` = 1").drop("first of doc_id")
+    return one.unionByName(docs.where("doc_id IS NULL"))
