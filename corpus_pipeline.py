@@ -5,9 +5,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweave.session import scratch_path
+from netweave.llm import decontaminate, neardup, packing, quality, substring_dedup
+from netweave.llm.token_files import vocabulary
+from netweave.session import ensure_checkpoint_dir, scratch_path
 
-STAGES: list = []
+#: Words of a near-dedup shingle, and similarity in hundredths.
+SHINGLE, SIMILARITY = 5, 80
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on them, does not reject."""
+    ensure_checkpoint_dir(spark)
+    return quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    ensure_checkpoint_dir(spark)
+    return neardup.keep_one(docs, SHINGLE, SIMILARITY)
+
+
+def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows that a smaller doc_id has too."""
+    ensure_checkpoint_dir(spark)
+    return substring_dedup.remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ensure_checkpoint_dir(spark)
+    return decontaminate.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of 2048 ids."""
+    ensure_checkpoint_dir(spark)
+    return packing.pack(spark, packing.pieces(docs, vocabulary("word_bpe_49k.json"), end_id=0))
+
+
+STAGES = [("quality_classifier", quality_classifier), ("near_dedup", near_dedup),
+          ("substring_dedup", substring_deduplication), ("decontamination", decontamination),
+          ("best_fit_packing", best_fit_packing)]
+#: Training, components and packing are not expressible in SQL.
 ORACLE_SQL = None
 
 

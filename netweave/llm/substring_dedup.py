@@ -6,7 +6,7 @@ doc_id; windows are judged on the input.
 
 1. *Anchors.* Every window has one anchor: of its ``window - K + 1`` k-mers of
    ``K`` words the one with the least hash (leftmost on ties). Equal windows have
-   equal anchors, so about two in 27 positions stand for all of them and no equal
+   equal anchors, so about two in 36 positions stand for all of them and no equal
    window is missed. Anchors are the nodes of a sparse De Bruijn graph; an edge
    leads from an anchor to the next one of the document and is named by the hash
    of all words from the one to the end of the other.
@@ -15,10 +15,12 @@ doc_id; windows are judged on the input.
    exactly as often as the edge itself does not branch: every document that
    enters such a path walks it from end to end. A path of such edges is one span
    that stands for all its windows.
-3. *Verification at the source.* Documents with repeated anchors are read again;
-   their paths, and the windows that no path covers, get a 128-bit hash of the
-   words at their own source coordinates. A span whose hash also occurs in a
-   smaller doc_id is removed.
+3. *Verification at the source.* Documents with repeated anchors are read again
+   and give, at their own source coordinates, a 128-bit hash of every path, and
+   for each anchor the run of its windows that no path covers: a hash of the
+   run's words beside the anchor's. A path or run that a smaller doc_id has too
+   is removed. Of equal runs only the first holder goes on: its windows, one by
+   one, are compared with those of other runs at the same anchor.
 
 Groups are never gathered: counts and smallest doc_ids are partial aggregates,
 and joins on hot k-mers can be split. Only the marks of one document come
@@ -42,13 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.llm import words as W
-from netweave.session import scratch_path
+from netweave.llm.scratch import written
 
 WINDOW = 50
-K = 25
+K = 16
 _PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
-_CLAIMS = "doc_id long, text_hash long, start int, length int, hash_a long, hash_b long"
+#: ``side`` is the anchor of a run, a second hash of a path; paths have no windows.
+_CLAIMS = "doc_id long, text_hash long, start int, length int, side long, hash long, windows array<long>"
 
 
 class _Anchored:
@@ -106,9 +109,10 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 def _claim_rows(window: int):
-    """Paths and uncovered windows of each text with their 128-bit hashes."""
+    """Paths, and each anchor's runs of uncovered windows, with their hashes."""
 
-    def claims(a: _Anchored, marks) -> tuple[np.ndarray, np.ndarray]:
+    def found(a: _Anchored, marks):
+        """(start, end) of paths; (start, end, anchor) of runs."""
         doc, node, edge, nodes, edges = marks
         times = _lookup(_mixed(doc, node), nodes, _mixed(a.doc, a.node))
         edge_times = _lookup(_mixed(doc, node, edge), edges, _mixed(a.doc, a.node, a.edge))
@@ -121,10 +125,14 @@ def _claim_rows(window: int):
         anchor = np.searchsorted(a.at, a.anchor_of)
         own = path[anchor]
         covered = (starts[own] <= a.windows) & (a.windows + window <= ends[own])
-        alone = a.windows[(times[anchor] > 0) & ~covered]
+        open_ = (times[anchor] > 0) & ~covered
+        at, by = a.windows[open_], anchor[open_]
         whole = (times[first] > 0) & (ends - starts >= window)
-        return (np.concatenate([starts[whole], alone]),
-                np.concatenate([ends[whole], alone + window]))
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) > 1) | (np.diff(by) > 0)
+        runs = np.flatnonzero(new)
+        final = np.append(runs[1:], len(at))[:len(runs)] - 1
+        return (starts[whole], ends[whole]), (at[runs], at[final] + window, by[runs]), at
 
     def task(batches):
         for batch in batches:
@@ -139,17 +147,23 @@ def _claim_rows(window: int):
                 lo, hi = to[group.first], to[group.first + len(group.counts)]
                 per = np.diff(to[group.first:group.first + len(group.counts) + 1])
                 doc = np.repeat(np.arange(len(group.counts)), per)
-                start, end = claims(a, (doc, *(f[lo - to[0]:hi - to[0]] for f in fields)))
+                (p_start, p_end), (r_start, r_end, r_anchor), alone = found(
+                    a, (doc, *(f[lo - to[0]:hi - to[0]] for f in fields)))
+                start, end = np.concatenate([p_start, r_start]), np.concatenate([p_end, r_end])
                 if not len(start):
                     continue
                 row = np.searchsorted(a.bounds, start, side="right") - 1
                 at = pa.array(row + group.first)
                 one, two = (W.SpanHash(h) for h in group.hashes)
+                sizes = np.concatenate([np.zeros(len(p_start), np.int64), r_end - r_start - window + 1])
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(at), hashes.take(at), pa.array((start - a.bounds[row]).astype(np.int32)),
-                     pa.array((end - start).astype(np.int32)), pa.array(W.signed(one(start, end))),
-                     pa.array(W.signed(two(start, end)))],
-                    ["doc_id", "text_hash", "start", "length", "hash_a", "hash_b"])
+                     pa.array((end - start).astype(np.int32)),
+                     pa.array(np.concatenate([W.signed(two(p_start, p_end)), a.node[r_anchor]])),
+                     pa.array(W.signed(one(start, end))),
+                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
+                                              W.signed(one(alone, alone + window)))],
+                    ["doc_id", "text_hash", "start", "length", "side", "hash", "windows"])
     return task
 
 
@@ -161,32 +175,51 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL")
-    path = scratch_path(spark, "anchors")
-    docs.mapInArrow(_anchor_rows(window), "doc_id long, node long, edge long").write.parquet(path)
-    anchors = spark.read.parquet(path)
+    anchors = written(docs.mapInArrow(_anchor_rows(window), "doc_id long, node long, edge long"), "anchors")
     repeated = anchors.groupBy("node").agg(F.count("*").alias("nodes")).where("nodes > 1")
     hits = anchors.join(repeated, "node")
     edges = hits.groupBy("node", "edge").agg(F.count("*").alias("edges"))
-    marked = (hits.join(edges, ["node", "edge"])
-              .groupBy("doc_id").agg(F.collect_set(F.struct("node", "edge", "nodes", "edges")).alias("marks")))
-    found = (docs.join(marked, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "marks")
-             .mapInArrow(_claim_rows(window), _CLAIMS))
-    path = scratch_path(spark, "claims")
-    found.write.parquet(path)
-    claims = spark.read.parquet(path)
-    source = claims.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other")).where("source < other")
-    return (claims.join(source, ["hash_a", "hash_b"]).where("source < doc_id")
-            .select("doc_id", "text_hash", "start", "length"))
-
-
-def strip_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with four more columns: n_words, n_removed, kept (the words
-    left, joined by one space) and kept_sha256. Names that ``docs`` already has
-    are replaced."""
+    marked = written(hits.join(edges, ["node", "edge"]).groupBy("doc_id").agg(
+        F.collect_set(F.struct("node", "edge", "nodes", "edges")).alias("marks")), "marks")
+    claims = written(docs.join(marked, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "marks")
+                     .mapInArrow(_claim_rows(window), _CLAIMS), "claims")
+    source = claims.groupBy("side", "hash").agg(F.min("doc_id").alias("source"))
+    judged = written(claims.join(source, ["side", "hash"]).where("source < doc_id OR size(windows) > 0").select(
+        "doc_id", "text_hash", "start", "length", "side", "hash", "source",
+        F.when(F.col("source") == F.col("doc_id"), F.col("windows")).alias("windows")), "judged")
+    first = judged.where("source = doc_id")
+    contested = first.groupBy("side").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a < b").select("side")
+    single = written(first.join(contested, "side").select("doc_id", "text_hash", "side", "start", F.posexplode("windows"))
+                     .select("doc_id", "text_hash", "side", (F.col("start") + F.col("pos")).alias("start"),
+                             F.col("col").alias("hash")), "windows")
+    earliest = single.groupBy("side", "hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where(
+        "source < last").drop("last")
+    alone = single.join(earliest, ["side", "hash"]).where("source < doc_id").select(
+        "doc_id", "text_hash", "start", F.lit(window).alias("length"))
+    return judged.where("source < doc_id").select("doc_id", "text_hash", "start", "length").unionByName(alone)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated words removed from ``text`` and ``n_chars``, if
+    there is such a column, counted anew. Texts that lose nothing stay as they
+    are; documents that lose every word go."""
+    new = tuple(f"{name} {uuid4().hex}" for name in ("words", "removed", "kept", "hash"))
+    words, removed, kept, _ = (F.col(f"`{name}`") for name in new)
+    done = strip_spans(docs, repeated_spans(docs, window), new).where((removed == 0) | (removed < words))
+    changed = {"text": F.when(removed > 0, kept).otherwise(F.col("text")).cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(removed > 0, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+
+
+def strip_spans(docs: DataFrame, spans: DataFrame,
+                new: tuple[str, ...] = ("n_words", "n_removed", "kept", "kept_sha256")) -> DataFrame:
+    """``docs`` with four more columns, by default n_words, n_removed, kept (the
+    words left, joined by one space) and kept_sha256. Columns that ``docs`` has
+    under those names are replaced."""
     tag = uuid4().hex
     spans = spans.groupBy(F.col("doc_id").alias(f"id_{tag}"), F.col("text_hash").alias(f"hash_{tag}")).agg(
         F.collect_list(F.struct("start", "length")).alias(f"spans_{tag}"))
-    new = ("n_words", "n_removed", "kept", "kept_sha256")
     names = [c for c in docs.columns if c.lower() not in new]
     joined = docs.select(*names).join(spans, (F.col("doc_id").cast("long") == F.col(f"id_{tag}"))
                                       & (F.xxhash64(F.col("text").cast("string")) == F.col(f"hash_{tag}")), "left")
