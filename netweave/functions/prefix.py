@@ -14,10 +14,11 @@ by a single core. Here each key is split into time buckets:
 
 A burst (one key with more than ``max_rows_per_group`` rows inside one
 bucket) is split further: such hot (key, bucket) groups are found with a
-partially aggregated count, broadcast (≤ rows / max_rows_per_group entries,
-counted before broadcasting) and cut into ``ceil(count / max_rows)`` equal
-time slices, so no group handed to one task exceeds the budget unless a
-single instant holds that many rows.
+partially aggregated count (≤ rows / max_rows_per_group of them, counted before
+they are broadcast) and cut at approximate quantiles of the time, aimed at half
+the budget, so slices hold like numbers of rows however short the burst; rows of
+one hot instant are cut at quantiles of the tie column. Only rows equal in both
+stay together.
 """
 
 from __future__ import annotations
@@ -32,30 +33,42 @@ DEFAULT_MAX_ROWS_PER_GROUP = 2_000_000
 HOT_BROADCAST_MAX_ROWS = 2_000_000
 
 
-def _fine_buckets(df: DataFrame, keys: list[str], ts: str, bucket_seconds: int,
+def _fine_buckets(df: DataFrame, keys: list[str], ts: str, tie: str, bucket_seconds: int,
                   max_rows_per_group: int) -> DataFrame:
-    """Add ``__b``: coarse bucket * 2^20 + time slice inside hot groups."""
+    """Add ``__b``: coarse time bucket, and inside hot groups a slice by rows:
+    quantiles of the time, then of the tie column where one instant is hot."""
     from netweave.functions.timeparts import EPOCH_NTZ
     us = F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col(ts))
-    width_us = bucket_seconds * 1_000_000
-    coarse = df.withColumn("__cb", F.floor(us / F.lit(width_us)).cast("long")).withColumn("__us", us)
-    hot = (coarse.groupBy(*keys, "__cb").agg(F.count(F.lit(1)).alias("__n"))
-           .where(F.col("__n") > max_rows_per_group)
-           .select(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], F.col("__cb").alias("__hcb"),
-                   F.ceil(F.col("__n") / F.lit(max_rows_per_group)).cast("long").alias("__s")))
-    n_hot = hot.count()
-    if n_hot == 0:
-        return coarse.withColumn("__b", F.col("__cb") * F.lit(1 << 20)).drop("__cb", "__us")
-    side = F.broadcast(hot) if n_hot <= HOT_BROADCAST_MAX_ROWS else hot
-    cond = F.col("__cb") == F.col("__hcb")
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__h{i}"))
-    j = coarse.join(side, cond, "left")
-    slices = F.coalesce(F.col("__s"), F.lit(1))
-    offset = F.col("__us") - F.col("__cb") * F.lit(width_us)
-    fine = F.least(F.floor(offset * slices / F.lit(width_us)).cast("long"), slices - 1)
-    return (j.withColumn("__b", F.col("__cb") * F.lit(1 << 20) + fine)
-            .drop("__cb", "__us", "__hcb", "__s", *[f"__h{i}" for i in range(len(keys))]))
+    out = df.withColumn("__us", us).withColumn(
+        "__b", F.struct(F.floor(us / F.lit(bucket_seconds * 1_000_000)).cast("long").alias("t"),
+                        F.lit(0).alias("s"), F.lit(0).alias("r")))
+    out = _sliced(out, keys, F.col("__us"), "s", max_rows_per_group)
+    return _sliced(out, keys, F.col(tie).cast("double"), "r", max_rows_per_group).drop("__us")
+
+
+def _sliced(df: DataFrame, keys: list[str], order: Column, level: str, max_rows: int) -> DataFrame:
+    """Cut groups (keys, __b) of more than ``max_rows`` rows at quantiles of
+    ``order``; the number goes to the field ``level`` of ``__b``."""
+    hot = (df.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+           .where((F.col("__n") > max_rows) & (F.col("__lo") < F.col("__hi"))))
+    widest = hot.agg(F.max("__n"), F.count(F.lit(1))).first()
+    if not widest[1]:
+        return df
+    pieces = -(-2 * widest[0] // max_rows)
+    names = [f"__h{i}" for i in range(len(keys))]
+    side = hot.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("__b").alias("__hb"))
+    same = F.col("__b") == F.col("__hb")
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    if widest[1] <= HOT_BROADCAST_MAX_ROWS:
+        side = F.broadcast(side)
+    # Sketches combine map-side; an error of a piece's tenth keeps pieces near max_rows / 2.
+    cuts = (df.join(side, same).groupBy(*names, "__hb")
+            .agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("__cuts")))
+    cuts = F.broadcast(cuts) if widest[1] * pieces <= HOT_BROADCAST_MAX_ROWS else cuts
+    at = F.coalesce(F.size(F.filter("__cuts", lambda c: c < order)), F.lit(0))
+    return (df.join(cuts, same, "left").withColumn("__b", F.col("__b").withField(level, F.when(F.col("__cuts").isNotNull(), at).otherwise(0)))
+            .drop("__hb", "__cuts", *names))
 
 
 def bucketed_scan(df: DataFrame, keys: list[str], ts: str, tie: str,
@@ -67,7 +80,7 @@ def bucketed_scan(df: DataFrame, keys: list[str], ts: str, tie: str,
     optionally ``prev_ts`` (timestamp of the key's previous row, NULL for
     the first) and ``first_ts`` (the key's earliest timestamp)."""
     sums = sums or {}
-    base = _fine_buckets(df, keys, ts, bucket_seconds, max_rows_per_group)
+    base = _fine_buckets(df, keys, ts, tie, bucket_seconds, max_rows_per_group)
     for name, c in sums.items():
         base = base.withColumn(f"__v_{name}", c)
     w_local = Window.partitionBy(*keys, "__b").orderBy(F.col(ts), F.col(tie))

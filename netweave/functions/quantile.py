@@ -1,62 +1,96 @@
-"""Exact quantile (linear interpolation between order statistics) that never
-gathers the whole column into one task.
+"""Exact quantiles (linear interpolation between order statistics) without
+gathering a column anywhere.
 
-Small inputs use Spark's exact ``percentile``. Large inputs bracket the two
-needed order statistics with ``percentile_approx`` (rank error ≤ n/accuracy),
-count the values below the bracket, and histogram only the values inside it
-(≤ a few x n/accuracy distinct values), so the driver sees a bounded list.
+Each wanted rank is searched by histogram refinement: one aggregation counts the
+values of the current range in ``BINS`` equal bins, the bin that holds the rank
+becomes the next range (its own least and greatest value), until a range is a
+single value. Bins are monotone in the value, so ranks stay exact under ties and
+rounding. A pass narrows the range to a ``BINS``-th at least, so it always ends;
+the driver sees at most ``BINS`` rows a rank and pass, whatever the input.
+
+NULLs are ignored; -inf, finite values, +inf and NaN sort in this order.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_DIRECT_MAX_ROWS = 1_000_000
-APPROX_ACCURACY = 1_000_000
+BINS = 4096
+
+
+def _bounds(df: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """Per column: how many values, infinities and NaNs; finite range."""
+    inf = float("inf")
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(f"`{c}`").cast("double")
+        finite = F.when(~F.isnan(v) & (F.abs(v) < inf), v)
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v == -inf).alias(f"low{i}"), F.count(finite).alias(f"finite{i}"),
+                 F.count_if(v == inf).alias(f"high{i}"), F.min(finite).alias(f"min{i}"), F.max(finite).alias(f"max{i}")]
+    row = df.agg(*aggs).first().asDict()
+    return {c: {k: row[f"{k}{i}"] for k in ("n", "low", "finite", "high", "min", "max")} for i, c in enumerate(cols)}
+
 
+def order_statistics(df: DataFrame, ranks: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """The value at each (column, rank from 0); ranks lie within the column."""
+    cols = list(dict.fromkeys(c for c, _ in ranks))
+    bounds = _bounds(df, cols)
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # range, rank within it
+    for c, rank in ranks:
+        b = bounds[c]
+        if rank < b["low"]:
+            found[c, rank] = float("-inf")
+        elif rank >= b["low"] + b["finite"]:
+            found[c, rank] = float("inf") if rank < b["low"] + b["finite"] + b["high"] else float("nan")
+        else:
+            open_[c, rank] = (b["min"], b["max"], rank - b["low"])
+    while True:
+        for key, (lo, hi, _) in list(open_.items()):
+            if lo == hi:
+                found[key] = lo
+                del open_[key]
+        if not open_:
+            return found
+        parts = []
+        targets = list(open_.items())
+        for i, ((c, _), (lo, hi, _)) in enumerate(targets):
+            scale = 1.0 if math.isfinite(hi - lo) else 0.5
+            v = F.col(f"`{c}`").cast("double")
+            step = (v * scale - lo * scale) / F.lit(hi * scale - lo * scale)
+            here = F.least(F.floor(step * BINS), F.lit(BINS - 1)).cast("int")
+            parts.append(F.when(v.between(lo, hi), F.struct(F.lit(i).alias("t"), here.alias("bin"), v.alias("v"))))
+        counted = (df.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).groupBy("r.t", "r.bin")
+                   .agg(F.count(F.lit(1)).alias("n"), F.min("r.v").alias("lo"), F.max("r.v").alias("hi")))
+        bins: dict[int, list] = {}
+        for r in counted.collect():
+            bins.setdefault(r["t"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
+        for i, (key, (_, _, rank)) in enumerate(targets):
+            for _, n, lo, hi in sorted(bins[i]):
+                if rank < n:
+                    open_[key] = (lo, hi, rank)
+                    break
+                rank -= n
 
-def exact_quantiles(df: DataFrame, cols: list[str], q: float,
-                    direct_max_rows: int = EXACT_DIRECT_MAX_ROWS) -> dict[str, float | None]:
-    """Quantile ``q`` of each column (NULLs ignored), same definition as
-    linear interpolation on the sorted values (``quantile_cont``)."""
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
+
+def exact_quantiles(df: DataFrame, cols: list[str], q: float) -> dict[str, float | None]:
+    """Quantile ``q`` of each column, as linear interpolation on the sorted
+    values (``quantile_cont``); None where a column has no value."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    sizes = dict(zip(cols, counts))
+    at = {c: q * (n - 1) for c, n in sizes.items() if n}
+    ranks = reduce(lambda out, c: out + [(c, math.floor(at[c])), (c, min(math.floor(at[c]) + 1, sizes[c] - 1))], at, [])
+    values = order_statistics(df, list(dict.fromkeys(ranks))) if ranks else {}
     out: dict[str, float | None] = {}
-    direct = [c for c in cols if 0 < counts[c] <= direct_max_rows]
-    if direct:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(c) for c in direct]).first()
-        out.update({c: row[c] for c in direct})
     for c in cols:
-        if counts[c] == 0:
+        if c not in at:
             out[c] = None
-        elif c not in out:
-            out[c] = _bracketed(df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull()),
-                                counts[c], q)
+            continue
+        low = math.floor(at[c])
+        a, b = values[c, low], values[c, min(low + 1, sizes[c] - 1)]
+        out[c] = a if a == b or at[c] == low else a + (b - a) * (at[c] - low)
     return out
-
-
-def _bracketed(vals: DataFrame, n: int, q: float) -> float:
-    pos = q * (n - 1)
-    lo_rank = int(math.floor(pos))
-    hi_rank = min(lo_rank + 1, n - 1)
-    delta = n // APPROX_ACCURACY + 2
-    f_lo = max(0, lo_rank - delta) / (n - 1)
-    f_hi = min(n - 1, hi_rank + delta) / (n - 1)
-    lo_v, hi_v = vals.agg(F.percentile_approx("v", [f_lo, f_hi], APPROX_ACCURACY)).first()[0]
-    below = vals.where(F.col("v") < lo_v).count()
-    hist = (vals.where(F.col("v").between(lo_v, hi_v)).groupBy("v").count()
-            .orderBy("v").collect())
-    found: dict[int, float] = {}
-    seen = below
-    for r in hist:
-        first, last = seen, seen + r["count"] - 1
-        for rank in (lo_rank, hi_rank):
-            if first <= rank <= last:
-                found[rank] = r["v"]
-        seen = last + 1
-    if lo_rank not in found or hi_rank not in found:  # bracket missed: exact fallback
-        return vals.agg(F.percentile("v", q)).first()[0]
-    a, b = found[lo_rank], found[hi_rank]
-    return a + (b - a) * (pos - lo_rank)
