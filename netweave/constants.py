@@ -178,3 +178,11 @@ EXPORT_COLUMNS = [
 IFOREST_TREES = 100
 IFOREST_SAMPLE = 256
 IFOREST_CONTAMINATION = 0.1
+
+# Columns of the analysis frame, and text fields of the alert search.
+REQUIRED_COLUMNS = [
+    "src_ip", "dst_ip", "protocol_name", "direction", "is_internal_src", "is_internal_dst", "country",
+    "bytes", "packets", "last_seen", "first_seen", "dst_port", "src_port", "port", "proto_num", "protocol",
+]
+SEARCH_FIELDS = ["alert_id", "src_ip", "dst_ip", "protocol", "threat_type", "severity",
+                 "direction", "country", "suspicion_reason"]

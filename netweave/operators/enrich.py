@@ -3,7 +3,7 @@ names, country by IP range, conformed columns, time parts, rule features."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave import constants as K
@@ -16,14 +16,28 @@ GEO_BUCKET_BITS = 16
 
 
 def geo_buckets(geoip: DataFrame) -> DataFrame:
-    """Explode each ``[start_ip, end_ip]`` range into the /16 buckets it covers.
+    """Ranges as disjoint segments (ip_bucket, start_ip, end_ip, country), cut at
+    /16 buckets. Where ranges overlap, the narrowest wins (ties: the smaller
+    start, then the country's name).
 
-    Output rows ≤ ranges + 65,536 for disjoint ranges, independent of traffic.
+    Output rows ≤ 2 x (ranges + buckets covered), independent of traffic; a
+    bucket has 65,536 addresses, which bounds what is ordered together.
     """
     shift = GEO_BUCKET_BITS
-    return (geoip.select("start_ip", "end_ip", "country",
-                         F.explode(F.sequence(F.shiftright("start_ip", shift),
-                                              F.shiftright("end_ip", shift))).alias("ip_bucket")))
+    last = (1 << shift) - 1
+    cut = geoip.where("start_ip <= end_ip").select(
+        "start_ip", "end_ip", "country",
+        F.explode(F.sequence(F.shiftright("start_ip", shift), F.shiftright("end_ip", shift))).alias("ip_bucket"))
+    floor = F.shiftleft(F.col("ip_bucket"), shift)
+    cut = cut.select("ip_bucket", F.greatest("start_ip", floor).alias("lo"), F.least("end_ip", floor + last).alias("hi"),
+                     F.struct((F.col("end_ip") - F.col("start_ip")).alias("width"), "start_ip", "country").alias("rank"))
+    edges = cut.select("ip_bucket", F.col("lo").alias("at")).union(
+        cut.select("ip_bucket", (F.col("hi") + 1).alias("at"))).distinct()
+    after = F.lead("at").over(Window.partitionBy("ip_bucket").orderBy("at"))
+    segments = edges.withColumn("next", after).where("next IS NOT NULL")
+    held = segments.join(cut, "ip_bucket").where("lo <= at AND at <= hi")
+    return held.groupBy("ip_bucket", F.col("at").alias("start_ip"), (F.col("next") - 1).alias("end_ip")).agg(
+        F.min("rank")["country"].alias("country"))
 
 
 def with_country(flows: DataFrame, geoip: DataFrame, ip_col: str = "dst_ip",
@@ -32,16 +46,17 @@ def with_country(flows: DataFrame, geoip: DataFrame, ip_col: str = "dst_ip",
                  ip_long_col: str | None = None) -> DataFrame:
     """Country of ``ip_col`` via a bucketed range join; no match -> ``Unknown``.
 
-    GeoIP ranges are assumed disjoint (as in GeoIP databases). When the
-    bucketed table is small enough (counted, not guessed) it is broadcast and
-    flows never shuffle; otherwise distinct addresses are matched with a
-    shuffle join on the bucket and joined back on the address.
+    Of overlapping ranges the narrowest counts, so every flow keeps exactly one
+    row. When the bucketed table is small enough (bounded arithmetically, not
+    guessed) it is broadcast and flows never shuffle; otherwise distinct
+    addresses are matched with a shuffle join on the bucket and joined back on
+    the address. Both ways look up the same disjoint segments.
     """
     buckets = geo_buckets(geoip)
     ip_long = F.col(ip_long_col) if ip_long_col else net.ipv4_to_long(F.col(ip_col))
-    # Rows of the bucketed table = sum of bucket spans (no explode needed).
+    # Segments are at most twice the sum of bucket spans (no explode needed).
     span = F.shiftright("end_ip", GEO_BUCKET_BITS) - F.shiftright("start_ip", GEO_BUCKET_BITS) + 1
-    n_bucket_rows = geoip.agg(F.coalesce(F.sum(span), F.lit(0))).first()[0]
+    n_bucket_rows = 2 * geoip.agg(F.coalesce(F.sum(span), F.lit(0))).first()[0]
     if n_bucket_rows <= broadcast_max_rows:
         fl = flows.withColumn("__ip", ip_long).withColumn("__bucket", F.shiftright("__ip", GEO_BUCKET_BITS))
         g = F.broadcast(buckets.select(F.col("ip_bucket").alias("__g_bucket"),
@@ -53,17 +68,16 @@ def with_country(flows: DataFrame, geoip: DataFrame, ip_col: str = "dst_ip",
         return (joined.withColumn(out_col, F.coalesce("__g_country", F.lit(K.COUNTRY_UNKNOWN)))
                 .drop("__ip", "__bucket", "__g_bucket", "__g_start", "__g_end", "__g_country"))
     # Large GeoIP table: resolve each distinct address once.
-    addrs = (flows.select(F.col(ip_col).alias("__addr")).distinct()
-             .withColumn("__ip", net.ipv4_to_long("__addr"))
-             .where(F.col("__ip").isNotNull())
-             .withColumn("__bucket", F.shiftright("__ip", GEO_BUCKET_BITS)))
+    key = "__addr"
+    addrs = (flows.select(ip_long.alias(key)).distinct().where(F.col(key).isNotNull())
+             .withColumn("__bucket", F.shiftright(key, GEO_BUCKET_BITS)))
     matched = (addrs.join(buckets, (addrs["__bucket"] == buckets["ip_bucket"])
-                          & addrs["__ip"].between(buckets["start_ip"], buckets["end_ip"]))
-               .groupBy("__addr")
-               .agg(F.min_by("country", F.col("end_ip") - F.col("start_ip")).alias("__g_country")))
-    joined = flows.join(matched, flows[ip_col] == matched["__addr"], "left")
+                          & addrs[key].between(buckets["start_ip"], buckets["end_ip"]))
+               .select(key, F.col("country").alias("__g_country")))
+    flows = flows.withColumn("__ip", ip_long)
+    joined = flows.join(matched, flows["__ip"] == matched[key], "left")
     return (joined.withColumn(out_col, F.coalesce("__g_country", F.lit(K.COUNTRY_UNKNOWN)))
-            .drop("__addr", "__g_country"))
+            .drop("__ip", key, "__g_country"))
 
 
 def enrich_flows(flows: DataFrame, geoip: DataFrame | None = None) -> DataFrame:
@@ -101,10 +115,7 @@ _BOOL_DEFAULTS = ["is_internal_src", "is_internal_dst"]
 _LONG_DEFAULTS = ["bytes", "packets"]
 _INT_DEFAULTS = ["dst_port", "src_port", "port", "proto_num"]
 _TS_DEFAULTS = ["last_seen", "first_seen"]
-REQUIRED_COLUMNS = [
-    "src_ip", "dst_ip", "protocol_name", "direction", "is_internal_src", "is_internal_dst", "country",
-    "bytes", "packets", "last_seen", "first_seen", "dst_port", "src_port", "port", "proto_num", "protocol",
-]
+REQUIRED_COLUMNS = K.REQUIRED_COLUMNS
 
 
 def conform_flows(df: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@ checkpoint folder for lineage cuts."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,7 +38,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     builder = (builder.config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("NETWEAVE_DRIVER_MEMORY", "16g")))
+               .config("spark.driver.memory", os.environ.get("NETWEAVE_DRIVER_MEMORY", "8g")))
     for k, v in _SCALE_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -44,11 +47,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def _single_process(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this must be a shared folder that the deployment sets; we
-    only create a scratch folder when nothing is configured (local tests).
+    On a cluster this must be a shared folder that the deployment sets:
+    without one this raises. Only a single-process ``local`` master gets a
+    scratch folder of its own, removed when the driver ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -59,7 +68,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not _single_process(sc.master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {sc.master} share")
     local = tempfile.mkdtemp(prefix="netweave-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
@@ -77,7 +89,6 @@ def balanced(df):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique folder below the shared checkpoint folder for derived tables."""
     base = ensure_checkpoint_dir(spark)
-    import uuid
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 

@@ -3,6 +3,7 @@ flow CSV, the rule store and write-then-read helpers for sinks."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,18 +52,25 @@ def clean_flow_features(df: DataFrame) -> DataFrame:
     return stripped.select(*cols)
 
 
-def write_by_date(df: DataFrame, path: str, date_col: str = "date", order_col: str | None = None,
-                  mode: str = "append", num_partitions: int | None = None) -> None:
+def write_by_date(df: DataFrame, path: str, date_col: str = "date", mode: str = "append") -> None:
     """Append ``df`` as Parquet partitioned by ``date_col``.
 
-    Rows are first range-partitioned on (date, order column): each task
-    writes a contiguous run of dates (files ≈ tasks + dates instead of
-    tasks x dates), and a hot date is still split across tasks by the
-    secondary key.
+    A rebalance hint on the partition column brings the rows of a date
+    together; adaptive execution sizes the tasks by bytes, joins small dates and
+    splits a hot one, and the input is computed once.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [date_col] + ([order_col] if order_col else [])
-    (df.repartitionByRange(n, *keys).write.mode(mode).partitionBy(date_col).parquet(path))
+    df.hint("rebalance", F.col(date_col)).write.mode(mode).partitionBy(date_col).parquet(path)
+
+
+def read_if_stored(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A Parquet table, empty when nothing was stored at ``path`` yet. Any other
+    failure (permissions, storage, corrupt files) is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def roundtrip_parquet(df: DataFrame, name: str, partition_by: list[str] | None = None,
@@ -84,6 +92,16 @@ ALERT_LOOKBACK_COLUMNS = ["timestamp", "src_ip", "dst_ip", "protocol_name", "dir
                           "is_internal_src", "is_internal_dst", "country"]
 
 
+#: Columns and types of the analysis source, whichever table it comes from.
+SOURCE_COLUMNS = [
+    ("timestamp", "timestamp_ntz"), ("src_ip", "string"), ("dst_ip", "string"), ("protocol_name", "string"),
+    ("direction", "string"), ("is_internal_src", "boolean"), ("is_internal_dst", "boolean"),
+    ("country", "string"), ("hour", "int"), ("date", "date"), ("bytes", "long"), ("packets", "long"),
+    ("dst_port", "int"), ("src_port", "int"), ("port", "int"), ("proto_num", "int"), ("protocol", "string"),
+    ("last_seen", "timestamp_ntz"),
+]
+
+
 def flows_lookback(flows: DataFrame, hours: float, as_of, col: str = "last_seen",
                    date_col: str = "date") -> DataFrame:
     """Flows seen in the last ``hours`` before ``as_of``, newest first.
@@ -131,9 +149,22 @@ def alerts_as_flows(alerts: DataFrame) -> DataFrame:
         proto.alias("proto_num"), name.alias("protocol"), F.col("timestamp").alias("last_seen"))
 
 
+def flows_as_source(flows: DataFrame) -> DataFrame:
+    """Flows in the columns of ``alerts_as_flows``; what a flow table does not
+    hold is NULL, and unknown counts stay NULL."""
+    have = set(flows.columns)
+    derived = {"timestamp": F.col("last_seen"), "hour": F.hour("last_seen"), "date": F.to_date("last_seen")}
+    if "protocol" not in have and "protocol_name" in have:
+        derived["protocol"] = F.col("protocol_name")
+    return flows.select(*[
+        (derived[name] if name in derived and name not in have else F.col(name) if name in have else F.lit(None))
+        .cast(kind).alias(name) for name, kind in SOURCE_COLUMNS])
+
+
 def choose_source(flows_recent: DataFrame, alerts: DataFrame) -> DataFrame:
     """Recent flows when there are any, else attack alerts as flows (never
-    fabricated sample data). One cheap ``isEmpty`` probe picks the plan."""
+    fabricated sample data), in the same columns either way. One cheap
+    ``isEmpty`` probe picks the plan."""
     if not flows_recent.isEmpty():
-        return flows_recent
+        return flows_as_source(flows_recent)
     return alerts_as_flows(alerts)
