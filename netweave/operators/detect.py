@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from netweave import constants as K
 from netweave.operators import rules as R
+from netweave.session import materialize
 
 EVIDENCE_BROADCAST_MAX_ROWS = 2_000_000
 
@@ -70,26 +71,20 @@ def detect_suspicious(flows: DataFrame, rules: DataFrame | None = None, use_poli
                       flow_key: str = "flow_id") -> DataFrame:
     """Suspicious flows = static reasons (+ policy) and triggered generated rules.
 
-    Plan: one scan of the flows; rules are probed through one broadcast
-    join (``rules.match_rules``); the only shuffle groups the suspicious
-    rows (flows with a reason or a triggered rule) by ``flow_key`` to merge
-    their reasons in rule-file order. Unsuspicious flows are dropped before
-    the shuffle.
+    Plan: one scan of the flows, broadcast lookups of the policy and of the
+    rules grouped by key (``rules.with_triggered``), a filter. Nothing is
+    shuffled, and every input row is judged by itself.
     """
     carry = [c for c in FLOW_OUT if c in flows.columns and c != flow_key]
     fl = with_policy(flows) if use_policy else flows.withColumn("policy_reason", F.lit(None).cast("string"))
     fl = fl.withColumn("__static", _reason_array(use_policy))
-    cols = [flow_key] + carry + ["__static"]
     if rules is not None:
-        rows = R.match_rules(fl, rules, cols, keep_unmatched=F.size("__static") > 0)
+        fl = R.with_triggered(fl, rules)
     else:
-        rows = fl.where(F.size("__static") > 0).select(*cols, F.lit(None).cast(R.RULE_STRUCT_TYPE).alias("__rule"))
-    g = (rows.groupBy(flow_key)
-         .agg(*[F.first(c).alias(c) for c in carry], F.first("__static").alias("__static"),
-              F.array_sort(F.collect_list("__rule")).alias("__rules")))
+        fl = fl.withColumn("__rules", F.array().cast(f"array<{R.RULE_STRUCT_TYPE}>"))
     ml_rules = F.transform("__rules", lambda x: x["rule"])
     ml_text = F.transform("__rules", lambda x: F.concat(F.lit(K.ML_REASON_PREFIX), x["rule"]["description"]))
-    out = g.select(
+    out = fl.where((F.size("__static") > 0) | (F.size("__rules") > 0)).select(
         flow_key, *carry,
         F.array_join(F.concat("__static", ml_text), K.REASON_SEPARATOR).alias("suspicion_reason"),
         ml_rules.alias("ml_triggered_rules"),
@@ -109,10 +104,11 @@ def evidence_packets(packets: DataFrame, suspicious: DataFrame,
                      broadcast_max_rows: int = EVIDENCE_BROADCAST_MAX_ROWS) -> DataFrame:
     """The packets of every suspicious flow (semi join on the flow key).
 
-    The suspicious key set is broadcast when its counted size allows;
-    otherwise both sides shuffle on the key (AQE splits hot keys).
+    The key set, materialised once (detection does not run twice), is broadcast
+    when its counted size allows; otherwise both sides shuffle on the key (AQE
+    splits hot keys).
     """
-    keys = suspicious.select(*FLOW_KEY).distinct()
+    keys = materialize(suspicious.select(*FLOW_KEY).distinct())
     n = keys.count()
     side = F.broadcast(keys) if n <= broadcast_max_rows else keys
     return packets.join(side, FLOW_KEY, "left_semi").withColumn("date", F.to_date("ts"))
@@ -121,7 +117,7 @@ def evidence_packets(packets: DataFrame, suspicious: DataFrame,
 def write_evidence(evidence: DataFrame, path: str) -> None:
     """Append evidence packets as Parquet partitioned by capture date."""
     from netweave.sources.io import write_by_date
-    write_by_date(evidence, path, "date", "ts")
+    write_by_date(evidence, path)
 
 
 def evidence_manifest(evidence: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ RULE_COLUMNS = [
     ("unique_destinations", "long"), ("unique_ports", "long"), ("unique_protocols", "long"),
 ]
 RULE_NAMES = [n for n, _ in RULE_COLUMNS]
-BROADCAST_RULES_MAX_ROWS = 1_000_000
+#: Measured size up to which one family's rules are broadcast.
+BROADCAST_RULES_MAX_BYTES = 64 << 20
 
 
 def conform_rules(df: DataFrame) -> DataFrame:
@@ -55,24 +56,65 @@ def _gid(key: str) -> int:
     return sum(1 << (n - 1 - i) for i, k in enumerate(FAMILY_KEYS) if k != key)
 
 
+#: Pairs whose distinct members the rules count.
+FAMILY_PAIRS = [("proto_num", "port"), ("proto_num", "src_ip"), ("proto_num", "dst_ip"), ("port", "src_ip"),
+                ("port", "dst_ip"), ("hour", "src_ip"), ("hour", "dst_ip"), ("src_ip", "dst_ip")]
+_MEMBERS = {"port": "d_port", "src_ip": "d_src", "dst_ip": "d_dst", "proto_num": "d_proto"}
+
+
 def family_statistics(flows: DataFrame) -> DataFrame:
     """All per-family statistics in ONE pass over the flows.
 
-    ``GROUPING SETS ((proto_num), (port), (hour), (src_ip))``: packets
-    mean/std/count/sum, bytes mean/std and the distinct ports, sources,
-    destinations and protocols of every group. Output rows ≤ 256 protocols +
-    65,536 ports + 24 hours + #sources, so it is materialised once and every
-    rule family is derived from it.
+    A first aggregation by the eight pairs that the rules need (one grouping set
+    each: eight copies of a narrow row, no distinct rewrite) sums counts, values
+    and squares exactly. A second one turns pair rows into families: a distinct
+    count is the number of a key's pairs, the moments come from one pair set per
+    family. Both combine map-side. Output rows ≤ 256 protocols + 65,536 ports +
+    24 hours + #sources, so it is materialised once and every rule family is
+    derived from it.
     """
+    cols = [*FAMILY_KEYS, "dst_ip"]
     base = flows.select("proto_num", "port", hour_of("last_seen").alias("hour"), "src_ip", "dst_ip",
-                        "packets", "bytes", "last_seen")
-    return base.groupingSets([[k] for k in FAMILY_KEYS], *FAMILY_KEYS).agg(
-        F.grouping_id().alias("gid"), F.max("last_seen").alias("max_seen"),
-        F.avg("packets").alias("p_avg"), F.stddev_samp("packets").alias("p_std"),
-        F.count("packets").alias("n"), F.sum("packets").alias("p_sum"),
-        F.avg("bytes").alias("b_avg"), F.stddev_samp("bytes").alias("b_std"),
-        F.count_distinct("port").alias("d_port"), F.count_distinct("src_ip").alias("d_src"),
-        F.count_distinct("dst_ip").alias("d_dst"), F.count_distinct("proto_num").alias("d_proto"))
+                        F.col("packets").cast("long").alias("p"), F.col("bytes").cast("long").alias("b"), "last_seen")
+    exact = {f"{v}{k}": F.sum(x) for v in "pb" for k, x in (
+        ("1", F.col(v).cast("decimal(19,0)")), ("2", (F.col(v).cast("decimal(19,0)") * F.col(v)).cast("decimal(38,0)")))}
+    pairs = base.groupingSets([list(p) for p in FAMILY_PAIRS], *cols).agg(
+        F.grouping_id().alias("set"), F.max("last_seen").alias("seen"), F.count("p").alias("np"), F.count("b").alias("nb"),
+        *[x.alias(k) for k, x in exact.items()])
+
+    n = len(cols)
+    parts, owned = [], set()
+    for pair in FAMILY_PAIRS:
+        here = F.col("set") == sum(1 << (n - 1 - i) for i, c in enumerate(cols) if c not in pair)
+        for key, other in (pair, pair[::-1]):
+            if key not in FAMILY_KEYS:
+                continue
+            fields = [F.lit(FAMILY_KEYS.index(key)).alias("family")]
+            fields += [(F.col(k) if k == key else F.lit(None)).cast(t).alias(k)
+                       for k, t in (("proto_num", "int"), ("port", "int"), ("hour", "int"), ("src_ip", "string"))]
+            moments = key not in owned
+            owned.add(key)
+            fields += [(F.col(c) if moments else F.lit(None)).cast(t).alias(c) for c, t in (
+                ("seen", "timestamp_ntz"), ("np", "long"), ("nb", "long"), *[(c, "decimal(38,0)") for c in exact])]
+            fields += [(F.col(other).isNotNull() if c == other else F.lit(False)).cast("int").alias(d) for c, d in _MEMBERS.items()]
+            parts.append(F.when(here, F.struct(*fields)))
+    rows = pairs.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*")
+    sums = rows.groupBy("family", *FAMILY_KEYS).agg(
+        F.max("seen").alias("max_seen"), *[F.sum(c).alias(c) for c in ("np", "nb", *exact, *_MEMBERS.values())])
+
+    def moments_of(v: str):
+        count, total, squares = F.col(f"n{v}"), F.col(f"{v}1").cast("double"), F.col(f"{v}2")
+        # n * sum of squares - square of the sum, exactly, then the sample variance.
+        spread = (squares * count - F.col(f"{v}1") * F.col(f"{v}1")).cast("double")
+        return [(total / count).alias(f"{v}_avg"),
+                F.when(count > 1, F.sqrt(spread / (count.cast("double") * (count - 1)))).alias(f"{v}_std")]
+
+    gid = F.element_at(F.array(*[F.lit(_gid(k)) for k in FAMILY_KEYS]), F.col("family") + 1)
+    return sums.select(
+        *FAMILY_KEYS, gid.cast("long").alias("gid"), "max_seen", *moments_of("p"), F.col("np").alias("n"),
+        F.col("p1").cast("long").alias("p_sum"), *moments_of("b"),
+        *[F.when(F.col(c).isNotNull(), F.lit(1).cast("long")).otherwise(F.col(d)).alias(d) if c in FAMILY_KEYS else F.col(d)
+          for c, d in _MEMBERS.items()])
 
 
 def _single_family(flows: DataFrame, key: str) -> DataFrame:
@@ -312,65 +354,69 @@ def rule_lookup(rules: DataFrame) -> DataFrame:
                         order.alias("__rule"))
 
 
-def _flow_keys() -> F.Column:
-    return F.explode(F.array(
-        F.struct(F.lit(0).alias("f"), F.col("proto_num").cast("string").alias("k")),
-        F.struct(F.lit(1).alias("f"), F.col("port").cast("string").alias("k")),
-        F.struct(F.lit(2).alias("f"), hour_of("last_seen").cast("string").alias("k")),
-        F.struct(F.lit(3).alias("f"), F.col("src_ip").alias("k"))))
-
+def with_triggered(flows: DataFrame, rules: DataFrame, broadcast_max_bytes: int = BROADCAST_RULES_MAX_BYTES) -> DataFrame:
+    """``flows`` plus ``__rules``: the triggered rules of each row, in rule-file
+    order (empty array: none).
 
-def match_rules(flows: DataFrame, rules: DataFrame, carry: list[str],
-                keep_unmatched=None, broadcast_max_rows: int = BROADCAST_RULES_MAX_ROWS) -> DataFrame:
-    """Rows (carry..., __rule) for every (flow, triggered rule).
-
-    Flows are read once: each flow row is expanded in-task into its four
-    family keys and probed against ONE broadcast rule table (equi on family
-    + key, theta on packets). With ``keep_unmatched`` (a flow predicate),
-    one row with a NULL rule is kept for flows matching no rule but
-    satisfying it. The rule table's size is counted first; when it is too
-    large to broadcast, the bounded families (protocol, port, hour) stay
-    broadcast and only behavioral rules use a shuffle join (AQE splits
-    hot source IPs).
+    Rules are grouped once per (family, key); a flow looks up its four keys and
+    compares thresholds within the row, so flows are neither expanded nor
+    shuffled, and rows that share an id stay apart. A family's table is
+    broadcast if its measured size allows; a larger one is joined by a shuffle on
+    its key, where adaptive execution splits hot keys.
     """
     lookup = rule_lookup(rules)
-    n_rules = lookup.count()
-    fl = flows.select(*dict.fromkeys(carry + ["packets", "proto_num", "port", "src_ip", "last_seen"]))
-    exploded = fl.select("*", _flow_keys().alias("__fk")) \
-        .select("*", F.col("__fk.f").alias("__ffam"), F.col("__fk.k").alias("__fkey")).drop("__fk")
-    if n_rules <= broadcast_max_rows:
-        sides = [(F.broadcast(lookup), exploded)]
-    else:
-        small = F.broadcast(lookup.where(F.col("__fam") < 3))
-        sides = [(small, exploded.where(F.col("__ffam") < 3)),
-                 (lookup.where(F.col("__fam") == 3), exploded.where(F.col("__ffam") == 3))]
-    out = None
-    for side, ex in sides:
-        cond = (ex["__ffam"] == side["__fam"]) & (ex["__fkey"] == side["__key"]) & (ex["packets"] > side["__thr"])
-        if keep_unmatched is None:
-            j = ex.join(side, cond, "inner")
-        else:
-            j = ex.join(side, cond, "left")
-        out = j if out is None else out.unionByName(j)
-    if keep_unmatched is not None:
-        # A flow with no triggered rule keeps exactly one (family 0) row.
-        out = out.where(F.col("__rule").isNotNull() | ((F.col("__ffam") == 0) & keep_unmatched))
-    return out.select(*carry, "__rule")
+    width = F.length("__key") + sum((F.coalesce(F.length(F.col(f"__rule.rule.{c}")), F.lit(0))
+                                     for c in ("rule_id", "rule_type", "severity", "description")), F.lit(160))
+    sizes = dict(lookup.groupBy("__fam").agg(F.sum(width)).collect())
+    keys = [F.col("proto_num").cast("string"), F.col("port").cast("string"),
+            hour_of("last_seen").cast("string"), F.col("src_ip")]
+    out, found = flows, []
+    for family, key in enumerate(keys):
+        if family not in sizes:
+            continue
+        side = (lookup.where(F.col("__fam") == family).groupBy(F.col("__key").alias(f"__key{family}"))
+                .agg(F.collect_list(F.struct("__thr", "__rule")).alias(f"__of{family}")))
+        side = F.broadcast(side) if sizes[family] <= broadcast_max_bytes else side
+        out = out.join(side, key == F.col(f"__key{family}"), "left")
+        hit = F.filter(F.col(f"__of{family}"), lambda r: F.col("packets") > r["__thr"])
+        found.append(F.coalesce(F.transform(hit, lambda r: r["__rule"]), F.array().cast(f"array<{RULE_STRUCT_TYPE}>")))
+    every = F.array_sort(F.concat(*found)) if found else F.array().cast(f"array<{RULE_STRUCT_TYPE}>")
+    return out.withColumn("__rules", every).drop(*[f"__{x}{i}" for i in range(len(keys)) for x in ("key", "of")])
 
 
 def apply_rules(flows: DataFrame, rules: DataFrame, flow_key: str = "flow_id",
-                broadcast_max_rows: int = BROADCAST_RULES_MAX_ROWS) -> DataFrame:
+                broadcast_max_bytes: int = BROADCAST_RULES_MAX_BYTES) -> DataFrame:
     """One row per (flow, triggered rule).
 
     protocol / port / hour-of-``last_seen`` / source IP equality AND
     ``packets`` above the family's packet threshold (behavioral rules use
     the per-flow average threshold).
     """
-    m = match_rules(flows, rules, [flow_key], broadcast_max_rows=broadcast_max_rows)
+    narrow = flows.select(*dict.fromkeys([flow_key, "packets", "proto_num", "port", "src_ip", "last_seen"]))
+    m = with_triggered(narrow, rules, broadcast_max_bytes).select(flow_key, F.explode("__rules").alias("__rule"))
     return m.select(flow_key, *[F.col(f"__rule.rule.{c}").alias(c) for c in RULE_INFO],
                     *[F.col(f"__rule.{c}").alias(c) for c in ORDER_FIELDS if c != "rule_id"])
 
 
+def triggered_rules_by_flow(flows: DataFrame, rules: DataFrame, flow_key: str = "flow_id") -> DataFrame:
+    """Per flow that triggers a rule: its rules in rule-file order, their count,
+    and the ``ML Rule: <description>`` reasons joined by ``'; '``. Rows are judged
+    one by one; nothing is shuffled."""
+    narrow = flows.select(*dict.fromkeys([flow_key, "packets", "proto_num", "port", "src_ip", "last_seen"]))
+    return _rule_columns(with_triggered(narrow, rules).where(F.size("__rules") > 0), flow_key)
+
+
+def _rule_columns(rows: DataFrame, flow_key: str) -> DataFrame:
+    return rows.select(
+        flow_key,
+        F.transform("__rules", lambda x: x["rule"]).alias("ml_triggered_rules"),
+        F.size("__rules").alias("ml_rule_count"),
+        F.array_join(F.transform("__rules", lambda x: F.concat(F.lit(K.ML_REASON_PREFIX), x["rule"]["description"])),
+                     K.REASON_SEPARATOR).alias("ml_reasons"),
+        F.array_join(F.transform("__rules", lambda x: x["rule"]["rule_id"]), ";").alias("ml_rule_ids"),
+    )
+
+
 def triggered_by_flow(triggered: DataFrame, flow_key: str = "flow_id") -> DataFrame:
     """Per flow: triggered rules in rule-file order, their count and the
     ``ML Rule: <description>`` reasons joined by ``'; '``."""
@@ -379,12 +425,4 @@ def triggered_by_flow(triggered: DataFrame, flow_key: str = "flow_id") -> DataFr
                      F.struct("rule_id", "rule_type", "severity", "description", "confidence").alias("rule"))
     g = (triggered.groupBy(flow_key)
          .agg(F.array_sort(F.collect_list(order)).alias("__rules")))
-    rules_arr = F.transform("__rules", lambda x: x["rule"])
-    return g.select(
-        flow_key,
-        rules_arr.alias("ml_triggered_rules"),
-        F.size("__rules").alias("ml_rule_count"),
-        F.array_join(F.transform("__rules", lambda x: F.concat(F.lit(K.ML_REASON_PREFIX), x["rule"]["description"])),
-                     K.REASON_SEPARATOR).alias("ml_reasons"),
-        F.array_join(F.transform("__rules", lambda x: x["rule"]["rule_id"]), ";").alias("ml_rule_ids"),
-    )
+    return _rule_columns(g, flow_key)

@@ -220,7 +220,7 @@ def suspicious_ctes(use_policy: bool, use_rules: bool, src: str = "enriched") ->
 
 def alerts_cte(src: str = "susp", ca: str = "(SELECT ca FROM p)") -> str:
     t = S.sql_score_tenths("a.suspicion_reason", "a.protocol", "a.direction", "a.country", "a.port")
-    return (f"alerts AS (SELECT {S.sql_alert_id('a.last_seen', 'a.flow_id', 'a.suspicion_reason')} AS alert_id, "
+    return (f"alerts AS (SELECT {S.sql_alert_id('a.last_seen', 'a.flow_id')} AS alert_id, "
             f"a.last_seen AS timestamp, a.src_ip, a.dst_ip, a.protocol, CAST(a.packets AS BIGINT) AS packets, "
             f"CAST(a.bytes AS BIGINT) AS bytes, {S.sql_threat_type('a.suspicion_reason', 'a.port')} AS threat_type, "
             f"round(({t}) / CAST(10.0 AS DOUBLE), 3) AS anomaly_score, {S.sql_severity_from_tenths(t)} AS severity, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from netweave.operators import alerts as A
 from netweave.operators import detect as D
 from netweave.operators import enrich as E
 from netweave.operators import rules as R
+from netweave.session import materialize
 
 
 def as_of(df: DataFrame, col: str = "last_seen"):
@@ -66,10 +69,34 @@ def upload_analysis(spark, csv_path: str, model, alerts_path: str | None = None,
     enriched = E.upload_enrichment(pred)
     ts = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     rows = enriched.select(
-        F.xxhash64(*[F.col(f"`{c}`") for c in ML.K.MODEL_FEATURES], F.lit(str(ts))).cast("string").alias("id"),
+        F.concat_ws("-", F.lit(uuid.uuid4().hex), F.monotonically_increasing_id().cast("string")).alias("id"),
         F.lit(str(ts)).cast("timestamp_ntz").alias("timestamp"), "src_ip", "dst_ip",
         F.col("prediction_label").alias("prediction"), F.col("confidence_last_class").alias("confidence"),
         "direction", "protocol_name", "is_internal_src", "is_internal_dst", "country")
     if alerts_path:
+        rows = materialize(rows)  # the ids of this upload, once
         A.append_attack_alerts(rows, alerts_path)
     return rows
+
+
+def generate_and_store_rules(flows: DataFrame, geoip: DataFrame | None, path: str, hours: float | None = None,
+                             key: str = "flow_id") -> DataFrame:
+    """One rule-generation run: flows of the last ``hours`` (all without) ->
+    rule features -> anomaly profile and cluster profile, rules of all families
+    -> appended to the store. Returns the run's report (section, key, value):
+    both profiles and the rule counts."""
+    from netweave.operators import iforest as IF
+    from netweave.operators import ml as ML
+    from netweave.sources import rulestore as RS
+    newest = as_of(flows)
+    recent = lookback(flows, hours, newest)
+    feats = materialize(E.flow_features(E.enrich_flows(recent, geoip), keep=(key,)))
+    profile = IF.anomaly_patterns(feats, IF.isolation_forest(feats, key, E.FEATURE_COLUMNS), key)
+    clusters = ML.cluster_profiles(ML.cluster_flows(feats, E.FEATURE_COLUMNS))
+    rules = R.generate_rules(recent, newest)
+    RS.append_rules(rules, path)
+    sizes = clusters.select(F.lit("cluster_size").alias("section"), F.col("cluster").cast("string").alias("key"),
+                            F.col("size").cast("double").alias("value"))
+    counts = R.rule_generation_summary(rules).select(F.lit("rules").alias("section"), F.col("metric").alias("key"),
+                                                     F.col("value").cast("double").alias("value"))
+    return (profile.select(F.col("metric").alias("section"), "key", "value").unionByName(sizes).unionByName(counts))

@@ -175,8 +175,7 @@ def q_rule_statistics(spark, sf):
     [O.triggered_cte()]))
 def q_rules_triggered(spark, sf):
     fl = flows(spark, sf)
-    rules = materialize(R.generate_rules(fl))
-    return R.apply_rules(fl, rules).select("flow_id", "rule_id", "rule_type", "severity",
+    return R.apply_rules(fl, R.generate_rules(fl)).select("flow_id", "rule_id", "rule_type", "severity",
                                            "description", "confidence")
 
 
@@ -184,8 +183,7 @@ def q_rules_triggered(spark, sf):
     "SELECT * FROM by_flow", [O.triggered_cte(), O.by_flow_cte()]))
 def q_rules_triggered_by_flow(spark, sf):
     fl = flows(spark, sf)
-    rules = materialize(R.generate_rules(fl))
-    return R.triggered_by_flow(R.apply_rules(fl, rules)).select(
+    return R.triggered_rules_by_flow(fl, R.generate_rules(fl)).select(
         "flow_id", "ml_rule_count", "ml_reasons", "ml_rule_ids")
 
 
@@ -312,7 +310,7 @@ def q_alerts_by_date_range(spark, sf):
 
 
 _SEARCH_BLOB = "lower(concat_ws(' ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')"
-                                                    for c in AL.SEARCH_FIELDS) + "))"
+                                                    for c in R.K.SEARCH_FIELDS) + "))"
 
 
 @register("alerts_search", _newest_sql(
@@ -338,8 +336,7 @@ def q_alerts_last_24h(spark, sf):
     "UNION ALL SELECT 'severity_distribution', severity, count(*) FROM alerts GROUP BY severity "
     "UNION ALL SELECT 'threat_type_distribution', threat_type, count(*) FROM alerts GROUP BY threat_type"))
 def q_alert_statistics(spark, sf):
-    al = materialize(alerts_table(spark, sf))
-    return AL.alert_statistics(al, as_of(al, "created_at"), 24)
+    return AL.alert_statistics(alerts_table(spark, sf), as_of(flows(spark, sf)), 24)
 
 
 @register("alerts_latest", _newest_sql("true", 100, by="created_at"))
@@ -629,11 +626,20 @@ def q_alerts_as_flows(spark, sf):
     return IO.alerts_as_flows(attack_alerts(spark, sf))
 
 
-@register("flow_source_fallback", "WITH " + O.flows_cte() +
-          " SELECT * FROM flows WHERE last_seen >= (SELECT max(last_seen) FROM flows) - INTERVAL 24 HOUR")
+@register("flow_source_fallback", O.with_enriched() +
+          "SELECT last_seen AS timestamp, src_ip, dst_ip, protocol_name, direction, is_internal_src, is_internal_dst, country, "
+          "hour(last_seen) AS hour, CAST(last_seen AS DATE) AS date, bytes, packets, dst_port, src_port, port, proto_num, "
+          "protocol, last_seen FROM enriched WHERE last_seen >= (SELECT max(last_seen) FROM flows) - INTERVAL 24 HOUR")
 def q_flow_source_fallback(spark, sf):
-    fl = flows(spark, sf)
-    recent = IO.flows_lookback(fl, 24, as_of(fl))
+    recent = IO.flows_lookback(enriched(spark, sf), 24, as_of(flows(spark, sf)))
+    return IO.choose_source(recent, attack_alerts(spark, sf))
+
+
+@register("flow_source_alerts", O.with_enriched(_ATTACK_CTE) + _AS_FLOWS_SQL)
+def q_flow_source_alerts(spark, sf):
+    """No flow was seen in the day after the newest one: alerts stand in."""
+    import datetime as dt
+    recent = IO.flows_lookback(enriched(spark, sf), 24, as_of(flows(spark, sf)) + dt.timedelta(days=2))
     return IO.choose_source(recent, attack_alerts(spark, sf))
 
 
@@ -685,9 +691,8 @@ def q_structured_alerts_append(spark, sf):
     from netweave.session import scratch_path
     path = scratch_path(spark, "structured_alerts")
     old = alerts_table(spark, sf, use_rules=False)
-    AL.append_structured_alerts(old, None, path)
-    stored = spark.read.parquet(path).select(*AL.ALERT_COLUMNS)
-    AL.append_structured_alerts(alerts_table(spark, sf), stored, path)
+    AL.append_structured_alerts(old, path, grain="month")
+    AL.append_structured_alerts(alerts_table(spark, sf), path, grain="month")
     return spark.read.parquet(path).select(*AL.ALERT_COLUMNS)
 
 
@@ -875,6 +880,22 @@ def q_attack_predictions(spark, sf):
         "flow_id", "label", "prediction", "prediction_label", "confidence_last_class", "confidence_predicted")
 
 
+@register("flow_attack_scores")
+def q_flow_attack_scores(spark, sf):
+    """Flow statistics of the packets, scored by the trained forest."""
+    model = ML.train_attack_model(_train_frame(spark, sf).where("split = 'train'"))
+    frame = ML.as_model_frame(PK.flow_statistics(X.packets(spark, sf)))
+    return ML.predict_attacks(model, frame).select(
+        "src_ip", "dst_ip", "proto_num", "prediction_label", "confidence_last_class", "confidence_predicted")
+
+
+@register("rule_generation_run")
+def q_rule_generation_run(spark, sf):
+    """One composed run: profiles, rules, store; the report of the run."""
+    from netweave.session import scratch_path
+    return P.generate_and_store_rules(flows(spark, sf), X.geoip(spark, sf), scratch_path(spark, "rules"))
+
+
 def _features(spark, sf):
     return enrich.flow_features(enriched(spark, sf))
 
