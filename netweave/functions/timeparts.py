@@ -20,6 +20,26 @@ def as_ntz(col) -> Column:
     return _c(col).cast("timestamp_ntz")
 
 
+def to_ntz(col, kind: str) -> Column:
+    """A time of Spark type ``kind`` as ``timestamp_ntz`` (UTC wall clock):
+    timestamps, dates, ISO text, or epoch seconds as a number."""
+    c = _c(col)
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        us = F.round(c.cast("double") * 1e6).cast("long")
+        return F.timestamp_add("MICROSECOND", us, F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+    if kind == "timestamp":
+        return instant_to_ntz(c)
+    return c.cast("timestamp_ntz")
+
+
+def date_of(col, grain: str = "day") -> Column:
+    """Date of a time, or the first day of its month."""
+    if grain not in ("day", "month"):
+        raise ValueError("grain is day or month")
+    day = F.to_date(_c(col))
+    return day if grain == "day" else F.to_date(F.trunc(day, "month"))
+
+
 def epoch_seconds(col) -> Column:
     """Whole seconds since 1970-01-01 (long)."""
     return F.timestamp_diff("SECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), _c(col))

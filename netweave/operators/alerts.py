@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from netweave import constants as K
 from netweave.functions import scoring as S
-from netweave.functions.timeparts import add_seconds, ntz_literal
+from netweave.functions.timeparts import add_seconds, date_of, ntz_literal, to_ntz
+from netweave.session import materialize
 
 ALERT_COLUMNS = ["alert_id", "timestamp", "src_ip", "dst_ip", "protocol", "packets", "bytes",
                  "threat_type", "anomaly_score", "severity", "suspicion_reason", "direction",
@@ -23,16 +24,17 @@ def to_alerts(suspicious: DataFrame, created_at, flow_key: str = "flow_id") -> D
     Score in integer tenths (suspicious/monitor reason, TCP/UDP, external
     direction, non-internal country, common/admin port), threat type by an
     ordered cascade, severity band by score. ``alert_id`` is
-    ``ALERT_<epoch>_<hash>`` over the flow key and reason, so re-running the
-    job yields the same ids (idempotent appends).
+    ``ALERT_<epoch>_<hash>`` over the flow key and time, so one flow has one
+    alert however often and with whatever rules the job runs (idempotent
+    appends). Times may be timestamps, ISO text or epoch seconds.
     """
     tenths = S.anomaly_score_tenths("suspicion_reason", "protocol", "direction", "country", "port")
-    ident = [flow_key, "suspicion_reason"] if flow_key in suspicious.columns else \
-        ["src_ip", "dst_ip", "proto_num", "port", "suspicion_reason"]
-    df = suspicious.withColumn("__t", tenths)
+    ident = [flow_key] if flow_key in suspicious.columns else ["src_ip", "dst_ip", "proto_num", "port"]
+    when = to_ntz("timestamp", suspicious.schema["timestamp"].dataType.simpleString())
+    df = suspicious.withColumn("__t", tenths).withColumn("timestamp", when)
     return df.select(
         S.alert_id("timestamp", *ident).alias("alert_id"),
-        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+        F.col("timestamp"),
         F.coalesce("src_ip", F.lit("")).alias("src_ip"),
         F.coalesce("dst_ip", F.lit("")).alias("dst_ip"),
         F.coalesce("protocol", F.lit("")).alias("protocol"),
@@ -83,10 +85,6 @@ def alerts_by_date_range(alerts: DataFrame, start=None, end=None, limit: int = 1
     return _newest(alerts.where(cond), limit)
 
 
-SEARCH_FIELDS = ["alert_id", "src_ip", "dst_ip", "protocol", "threat_type", "severity",
-                 "direction", "country", "suspicion_reason"]
-
-
 def search_alerts(alerts: DataFrame, text: str | None = None, severity: str | None = None,
                   threat_type: str | None = None, protocol: str | None = None,
                   src_ip: str | None = None, dst_ip: str | None = None, port: int | None = None,
@@ -100,7 +98,7 @@ def search_alerts(alerts: DataFrame, text: str | None = None, severity: str | No
     """
     cond = F.lit(True)
     if text:
-        blob = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in SEARCH_FIELDS]))
+        blob = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in K.SEARCH_FIELDS]))
         cond = cond & blob.contains(text.lower())
     if severity:
         cond = cond & (F.col("severity") == severity)
@@ -163,24 +161,39 @@ def latest_attack_alerts(attack_alerts: DataFrame, limit: int = 100) -> DataFram
 
 # --- sinks ------------------------------------------------------------------------------
 
-def append_structured_alerts(new_alerts: DataFrame, existing: DataFrame | None, path: str) -> DataFrame:
-    """Append alerts whose ``alert_id`` is not stored yet (unique ids).
+def append_unstored(new_alerts: DataFrame, path: str, key: str, grain: str = "day") -> DataFrame:
+    """Append alerts whose ``key`` is not stored yet (unique ids), in folders by
+    ``date`` (of the day, or the first of the ``month`` for sparse alerts: a file
+    costs more than its rows); returns the alerts appended.
 
-    Duplicates inside the batch are dropped first; the anti join against
-    the stored ids shuffles only the id column of the store.
+    The batch is materialised once. An id fixes its alert's date, so the store
+    is read only within the batch's dates (literal bounds prune partitions)
+    and joined on date and id.
     """
-    batch = new_alerts.dropDuplicates(["alert_id"])
-    if existing is not None:
-        batch = batch.join(existing.select("alert_id"), "alert_id", "left_anti")
-    from netweave.sources.io import write_by_date
-    write_by_date(batch.withColumn("date", F.to_date("timestamp")), path, "date", "timestamp")
-    return batch
+    from netweave.sources.io import read_if_stored, write_by_date
+    batch = materialize(new_alerts.dropDuplicates([key]).withColumn("date", date_of("timestamp", grain)))
+    lo, hi, n, undated = batch.agg(F.min("date"), F.max("date"), F.count(F.lit(1)), F.count_if(F.col("date").isNull())).first()
+    if not n:
+        return batch
+    bounds = F.lit(False) if lo is None else F.col("date").between(F.lit(lo.isoformat()).cast("date"), F.lit(hi.isoformat()).cast("date"))
+    if undated:
+        bounds = bounds | F.col("date").isNull()
+    stored = read_if_stored(batch.sparkSession, path, batch.schema).where(bounds).select(
+        F.col("date").alias("s_date"), F.col(key).alias("s_id"))
+    fresh = batch.join(stored, F.col("date").eqNullSafe(F.col("s_date")) & (F.col(key) == F.col("s_id")), "left_anti")
+    write_by_date(fresh, path)
+    return fresh
+
+
+def append_structured_alerts(new_alerts: DataFrame, path: str, grain: str = "day") -> DataFrame:
+    """Append structured alerts whose ``alert_id`` is not stored yet."""
+    return append_unstored(new_alerts, path, "alert_id", grain)
 
 
 def append_attack_alerts(alerts: DataFrame, path: str) -> None:
     """Append attack alerts, partitioned by date for pruning."""
     from netweave.sources.io import write_by_date
-    write_by_date(alerts.withColumn("date", F.to_date("timestamp")), path, "date", "timestamp")
+    write_by_date(alerts.withColumn("date", F.to_date("timestamp")), path)
 
 
 def export_csv(alerts: DataFrame, path: str) -> DataFrame:

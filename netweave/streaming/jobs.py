@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,15 +36,59 @@ def _user_set(spark, key: str) -> bool:
 def packet_rate_stream(packets: DataFrame, window_seconds: int = 10, slide_seconds: int = 1,
                        watermark: str = "30 seconds") -> DataFrame:
     """Packets per second over sliding event-time windows (append mode:
-    a window is emitted once the watermark passes its end)."""
-    w = F.window("ts", f"{window_seconds} seconds", f"{slide_seconds} seconds")
-    return (event_time(packets).withWatermark("ts", watermark).groupBy(w.alias("w"))
-            .agg(F.count(F.lit(1)).alias("packets"))
+    a window is emitted once the watermark passes its end). Packets are counted
+    per slide first; only those counts go to the windows that cover them, so
+    packets are not copied per window."""
+    if window_seconds % slide_seconds:
+        raise ValueError("slide must divide the window")
+    per = (event_time(packets).withWatermark("ts", watermark)
+           .groupBy(F.window("ts", f"{slide_seconds} seconds").alias("s")).agg(F.count(F.lit(1)).alias("c")))
+    w = F.window(F.window_time("s"), f"{window_seconds} seconds", f"{slide_seconds} seconds")
+    return (per.groupBy(w.alias("w")).agg(F.sum("c").cast("long").alias("packets"))
             .select(instant_to_ntz("w.start").alias("window_start"), instant_to_ntz("w.end").alias("window_end"),
                     "packets",
                     (F.col("packets") / F.lit(float(window_seconds))).alias("packets_per_second")))
 
 
+LIVE_SCHEMA = ("src_ip string, dst_ip string, proto_num int, packets long, bytes long, "
+               "first_seen timestamp, last_seen timestamp")
+_LIVE_STATE = "packets long, bytes long, first_us long, last_us long"
+
+
+def _micros(pdf: pd.DataFrame) -> pd.Series:
+    return pd.to_datetime(pdf["ts"], utc=True).dt.tz_localize(None).astype("datetime64[us]").astype("int64")
+
+
+def _live_updater(idle_ms: int):
+    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        packets, nbytes, first, last = state.get if state.exists else (0, 0, None, None)
+        for pdf in pdfs:
+            us = _micros(pdf)
+            packets, nbytes = packets + len(pdf), nbytes + int(pdf["length"].sum())
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+            last = int(us.max()) if last is None else max(last, int(us.max()))
+        state.update((packets, nbytes, first, last))
+        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        times = pd.to_datetime(pd.Series([first, last]), unit="us", utc=True)
+        yield pd.DataFrame({"src_ip": [key[0]], "dst_ip": [key[1]], "proto_num": [key[2]], "packets": [packets],
+                            "bytes": [nbytes], "first_seen": [times[0]], "last_seen": [times[1]]})
+    return update
+
+
+def live_flows_stream(packets: DataFrame, idle_seconds: int = 60, watermark: str = "30 seconds") -> DataFrame:
+    """Live totals of open flows (update mode): after every micro-batch the
+    running packets, bytes, first and last time of each flow that got packets.
+    A flow idle longer than ``idle_seconds`` of event time leaves the state;
+    a later packet starts it anew."""
+    out = (event_time(packets).withWatermark("ts", watermark).groupBy(*FLOW_KEY)
+           .applyInPandasWithState(_live_updater(idle_seconds * 1000), LIVE_SCHEMA, _LIVE_STATE, "update",
+                                   GroupStateTimeout.EventTimeTimeout))
+    return out.withColumns({c: instant_to_ntz(c) for c in ("first_seen", "last_seen")})
+
+
 def flow_sessions_stream(packets: DataFrame, gap_seconds: int, watermark: str | None = None) -> DataFrame:
     """Live flows as event-time sessions per (src, dst, proto): a flow stays
     open while packets arrive less than ``gap_seconds`` apart; closed sessions
@@ -64,10 +109,14 @@ def flow_sessions_stream(packets: DataFrame, gap_seconds: int, watermark: str |
 
 
 RUNNING_SCHEMA = ("packet_id long, ts timestamp, src_ip string, dst_ip string, proto_num int, "
-                  "flow_duration double, total_fwd_packets long, total_length_fwd_packets long, "
-                  "fwd_packet_length_mean double, flow_bytes_per_s double, flow_packets_per_s double, "
-                  "fwd_iat_total double")
-STATE_SCHEMA = "n long, nbytes long, first_us long"
+                  "flow_duration double, total_fwd_packets long, total_backward_packets long, "
+                  "total_length_fwd_packets long, total_length_bwd_packets long, "
+                  "fwd_packet_length_mean double, bwd_packet_length_mean double, "
+                  "flow_bytes_per_s double, flow_packets_per_s double, "
+                  "fwd_iat_total double, bwd_iat_total double")
+#: Running totals, and the packets that the watermark has not passed yet.
+STATE_SCHEMA = ("n long, nbytes long, first_us long, last_us long, "
+                "wait_us array<long>, wait_id array<long>, wait_length array<long>")
 
 
 def _running_updater(idle_ms: int):
@@ -78,41 +127,51 @@ def _running_updater(idle_ms: int):
 
 def _running_update(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
                     idle_ms: int = 86_400_000) -> Iterator[pd.DataFrame]:
-    """Per flow: continue running totals from the state (3 scalars), emit
-    the feature row of every packet, keep state until the flow is idle."""
-    if state.hasTimedOut:
+    """Per flow: keep packets until the watermark has passed them (none older
+    can then arrive), continue the running totals in time order, and emit the
+    feature row of every packet passed. Idle flows leave the state."""
+    n, nbytes, first_us, last_us, us, ids, length = state.get if state.exists else (0, 0, None, None, [], [], [])
+    parts = [pd.DataFrame({"us": us, "packet_id": ids, "length": length}, dtype="int64")]
+    if not state.hasTimedOut:
+        parts += [pd.DataFrame({"us": _micros(p), "packet_id": p["packet_id"], "length": p["length"]}).astype("int64") for p in pdfs]
+    wait = pd.concat(parts, ignore_index=True).sort_values(["us", "packet_id"], kind="mergesort", ignore_index=True)
+    mark = state.getCurrentWatermarkMs()
+    ready = wait[wait["us"] < mark * 1000]
+    wait = wait[len(ready):]
+    if len(ready):
+        if first_us is None:
+            first_us = int(ready["us"].iloc[0])
+        cnt = n + pd.Series(range(1, len(ready) + 1), index=ready.index)
+        cum = nbytes + ready["length"].cumsum()
+        dur = (ready["us"] - first_us) / 1e6
+        safe = dur.where(dur > 0)
+        yield pd.DataFrame({
+            "packet_id": ready["packet_id"], "ts": pd.to_datetime(ready["us"], unit="us", utc=True),
+            "src_ip": key[0], "dst_ip": key[1], "proto_num": key[2], "flow_duration": dur, "total_fwd_packets": cnt,
+            "total_backward_packets": 0, "total_length_fwd_packets": cum, "total_length_bwd_packets": 0,
+            "fwd_packet_length_mean": cum / cnt, "bwd_packet_length_mean": 0.0,
+            "flow_bytes_per_s": (cum / safe).fillna(0.0), "flow_packets_per_s": (cnt / safe).fillna(0.0),
+            "fwd_iat_total": dur.where(cnt > 1, 0.0), "bwd_iat_total": 0.0})
+        n, nbytes, last_us = int(cnt.iloc[-1]), int(cum.iloc[-1]), int(ready["us"].iloc[-1])
+    if not len(wait) and (last_us is None or last_us // 1000 + idle_ms <= mark):
         state.remove()
         return
-    n, nbytes, first_us = state.get if state.exists else (0, 0, None)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "packet_id"], kind="mergesort")
-    ts_us = pd.to_datetime(pdf["ts"], utc=True).dt.tz_localize(None).astype("datetime64[us]").astype("int64")
-    if first_us is None:
-        first_us = int(ts_us.iloc[0])
-    cnt = n + pd.Series(range(1, len(pdf) + 1), index=pdf.index)
-    cum = nbytes + pdf["length"].cumsum()
-    dur = (ts_us - first_us) / 1e6
-    safe = dur.where(dur > 0)
-    out = pd.DataFrame({
-        "packet_id": pdf["packet_id"], "ts": pdf["ts"], "src_ip": pdf["src_ip"], "dst_ip": pdf["dst_ip"],
-        "proto_num": pdf["proto_num"], "flow_duration": dur, "total_fwd_packets": cnt,
-        "total_length_fwd_packets": cum, "fwd_packet_length_mean": cum / cnt,
-        "flow_bytes_per_s": (cum / safe).fillna(0.0), "flow_packets_per_s": (cnt / safe).fillna(0.0),
-        "fwd_iat_total": dur.where(cnt > 1, 0.0)})
-    state.update((int(cnt.iloc[-1]), int(cum.iloc[-1]), first_us))
-    # Idle timer from the flow's newest packet (event time), never in the past.
-    last_ms = int(ts_us.max()) // 1000
-    state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
-    yield out
+    state.update((n, nbytes, first_us, last_us, wait["us"].tolist(), wait["packet_id"].tolist(), wait["length"].tolist()))
+    due = int(wait["us"].iloc[0]) // 1000 + 1 if len(wait) else last_us // 1000 + idle_ms
+    state.setTimeoutTimestamp(max(due, mark + 1))
 
 
 def running_features_stream(packets: DataFrame, watermark: str = "1 hour",
                             idle_timeout_seconds: int = 86_400) -> DataFrame:
-    """Per-packet running flow features with per-flow state (3 scalars).
-
-    A flow's state is evicted once event time passes its last packet by
-    ``idle_timeout_seconds``; a later packet starts a new flow. The batch
-    twin (``operators.packets.running_features``) equals this stream when
-    no flow is idle longer than the timeout.
+    """Per-packet running flow features (all 11) in event-time order.
+
+    Packets may arrive in any order within the watermark: a packet's row is
+    emitted once the watermark has passed it; later ones are dropped. A flow's
+    state (its totals and the packets still waiting) is evicted once event time
+    passes its last packet by ``idle_timeout_seconds``; a later packet starts a
+    new flow. The batch twin (``operators.packets.running_features``) equals this
+    stream when no flow is idle longer than the timeout. One flow's packets of a
+    micro-batch are in one task; ``max_files_per_trigger`` bounds them.
     """
     out = (event_time(packets).withWatermark("ts", watermark).groupBy(*FLOW_KEY)
            .applyInPandasWithState(_running_updater(idle_timeout_seconds * 1000), RUNNING_SCHEMA,
@@ -129,19 +188,15 @@ def alerts_sink(flows_stream: DataFrame, geoip: DataFrame | None, rules: DataFra
     against static reasons, the policy and the (static, broadcast) rule
     table, scored, and appended to the alert store unless its ``alert_id``
     is already stored (retries of a batch are therefore idempotent)."""
-    spark = flows_stream.sparkSession
-
     def run(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        ca = created_at if created_at is not None else batch.agg(F.max("last_seen")).first()[0]
-        susp = D.detect_suspicious(E.enrich_flows(batch, geoip), rules, use_policy=True)
-        new = A.to_alerts(susp, ca)
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            existing = spark.read.parquet(alerts_path).select("alert_id")
-        except Exception:  # noqa: BLE001 - first batch: no store yet
-            existing = None
-        A.append_structured_alerts(new, existing, alerts_path)
+            newest = batch.agg(F.max("last_seen")).first()[0]
+            if newest is not None:
+                susp = D.detect_suspicious(E.enrich_flows(batch, geoip), rules, use_policy=True)
+                A.append_structured_alerts(A.to_alerts(susp, created_at or newest), alerts_path)
+        finally:
+            batch.unpersist()
 
     w = flows_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -149,10 +204,11 @@ def alerts_sink(flows_stream: DataFrame, geoip: DataFrame | None, rules: DataFra
 
 
 def attack_scoring_sink(sessions_stream: DataFrame, model, alerts_path: str, checkpoint: str,
-                        trigger: dict | None = None):
+                        geoip: DataFrame | None = None, trigger: dict | None = None):
     """Continuous attack scoring: closed flow sessions -> model features
-    (forward-only counts) -> pipeline model -> ``Attack`` rows appended per
-    micro-batch into ``alerts_path/epoch=<id>`` (overwrite = idempotent)."""
+    (forward-only counts) -> pipeline model -> attack alerts (the columns and
+    date folders of the batch table) appended unless already stored; ids are
+    hashes of flow and session start, so a retried batch adds nothing."""
     from netweave.operators.ml import predict_attacks
 
     def run(batch: DataFrame, epoch_id: int) -> None:
@@ -166,8 +222,13 @@ def attack_scoring_sink(sessions_stream: DataFrame, model, alerts_path: str, che
             F.when(dur > 0, F.col("bytes") / dur).otherwise(0.0).alias("flow_bytes_s"),
             F.when(dur > 0, F.col("packets") / dur).otherwise(0.0).alias("flow_packets_s"),
             dur.alias("fwd_iat_total"), F.lit(0.0).alias("bwd_iat_total"))
-        scored = predict_attacks(model, feats).where(F.col("prediction_label") == "Attack")
-        scored.write.mode("overwrite").parquet(f"{alerts_path}/epoch={epoch_id}")
+        attacks = predict_attacks(model, feats).where(F.col("prediction_label") == "Attack")
+        named = E.enrich_flows(attacks, geoip).select(
+            F.xxhash64(*FLOW_KEY, "session_start").cast("string").alias("id"), F.col("session_last").alias("timestamp"),
+            "src_ip", "dst_ip", F.col("prediction_label").alias("prediction"),
+            F.col("confidence_predicted").alias("confidence"), "direction", "protocol_name",
+            "is_internal_src", "is_internal_dst", "country")
+        A.append_unstored(named, alerts_path, "id")
 
     w = sessions_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
