@@ -67,6 +67,24 @@ def _reason_array(use_policy: bool) -> Column:
     return static
 
 
+_IS_SUSPICIOUS = "size(__static) > 0 OR size(__rules) > 0"
+
+
+def _judged(flows: DataFrame, rules: DataFrame | None, use_policy: bool) -> DataFrame:
+    """``flows`` plus its static reasons (``__static``) and rules (``__rules``)."""
+    fl = with_policy(flows) if use_policy else flows.withColumn("policy_reason", F.lit(None).cast("string"))
+    fl = fl.withColumn("__static", _reason_array(use_policy))
+    if rules is not None:
+        return R.with_triggered(fl, rules)
+    return fl.withColumn("__rules", F.array().cast(f"array<{R.RULE_STRUCT_TYPE}>"))
+
+
+def flag_suspicious(flows: DataFrame, rules: DataFrame | None = None, use_policy: bool = False) -> DataFrame:
+    """Every flow with a boolean ``suspicious``, for counting."""
+    return _judged(flows, rules, use_policy).withColumn("suspicious", F.expr(_IS_SUSPICIOUS)).drop(
+        "__static", "__rules", "policy_reason")
+
+
 def detect_suspicious(flows: DataFrame, rules: DataFrame | None = None, use_policy: bool = False,
                       flow_key: str = "flow_id") -> DataFrame:
     """Suspicious flows = static reasons (+ policy) and triggered generated rules.
@@ -76,15 +94,10 @@ def detect_suspicious(flows: DataFrame, rules: DataFrame | None = None, use_poli
     shuffled, and every input row is judged by itself.
     """
     carry = [c for c in FLOW_OUT if c in flows.columns and c != flow_key]
-    fl = with_policy(flows) if use_policy else flows.withColumn("policy_reason", F.lit(None).cast("string"))
-    fl = fl.withColumn("__static", _reason_array(use_policy))
-    if rules is not None:
-        fl = R.with_triggered(fl, rules)
-    else:
-        fl = fl.withColumn("__rules", F.array().cast(f"array<{R.RULE_STRUCT_TYPE}>"))
+    fl = _judged(flows, rules, use_policy)
     ml_rules = F.transform("__rules", lambda x: x["rule"])
     ml_text = F.transform("__rules", lambda x: F.concat(F.lit(K.ML_REASON_PREFIX), x["rule"]["description"]))
-    out = fl.where((F.size("__static") > 0) | (F.size("__rules") > 0)).select(
+    out = fl.where(_IS_SUSPICIOUS).select(
         flow_key, *carry,
         F.array_join(F.concat("__static", ml_text), K.REASON_SEPARATOR).alias("suspicion_reason"),
         ml_rules.alias("ml_triggered_rules"),
