@@ -921,6 +921,58 @@ def q_anomaly_patterns(spark, sf):
     return IF.anomaly_patterns(feats, IF.isolation_forest(feats, "flow_id", enrich.FEATURE_COLUMNS))
 
 
+_FEATS_SQL = ("feats AS (SELECT e.flow_id, " + f"{_FEAT_DUR} AS flow_duration, CAST(packets AS DOUBLE) / ({_FEAT_DUR} + 1) AS packets_per_second, "
+              "CAST(bytes AS DOUBLE) / (packets + 1) AS bytes_per_packet, proto_num AS protocol_numeric, port AS port_numeric, "
+              "CAST(is_internal_src AND NOT is_internal_dst AS INTEGER) AS ie, CAST(NOT is_internal_src AND is_internal_dst AS INTEGER) AS ei, "
+              "CAST(is_internal_src AND is_internal_dst AS INTEGER) AS ii, hour(last_seen) AS hour_of_day, "
+              f"len({O.static_reasons_expr('e')}) > 0 AS flagged, hour(last_seen) // 6 AS cluster FROM enriched e)")
+
+
+def _anomaly_sql() -> str:
+    row = lambda m, k, v, w="": f"SELECT '{m}' AS metric, {k} AS key, round(CAST({v} AS DOUBLE), 6) AS value FROM {w or 'an'}"
+    parts = [row("anomaly_count", "''", "count(*) FILTER (WHERE flagged)", "feats"), row("total_flows", "''", "count(*)", "feats"),
+             row("anomaly_ratio", "''", "count(*) FILTER (WHERE flagged) / count(*)", "feats"),
+             row("avg_anomalous_duration", "''", "avg(flow_duration)"), row("avg_anomalous_packets_per_sec", "''", "avg(packets_per_second)"),
+             row("avg_anomalous_bytes_per_packet", "''", "avg(bytes_per_packet)")]
+    parts += [row("anomalous_directions", f"'{k}'", f"sum({c})") for k, c in (
+        ("internal_to_external", "ie"), ("external_to_internal", "ei"), ("internal_to_internal", "ii"))]
+    parts += [row("anomalous_protocols", "CAST(protocol_numeric AS VARCHAR)", "count(*)") + " GROUP BY protocol_numeric",
+              row("anomalous_hours", "CAST(hour_of_day AS VARCHAR)", "count(*)") + " GROUP BY hour_of_day",
+              "SELECT * FROM (" + row("anomalous_ports", "CAST(port_numeric AS VARCHAR)", "count(*)")
+              + " GROUP BY port_numeric ORDER BY count(*) DESC, port_numeric ASC LIMIT 10)"]
+    return O.with_enriched(_FEATS_SQL + ", an AS (SELECT * FROM feats WHERE flagged)") + "\nUNION ALL ".join(parts)
+
+
+@register("anomaly_profile_static", _anomaly_sql())
+def q_anomaly_profile_static(spark, sf):
+    """The anomaly profile over flows that static rules flag, a fixed flag that
+    SQL can state too."""
+    fl = materialize(enriched(spark, sf))
+    flag = fl.select("flow_id", F.when(F.size(DT.static_reasons()) > 0, -1).otherwise(1).alias("anomaly"))
+    return IF.anomaly_patterns(enrich.flow_features(fl), flag).withColumn("value", F.round("value", 6))
+
+
+def _top_sql_list(col: str, k: int, name: str) -> str:
+    return (f"(SELECT cluster, string_agg(concat({col}, ':', n), ',' ORDER BY rk) AS {name} FROM (SELECT cluster, {col}, n, "
+            f"row_number() OVER (PARTITION BY cluster ORDER BY n DESC, {col} ASC) AS rk FROM (SELECT cluster, {col}, count(*) AS n "
+            f"FROM feats GROUP BY cluster, {col})) WHERE rk <= {k} GROUP BY cluster)")
+
+
+@register("cluster_profile_hours", O.with_enriched(_FEATS_SQL) +
+          "SELECT b.*, common_protocols, common_ports, peak_hours FROM (SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS size, "
+          "round(avg(flow_duration), 6) AS avg_duration, round(avg(packets_per_second), 6) AS avg_packets_per_sec, "
+          "round(avg(bytes_per_packet), 6) AS avg_bytes_per_packet, CAST(sum(ie) AS BIGINT) AS internal_to_external, "
+          "CAST(sum(ei) AS BIGINT) AS external_to_internal, CAST(sum(ii) AS BIGINT) AS internal_to_internal FROM feats GROUP BY cluster) b "
+          f"JOIN {_top_sql_list('protocol_numeric', 3, 'common_protocols')} p ON p.cluster = b.cluster "
+          f"JOIN {_top_sql_list('port_numeric', 5, 'common_ports')} q ON q.cluster = b.cluster "
+          f"JOIN {_top_sql_list('hour_of_day', 3, 'peak_hours')} h ON h.cluster = b.cluster")
+def q_cluster_profile_hours(spark, sf):
+    """Cluster profiles of a fixed grouping (quarters of the day)."""
+    feats = _features(spark, sf).withColumn("cluster", F.floor(F.col("hour_of_day") / 6).cast("int"))
+    out = ML.cluster_profiles(feats)
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_duration", "avg_packets_per_sec", "avg_bytes_per_packet")})
+
+
 _REPORT_TOP = "SELECT src_ip, {m} AS v FROM s ORDER BY {m} DESC, src_ip ASC LIMIT 10"
 
 
