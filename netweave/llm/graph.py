@@ -24,14 +24,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one root at most and no root has a root."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of links (a, b): the root is the least
     node reachable. Nodes that are roots themselves have no row."""
-    edges = materialize(edges.where("a <> b").distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
-        edges = materialize(_small_star(_large_star(edges).distinct()).distinct())
+    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _is_stars(edges):
+        edges = materialize(_small_star(_large_star(edges)).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -5,20 +5,21 @@ words than a shingle, the whole sequence is its only member. Two documents are
 linked if their sets' Jaccard similarity is ``similarity`` or more.
 
 1. Equal sets are one class; its smallest doc_id stands for it from then on.
-2. Each class gets ``SYMBOLS`` minhash symbols of 16 bits. At similarity 0.8 a
+2. Each class gets ``SYMBOLS`` minhash symbols of 12 bits. At similarity 0.8 a
    symbol differs with probability 0.2, so the distance of two signatures is
-   about 20 of 100 (standard deviation 4); ``distance`` 39 leaves out about one
+   about 20 of 100 (standard deviation 4); ``DISTANCE`` 39 leaves out about one
    borderline pair in 100,000.
 3. Signatures are cut into 20 chunks of five symbols. By pigeonhole, two within
    distance 39 share a chunk with at most one error, so they are equal in that
    chunk when the right symbol is masked: all 5 x 20 masked chunks are index keys
-   and no pair within the distance is missed.
+   and no pair within the distance is missed. A pair with several keys in common
+   counts at the first of them only.
 4. Holders of a key are compared with one of them, the key's hub; distances are
    checked on signatures, links confirmed on full shingle sets. Components follow
-   by star steps. After two rounds with different hubs, keys whose holders still
-   lie in different components get all their pairs from different components
-   compared, so nothing is lost, and a large group of near copies, long since one
-   component, is never paired out.
+   by star steps. A document has a hundred keys and so meets many hubs; keys
+   whose holders still lie in different components get all their pairs from
+   different components compared, so nothing is lost, and a large group of near
+   copies, by then one component, is never paired out.
 
 Null texts and texts without words have no set and no link. Rows that share a
 doc_id count as one document with their first row's links joined. Rows without
@@ -38,13 +39,15 @@ from pyspark.sql import functions as F
 from netweave.llm import words as W
 from netweave.llm.graph import components
 from netweave.llm.scratch import written
-from netweave.session import materialize
 
 CHUNKS, CHUNK = 20, 5
 SYMBOLS = CHUNKS * CHUNK
 #: Pigeonhole: under two errors in some chunk.
 DISTANCE = 2 * CHUNKS - 1
-HUB_ROUNDS = 2
+FIELD = 12
+#: Holders of a key compared at once, about.
+BLOCK = 256
+_LOW, _HIGH = (sum(x << FIELD * i for i in range(CHUNK)) for x in ((1 << FIELD - 1) - 1, 1 << FIELD - 1))
 _ROWS = "doc_id long, n_shingles long, set_a long, set_b long, signature array<long>"
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
 
@@ -71,24 +74,26 @@ def _shingles(group: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _symbols(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One row of SYMBOLS 16-bit minhash symbols a text that has shingles."""
+    """Signature of each text that has shingles: a long a chunk, 12 bits a
+    minhash symbol."""
     rng = np.random.default_rng(20240607)
     mult = rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
     plus = rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
     first = (np.cumsum(counts) - counts)[counts > 0]
-    out = np.zeros((len(first), SYMBOLS), np.uint16)
+    out = np.zeros((len(first), CHUNKS), np.uint64)
     if len(first):
         x = (values >> np.uint64(32)).astype(np.uint32)
         y = np.empty_like(x)
         for i in range(SYMBOLS):
             np.multiply(x, mult[i], out=y)
             y += plus[i]
-            out[:, i] = np.minimum.reduceat(y, first) * np.uint32(0x9E3779B1) >> np.uint32(16)
-    return out
+            symbol = np.minimum.reduceat(y, first) * np.uint32(0x9E3779B1) >> np.uint32(32 - FIELD)
+            out[:, i // CHUNK] |= symbol.astype(np.uint64) << np.uint64(FIELD * (i % CHUNK))
+    return out.view(np.int64)
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, 128-bit hash of the set, signature as 25 longs."""
+    """doc_id, n_shingles, 128-bit hash of the set, signature as 20 longs."""
 
     def task(batches):
         for batch in batches:
@@ -97,13 +102,13 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 values, counts = _shingles(group, shingle)
                 ends = np.cumsum(counts)
                 sets = [xxhash.xxh3_128_intdigest(values[e - c:e].tobytes()) for c, e in zip(counts.tolist(), ends.tolist())]
-                packed = np.zeros((len(counts), SYMBOLS // 4), np.int64)
-                packed[counts > 0] = _symbols(values, counts).view(np.int64)
+                packed = np.zeros((len(counts), CHUNKS), np.int64)
+                packed[counts > 0] = _symbols(values, counts)
                 wide = np.array([[s >> 64, s & (1 << 64) - 1] for s in sets], np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(group.first, len(counts)), pa.array(counts, pa.int64()),
                      pa.array(W.signed(wide[:, 0].copy())), pa.array(W.signed(wide[:, 1].copy())),
-                     pa.ListArray.from_arrays(np.arange(0, packed.size + 1, SYMBOLS // 4, dtype=np.int32), packed.ravel())],
+                     pa.ListArray.from_arrays(np.arange(0, packed.size + 1, CHUNKS, dtype=np.int32), packed.ravel())],
                     ["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -111,27 +116,21 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """All masked chunks of every signature: key, doc_id."""
+    """All masked chunks of every signature: key, slot (chunk and masked
+    symbol), doc_id."""
 
     def task(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            symbols = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, SYMBOLS)
-            for c in range(CHUNKS):
-                part = symbols[:, c * CHUNK:(c + 1) * CHUNK].astype(np.uint64)
-                keys = []
-                for mask in range(CHUNK):
-                    h = np.full(len(ids), c * CHUNK + mask + 1, np.uint64)
-                    with np.errstate(over="ignore"):
-                        rest = np.zeros(len(ids), np.uint64)
-                        for j in range(CHUNK):
-                            if j != mask:
-                                rest = (rest << np.uint64(16)) | part[:, j]
-                        keys.append(W.signed(W._finish(rest ^ W._finish(h))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, CHUNK))],
-                                                 ["key", "doc_id"])
-
-    return classes.select("doc_id", "signature").mapInArrow(task, "key long, doc_id long")
+            chunks = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, CHUNKS)
+            for slot in range(SYMBOLS):
+                c, mask = divmod(slot, CHUNK)
+                field = np.uint64(((1 << FIELD) - 1) << FIELD * mask)
+                keys = W._finish((chunks[:, c] & ~field) ^ W._finish(np.full(len(ids), slot + 1, np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(keys)), pa.array(np.full(len(ids), slot, np.int8)),
+                                                  pa.array(ids)], ["key", "slot", "doc_id"])
+
+    return classes.select("doc_id", "signature").mapInArrow(task, "key long, slot tinyint, doc_id long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -147,16 +146,80 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                      pa.ListArray.from_arrays(offsets, W.signed(values))], ["doc_id", "members"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return wanted.join(ids, "doc_id").mapInArrow(task, "doc_id long, members array<long>")
+    # By merge at every size: a broadcast of ids would grow with the input.
+    return wanted.join(ids.hint("merge"), "doc_id").mapInArrow(task, "doc_id long, members array<long>")
+
+
+def _errors(a: str, b: str, chunk: int | str) -> str:
+    """SQL: the high bit of every symbol of a chunk that differs."""
+    d = f"({a}[{chunk}] ^ {b}[{chunk}])"
+    return f"(((({d} & {_LOW}L) + {_LOW}L) | {d}) & {_HIGH}L)"
+
+
+def _distance(a: str, b: str) -> str:
+    """SQL: differing symbols of two signatures."""
+    return "(" + " + ".join(f"bit_count({_errors(a, b, c)})" for c in range(CHUNKS)) + ")"
+
+
+def _across(mixed: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of one key in different components, within the signature
+    distance, with sizes that allow a link, at the first key they share.
+
+    ``mixed``: key, holders (of the key), slot, doc_id, root, n_shingles,
+    signature. Holders of a key form blocks of about ``BLOCK``; a block meets
+    itself and, by a join, the key's other blocks, and is compared in one numpy
+    pass. No key's holders come together, however many there are.
+    """
+    member = F.struct("doc_id", "root", "n_shingles", "signature")
+    blocks = mixed.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.floor(F.col("holders") / BLOCK) + 1).alias("block")).agg(
+        F.first("slot").alias("slot"), F.max("holders").alias("holders"), F.collect_list(member).alias("one"))
+    blocks = written(blocks, "blocks")
+    other = blocks.where(f"holders >= {BLOCK}").select("key", F.col("block").alias("block_b"), F.col("one").alias("two"))
+    met = blocks.where(f"holders >= {BLOCK}").join(other, "key").where("block < block_b").select("slot", "one", "two")
+    met = blocks.select("slot", "one", F.lit(None).cast(blocks.schema["one"].dataType).alias("two")).unionByName(met)
+    low, high = np.uint64(_LOW), np.uint64(_HIGH)
+
+    def sides(column, i):
+        if not column[i].is_valid:
+            return None
+        flat = column[i].values
+        doc, root, size = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+        return doc, root, size, flat.field(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, CHUNKS)
+
+    def compare(slot, x, y, same):
+        chunk, mask = divmod(slot, CHUNK)
+        good = x[1][:, None] != y[1][None, :]
+        if same:
+            good &= np.arange(len(x[0]))[:, None] < np.arange(len(y[0]))[None, :]
+        good &= 100 * np.minimum(x[2][:, None], y[2][None, :]) >= similarity * np.maximum(x[2][:, None], y[2][None, :])
+        i, j = np.nonzero(good)
+        for lo in range(0, len(i), 1 << 16):
+            a, b = i[lo:lo + (1 << 16)], j[lo:lo + (1 << 16)]
+            total = np.zeros(len(a), np.int64)
+            first = np.ones(len(a), bool)
+            for c in range(CHUNKS):
+                d = x[3][a, c] ^ y[3][b, c]
+                e = (((d & low) + low) | d) & high
+                errors = np.bitwise_count(e)
+                total += errors
+                if c < chunk:
+                    first &= errors > 1
+                elif c == chunk:
+                    first &= (e == np.uint64(1 << FIELD * mask + FIELD - 1)) | ((e == 0) & (mask == 0))
+            keep = first & (total <= DISTANCE)
+            p, q = x[0][a[keep]], y[0][b[keep]]
+            yield np.minimum(p, q), np.maximum(p, q)
 
+    def task(batches):
+        for batch in batches:
+            slots, one, two = (batch.column(k) for k in range(3))
+            for i in range(batch.num_rows):
+                x, y = sides(one, i), sides(two, i)
+                for a, b in compare(slots[i].as_py(), x, x if y is None else y, y is None):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _distance(a: str, b: str):
-    """Differing 16-bit symbols of two packed signatures."""
-    return F.expr(
-        f"aggregate(transform(zip_with({a}, {b}, (x, y) -> x ^ y), d -> (d | shiftrightunsigned(d, 8)) & 71777214294589695L), "
-        "0, (n, d) -> n + bit_count((d | shiftrightunsigned(d, 4) | shiftrightunsigned(d, 2) | shiftrightunsigned(d, 6) "
-        "| shiftrightunsigned(d, 1) | shiftrightunsigned(d, 5) | shiftrightunsigned(d, 3) | shiftrightunsigned(d, 7)) "
-        "& 281479271743489L))")
+    return met.mapInArrow(task, "a long, b long").distinct()
 
 
 def _close(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
@@ -165,7 +228,7 @@ def _close(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     two = classes.select(F.col("doc_id").alias("b"), F.col("signature").alias("sig_b"), F.col("n_shingles").alias("n_b"))
     return (pairs.join(one, "a").join(two, "b")
             .where(F.expr(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)"))
-            .where(_distance("sig_a", "sig_b") <= DISTANCE).select("a", "b"))
+            .where(F.expr(f"{_distance('sig_a', 'sig_b')} <= {DISTANCE}")).select("a", "b"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -191,35 +254,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     index = _keys(classes)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     held = written(index.join(shared, "key"), "index")
-    sets = written(_sets(docs, held.select("doc_id").distinct(), shingle).dropDuplicates(["doc_id"]), "sets")
-
-    roots = None  # rows (node, root) of documents that are not their own root
-    for turn in range(HUB_ROUNDS + 1):
-        if roots is None:
-            mixed = held.withColumn("root", F.col("doc_id"))
-        else:
-            now = held.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-                "root", F.coalesce("root", "doc_id"))
-            split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-            mixed = now.join(split, "key")
-        if turn < HUB_ROUNDS:
-            first = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "root")).alias("hub")
-            hubs = mixed.groupBy("key").agg(first).select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.root").alias("hub_root"))
-            pairs = mixed.join(hubs, "key").where("root <> hub_root").select(
-                F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-            pairs = _close(pairs, classes, similarity)
-        else:
-            mixed = materialize(mixed.join(classes, "doc_id"))
-            one = mixed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "root", "signature", "n_shingles")])
-            two = mixed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "signature", "n_shingles")])
-            pairs = one.join(two, (one["key"] == two["key"]) & F.expr("root_a < root_b") & F.expr(
-                f"100 * least(n_shingles_a, n_shingles_b) >= {similarity} * greatest(n_shingles_a, n_shingles_b)")
-                & (_distance("signature_a", "signature_b") <= DISTANCE))
-            pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
-        links = materialize(_linked(pairs, sets, similarity))
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return written(_linked(pairs, written(_sets(docs, ids, shingle), "sets"), similarity), "links")
+
+    # A hub for every key; then all pairs that lie in different components.
+    first = F.min_by("doc_id", F.xxhash64("doc_id")).alias("hub")
+    pairs = held.join(held.groupBy("key").agg(first), "key").where("doc_id <> hub").select(
+        F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    links = confirmed(_close(pairs, classes, similarity))
+    now = held.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+        "root", F.coalesce("root", "doc_id"))
+    split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("holders")).where(
+        "x < y").select("key", "holders")
+    pairs = _across(now.join(split, "key").join(classes, "doc_id"), similarity)
+    roots = components(links.unionByName(confirmed(pairs)))
 
     named = (rows.join(classes_of, ["set_a", "set_b", "n_shingles"], "left")
              .join(roots.withColumnRenamed("node", "rep"), "rep", "left"))

@@ -141,9 +141,11 @@ def test_keep_one_has_one_row_a_group(spark):
     assert neardup.keep_one(none(spark)).collect() == []
 
 
-def test_large_group_of_near_copies_is_one_component(spark):
+@pytest.mark.parametrize("block", [256, 8])
+def test_large_group_of_near_copies_is_one_component(spark, monkeypatch, block):
     """Copies of one text, each with a few words of its own, and a chain in which
     only neighbours are similar enough."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     base = [f"w{i}" for i in range(100)]
     texts = []
     for i in range(150):
