@@ -99,16 +99,17 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def _parser(moves: list[dict[int, int]], width: int) -> np.ndarray:
-    """Table [state * width + symbol] -> next state * 2 + 1 if a phrase ended
-    before this symbol. Missing moves are those of the root; a symbol that the
-    root has no move for is a phrase of its own."""
-    root = np.full(width, 1, np.int32)
+    """Table [state * width + symbol] -> next state * 4 + phrases that end with
+    this step: the one before the symbol, if it cannot grow, and the symbol
+    itself, if no training text has it. Missing moves are those of the root."""
+    root = np.ones(width, np.int32)
     for symbol, to in moves[0].items():
-        root[symbol] = to * 2 + 1
-    table = np.tile(root, (len(moves), 1))
+        root[symbol] = to * 4
+    table = np.tile(root + 1, (len(moves), 1))
+    table[0] = root
     for state, out in enumerate(moves):
         for symbol, to in out.items():
-            table[state, symbol] = to * 2
+            table[state, symbol] = to * 4
     return table.ravel()
 
 
@@ -141,9 +142,9 @@ class Model:
             width = np.int32(self.width)
             for step, n in enumerate(active.tolist()):
                 move = table[state[:n] * width + symbols[first[:n] + step]]
-                ended[:n] += move & 1
-                state[:n] = move >> 1
-            out[order, lang] = np.maximum(1, ended)
+                ended[:n] += move & 3
+                state[:n] = move >> 2
+            out[order, lang] = ended + (state != 0)
         return out
 
 

@@ -9,15 +9,17 @@ labeller of each.
    number of labellers). Expectation-maximisation on those counts estimates how
    often each labeller votes what on good and on bad texts, and the posterior
    probability that a text with a given pattern is bad.
-2. A linear scorer on hashed features (words of a text, and its statistics in
-   steps) is fitted by logistic regression to the posterior labels of a sample of
+2. A linear scorer on hashed features (words of a text, their first bytes, and
+   its statistics in steps) is fitted by logistic regression to the posterior labels of a sample of
    about ``SAMPLE`` documents some labeller has an opinion on, which bounds the
-   fit; features met in fewer than ``MIN_DOCS`` of them get no weight.
+   fit. Features met in fewer than ``MIN_DOCS`` of them, or no oftener in bad
+   texts than in good ones, get no weight.
 3. Every document is scored on its whole text. It is kept if neither its
-   probability of junk nor that of toxicity exceeds ``THRESHOLD``.
+   probability of junk nor that of toxicity exceeds ``THRESHOLDS``; texts of fewer
+   than ``JUNK_WORDS`` words are not called junk.
 
-Null and empty texts have no features and are judged by the scorer's intercept
-alone: kept. Several labels of one document count as one bad label if any is.
+Null and empty texts have no features: toxicity is the scorer's intercept, and
+they are kept. Several labels of one document count as one bad label if any is.
 Repeated rows get equal results; null doc_ids are scored. Without labels the
 heuristics stand alone. An empty table gives an empty result. Extra columns are
 not read, or passed on by :func:`filter_documents`.
@@ -37,17 +39,30 @@ from netweave.llm import words as W
 BITS = 18
 SAMPLE = 8_000
 MIN_DOCS = 4
-THRESHOLD = 0.5
+#: Probabilities of junk and of toxicity beyond which a text is rejected.
+THRESHOLDS = (0.5, 0.2)
+#: Shorter texts say too little to be called junk.
+JUNK_WORDS = 20
+#: Bytes of a word's prefix.
+PREFIX_BYTES = 5
+#: Standard errors by which a feature must tell bad texts from good ones.
+SIGMAS = 3.0
 ROUNDS = 60
-#: Words per feature list at most come from the table size: 2**BITS.
+#: Probability that a human label is right.
+HUMAN = 0.999
 _SIZE = 1 << BITS
 _STEPS = 16
 
+#: Statistics among the features, and the value at which their last step begins.
+_STATISTICS = (("letters", 1), ("capitals", 1), ("stutter", 1), ("variety", 1), ("bare_symbols", 1), ("symbols", 1), ("word_length", 20))
+WORD_SCALE = 10.0
+
 # Insults that the toxicity labellers look for.
 INSULTS = ["clown", "disgusting", "dumb", "filthy", "idiot", "imbecile", "loser", "moron", "pathetic", "scum",
            "stupid", "trash", "worthless"]
 
-JUNK_LABELLERS = ("letters", "capitals", "stutter", "variety", "bare_symbols", "word_length", "label_quality")
+JUNK_LABELLERS = ("letters", "capitals", "stutter", "variety", "bare_symbols", "symbols", "word_length",
+                   "nothing_odd", "label_quality")
 TOXIC_LABELLERS = ("any_insult", "two_insults", "label_toxic")
 
 
@@ -57,6 +72,7 @@ def _sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 _IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _IS_UPPER = np.array([65 <= b <= 90 for b in range(256)])
+_IS_SYMBOL = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"()-/" for b in range(256)])
 _IS_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
@@ -67,6 +83,8 @@ class Seen:
     first: int
     words: np.ndarray
     bounds: np.ndarray
+    prefixes: np.ndarray
+    prefix_owner: np.ndarray
     stats: dict[str, np.ndarray]
     insults: np.ndarray
 
@@ -111,51 +129,63 @@ def _look(column) -> list[Seen]:
             "stutter": _sum_by(same, bounds) / total,
             "variety": np.log(np.maximum(1, distinct)) / size,
             "bare_symbols": _sum_by(hollow, bounds) / total,
+            "symbols": _sum_by(_IS_SYMBOL[part], marks) / visible,
             "word_length": visible / total,
             "words": plain.counts,
         }
+        # The first bytes of longer words stand for their inflections.
+        longer = np.flatnonzero(bare.ends - bare.starts > PREFIX_BYTES)
+        folded = W.ALNUM.fold[part]
+        prefix = np.zeros(len(longer), np.uint64)
+        for i in range(PREFIX_BYTES):
+            prefix = (prefix << np.uint64(8)) | folded[bare.starts[longer] + i]
         # Distinct insults of each text.
         bad = bare.hashes[0]
         at = np.minimum(np.searchsorted(insults, bad), len(insults) - 1)
         hit = np.flatnonzero(insults[at] == bad)
-        owner = np.repeat(np.arange(n), bare.counts)[hit]
-        pairs = np.unique(owner * len(insults) + at[hit])
-        out.append(Seen(plain.first, bad, bare.bounds, stats, np.bincount(pairs // len(insults), minlength=n)))
+        owner = np.repeat(np.arange(n), bare.counts)
+        pairs = np.unique(owner[hit] * len(insults) + at[hit])
+        out.append(Seen(plain.first, bad, bare.bounds, W._finish(prefix), owner[longer], stats, np.bincount(pairs // len(insults), minlength=n)))
     return out
 
 
 def _votes(seen: Seen) -> np.ndarray:
-    """Votes of the heuristic labellers, texts x labellers (junk, then toxic)."""
+    """Votes of the heuristic labellers, texts x labellers (junk, then toxic).
+    Each looks for one fault and says nothing where it finds none, since a text
+    free of one fault may have another; one votes for texts with nothing odd."""
     s, some = seen.stats, seen.stats["words"] > 0
     long = seen.stats["words"] >= 20
 
-    def vote(bad, good):
-        return np.where(bad, 1, np.where(good, 0, -1)) * some - ~some
-
-    return np.stack([
-        vote(s["letters"] < 0.8, s["letters"] > 0.9),
-        vote(s["capitals"] > 0.4, s["capitals"] < 0.2),
-        vote(s["stutter"] > 0.2, s["stutter"] < 0.05),
-        vote(long & (s["variety"] < 0.7), long & (s["variety"] > 0.85)),
-        vote(s["bare_symbols"] > 0.15, s["bare_symbols"] < 0.05),
-        vote((s["word_length"] > 15) | (s["word_length"] < 2), (s["word_length"] > 3) & (s["word_length"] < 12)),
-        vote(seen.insults >= 1, False),
-        vote(seen.insults >= 2, (seen.insults == 0) & long),
-    ], 1).astype(np.int8)
-
-
-def _features(seen: Seen) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of each text, and where each text's begin."""
-    owner = np.repeat(np.arange(seen.count), np.diff(seen.bounds))
-    hashed = (seen.words >> np.uint64(64 - BITS)).astype(np.int64)
-    parts = [owner * _SIZE + hashed]
+    faults = [
+        s["letters"] < 0.8, s["capitals"] > 0.4, s["stutter"] > 0.2, long & (s["variety"] < 0.7),
+        s["bare_symbols"] > 0.15, s["symbols"] > 0.1, (s["word_length"] > 15) | (s["word_length"] < 2)]
+    odd = np.any([s["letters"] < 0.9, s["capitals"] > 0.2, s["stutter"] > 0.05, s["variety"] < 0.85,
+                  s["bare_symbols"] > 0.05, s["symbols"] > 0.03, s["word_length"] > 12, s["word_length"] < 3], axis=0)
+    found = [np.where(some & fault, 1, -1) for fault in faults]
+    return np.stack([*found, np.where(some & long & ~odd, 0, -1), np.where(seen.insults >= 1, 1, -1),
+                     np.where(seen.insults >= 2, 1, -1)], 1).astype(np.int8)
+
+
+def _features(seen: Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of each text, their values, and where each text's begin.
+    A word or prefix counts by the square root of its share of the text, so all words of a
+    text, however long, have the same total of squares; a step of a statistic
+    counts 1 and has a slot of its own."""
+    n_words = np.diff(seen.bounds)
+    owner = np.repeat(np.arange(seen.count), n_words)
+    slots = len(_STATISTICS) * _STEPS
+    hashed = slots + (np.concatenate([seen.words, seen.prefixes]) % np.uint64(_SIZE - slots)).astype(np.int64)
+    words, times = np.unique(np.concatenate([owner, seen.prefix_owner]) * _SIZE + hashed, return_counts=True)
     some = np.flatnonzero(seen.stats["words"] > 0)
-    for i, (name, top) in enumerate((("letters", 1), ("capitals", 1), ("stutter", 1), ("variety", 1),
-                                     ("bare_symbols", 1), ("word_length", 20))):
+    parts, values = [words], [WORD_SCALE * np.sqrt(times / n_words[words // _SIZE])]
+    for i, (name, top) in enumerate(_STATISTICS):
         step = np.minimum(_STEPS - 1, seen.stats[name][some] * _STEPS / top).astype(np.int64)
-        parts.append(some * _SIZE + i * _STEPS + step)  # shares the first slots with a few words
-    every = np.unique(np.concatenate(parts))
-    return every % _SIZE, np.searchsorted(every // _SIZE, np.arange(seen.count + 1))
+        parts.append(some * _SIZE + i * _STEPS + step)
+        values.append(np.ones(len(some)))
+    every = np.concatenate(parts)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    return every % _SIZE, np.concatenate(values)[order], np.searchsorted(every // _SIZE, np.arange(seen.count + 1))
 
 
 def votes(docs: DataFrame) -> DataFrame:
@@ -176,8 +206,8 @@ def votes(docs: DataFrame) -> DataFrame:
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], gold: int, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior probability of *bad* for each pattern of votes, by
-    expectation-maximisation. ``gold``: the human labeller, which starts as
-    nearly always right; heuristics start as mostly right."""
+    expectation-maximisation. ``gold``: the human labeller, whose votes are right
+    with probability ``HUMAN`` throughout; heuristics start as mostly right."""
     if not patterns:
         return {}
     seen = np.array([p for p, _ in patterns])
@@ -185,7 +215,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], gold: int, rounds: int
     share = 0.15
     rate = np.zeros((2, seen.shape[1], 3))  # true class, labeller, vote (-1, 0, 1 as 0, 1, 2)
     for j in range(seen.shape[1]):
-        right = 0.98 if j == gold else 0.8
+        right = HUMAN if j == gold else 0.8
         rate[0, j] = (0.5, 0.5 * right, 0.5 * (1 - right))
         rate[1, j] = (0.5, 0.5 * (1 - right), 0.5 * right)
     for _ in range(rounds):
@@ -196,6 +226,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], gold: int, rounds: int
             for v in range(3):
                 rate[c, :, v] = ((weight * p)[:, None] * (seen + 1 == v)).sum(0)
             rate[c] = (rate[c] + 1) / (rate[c].sum(1, keepdims=True) + 3)
+            if 0 <= gold < seen.shape[1]:
+                voted = 1 - rate[c, gold, 0]
+                rate[c, gold, 1], rate[c, gold, 2] = (voted * HUMAN, voted * (1 - HUMAN))[::1 if c == 0 else -1]
     return {tuple(int(x) for x in p): float(b) for p, b in zip(seen, bad)}
 
 
@@ -206,40 +239,56 @@ class Scorer:
     weights: np.ndarray
     intercept: np.ndarray
 
-    def __call__(self, features: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def __call__(self, features: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         sums = np.zeros((len(starts) - 1, 2))
         for c in range(2):
-            sums[:, c] = np.diff(np.concatenate([[0.0], np.cumsum(self.weights[c][features])])[starts])
+            sums[:, c] = np.diff(np.concatenate([[0.0], np.cumsum(self.weights[c][features] * values)])[starts])
         return 1 / (1 + np.exp(-np.clip(sums + self.intercept, -50, 50)))
 
 
-def fit(features: np.ndarray, starts: np.ndarray, target: np.ndarray, known: np.ndarray,
-        rounds: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Scorer:
-    """Logistic regression with adaptive steps on binary features; ``known``
-    tells which rows count for which of the two targets."""
+def _log_ratio(at: np.ndarray, row: np.ndarray, width: int, target: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log of how much likelier each feature is in bad texts than in good ones
+    (smoothed), 0 where the difference is within ``SIGMAS`` standard errors."""
+    inside = rows[row]
+    bad = np.bincount(at[inside], target[row[inside]], width) + 0.5
+    good = np.bincount(at[inside], 1 - target[row[inside]], width) + 0.5
+    all_bad, all_good = target[rows].sum() + 1, (1 - target[rows]).sum() + 1
+    ratio = np.log(bad / all_bad) - np.log(good / all_good)
+    error = np.sqrt(1 / bad + 1 / good)
+    return np.where(np.abs(ratio) > SIGMAS * error, ratio, 0.0)
+
+
+def fit(features: np.ndarray, values: np.ndarray, starts: np.ndarray, target: np.ndarray, known: np.ndarray,
+        rounds: int = 200, rate: float = 0.5, decay: float = 1e-5) -> Scorer:
+    """Logistic regression with adaptive steps on the features that tell bad
+    from good texts, each scaled by its log ratio; ``known`` tells which rows
+    count for which of the two targets."""
     n = len(starts) - 1
     weights, intercept = np.zeros((2, _SIZE)), np.zeros(2)
-    row = np.repeat(np.arange(n), np.diff(starts))
+    every_row = np.repeat(np.arange(n), np.diff(starts))
     often = np.bincount(features, minlength=_SIZE) >= MIN_DOCS
     keep = often[features]
-    features, row = features[keep], row[keep]
-    used, at = np.unique(features, return_inverse=True)
+    features, values, every_row = features[keep], values[keep], every_row[keep]
+    used, every = np.unique(features, return_inverse=True)
     for c in range(2):
-        rows = known[:, c]
+        rows, t = known[:, c], target[:, c]
         if not rows.any():
             intercept[c] = -4.0
             continue
-        w, b = np.zeros(len(used)), -1.0
-        seen_w, seen_b = np.full(len(used), 1e-6), 1e-6
+        ratio = _log_ratio(every, every_row, len(used), t, rows)
+        telling = ratio[every] != 0
+        at, row, x = every[telling], every_row[telling], (values * ratio[every])[telling]
+        w, b = np.zeros(len(used)), 0.0
+        seen_w, seen_b = np.full(len(used), 1e-8), 1e-8
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], n) + b, -50, 50)))
-            error = np.where(rows, p - target[:, c], 0) / rows.sum()
-            grad, grad_b = np.bincount(at, error[row], len(used)) + decay * w / len(used), error.sum()
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * x, n) + b, -50, 50)))
+            error = np.where(rows, p - t, 0) / rows.sum()
+            grad, grad_b = np.bincount(at, error[row] * x, len(used)) + decay * w, error.sum()
             seen_w += grad ** 2
             seen_b += grad_b ** 2
             w -= rate * grad / np.sqrt(seen_w)
             b -= rate * grad_b / np.sqrt(seen_b)
-        weights[c][used], intercept[c] = w, b
+        weights[c][used], intercept[c] = w * ratio, b
     return Scorer(weights, intercept)
 
 
@@ -278,26 +327,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
         for batch in batches:
             q, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for seen in _look(batch.column(0)):
-                v, (features, starts) = _votes(seen), _features(seen)
+                v, (features, values, starts) = _votes(seen), _features(seen)
                 span = slice(seen.first, seen.first + seen.count)
                 junk = np.column_stack([v[:, :n], q[span]]).tolist()
                 toxic = np.column_stack([v[:, n:], t[span]]).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([models[0].get(tuple(p), 0.5) for p in junk]), pa.array([models[1].get(tuple(p), 0.5) for p in toxic]),
                      pa.array([max(p) >= 0 for p in junk]), pa.array([p[-1] >= 0 or max(p) > 0 for p in toxic]),
-                     pa.ListArray.from_arrays(starts.astype(np.int32), features.astype(np.int32))],
-                    ["junk", "toxic", "junk_known", "toxic_known", "features"])
+                     pa.ListArray.from_arrays(starts.astype(np.int32), features.astype(np.int32)),
+                     pa.ListArray.from_arrays(starts.astype(np.int32), values.astype(np.float32))],
+                    ["junk", "toxic", "junk_known", "toxic_known", "features", "values"])
 
-    got = picked.mapInArrow(task, "junk double, toxic double, junk_known boolean, toxic_known boolean, features array<int>").toArrow()
+    got = picked.mapInArrow(task, "junk double, toxic double, junk_known boolean, toxic_known boolean, "
+                            "features array<int>, values array<float>").toArrow()
     lists = got["features"].combine_chunks()
     features = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.array([len(x) for x in lists], np.int64)
+    values = got["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     target = np.column_stack([got["junk"].to_numpy(), got["toxic"].to_numpy()])
     known = np.column_stack([got["junk_known"].to_numpy(), got["toxic_known"].to_numpy()]).astype(bool)
-    return fit(features, np.concatenate([[0], np.cumsum(sizes)]), target.reshape(-1, 2), known.reshape(-1, 2))
+    return fit(features, values, np.concatenate([[0], np.cumsum(sizes)]), target.reshape(-1, 2), known.reshape(-1, 2))
 
 
-def _scored(docs: DataFrame, scorer: Scorer, names: list[str], threshold: float, only_kept: bool) -> DataFrame:
+def _scored(docs: DataFrame, scorer: Scorer, names: list[str], thresholds: tuple[float, float], only_kept: bool) -> DataFrame:
     """``names`` and, unless only kept rows are wanted, the three results."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     results = [] if only_kept else ["junk", "toxic", "kept"]
@@ -307,8 +359,10 @@ def _scored(docs: DataFrame, scorer: Scorer, names: list[str], threshold: float,
         for batch in batches:
             p = np.zeros((batch.num_rows, 2))
             for seen in _look(batch.column(len(names))):
-                p[seen.first:seen.first + seen.count] = s(*_features(seen))
-            kept = p.max(axis=1) <= threshold if batch.num_rows else np.zeros(0, bool)
+                own = s(*_features(seen))
+                own[seen.stats["words"] < JUNK_WORDS, 0] = 0.0
+                p[seen.first:seen.first + seen.count] = own
+            kept = (p <= thresholds).all(axis=1)
             rows = pa.RecordBatch.from_arrays(batch.columns[:len(names)], names)
             if only_kept:
                 yield rows.filter(pa.array(kept))
@@ -322,14 +376,14 @@ def _scored(docs: DataFrame, scorer: Scorer, names: list[str], threshold: float,
     return picked.mapInArrow(task, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresholds: tuple[float, float] = THRESHOLDS) -> DataFrame:
     """One row a document: doc_id, junk and toxic (probabilities), kept, and
     score (probability that it is neither)."""
     scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, sample),
-                     ["doc_id"], threshold, only_kept=False)
+                     ["doc_id"], thresholds, only_kept=False)
     return scored.withColumn("score", 1 - F.greatest("junk", "toxic"))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresholds: tuple[float, float] = THRESHOLDS) -> DataFrame:
     """``docs`` without the rejected ones, all columns as they are."""
-    return _scored(docs, train(docs, labels, sample), docs.columns, threshold, only_kept=True)
+    return _scored(docs, train(docs, labels, sample), docs.columns, thresholds, only_kept=True)
