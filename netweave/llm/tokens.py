@@ -29,8 +29,10 @@ PIECE_CHARS = 1 << 20
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 SPLIT = {
     "byte_bpe_50k.json": rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+",
-    "word_bpe_49k.json": rf"(?i:'(?:[stmd]|re|ve|ll))|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+",
+    "word_bpe_49k.json": rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+",
 }
+#: Vocabularies that lower-case a text before they cut it.
+FOLDED = {"word_bpe_49k.json"}
 _OTHER = re.compile(rf"[^\x20-\x7e\t\n\r{LETTERS}]")
 _WORKER: dict[str, Encoder] = {}
 
@@ -44,6 +46,7 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.split = re.compile(SPLIT[os.path.basename(path)]).findall
+        self.folded = os.path.basename(path) in FOLDED
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -75,7 +78,11 @@ class Encoder:
         """Ids of each text; an empty text has none."""
         if len(self.known) > CACHE_SIZE:
             self.known = {}
-        parts = [None if _OTHER.search(t) else [self.split(p) for p in self._pieces(t)] for t in texts]
+        parts = []
+        for t in texts:
+            folded = t.lower() if self.folded else t
+            odd = _OTHER.search(t) or (self.folded and _OTHER.search(folded))
+            parts.append(None if odd else [self.split(p) for p in self._pieces(folded)])
         words = chain.from_iterable(p for ps in parts if ps for p in ps)
         fresh = set(filterfalse(self.known.__contains__, words))
         if fresh:
