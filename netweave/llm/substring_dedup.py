@@ -177,7 +177,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = written(docs.mapInArrow(_anchor_rows(window), "doc_id long, node long, edge long"), "anchors")
     repeated = anchors.groupBy("node").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    hits = anchors.join(repeated, "node")
+    hits = written(anchors.join(repeated, "node"), "repeated")
     edges = hits.groupBy("node", "edge").agg(F.count("*").alias("edges"))
     marked = written(hits.join(edges, ["node", "edge"]).groupBy("doc_id").agg(
         F.collect_set(F.struct("node", "edge", "nodes", "edges")).alias("marks")), "marks")
