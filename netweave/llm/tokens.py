@@ -33,6 +33,10 @@ SPLIT = {
 }
 #: Vocabularies that lower-case a text before they cut it.
 FOLDED = {"word_bpe_49k.json"}
+#: How both vocabularies write bytes: printable ones as they are, the others as
+#: the characters from 256 on, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _OTHER = re.compile(rf"[^\x20-\x7e\t\n\r{LETTERS}]")
 _WORKER: dict[str, Encoder] = {}
 
@@ -53,13 +57,16 @@ class Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        got = self.model.encode(new, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(got.ids, "<u4").tobytes()
-        sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
-        ends = (np.cumsum(sizes) * 4).tolist()
-        at = 0
+        """Ids of pre-tokens, from the library's merges alone: cutting and
+        folding are done, and bytes are written as the vocabulary writes them."""
+        merge, known = self.model.model.tokenize, self.known
+        ids, ends = [], []
+        for piece in new:
+            ids += [t.id for t in merge(piece.encode().decode("latin-1").translate(_BYTES))]
+            ends.append(len(ids))
+        raw, at = np.array(ids, "<u4").tobytes(), 0
         for piece, end in zip(new, ends):
-            self.known[piece] = raw[at:end]
+            known[piece] = raw[4 * at:4 * end]
             at = end
 
     def _pieces(self, text: str):
