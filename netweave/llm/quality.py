@@ -27,6 +27,7 @@ not read, or passed on by :func:`filter_documents`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,12 +99,11 @@ def _insult_hashes() -> np.ndarray:
     return np.sort(group.hashes[0])
 
 
-def _look(column) -> list[Seen]:
-    """Every group of texts once: words between blanks for the statistics, words
+def _look(column) -> Iterator[Seen]:
+    """Every group of texts once, one at a time in memory: words between blanks for the statistics, words
     of letters and digits for the features."""
     buf, offsets = W.text_buffer(column)
     insults = _insult_hashes()
-    out = []
     for plain, bare in zip(W.words_of(column, W.PLAIN), W.words_of(column, W.ALNUM)):
         n = len(plain.counts)
         lo, hi = offsets[plain.first], offsets[plain.first + n]
@@ -145,8 +145,7 @@ def _look(column) -> list[Seen]:
         hit = np.flatnonzero(insults[at] == bad)
         owner = np.repeat(np.arange(n), bare.counts)
         pairs = np.unique(owner[hit] * len(insults) + at[hit])
-        out.append(Seen(plain.first, bad, bare.bounds, W._finish(prefix), owner[longer], stats, np.bincount(pairs // len(insults), minlength=n)))
-    return out
+        yield Seen(plain.first, bad, bare.bounds, W._finish(prefix), owner[longer], stats, np.bincount(pairs // len(insults), minlength=n))
 
 
 def _votes(seen: Seen) -> np.ndarray:

@@ -20,7 +20,7 @@ from itertools import chain, filterfalse
 
 import numpy as np
 
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 600_000
 #: Texts beyond this many characters go through the cache piece by piece.
 PIECE_CHARS = 1 << 20
 
