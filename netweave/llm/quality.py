@@ -10,16 +10,18 @@ labeller of each.
    often each labeller votes what on good and on bad texts, and the posterior
    probability that a text with a given pattern is bad.
 2. A linear scorer on hashed features (words of a text, their first bytes, and
-   its statistics in steps) is fitted by logistic regression to the posterior labels of a sample of
+   the steps that its statistics reach) is fitted by logistic regression to the posterior labels of a sample of
    about ``SAMPLE`` documents some labeller has an opinion on, which bounds the
    fit. Features met in fewer than ``MIN_DOCS`` of them, or no oftener in bad
    texts than in good ones, get no weight.
 3. Every document is scored on its whole text. It is kept if neither its
-   probability of junk nor that of toxicity exceeds ``THRESHOLDS``; texts of fewer
-   than ``JUNK_WORDS`` words are not called junk.
+   probability of junk nor that of toxicity exceeds ``THRESHOLDS``. Short texts
+   are judged like others; their statistics are drawn towards those of plain
+   prose and their words weigh less, by ``PRIOR_BYTES``, ``PRIOR_WORDS`` and
+   ``HALF_WORDS``.
 
-Null and empty texts have no features: toxicity is the scorer's intercept, and
-they are kept. Several labels of one document count as one bad label if any is.
+Null and empty texts have nothing to judge: both probabilities are 0, and they
+are kept. Several labels of one document count as one bad label if any is.
 Repeated rows get equal results; null doc_ids are scored. Without labels the
 heuristics stand alone. An empty table gives an empty result. Extra columns are
 not read, or passed on by :func:`filter_documents`.
@@ -42,8 +44,12 @@ SAMPLE = 8_000
 MIN_DOCS = 4
 #: Probabilities of junk and of toxicity beyond which a text is rejected.
 THRESHOLDS = (0.5, 0.2)
-#: Shorter texts say too little to be called junk.
-JUNK_WORDS = 20
+#: Bytes and words of plain prose that every text's statistics are mixed with, so few words say little.
+PRIOR_BYTES, PRIOR_WORDS = 18, 3
+#: A text of so many words has half of the weight of words that a long one has.
+HALF_WORDS = 20
+#: Words or bytes from which a text is long enough to be called varied, or plain.
+LONG_WORDS, LONG_BYTES = 20, 160
 #: Bytes of a word's prefix.
 PREFIX_BYTES = 5
 #: Standard errors by which a feature must tell bad texts from good ones.
@@ -74,6 +80,8 @@ def _sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _IS_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 _IS_UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _IS_SYMBOL = np.array([33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,;:'\"()-/" for b in range(256)])
+#: First bytes of kana, Chinese and Korean characters.
+_UNSPACED = np.array([0xE3 <= b <= 0xED for b in range(256)])
 _IS_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
@@ -108,10 +116,12 @@ def _look(column) -> Iterator[Seen]:
         n = len(plain.counts)
         lo, hi = offsets[plain.first], offsets[plain.first + n]
         part, marks = buf[lo:hi], offsets[plain.first:plain.first + n + 1] - lo
-        visible = np.maximum(1, _sum_by(~_IS_BLANK[part], marks))
+        visible = _sum_by(~_IS_BLANK[part], marks)
         letters = _sum_by(_IS_LETTER[part], marks)
         words, bounds = plain.hashes[0], plain.bounds
-        total = np.maximum(1, plain.counts)
+        total = plain.counts
+        # Scripts without blanks: about two characters (six bytes) a word.
+        spaced = total + _sum_by(_UNSPACED[part], marks) / 2
         same = np.zeros(len(words), bool)
         same[1:] = words[1:] == words[:-1]
         same[bounds[:-1][plain.counts > 0]] = False
@@ -122,16 +132,17 @@ def _look(column) -> Iterator[Seen]:
         distinct = np.bincount(doc[new], minlength=n)
         inner = np.concatenate([[0], np.cumsum(W.ALNUM.is_word[part])])
         hollow = inner[plain.ends] == inner[plain.starts]
-        size = np.log(np.maximum(2, total))
+        # Shares are drawn towards those of plain prose, as by PRIOR_BYTES bytes and PRIOR_WORDS words of it.
         stats = {
-            "letters": letters / visible,
-            "capitals": _sum_by(_IS_UPPER[part], marks) / np.maximum(1, letters),
-            "stutter": _sum_by(same, bounds) / total,
-            "variety": np.log(np.maximum(1, distinct)) / size,
-            "bare_symbols": _sum_by(hollow, bounds) / total,
-            "symbols": _sum_by(_IS_SYMBOL[part], marks) / visible,
-            "word_length": visible / total,
+            "letters": (letters + 0.97 * PRIOR_BYTES) / (visible + PRIOR_BYTES),
+            "capitals": _sum_by(_IS_UPPER[part], marks) / (letters + PRIOR_BYTES),
+            "stutter": _sum_by(same, bounds) / (total + PRIOR_WORDS),
+            "variety": np.log(np.maximum(1, distinct) + PRIOR_WORDS) / np.log(np.maximum(1, total) + PRIOR_WORDS),
+            "bare_symbols": _sum_by(hollow, bounds) / (total + PRIOR_WORDS),
+            "symbols": _sum_by(_IS_SYMBOL[part], marks) / (visible + PRIOR_BYTES),
+            "word_length": (visible + PRIOR_BYTES) / (spaced + PRIOR_WORDS),
             "words": plain.counts,
+            "bytes": visible,
         }
         # The first bytes of longer words stand for their inflections.
         longer = np.flatnonzero(bare.ends - bare.starts > PREFIX_BYTES)
@@ -153,7 +164,7 @@ def _votes(seen: Seen) -> np.ndarray:
     Each looks for one fault and says nothing where it finds none, since a text
     free of one fault may have another; one votes for texts with nothing odd."""
     s, some = seen.stats, seen.stats["words"] > 0
-    long = seen.stats["words"] >= 20
+    long = (s["words"] >= LONG_WORDS) | (s["bytes"] >= LONG_BYTES)
 
     faults = [
         s["letters"] < 0.8, s["capitals"] > 0.4, s["stutter"] > 0.2, long & (s["variety"] < 0.7),
@@ -167,20 +178,21 @@ def _votes(seen: Seen) -> np.ndarray:
 
 def _features(seen: Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of each text, their values, and where each text's begin.
-    A word or prefix counts by the square root of its share of the text, so all words of a
-    text, however long, have the same total of squares; a step of a statistic
-    counts 1 and has a slot of its own."""
+    A word or prefix counts by the square root of its share of the text, so the words of
+    long texts have the same total of squares, those of ``HALF_WORDS`` words half of
+    it; every step that a statistic reaches counts 1 and has a slot of its own."""
     n_words = np.diff(seen.bounds)
     owner = np.repeat(np.arange(seen.count), n_words)
     slots = len(_STATISTICS) * _STEPS
     hashed = slots + (np.concatenate([seen.words, seen.prefixes]) % np.uint64(_SIZE - slots)).astype(np.int64)
     words, times = np.unique(np.concatenate([owner, seen.prefix_owner]) * _SIZE + hashed, return_counts=True)
     some = np.flatnonzero(seen.stats["words"] > 0)
-    parts, values = [words], [WORD_SCALE * np.sqrt(times / n_words[words // _SIZE])]
+    parts, values = [words], [WORD_SCALE * np.sqrt(times / (n_words[words // _SIZE] + HALF_WORDS))]
     for i, (name, top) in enumerate(_STATISTICS):
-        step = np.minimum(_STEPS - 1, seen.stats[name][some] * _STEPS / top).astype(np.int64)
-        parts.append(some * _SIZE + i * _STEPS + step)
-        values.append(np.ones(len(some)))
+        reached = np.minimum(_STEPS - 1, seen.stats[name][some] * _STEPS / top).astype(np.int64) + 1
+        step = np.arange(reached.sum()) - np.repeat(np.cumsum(reached) - reached, reached)
+        parts.append(np.repeat(some, reached) * _SIZE + i * _STEPS + step)
+        values.append(np.ones(len(step)))
     every = np.concatenate(parts)
     order = np.argsort(every, kind="stable")
     every = every[order]
@@ -359,7 +371,7 @@ def _scored(docs: DataFrame, scorer: Scorer, names: list[str], thresholds: tuple
             p = np.zeros((batch.num_rows, 2))
             for seen in _look(batch.column(len(names))):
                 own = s(*_features(seen))
-                own[seen.stats["words"] < JUNK_WORDS, 0] = 0.0
+                own[seen.stats["words"] == 0] = 0.0
                 p[seen.first:seen.first + seen.count] = own
             kept = (p <= thresholds).all(axis=1)
             rows = pa.RecordBatch.from_arrays(batch.columns[:len(names)], names)

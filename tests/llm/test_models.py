@@ -84,6 +84,36 @@ def test_quality_held_out_labels(spark):
     assert sum(not got[r.doc_id].kept for r in toxic) >= 0.9 * len(toxic)
 
 
+@pytest.fixture(scope="module")
+def judged(spark):
+    """Labelled documents of sf0.1 and some more, judged by the labels of the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2))
+    rng = np.random.default_rng(5)
+    more = {-1: "#$%&*~^|" * 20_000, -2: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef0123456789+/"), 100_000)),
+            -3: "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 3000, 2000)), -4: "This.", -5: "||| $$$ ###"}
+    extra = spark.createDataFrame(list(more.items()), "doc_id long, text string")
+    rows_ = docs.select("doc_id", "text").unionByName(extra)
+    got, known = {}, {}
+    for h in (0, 1):
+        part = {r.doc_id: r for r in quality.classify(rows_, labels.where(half == h)).collect()}
+        test = labels.where(half == 1 - h).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+        known |= {r.doc_id: r for r in test}
+        got |= {i: part[i] for i in [*more, *(r.doc_id for r in test)]}
+    return got, known
+
+
+def test_quality_short_and_blank_free_texts(judged):
+    """Texts under 20 words and texts without blanks are judged by what they hold."""
+    got, known = judged
+    short = [r for r in known.values() if len(r.text.split()) < 20]
+    junk, clean = [r for r in short if r.quality == 0], [r for r in short if r.quality == 1 and r.toxic == 0]
+    assert len(junk) == 15 and len(clean) > 90
+    assert sum(not got[r.doc_id].kept for r in junk) >= 0.7 * len(junk)
+    assert sum(got[r.doc_id].kept for r in clean) >= 0.94 * len(clean)
+    assert [got[i].junk > 0.5 for i in (-1, -2, -3, -4, -5)] == [True, True, False, False, True]
+
+
 def test_quality_odd_rows(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
