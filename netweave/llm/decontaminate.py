@@ -3,11 +3,16 @@
 A seed is a mask of ``SPAN`` consecutive words of which some count and the others
 are ignored. Every benchmark item is hashed at every place under every mask; so
 is every place of every document. An equal hash is a hit: it aligns the item with
-the document at one diagonal, whatever stands at the ignored places. Around each
-hit the whole overlap of item and document on that diagonal is compared word by
-word; the item leaks if ``share`` of its words stand there, so substituted words
-do no harm as long as one mask finds undisturbed places. Items shorter than a span
-are found by their full word sequence alone.
+the document at one diagonal, whatever stands at the ignored places. Items
+shorter than a span are found by their full word sequence alone. An item leaks into a document in either of two ways:
+
+* ``share`` of its words stand on one diagonal (substituted words do no harm);
+* hits on diagonals at most ``SHIFT`` apart are chained, the alignment is extended
+  both ways to the ends of the overlap, and in its longest stretch with ``share``
+  of the columns equal (a word put in or left out is an unequal column) there are
+  ``LOCAL_WORDS`` columns, or ``share`` of the item's words. So an item cut by the
+  end of a document, a long part of one, or one with words put in or left out
+  leaks too.
 
 Masks are chosen so that two words substituted anywhere in an item of twice the
 span leave a hit under some mask.
@@ -36,8 +41,14 @@ from netweave.llm import words as W
 SPAN = 11
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("11101100101", "11011010011", "10110011101", "11111100000", "00000111111")
-#: Share of an item's words that must stand on one diagonal.
+#: Share of the words of an item, or of an aligned overlap, that must be equal.
 SHARE = 0.8
+#: Least aligned words of an overlap that is less than the item.
+LOCAL_WORDS = 13
+#: Diagonals that one chain of hits may shift by at a time: words put in or left out together.
+SHIFT = 8
+#: Words compared at once.
+STEP = 1 << 20
 BLOCK_WORDS = 4_000_000
 _OUT = "doc_id long, item_id long, start long, matched long, item_words long"
 
@@ -98,19 +109,98 @@ class _Seeds:
         return np.repeat(at, n), items[row], places[row]
 
 
-def _overlaps(seeds: _Seeds, words: np.ndarray, bounds: np.ndarray, doc: np.ndarray, item: np.ndarray,
-              begin: np.ndarray, share: float):
-    """Diagonals (document, item, begin) on which enough of the item stands."""
-    out = []
-    need = np.ceil(share * seeds.sizes[item] - 1e-9).astype(np.int64)
+def _whole(seeds: _Seeds, words: np.ndarray, bounds: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray):
+    """Words of the item that stand on each diagonal (document, item, begin)."""
     lo = np.maximum(begin, bounds[doc])
-    hi = np.minimum(begin + seeds.sizes[item], bounds[doc + 1])
-    for i in np.flatnonzero(hi - lo >= need).tolist():
-        there = seeds.starts[item[i]] + lo[i] - begin[i]
-        same = int(np.count_nonzero(words[lo[i]:hi[i]] == seeds.words[there:there + hi[i] - lo[i]]))
-        if same >= need[i]:
-            out.append((int(doc[i]), int(item[i]), int(begin[i]), same))
-    return out
+    size = np.maximum(0, np.minimum(begin + seeds.sizes[item], bounds[doc + 1]) - lo)
+    there = seeds.starts[item] + lo - begin
+    same = np.zeros(len(doc), np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(doc):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+        n = size[at:to]
+        row = np.repeat(np.arange(at, to), n)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        same[at:to] = np.bincount(row - at, words[lo[row] + inner] == seeds.words[there[row] + inner], to - at)
+        at = to
+    return same
+
+
+def _chains(inner: np.ndarray, begin: np.ndarray):
+    """Chains of hit runs of one item in one document, each a list of (diagonal,
+    first word of the item, last one). Runs are hits on one diagonal less than a
+    span apart; a chain goes on from a run to a later one ``SHIFT`` diagonals
+    away at most, at a cost of what that shift takes from the equal share."""
+    order = np.lexsort((inner, begin))
+    inner, begin = inner[order], begin[order]
+    new = np.ones(len(inner), bool)
+    new[1:] = (begin[1:] != begin[:-1]) | (inner[1:] - inner[:-1] > SPAN)
+    at = np.flatnonzero(new)
+    runs = sorted(zip(inner[at].tolist(), inner[np.append(at[1:], len(inner)) - 1].tolist(), begin[at].tolist()))
+    value, back, followed, latest = [], [], set(), {}
+    for r, (first, last, b) in enumerate(runs):
+        best, link = 0, -1
+        for shift in range(-SHIFT, SHIFT + 1):
+            p = latest.get(b + shift)
+            if p is not None and runs[p][0] < first + (shift == 0) and runs[p][0] + runs[p][2] < first + b:
+                gain = value[p] - min(SPAN, max(0, runs[p][1] + 1 - first)) - 4 * abs(shift)
+                if gain > best:
+                    best, link = gain, p
+        value.append(best + last - first + SPAN // 2)
+        back.append(link)
+        followed.add(link)
+        latest[b] = r
+    for r in range(len(runs)):
+        if r not in followed:
+            chain = [r]
+            while back[chain[-1]] >= 0:
+                chain.append(back[chain[-1]])
+            yield [(runs[c][2], runs[c][0], runs[c][1]) for c in reversed(chain)]
+
+
+def _path(chain, text: np.ndarray, own: np.ndarray):
+    """Columns of the alignment along a chain, to both ends of the overlap:
+    whether the words are equal, and the diagonal. A shift of the diagonal is as
+    many unequal columns, at the place that leaves most words equal."""
+    equal, diagonal, q = [], [], max(0, -chain[0][0])
+
+    def on(b: int, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros(max(0, hi - lo), bool)
+        a, z = max(lo, -b), min(hi, len(text) - b)
+        if a < z:
+            out[a - lo:z - lo] = text[a + b:z + b] == own[a:z]
+        return out
+
+    for (b, first, _), after in zip(chain, [*chain[1:], None]):
+        if after is None:
+            end, skip = max(q, min(len(own), len(text) - b)), 0
+        else:
+            skip = max(0, b - after[0])  # words of the item that the text leaves out
+            lo = max(q, min(first, after[1]))
+            hi = max(lo, min(len(own) - skip, after[2] + SPAN))
+            here, there = on(b, lo, hi), on(after[0], lo + skip, hi + skip)
+            gain = np.concatenate([[0], np.cumsum(here)]) - np.concatenate([[0], np.cumsum(there)])
+            end = lo + int(np.argmax(gain))
+        equal.append(on(b, q, end))
+        diagonal.append(np.full(end - q, b))
+        if after is not None:
+            shift = abs(after[0] - b)
+            equal.append(np.zeros(shift, bool))
+            diagonal.append(np.full(shift, after[0]))
+        q = end + skip
+    return np.concatenate(equal), np.concatenate(diagonal)
+
+
+def _stretch(equal: np.ndarray, share: float):
+    """Of the stretches of columns of which ``share`` are equal: the columns of the
+    longest, and the first column and the equal columns of that with most of them."""
+    sums = np.concatenate([[0.0], np.cumsum(equal - share)])
+    low = np.minimum.accumulate(sums)
+    first = np.searchsorted(-low, -(sums + 1e-9))
+    count = np.concatenate([[0], np.cumsum(equal)])
+    most = int(np.argmax(count - count[first]))
+    return int((np.arange(len(sums)) - first).max()), int(first[most]), int(count[most] - count[first[most]])
 
 
 def _found(seeds: _Seeds, column, share: float):
@@ -122,11 +212,33 @@ def _found(seeds: _Seeds, column, share: float):
         found = [seeds.hits(t, _spaced(words, m)) for m, t in zip(seeds.masks, seeds.tables)]
         found += [seeds.hits(t, W.sequence_hashes(words, size)) for size, t in seeds.short]
         place, item, inner = (np.concatenate([f[i] for f in found]) for i in range(3))
-        if len(place):
-            doc = np.searchsorted(bounds, place, side="right") - 1
-            diagonals = np.unique(np.stack([doc, item, place - inner], 1), axis=0)
-            out += [np.array([[d + group.first, i, b - bounds[d], same]], np.int64)
-                    for d, i, b, same in _overlaps(seeds, words, bounds, *diagonals.T, share)]
+        if not len(place):
+            continue
+        doc = np.searchsorted(bounds, place, side="right") - 1
+        hits = np.unique(np.stack([doc, item, place - inner, inner], 1), axis=0)
+        new = np.ones(len(hits), bool)
+        new[1:] = (hits[1:, :3] != hits[:-1, :3]).any(axis=1)
+        doc, item, begin = hits[new, :3].T
+        same = _whole(seeds, words, bounds, doc, item, begin)
+        leak = same >= np.ceil(share * seeds.sizes[item] - 1e-9)
+        out.append(np.stack([doc + group.first, item, begin - bounds[doc], same], 1)[leak])
+        # Partial and shifted overlaps, of items that stand whole on no diagonal.
+        pair = doc * len(seeds.sizes) + item
+        need = np.minimum(LOCAL_WORDS, np.ceil(share * seeds.sizes[item])) * share
+        pairs, at = np.unique(pair, return_inverse=True)
+        sums, settled = np.bincount(at, same, len(pairs)), np.bincount(at, leak, len(pairs)) > 0
+        wanted = ~settled & (sums >= np.floor(need[np.searchsorted(pair, pairs)]))
+        every = hits[:, 0] * len(seeds.sizes) + hits[:, 1]
+        for p in pairs[wanted].tolist():
+            part = hits[np.searchsorted(every, p):np.searchsorted(every, p, side="right")]
+            d, i = int(part[0, 0]), int(part[0, 1])
+            text = words[bounds[d]:bounds[d + 1]]
+            own = seeds.words[seeds.starts[i]:seeds.starts[i] + seeds.sizes[i]]
+            for chain in _chains(part[:, 3], part[:, 2] - bounds[d]):
+                equal, diagonal = _path(chain, text, own)
+                columns, lo, matched = _stretch(equal, share)
+                if matched and (columns >= LOCAL_WORDS or matched >= share * len(own) - 1e-9):
+                    out.append(np.array([[d + group.first, i, diagonal[lo], matched]], np.int64))
     return np.concatenate(out)
 
 
@@ -162,7 +274,8 @@ def _blocks(benchmark: DataFrame, limit: int):
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks=MASKS,
           block_words: int = BLOCK_WORDS) -> DataFrame:
     """Leaked items: doc_id, item_id, start (word of the document where the item
-    would begin), matched, item_words, similarity; of several alignments of one
+    would begin), matched, item_words, similarity (matched of item_words, less than
+    ``share`` where only a part of the item stands there); of several alignments of one
     item in one document the best, the first on ties."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = [_scan(docs, _Seeds(items, tuple(masks)), share) for items in _blocks(benchmark, block_words)]

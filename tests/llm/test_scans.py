@@ -118,6 +118,29 @@ def test_two_substitutions_leave_a_hit():
                        for m in decontaminate.MASKS for p in range(n - span + 1))
 
 
+def test_cut_and_shifted_items_leak(spark):
+    """Items cut by the end of a document, long parts, and words put in or left out."""
+    items = [(n, sentence(300 + n, n)) for n in (15, 18, 21, 30, 59, 500)]
+    own = {n: t.split() for n, t in items}
+    around = lambda words, seed: f"{sentence(seed, 40)} {' '.join(words)} {sentence(seed + 1, 40)}"
+    cases = []
+    for n, w in own.items():
+        h = n // 2
+        cases += [(n, around([*w[:h], "zzz", *w[h:]], n)), (n, around([*w[:h], *w[h + 1:]], n))]
+        if n >= 18:
+            cases += [(n, around(w[:n * 3 // 4], n)), (n, f"{sentence(n, 40)} {' '.join(w[:13])}"), (n, f"{' '.join(w[-13:])} {sentence(n, 9)}")]
+        if n >= 59:
+            third = n // 3
+            cases += [(n, around([*w[:third], "a", "b", *w[third:2 * third], *w[2 * third + 3:]], n))]
+    docs = spark.createDataFrame([*[(i, t) for i, (_, t) in enumerate(cases)], (1000, around(own[30][:9], 5)),
+                                  (1001, around([*own[30][:9], *sentence(9, 9).split(), *own[30][9:18]], 6))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(i, n) for i, (n, _) in enumerate(cases)}
+    assert (got[0, 15].matched, got[0, 15].start, got[1, 15].matched) == (15, 40, 14)
+    clean = decontaminate.drop_leaking(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in clean.collect()) == [1000, 1001]
+
+
 def test_leaks_of_test_tables(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
