@@ -3,8 +3,10 @@
 A seed is a mask of ``SPAN`` consecutive words of which some count and the others
 are ignored. Every benchmark item is hashed at every place under every mask; so
 is every place of every document. An equal hash is a hit: it aligns the item with
-the document at one diagonal, whatever stands at the ignored places. Items
-shorter than a span are found by their full word sequence alone. An item leaks into a document in either of two ways:
+the document at one diagonal, whatever stands at the ignored places. Items of
+fewer than ``BLOCKS_BELOW`` words are also cut into one block more than they may
+have words substituted, so one block is always undisturbed and found, however
+short. An item leaks into a document in either of two ways:
 
 * ``share`` of its words stand on one diagonal (substituted words do no harm);
 * hits on diagonals at most ``SHIFT`` apart are chained, the alignment is extended
@@ -47,6 +49,8 @@ SHARE = 0.8
 LOCAL_WORDS = 13
 #: Diagonals that one chain of hits may shift by at a time: words put in or left out together.
 SHIFT = 8
+#: Items of fewer words are also looked up by blocks that no allowed substitutions can all disturb.
+BLOCKS_BELOW = 64
 #: Words compared at once.
 STEP = 1 << 20
 BLOCK_WORDS = 4_000_000
@@ -71,7 +75,7 @@ def _spaced(words: np.ndarray, mask: str) -> np.ndarray:
 class _Seeds:
     """All seeds of one block of benchmark items, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...]):
+    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], share: float):
         self.masks = masks
         groups = list(W.words_of(pa.array([t for _, t in items], pa.string()), W.LOWER))
         self.words = np.concatenate([g.hashes[0] for g in groups] or [np.zeros(0, np.uint64)])
@@ -85,11 +89,19 @@ class _Seeds:
             h = _spaced(self.words, mask)
             at = np.flatnonzero(item[:len(h)] == item[span - 1:]) if len(h) else np.zeros(0, np.int64)
             self.tables.append(self._table(h[at], item[at], at - self.starts[item[at]]))
-        self.short = []  # (words, table) of items that no span fits in
-        for size in np.unique(counts[(counts > 0) & (counts < span)]).tolist():
-            own = np.flatnonzero(counts == size)
-            h = W.sequence_hashes(self.words, size)[self.starts[own]]
-            self.short.append((size, self._table(h, own, np.zeros(len(own), np.int64))))
+        # One of allowed + 1 consecutive blocks of an item stands undisturbed.
+        blocks: dict[int, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero((counts > 0) & (counts < BLOCKS_BELOW)).tolist():
+            size = int(counts[i])
+            parts = min(size, size - int(np.ceil(share * size - 1e-9)) + 1)
+            cuts = [size * j // parts for j in range(parts + 1)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                blocks.setdefault(hi - lo, []).append((i, lo))
+        self.blocks = []  # (words, table)
+        for size, places in sorted(blocks.items()):
+            own, inner = np.array(places, np.int64).T
+            h = W.sequence_hashes(self.words, size)[self.starts[own] + inner]
+            self.blocks.append((size, self._table(h, own, inner)))
 
     @staticmethod
     def _table(hashes, items, places):
@@ -210,7 +222,7 @@ def _found(seeds: _Seeds, column, share: float):
     for group in W.words_of(column, W.LOWER):
         words, bounds = group.hashes[0], group.bounds
         found = [seeds.hits(t, _spaced(words, m)) for m, t in zip(seeds.masks, seeds.tables)]
-        found += [seeds.hits(t, W.sequence_hashes(words, size)) for size, t in seeds.short]
+        found += [seeds.hits(t, W.sequence_hashes(words, size)) for size, t in seeds.blocks]
         place, item, inner = (np.concatenate([f[i] for f in found]) for i in range(3))
         if not len(place):
             continue
@@ -278,7 +290,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks=MAS
     ``share`` where only a part of the item stands there); of several alignments of one
     item in one document the best, the first on ties."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [_scan(docs, _Seeds(items, tuple(masks)), share) for items in _blocks(benchmark, block_words)]
+    parts = [_scan(docs, _Seeds(items, tuple(masks), share), share) for items in _blocks(benchmark, block_words)]
     if not parts:
         parts = [docs.sparkSession.createDataFrame([], _OUT)]
     best = F.max(F.struct("matched", (-F.col("start")).alias("back"), "item_words")).alias("best")
@@ -307,5 +319,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, ma
         return rows.select("*", F.col("text").cast("string").alias("whole text")).mapInArrow(task, docs.schema)
 
     for items in _blocks(benchmark, block_words):
-        docs = filtered(docs, _Seeds(items, tuple(masks)))
+        docs = filtered(docs, _Seeds(items, tuple(masks), share))
     return docs

@@ -1,5 +1,6 @@
 """Licence scan and benchmark decontamination against brute force."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -141,6 +142,24 @@ def test_cut_and_shifted_items_leak(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [1000, 1001]
 
 
+def test_allowed_substitutions_at_every_length(spark):
+    """Up to 20 % of the words of items of 2 to 30 words, anywhere, against brute force."""
+    rng = random.Random(8)
+    items = [(n, sentence(500 + n, n)) for n in range(2, 31)]
+    table = []
+    for n, text in items:
+        for round_ in range(12):
+            words = text.split()
+            for i in rng.sample(range(n), n // 5 + (round_ == 0)):
+                words[i] = "zzz"
+            table.append((len(table), f"{sentence(len(table), 5)} {' '.join(words)} {sentence(len(table) + 1, 5)}"))
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaked(table, items, 0.8)
+    assert len(want) >= 11 * len(items) and {k: got.get(k) for k in want} == want
+    assert all(item >= decontaminate.LOCAL_WORDS for _, item in set(got) - set(want))
+
+
 def test_leaks_of_test_tables(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
