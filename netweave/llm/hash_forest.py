@@ -11,7 +11,9 @@ own sorted arrays, so no array grows with the table; what a query meets at a
 prefix length is the sum over segments. Two passes: the first counts, for each
 query and prefix length, the strings met in all trees; the second gathers the
 candidates at the length settled on, keeps each partition's ``k`` best and ranks
-those. Queries are taken in blocks of ``QUERY_BLOCK``, which bounds what is
+those. Queries that met fewer than ``k`` candidates there (one vector can give a
+string to every tree) gather again at half the length, at most six times, down to
+all vectors. Queries are taken in blocks of ``QUERY_BLOCK``, which bounds what is
 broadcast; each block is two passes over the vectors.
 
 How many strings are enough is measured, not guessed: ``CALIBRATION`` queries,
@@ -27,6 +29,7 @@ empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+from copy import copy
 from functools import reduce
 
 import numpy as np
@@ -88,6 +91,13 @@ class _Queries:
         self.strings = _strings(vectors)
         self.length: np.ndarray | None = None  # prefix length settled on
 
+    def only(self, some: np.ndarray) -> _Queries:
+        """Some of the queries, at their prefix lengths."""
+        out = copy(self)
+        out.ids, out.vectors, out.norms, out.length = self.ids[some], self.vectors[some], self.norms[some], self.length[some]
+        out.strings, out.calibrated = self.strings[:, some], 0
+        return out
+
 
 def _segments(batches, dim: int):
     """(ids, vectors, norms) of at most SEGMENT rows."""
@@ -190,6 +200,23 @@ def _gather(vectors: DataFrame, queries: _Queries, dim: int, k: int) -> DataFram
     return vectors.mapInArrow(task, _FOUND)
 
 
+def _all_found(vectors: DataFrame, queries: _Queries, dim: int, k: int) -> list[DataFrame]:
+    """Best candidates of every query, gathered again at half the prefix length for
+    queries with fewer than ``k`` until ``k`` are met or length 0, which is all."""
+    parts = []
+    while True:
+        found = written(_gather(vectors, queries, dim, k), "forest_found")
+        counts = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        reached = counts.select("query_id").toArrow()["query_id"].to_numpy()
+        short = (queries.length > 0) & ~np.isin(queries.ids, reached)
+        if not short.any():
+            return [*parts, found]
+        again = queries.ids[short].tolist()
+        parts.append(found.join(F.broadcast(found.sparkSession.createDataFrame([(i,) for i in again], "query_id long")), "query_id", "left_anti"))
+        queries = queries.only(short)
+        queries.length = queries.length // 2
+
+
 def nearest(embeddings: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall: float = RECALL,
             query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score (cosine) of the ``k`` nearest found for
@@ -224,7 +251,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = NEIGHBOURS, recall
         if enough is None:
             enough = _enough(met, true, recall)
         q.length = _settle(met, enough)
-        parts.append(_gather(vectors, q, dim, k))
+        parts += _all_found(vectors, q, dim, k)
     if not parts:
         return empty
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -158,6 +158,22 @@ def test_forest_odd_rows(spark):
     assert rows(hash_forest.nearest(two, F.lit(True)).select("query_id", "rank", "vec_id")) in ([(0, 1, 1), (1, 1, 0)], [(1, 1, 0), (0, 1, 1)])
 
 
+def test_forest_groups_of_copies(spark):
+    """Near groups of six settle the length; exact triples among them still get five."""
+    rng = np.random.default_rng(4)
+    near = np.repeat(rng.standard_normal((400, 64)), 6, axis=0) + 0.1 * rng.standard_normal((2400, 64))
+    copies = np.repeat(rng.standard_normal((6, 64)), 3, axis=0)
+    table = [(i, v.tolist()) for i, v in enumerate([*near, *copies])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    asks = F.when(F.col("vec_id") < 2400, F.col("vec_id") % 8 == 0).otherwise(F.col("vec_id") % 3 == 0)
+    got = {}
+    for r in hash_forest.nearest(df, asks).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 306
+    assert [q for q, v in got.items() if len(set(v)) < 5 or len(v) != 5] == []
+    assert all({q + 1, q + 2} <= set(v) for q, v in got.items() if q >= 2400)
+
+
 @pytest.mark.parametrize("block", [50_000, 7])
 def test_forest_recall(spark, sf, block):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
