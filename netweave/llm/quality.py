@@ -11,8 +11,8 @@ labeller of each.
    probability that a text with a given pattern is bad.
 2. A linear scorer on hashed features (words of a text, their first bytes, and
    the steps that its statistics reach) is fitted by logistic regression to the posterior labels of a sample of
-   about ``SAMPLE`` documents some labeller has an opinion on, which bounds the
-   fit. Features met in fewer than ``MIN_DOCS`` of them, or no oftener in bad
+   about ``SAMPLE`` documents, which bounds the fit: labelled documents first;
+   others that some labeller votes on fill it up, ``LABEL_WORTH`` fewer a label. Features met in fewer than ``MIN_DOCS`` of them, or no oftener in bad
    texts than in good ones, get no weight.
 3. Every document is scored on its whole text. It is kept if neither its
    probability of junk nor that of toxicity exceeds ``THRESHOLDS``. Short texts
@@ -42,6 +42,8 @@ from netweave.llm import words as W
 BITS = 18
 SAMPLE = 8_000
 MIN_DOCS = 4
+#: Documents with votes only that one labelled document stands for in the sample.
+LABEL_WORTH = 8
 #: Probabilities of junk and of toxicity beyond which a text is rejected.
 THRESHOLDS = (0.5, 0.2)
 #: Bytes and words of plain prose that every text's statistics are mixed with, so few words say little.
@@ -58,6 +60,7 @@ ROUNDS = 60
 #: Probability that a human label is right.
 HUMAN = 0.999
 _SIZE = 1 << BITS
+_PARTS = 1 << 40
 _STEPS = 16
 
 #: Statistics among the features, and the value at which their last step begins.
@@ -303,6 +306,19 @@ def fit(features: np.ndarray, values: np.ndarray, starts: np.ndarray, target: np
     return Scorer(weights, intercept)
 
 
+def _sample(docs: DataFrame, human: DataFrame, labelled: int, voted: int, sample: int) -> DataFrame:
+    """text, q and t (human votes) of about ``sample`` documents at most: labelled
+    ones, and of the others, of which ``voted`` have a vote of some labeller, the
+    fewer the more labels there are, whatever the number of documents."""
+    def below(share: float):
+        return F.pmod(F.xxhash64("doc_id", "text"), F.lit(_PARTS)) < int(share * _PARTS)
+
+    has_label = F.coalesce(F.greatest("label_quality", "label_toxic") >= 0, F.lit(False))
+    share = min(1.0, sample / max(1, labelled)), min(1.0, max(0, sample - LABEL_WORTH * labelled) / max(1, voted))
+    return docs.join(human, "doc_id", "left").where(F.when(has_label, below(share[0])).otherwise(below(share[1]))).select(
+        "text", F.coalesce("label_quality", F.lit(-1)).alias("q"), F.coalesce("label_toxic", F.lit(-1)).alias("t"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """Label model over all documents, then the scorer on a sample."""
     spark = docs.sparkSession
@@ -326,13 +342,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
 
     models = (posterior(0, n), posterior(1, len(TOXIC_LABELLERS) - 1))
 
-    # A sample, by hash, of labelled documents; of all where too few are labelled.
-    total, labelled = sum(c[2] for c in counts), sum(c[2] for c in counts if c[0][-1] >= 0 or c[1][-1] >= 0)
-    enough = labelled >= sample // 8
-    share = min(1.0, sample / max(1, labelled if enough else total))
-    picked = docs.join(human, "doc_id", "inner" if enough else "left").where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(
-        "text", F.coalesce("label_quality", F.lit(-1)).alias("q"), F.coalesce("label_toxic", F.lit(-1)).alias("t"))
+    labelled = sum(c[2] for c in counts if max(c[0][-1], c[1][-1]) >= 0)
+    voted = sum(c[2] for c in counts if max(c[0][-1], c[1][-1]) < 0 <= max(*c[0], *c[1]))
+    picked = _sample(docs, human, labelled, voted, sample)
 
     def task(batches):
         for batch in batches:
@@ -350,7 +362,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
                     ["junk", "toxic", "junk_known", "toxic_known", "features", "values"])
 
     got = picked.mapInArrow(task, "junk double, toxic double, junk_known boolean, toxic_known boolean, "
-                            "features array<int>, values array<float>").toArrow()
+                            "features array<int>, values array<float>").where("junk_known OR toxic_known").toArrow()
     lists = got["features"].combine_chunks()
     features = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     values = got["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)

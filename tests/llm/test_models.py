@@ -114,6 +114,17 @@ def test_quality_short_and_blank_free_texts(judged):
     assert [got[i].junk > 0.5 for i in (-1, -2, -3, -4, -5)] == [True, True, False, False, True]
 
 
+def test_labels_stay_in_the_sample(spark):
+    """Few labels among many documents all enter the sample; rows without id are dealt by their text."""
+    docs = spark.createDataFrame([(i if i < 1000 else None, sentence(i, 12)) for i in range(3000)], "doc_id long, text string")
+    human = spark.createDataFrame([(i, i % 2, -1) for i in range(60)], "doc_id long, label_quality int, label_toxic int")
+    few = quality._sample(docs, human, 60, 2940, 600).collect()
+    assert sum(r.q >= 0 for r in few) == 60 and 80 <= sum(r.q < 0 for r in few) <= 160
+    ids = {t: i for i, t in ((r.doc_id, r.text) for r in docs.collect())}
+    assert 50 <= sum(ids[r.text] is None for r in few) <= 115
+    assert 10 <= len(quality._sample(docs, human, 60, 2940, 30).collect()) <= 50
+
+
 def test_quality_odd_rows(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
