@@ -114,6 +114,21 @@ def test_quality_short_and_blank_free_texts(judged):
     assert [got[i].junk > 0.5 for i in (-1, -2, -3, -4, -5)] == [True, True, False, False, True]
 
 
+def test_quality_rejects_toxic_texts_of_every_language(judged):
+    """Labels alone tell toxic texts of other languages than English: no listed insult is theirs."""
+    got, known = judged
+    toxic = [r for r in known.values() if r.toxic == 1]
+    rate = {}
+    for r in toxic:
+        rate.setdefault(r.lang, []).append(not got[r.doc_id].kept)
+    print({x: (sum(v), len(v)) for x, v in rate.items()})
+    assert set(rate) == {"en", "fr", "de", "es"} and sum(map(len, rate.values())) == 449
+    assert sum(rate["en"]) >= 0.9 * len(rate["en"])
+    other = [v for x in ("fr", "de", "es") for v in rate[x]]
+    assert len(other) == 170 and sum(other) >= 0.4 * len(other)
+    assert all(sum(v) >= 0.25 * len(v) for v in rate.values())
+
+
 def test_labels_stay_in_the_sample(spark):
     """Few labels among many documents all enter the sample; rows without id are dealt by their text."""
     docs = spark.createDataFrame([(i if i < 1000 else None, sentence(i, 12)) for i in range(3000)], "doc_id long, text string")
