@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netweave.llm import oracles
 from netweave.session import ensure_checkpoint_dir, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,26 @@ def q_hash_prefix_forest(spark, sf):
 
     from netweave.llm import hash_forest as A
     return A.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register("op11_secret_scan", oracles.secret_scan())
+def q_secret_scan(spark, sf):
+    """Secrets of all documents, scanned blob by blob into a ledger."""
+    from netweave.llm import secret_scan as S
+    return S.digest(S.scan(table(spark, sf, "documents"), scratch_path(spark, "secret_ledger"), ["doc_id"]))
+
+
+@register("op12_spelling_variants", oracles.SPELLING)
+def q_spelling_variants(spark, sf):
+    """Words of all documents with their more frequent near form and root."""
+    from netweave.llm import spelling as V
+    return V.group_variants(table(spark, sf, "documents"))
+
+
+@register("op13_cross_tokenizer_alignment")
+def q_cross_tokenizer_alignment(spark, sf):
+    """All documents aligned between two vocabularies, with counts of token pairs."""
+    from netweave.llm import align as X
+    from netweave.llm.token_files import vocabulary
+    return X.align(table(spark, sf, "documents"), scratch_path(spark, "align"),
+                   vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
