@@ -87,7 +87,7 @@ def aligned(spark, docs):
 
 
 def test_documents_and_awkward_texts(spark, sf, monkeypatch):
-    monkeypatch.setattr(X, "BUCKET_PAIRS", 1000)  # many buckets
+    monkeypatch.setattr(X, "BUCKET_PAIRS", 400)  # many buckets
     monkeypatch.setattr(X, "FAN", 2)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 70").unionByName(
         spark.createDataFrame(list(enumerate(TEXTS, 10**6)), "doc_id long, text string"))
