@@ -1,12 +1,18 @@
-"""Exact quantiles (linear interpolation between order statistics) without
-gathering a column anywhere.
+"""Quantiles without gathering a column anywhere: exact by radix refinement, or
+approximate from mergeable sketches.
 
-Each wanted rank is searched by histogram refinement: one aggregation counts the
-values of the current range in ``BINS`` equal bins, the bin that holds the rank
-becomes the next range (its own least and greatest value), until a range is a
-single value. Bins are monotone in the value, so ranks stay exact under ties and
-rounding. A pass narrows the range to a ``BINS``-th at least, so it always ends;
-the driver sees at most ``BINS`` rows a rank and pass, whatever the input.
+Exact: each wanted rank is searched by ranges of the order of doubles. The first
+pass counts values by sign and binary exponent (at most some 4,300 bins a column),
+which also gives the number of values, the infinities and the NaNs. Every other
+pass cuts the range that holds the rank in ``BINS`` equal parts; within one binary
+exponent that settles 12 of the 52 bits below it, whatever the values. So an exact
+quantile takes at most ``MAX_PASSES`` passes, one aggregation each, for any number of
+columns and ranks; the driver sees at most ``BINS`` rows a rank and pass. Bins are
+monotone in the value and a range runs from the least to the greatest value really
+found, so ranks stay exact under ties and rounding.
+
+Approximate (opt-in): ``quantile_sketches`` makes one small KLL sketch a column and group;
+sketches of parts merge, so quantiles of any lookback come from stored ones.
 
 NULLs are ignored; -inf, finite values, +inf and NaN sort in this order.
 """
@@ -14,83 +20,106 @@ NULLs are ignored; -inf, finite values, +inf and NaN sort in this order.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
+MAX_PASSES = 6
+_LOW, _HIGH, _NAN = -100_000, 100_000, 100_001
+#: Above all binary exponents of doubles, in size.
+_SHIFT = 2000
 
 
-def _bounds(df: DataFrame, cols: list[str]) -> dict[str, dict]:
-    """Per column: how many values, infinities and NaNs; finite range."""
-    inf = float("inf")
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(f"`{c}`").cast("double")
-        finite = F.when(~F.isnan(v) & (F.abs(v) < inf), v)
-        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v == -inf).alias(f"low{i}"), F.count(finite).alias(f"finite{i}"),
-                 F.count_if(v == inf).alias(f"high{i}"), F.min(finite).alias(f"min{i}"), F.max(finite).alias(f"max{i}")]
-    row = df.agg(*aggs).first().asDict()
-    return {c: {k: row[f"{k}{i}"] for k in ("n", "low", "finite", "high", "min", "max")} for i, c in enumerate(cols)}
+def _value(col: str) -> Column:
+    return F.col(f"`{col}`").cast("double")
 
 
-def order_statistics(df: DataFrame, ranks: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
-    """The value at each (column, rank from 0); ranks lie within the column."""
-    cols = list(dict.fromkeys(c for c, _ in ranks))
-    bounds = _bounds(df, cols)
+def _exponent_bin(v: Column) -> Column:
+    """Sign and binary exponent as one number in the order of the values."""
+    e = F.floor(F.log2(F.abs(v))).cast("int") + _SHIFT
+    return (F.when(F.isnan(v), _NAN).when(v == float("inf"), _HIGH).when(v == float("-inf"), _LOW)
+            .when(v > 0, e).when(v < 0, -e).otherwise(0))
+
+
+def _counted(df: DataFrame, parts: list[Column]) -> list[list[tuple]]:
+    """One pass: (bin, count, least, greatest) of each part, in order; a part is
+    NULL where a row does not belong to it, else (t, bin, v)."""
+    rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).groupBy("r.t", "r.bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("r.v").alias("lo"), F.max("r.v").alias("hi")).collect()
+    out: list[list[tuple]] = [[] for _ in parts]
+    for r in rows:
+        out[r["t"]].append((r["bin"], r["n"], r["lo"], r["hi"]))
+    return [sorted(b) for b in out]
+
+
+def _by_exponent(df: DataFrame, cols: list[str]) -> dict[str, list[tuple]]:
+    parts = [F.when(_value(c).isNotNull(), F.struct(F.lit(i).alias("t"), _exponent_bin(_value(c)).alias("bin"), _value(c).alias("v")))
+             for i, c in enumerate(cols)]
+    return dict(zip(cols, _counted(df, parts)))
+
+
+def _find(bins: list[tuple], rank: int) -> tuple[float, float, int]:
+    """Range of the bin that holds a rank, and the rank within it."""
+    for _, n, lo, hi in bins:
+        if rank < n:
+            return lo, hi, rank
+        rank -= n
+    raise IndexError("rank beyond the column")
+
+
+def _refine(df: DataFrame, first: dict[str, list[tuple]], ranks: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    open_ = {(c, rank): _find(first[c], rank) for c, rank in ranks}
     found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # range, rank within it
-    for c, rank in ranks:
-        b = bounds[c]
-        if rank < b["low"]:
-            found[c, rank] = float("-inf")
-        elif rank >= b["low"] + b["finite"]:
-            found[c, rank] = float("inf") if rank < b["low"] + b["finite"] + b["high"] else float("nan")
-        else:
-            open_[c, rank] = (b["min"], b["max"], rank - b["low"])
     while True:
         for key, (lo, hi, _) in list(open_.items()):
-            if lo == hi:
+            if lo == hi or math.isnan(lo):
                 found[key] = lo
                 del open_[key]
         if not open_:
             return found
-        parts = []
-        targets = list(open_.items())
+        targets, parts = list(open_.items()), []
         for i, ((c, _), (lo, hi, _)) in enumerate(targets):
-            scale = 1.0 if math.isfinite(hi - lo) else 0.5
-            v = F.col(f"`{c}`").cast("double")
-            step = (v * scale - lo * scale) / F.lit(hi * scale - lo * scale)
-            here = F.least(F.floor(step * BINS), F.lit(BINS - 1)).cast("int")
+            v = _value(c)
+            here = F.least(F.floor((v - lo) / F.lit(hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
             parts.append(F.when(v.between(lo, hi), F.struct(F.lit(i).alias("t"), here.alias("bin"), v.alias("v"))))
-        counted = (df.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).groupBy("r.t", "r.bin")
-                   .agg(F.count(F.lit(1)).alias("n"), F.min("r.v").alias("lo"), F.max("r.v").alias("hi")))
-        bins: dict[int, list] = {}
-        for r in counted.collect():
-            bins.setdefault(r["t"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
-        for i, (key, (_, _, rank)) in enumerate(targets):
-            for _, n, lo, hi in sorted(bins[i]):
-                if rank < n:
-                    open_[key] = (lo, hi, rank)
-                    break
-                rank -= n
+        for (key, (_, _, rank)), bins in zip(targets, _counted(df, parts)):
+            open_[key] = _find(bins, rank)
+
+
+def order_statistics(df: DataFrame, ranks: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """The value at each (column, rank from 0); ranks lie within the column."""
+    return _refine(df, _by_exponent(df, list(dict.fromkeys(c for c, _ in ranks))), ranks)
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], q: float) -> dict[str, float | None]:
     """Quantile ``q`` of each column, as linear interpolation on the sorted
     values (``quantile_cont``); None where a column has no value."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    sizes = dict(zip(cols, counts))
+    first = _by_exponent(df, cols)
+    sizes = {c: sum(n for _, n, _, _ in first[c]) for c in cols}
     at = {c: q * (n - 1) for c, n in sizes.items() if n}
-    ranks = reduce(lambda out, c: out + [(c, math.floor(at[c])), (c, min(math.floor(at[c]) + 1, sizes[c] - 1))], at, [])
-    values = order_statistics(df, list(dict.fromkeys(ranks))) if ranks else {}
-    out: dict[str, float | None] = {}
-    for c in cols:
-        if c not in at:
-            out[c] = None
-            continue
-        low = math.floor(at[c])
-        a, b = values[c, low], values[c, min(low + 1, sizes[c] - 1)]
+    ranks = {c: (math.floor(p), min(math.floor(p) + 1, sizes[c] - 1)) for c, p in at.items()}
+    values = _refine(df, first, list(dict.fromkeys((c, r) for c, two in ranks.items() for r in two)))
+    out: dict[str, float | None] = dict.fromkeys(cols)
+    for c, (low, high) in ranks.items():
+        a, b = values[c, low], values[c, high]
         out[c] = a if a == b or at[c] == low else a + (b - a) * (at[c] - low)
     return out
+
+
+def quantile_sketches(df: DataFrame, cols: list[str], by: list[str] | None = None, k: int = 400) -> DataFrame:
+    """One KLL sketch a column and group of ``by``; the rank error of a quantile is
+    about 2.3 / ``k`` at most in 99 of 100 cases. NULL and NaN are ignored."""
+    sketches = [F.kll_sketch_agg_double(F.when(~F.isnan(_value(c)), _value(c)), k).alias(c) for c in cols]
+    return df.groupBy(*(by or [])).agg(*sketches)
+
+
+def sketched_quantiles(sketches: DataFrame, cols: list[str], q: float) -> dict[str, float | None]:
+    """Quantile ``q`` of each column over all of ``sketches`` (merged, one row a group
+    is read and no value of the data)."""
+    merged = sketches.agg(*[F.kll_merge_agg_double(F.col(f"`{c}`")).alias(c) for c in cols])
+    none = F.lit(None).cast("double")
+    got = merged.select(*[
+        F.when(F.kll_sketch_get_n_double(F.col(f"`{c}`")) > 0, F.kll_sketch_get_quantile_double(F.col(f"`{c}`"), F.lit(float(q)))).otherwise(none).alias(c)
+        for c in cols]).first()
+    return dict(zip(cols, got))

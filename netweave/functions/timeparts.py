@@ -33,11 +33,11 @@ def to_ntz(col, kind: str) -> Column:
 
 
 def date_of(col, grain: str = "day") -> Column:
-    """Date of a time, or the first day of its month."""
-    if grain not in ("day", "month"):
-        raise ValueError("grain is day or month")
+    """Date of a time, or the first day of its month or year."""
+    if grain not in ("day", "month", "year"):
+        raise ValueError("grain is day, month or year")
     day = F.to_date(_c(col))
-    return day if grain == "day" else F.to_date(F.trunc(day, "month"))
+    return day if grain == "day" else F.to_date(F.trunc(day, grain))
 
 
 def epoch_seconds(col) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave import constants as K
@@ -48,7 +48,7 @@ def to_alerts(suspicious: DataFrame, created_at, flow_key: str = "flow_id") -> D
         F.coalesce("country", F.lit("")).alias("country"),
         F.coalesce(F.col("port").cast("int"), F.lit(0)).alias("port"),
         F.coalesce(F.col("proto_num").cast("int"), F.lit(0)).alias("proto_num"),
-        ntz_literal(created_at).alias("created_at"),
+        (created_at if isinstance(created_at, Column) else ntz_literal(created_at)).alias("created_at"),
     )
 
 
@@ -163,28 +163,52 @@ def latest_attack_alerts(attack_alerts: DataFrame, limit: int = 100) -> DataFram
 
 def append_unstored(new_alerts: DataFrame, path: str, key: str, grain: str = "day") -> DataFrame:
     """Append alerts whose ``key`` is not stored yet (unique ids), in folders by
-    ``date`` (of the day, or the first of the ``month`` for sparse alerts: a file
-    costs more than its rows); returns the alerts appended.
-
-    The batch is materialised once. An id fixes its alert's date, so the store
-    is read only within the batch's dates (literal bounds prune partitions)
-    and joined on date and id.
+    ``date`` (of the day, or the first of the ``month`` or ``year`` for sparse alerts: a
+    file costs more than its rows); returns the alerts appended.
+
+    The batch is materialised once. Filters beside the store (``membership``) tell which
+    ids it can hold: a first append and new ids read nothing of it, and only the others
+    are looked up, on date and id, in the folders of their dates. Filters are written
+    before the alerts, so an append that breaks off in between leaves ids that are looked
+    up once too often. A store without filters gets them here.
     """
-    from netweave.sources.io import read_if_stored, write_by_date
+    from netweave.operators import membership as M
+    from netweave.sources.io import read_stored, write_by_date
     batch = materialize(new_alerts.dropDuplicates([key]).withColumn("date", date_of("timestamp", grain)))
-    lo, hi, n, undated = batch.agg(F.min("date"), F.max("date"), F.count(F.lit(1)), F.count_if(F.col("date").isNull())).first()
-    if not n:
+    spark = batch.sparkSession
+    stored, known = read_stored(spark, path, batch.schema), read_stored(spark, M.filter_path(path), M.SCHEMA)
+    if stored is None:
+        if not batch.isEmpty():
+            write_by_date(M.filters(batch, key), M.filter_path(path))
+            write_by_date(batch, path)
+        return batch
+    if known is None:
+        write_by_date(M.filters(stored, key), M.filter_path(path))
+        known = read_stored(spark, M.filter_path(path), M.SCHEMA)
+    here = _within(batch, "date")
+    if here is None:
         return batch
-    bounds = F.lit(False) if lo is None else F.col("date").between(F.lit(lo.isoformat()).cast("date"), F.lit(hi.isoformat()).cast("date"))
-    if undated:
-        bounds = bounds | F.col("date").isNull()
-    stored = read_if_stored(batch.sparkSession, path, batch.schema).where(bounds).select(
-        F.col("date").alias("s_date"), F.col(key).alias("s_id"))
-    fresh = batch.join(stored, F.col("date").eqNullSafe(F.col("s_date")) & (F.col(key) == F.col("s_id")), "left_anti")
+    judged = materialize(M.possible(batch, known.where(here), key))
+    unsure = judged.where("__possible").drop("__possible")
+    fresh = judged.where("NOT __possible").drop("__possible")
+    there = _within(unsure, "date")
+    if there is not None:
+        ids = stored.where(there).select(F.col("date").alias("s_date"), F.col(key).alias("s_id"))
+        fresh = fresh.unionByName(unsure.join(ids, F.col("date").eqNullSafe(F.col("s_date")) & (F.col(key) == F.col("s_id")), "left_anti"))
+    write_by_date(M.filters(fresh, key), M.filter_path(path))
     write_by_date(fresh, path)
     return fresh
 
 
+def _within(rows: DataFrame, date: str):
+    """Literal bounds of the rows' dates, which prune folders; None without rows."""
+    lo, hi, n, undated = rows.agg(F.min(date), F.max(date), F.count(F.lit(1)), F.count_if(F.col(date).isNull())).first()
+    if not n:
+        return None
+    bounds = F.lit(False) if lo is None else F.col(date).between(F.lit(lo.isoformat()).cast("date"), F.lit(hi.isoformat()).cast("date"))
+    return bounds | F.col(date).isNull() if undated else bounds
+
+
 def append_structured_alerts(new_alerts: DataFrame, path: str, grain: str = "day") -> DataFrame:
     """Append structured alerts whose ``alert_id`` is not stored yet."""
     return append_unstored(new_alerts, path, "alert_id", grain)

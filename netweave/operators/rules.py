@@ -62,6 +62,15 @@ FAMILY_PAIRS = [("proto_num", "port"), ("proto_num", "src_ip"), ("proto_num", "d
 _MEMBERS = {"port": "d_port", "src_ip": "d_src", "dst_ip": "d_dst", "proto_num": "d_proto"}
 
 
+def moments_of(v: str) -> list[F.Column]:
+    """Mean and sample deviation from the exact sums ``n<v>``, ``<v>1`` and ``<v>2``."""
+    count, total, squares = F.col(f"n{v}"), F.col(f"{v}1").cast("double"), F.col(f"{v}2")
+    # n * sum of squares - square of the sum, exactly, then the sample variance.
+    spread = (squares * count - F.col(f"{v}1") * F.col(f"{v}1")).cast("double")
+    return [(total / count).alias(f"{v}_avg"),
+            F.when(count > 1, F.sqrt(spread / (count.cast("double") * (count - 1)))).alias(f"{v}_std")]
+
+
 def family_statistics(flows: DataFrame) -> DataFrame:
     """All per-family statistics in ONE pass over the flows.
 
@@ -102,13 +111,6 @@ def family_statistics(flows: DataFrame) -> DataFrame:
     sums = rows.groupBy("family", *FAMILY_KEYS).agg(
         F.max("seen").alias("max_seen"), *[F.sum(c).alias(c) for c in ("np", "nb", *exact, *_MEMBERS.values())])
 
-    def moments_of(v: str):
-        count, total, squares = F.col(f"n{v}"), F.col(f"{v}1").cast("double"), F.col(f"{v}2")
-        # n * sum of squares - square of the sum, exactly, then the sample variance.
-        spread = (squares * count - F.col(f"{v}1") * F.col(f"{v}1")).cast("double")
-        return [(total / count).alias(f"{v}_avg"),
-                F.when(count > 1, F.sqrt(spread / (count.cast("double") * (count - 1)))).alias(f"{v}_std")]
-
     gid = F.element_at(F.array(*[F.lit(_gid(k)) for k in FAMILY_KEYS]), F.col("family") + 1)
     return sums.select(
         *FAMILY_KEYS, gid.cast("long").alias("gid"), "max_seen", *moments_of("p"), F.col("np").alias("n"),
@@ -265,13 +267,18 @@ def generate_rules(flows: DataFrame, created_at=None) -> DataFrame:
 def generate_rules_at(flows: DataFrame, created_at=None):
     """``generate_rules`` plus the ``created_at`` it used."""
     from netweave.session import materialize
-    st = materialize(family_statistics(flows))
+    return rules_from_statistics(materialize(family_statistics(flows)), created_at)
+
+
+def rules_from_statistics(st: DataFrame, created_at=None):
+    """All four families from a materialised statistics table, and the
+    ``created_at`` used."""
     if created_at is None:
         created_at = st.agg(F.max("max_seen")).first()[0]
-    rules = (protocol_rules(flows, created_at, st)
-             .unionByName(port_rules(flows, created_at, st))
-             .unionByName(temporal_rules(flows, created_at, st))
-             .unionByName(behavioral_rules(flows, created_at, stats=st)))
+    rules = (protocol_rules(st, created_at, st)
+             .unionByName(port_rules(st, created_at, st))
+             .unionByName(temporal_rules(st, created_at, st))
+             .unionByName(behavioral_rules(st, created_at, stats=st)))
     return rules, created_at
 
 

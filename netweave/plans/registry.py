@@ -691,8 +691,8 @@ def q_structured_alerts_append(spark, sf):
     from netweave.session import scratch_path
     path = scratch_path(spark, "structured_alerts")
     old = alerts_table(spark, sf, use_rules=False)
-    AL.append_structured_alerts(old, path, grain="month")
-    AL.append_structured_alerts(alerts_table(spark, sf), path, grain="month")
+    AL.append_structured_alerts(old, path, grain="year")
+    AL.append_structured_alerts(alerts_table(spark, sf), path, grain="year")
     return spark.read.parquet(path).select(*AL.ALERT_COLUMNS)
 
 

@@ -62,15 +62,21 @@ def write_by_date(df: DataFrame, path: str, date_col: str = "date", mode: str =
     df.hint("rebalance", F.col(date_col)).write.mode(mode).partitionBy(date_col).parquet(path)
 
 
-def read_if_stored(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A Parquet table, empty when nothing was stored at ``path`` yet. Any other
+def read_stored(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame | None:
+    """A Parquet table, None when nothing was stored at ``path`` yet. Any other
     failure (permissions, storage, corrupt files) is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def read_if_stored(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """``read_stored``, empty when nothing was stored yet."""
+    stored = read_stored(spark, path, schema)
+    return spark.createDataFrame([], schema) if stored is None else stored
 
 
 def roundtrip_parquet(df: DataFrame, name: str, partition_by: list[str] | None = None,

@@ -17,8 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from netweave.operators import alerts as A
 from netweave.operators import detect as D
 from netweave.operators import enrich as E
-from netweave.functions.timeparts import instant_to_ntz, ntz_to_instant
+from netweave.functions.timeparts import date_of, instant_to_ntz, ntz_to_instant
 from netweave.operators.packets import FLOW_KEY
+from netweave.streaming.running import RUNNING_SCHEMA, RunningFeatures, micros, use_rocksdb
 
 
 def event_time(packets: DataFrame, col: str = "ts") -> DataFrame:
@@ -55,10 +56,6 @@ LIVE_SCHEMA = ("src_ip string, dst_ip string, proto_num int, packets long, bytes
 _LIVE_STATE = "packets long, bytes long, first_us long, last_us long"
 
 
-def _micros(pdf: pd.DataFrame) -> pd.Series:
-    return pd.to_datetime(pdf["ts"], utc=True).dt.tz_localize(None).astype("datetime64[us]").astype("int64")
-
-
 def _live_updater(idle_ms: int):
     def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -66,7 +63,7 @@ def _live_updater(idle_ms: int):
             return
         packets, nbytes, first, last = state.get if state.exists else (0, 0, None, None)
         for pdf in pdfs:
-            us = _micros(pdf)
+            us = micros(pdf)
             packets, nbytes = packets + len(pdf), nbytes + int(pdf["length"].sum())
             first = int(us.min()) if first is None else min(first, int(us.min()))
             last = int(us.max()) if last is None else max(last, int(us.max()))
@@ -108,75 +105,21 @@ def flow_sessions_stream(packets: DataFrame, gap_seconds: int, watermark: str |
                     instant_to_ntz("s.end").alias("session_end")))
 
 
-RUNNING_SCHEMA = ("packet_id long, ts timestamp, src_ip string, dst_ip string, proto_num int, "
-                  "flow_duration double, total_fwd_packets long, total_backward_packets long, "
-                  "total_length_fwd_packets long, total_length_bwd_packets long, "
-                  "fwd_packet_length_mean double, bwd_packet_length_mean double, "
-                  "flow_bytes_per_s double, flow_packets_per_s double, "
-                  "fwd_iat_total double, bwd_iat_total double")
-#: Running totals, and the packets that the watermark has not passed yet.
-STATE_SCHEMA = ("n long, nbytes long, first_us long, last_us long, "
-                "wait_us array<long>, wait_id array<long>, wait_length array<long>")
-
-
-def _running_updater(idle_ms: int):
-    def update(key, pdfs, state):
-        return _running_update(key, pdfs, state, idle_ms)
-    return update
-
-
-def _running_update(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
-                    idle_ms: int = 86_400_000) -> Iterator[pd.DataFrame]:
-    """Per flow: keep packets until the watermark has passed them (none older
-    can then arrive), continue the running totals in time order, and emit the
-    feature row of every packet passed. Idle flows leave the state."""
-    n, nbytes, first_us, last_us, us, ids, length = state.get if state.exists else (0, 0, None, None, [], [], [])
-    parts = [pd.DataFrame({"us": us, "packet_id": ids, "length": length}, dtype="int64")]
-    if not state.hasTimedOut:
-        parts += [pd.DataFrame({"us": _micros(p), "packet_id": p["packet_id"], "length": p["length"]}).astype("int64") for p in pdfs]
-    wait = pd.concat(parts, ignore_index=True).sort_values(["us", "packet_id"], kind="mergesort", ignore_index=True)
-    mark = state.getCurrentWatermarkMs()
-    ready = wait[wait["us"] < mark * 1000]
-    wait = wait[len(ready):]
-    if len(ready):
-        if first_us is None:
-            first_us = int(ready["us"].iloc[0])
-        cnt = n + pd.Series(range(1, len(ready) + 1), index=ready.index)
-        cum = nbytes + ready["length"].cumsum()
-        dur = (ready["us"] - first_us) / 1e6
-        safe = dur.where(dur > 0)
-        yield pd.DataFrame({
-            "packet_id": ready["packet_id"], "ts": pd.to_datetime(ready["us"], unit="us", utc=True),
-            "src_ip": key[0], "dst_ip": key[1], "proto_num": key[2], "flow_duration": dur, "total_fwd_packets": cnt,
-            "total_backward_packets": 0, "total_length_fwd_packets": cum, "total_length_bwd_packets": 0,
-            "fwd_packet_length_mean": cum / cnt, "bwd_packet_length_mean": 0.0,
-            "flow_bytes_per_s": (cum / safe).fillna(0.0), "flow_packets_per_s": (cnt / safe).fillna(0.0),
-            "fwd_iat_total": dur.where(cnt > 1, 0.0), "bwd_iat_total": 0.0})
-        n, nbytes, last_us = int(cnt.iloc[-1]), int(cum.iloc[-1]), int(ready["us"].iloc[-1])
-    if not len(wait) and (last_us is None or last_us // 1000 + idle_ms <= mark):
-        state.remove()
-        return
-    state.update((n, nbytes, first_us, last_us, wait["us"].tolist(), wait["packet_id"].tolist(), wait["length"].tolist()))
-    due = int(wait["us"].iloc[0]) // 1000 + 1 if len(wait) else last_us // 1000 + idle_ms
-    state.setTimeoutTimestamp(max(due, mark + 1))
-
-
 def running_features_stream(packets: DataFrame, watermark: str = "1 hour",
-                            idle_timeout_seconds: int = 86_400) -> DataFrame:
+                            idle_timeout_seconds: int = 86_400, slice_ms: int = 1000) -> DataFrame:
     """Per-packet running flow features (all 11) in event-time order.
 
     Packets may arrive in any order within the watermark: a packet's row is
-    emitted once the watermark has passed it; later ones are dropped. A flow's
-    state (its totals and the packets still waiting) is evicted once event time
-    passes its last packet by ``idle_timeout_seconds``; a later packet starts a
-    new flow. The batch twin (``operators.packets.running_features``) equals this
-    stream when no flow is idle longer than the timeout. One flow's packets of a
-    micro-batch are in one task; ``max_files_per_trigger`` bounds them.
+    emitted once the watermark has passed its time slice of ``slice_ms``; later ones are
+    dropped. Waiting packets are kept by flow and slice, one small state entry each, and
+    a flow's totals leave the state once event time passes its last packet by
+    ``idle_timeout_seconds``; a packet after such a gap starts a new flow. The batch twin
+    (``operators.packets.running_features``) equals this stream when no flow has such a
+    gap. Sets the session's state store provider to RocksDB.
     """
+    use_rocksdb(packets)
     out = (event_time(packets).withWatermark("ts", watermark).groupBy(*FLOW_KEY)
-           .applyInPandasWithState(_running_updater(idle_timeout_seconds * 1000), RUNNING_SCHEMA,
-                                   STATE_SCHEMA, "append",
-                                   GroupStateTimeout.EventTimeTimeout))
+           .transformWithStateInPandas(RunningFeatures(idle_timeout_seconds * 1000, slice_ms), RUNNING_SCHEMA, "append", "EventTime"))
     return out.withColumn("ts", instant_to_ntz("ts"))
 
 
@@ -203,14 +146,74 @@ def alerts_sink(flows_stream: DataFrame, geoip: DataFrame | None, rules: DataFra
     return w.start()
 
 
+def structured_alerts_stream(flows_stream: DataFrame, geoip: DataFrame | None, rules: DataFrame | None,
+                             created_at=None, watermark: str = "1 hour", date_grain: str = "day") -> DataFrame:
+    """Continuous detection within the query itself: flows are enriched and judged by
+    stream-static joins (GeoIP segments, policy, rules), scored, and every
+    ``alert_id`` passes once.
+
+    Ids are kept for the ``watermark`` of event time and then leave the state; flows later
+    than it are dropped. With a checkpoint, a restarted query continues where it was, so
+    a file sink (which commits whole micro-batches) holds every alert once. Adds ``date``
+    for partitioned sinks. ``created_at`` defaults to the micro-batch's time.
+    """
+    susp = D.detect_suspicious(E.enrich_flows(flows_stream, geoip), rules, use_policy=True)
+    alerts = A.to_alerts(susp, instant_to_ntz(F.current_timestamp()) if created_at is None else created_at)
+    return (alerts.withColumn("__event", ntz_to_instant("timestamp")).withWatermark("__event", watermark)
+            .dropDuplicatesWithinWatermark(["alert_id"]).drop("__event").withColumn("date", date_of("timestamp", date_grain)))
+
+
+def alerts_table_stream(alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Write ``structured_alerts_stream`` as a date-partitioned Parquet table with a
+    commit log, which readers of ``path`` follow."""
+    w = alerts.writeStream.format("parquet").partitionBy("date").option("path", path).option("checkpointLocation", checkpoint)
+    return w.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _score(feats: DataFrame, model, geoip: DataFrame | None, ident: list[str], when: str) -> DataFrame:
+    """Attack alerts of rows with model features; ids are hashes of ``ident``."""
+    from netweave.operators.ml import predict_attacks
+    attacks = predict_attacks(model, feats).where(F.col("prediction_label") == "Attack")
+    return E.enrich_flows(attacks, geoip).select(
+        F.xxhash64(*ident).cast("string").alias("id"), F.col(when).alias("timestamp"),
+        "src_ip", "dst_ip", F.col("prediction_label").alias("prediction"),
+        F.col("confidence_predicted").alias("confidence"), "direction", "protocol_name",
+        "is_internal_src", "is_internal_dst", "country")
+
+
+#: Model features from the columns of ``running_features_stream``.
+_RUNNING_FEATURES = {
+    "flow_duration": "flow_duration", "total_fwd_packets": "total_fwd_packets",
+    "total_backward_packets": "total_backward_packets", "total_length_of_fwd_packets": "total_length_fwd_packets",
+    "total_length_of_bwd_packets": "total_length_bwd_packets", "fwd_packet_length_mean": "fwd_packet_length_mean",
+    "bwd_packet_length_mean": "bwd_packet_length_mean", "flow_bytes_s": "flow_bytes_per_s",
+    "flow_packets_s": "flow_packets_per_s", "fwd_iat_total": "fwd_iat_total", "bwd_iat_total": "bwd_iat_total"}
+
+
+def score_packets(running: DataFrame, model, geoip: DataFrame | None = None) -> DataFrame:
+    """The model's verdict at every packet: attack alerts of ``running`` features (batch
+    or stream), one a packet that the model calls an attack."""
+    feats = running.select("packet_id", "ts", *FLOW_KEY, *[F.col(c).cast("double").alias(f) for f, c in _RUNNING_FEATURES.items()])
+    return _score(feats, model, geoip, [*FLOW_KEY, "packet_id", "ts"], "ts")
+
+
+def packet_scoring_sink(running_stream: DataFrame, model, alerts_path: str, checkpoint: str,
+                        geoip: DataFrame | None = None, trigger: dict | None = None):
+    """``running_features_stream`` -> the model at every packet -> attack alerts appended
+    unless already stored, so a retried batch adds nothing."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        A.append_unstored(score_packets(batch, model, geoip), alerts_path, "id")
+
+    w = running_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def attack_scoring_sink(sessions_stream: DataFrame, model, alerts_path: str, checkpoint: str,
                         geoip: DataFrame | None = None, trigger: dict | None = None):
     """Continuous attack scoring: closed flow sessions -> model features
     (forward-only counts) -> pipeline model -> attack alerts (the columns and
     date folders of the batch table) appended unless already stored; ids are
     hashes of flow and session start, so a retried batch adds nothing."""
-    from netweave.operators.ml import predict_attacks
-
     def run(batch: DataFrame, epoch_id: int) -> None:
         dur = F.timestamp_diff("MICROSECOND", "session_start", "session_last").cast("double") / 1e6
         feats = batch.select(
@@ -222,13 +225,7 @@ def attack_scoring_sink(sessions_stream: DataFrame, model, alerts_path: str, che
             F.when(dur > 0, F.col("bytes") / dur).otherwise(0.0).alias("flow_bytes_s"),
             F.when(dur > 0, F.col("packets") / dur).otherwise(0.0).alias("flow_packets_s"),
             dur.alias("fwd_iat_total"), F.lit(0.0).alias("bwd_iat_total"))
-        attacks = predict_attacks(model, feats).where(F.col("prediction_label") == "Attack")
-        named = E.enrich_flows(attacks, geoip).select(
-            F.xxhash64(*FLOW_KEY, "session_start").cast("string").alias("id"), F.col("session_last").alias("timestamp"),
-            "src_ip", "dst_ip", F.col("prediction_label").alias("prediction"),
-            F.col("confidence_predicted").alias("confidence"), "direction", "protocol_name",
-            "is_internal_src", "is_internal_dst", "country")
-        A.append_unstored(named, alerts_path, "id")
+        A.append_unstored(_score(feats, model, geoip, [*FLOW_KEY, "session_start"], "session_last"), alerts_path, "id")
 
     w = sessions_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
