@@ -11,8 +11,11 @@ labeller of each.
    probability that a text with a given pattern is bad.
 2. A linear scorer on hashed features (words of a text, their first bytes, and
    the steps that its statistics reach) is fitted by logistic regression to the posterior labels of a sample of
-   about ``SAMPLE`` documents, which bounds the fit: labelled documents first;
-   others that some labeller votes on fill it up, ``LABEL_WORTH`` fewer a label. Features met in fewer than ``MIN_DOCS`` of them, or no oftener in bad
+   about ``SAMPLE`` documents, which bounds the fit: half of it labelled documents, half
+   others (all of them where there are fewer), at any number of either. Rows without a
+   human label count where a heuristic votes (for toxicity: votes against them), with
+   ``VOTED_WEIGHT``. The sample is chosen on narrow rows (a hash of doc_id and text, and votes), and
+   only its texts are fetched again. Features met in fewer than ``MIN_DOCS`` of them, or no oftener in bad
    texts than in good ones, get no weight.
 3. Every document is scored on its whole text. It is kept if neither its
    probability of junk nor that of toxicity exceeds ``THRESHOLDS``. Short texts
@@ -22,7 +25,7 @@ labeller of each.
 
 Null and empty texts have nothing to judge: both probabilities are 0, and they
 are kept. Several labels of one document count as one bad label if any is.
-Repeated rows get equal results; null doc_ids are scored. Without labels the
+Repeated rows get equal results and count once in the sample; null doc_ids are scored. Without labels the
 heuristics stand alone. An empty table gives an empty result. Extra columns are
 not read, or passed on by :func:`filter_documents`.
 """
@@ -34,16 +37,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.llm import words as W
+from netweave.llm.scratch import release, written
 
 BITS = 18
 SAMPLE = 8_000
 MIN_DOCS = 4
-#: Documents with votes only that one labelled document stands for in the sample.
-LABEL_WORTH = 8
+#: Weight in the fit of a document without a human label.
+VOTED_WEIGHT = 1 / 8
 #: Probabilities of junk and of toxicity beyond which a text is rejected.
 THRESHOLDS = (0.5, 0.2)
 #: Bytes and words of plain prose that every text's statistics are mixed with, so few words say little.
@@ -203,19 +208,25 @@ def _features(seen: Seen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """doc_id and votes (array of bytes, heuristic labellers) of all documents."""
+    """doc_id, key (hash of doc_id and text) and votes (array of bytes, heuristic
+    labellers) of all documents."""
 
     def task(batches):
         for batch in batches:
             for seen in _look(batch.column(1)):
                 v = _votes(seen)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(seen.first, seen.count),
+                    [batch.column(0).slice(seen.first, seen.count), batch.column(2).slice(seen.first, seen.count),
                      pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), v.ravel())],
-                    ["doc_id", "votes"])
+                    ["doc_id", "key", "votes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        task, "doc_id long, votes array<tinyint>")
+    return _keyed(docs).mapInArrow(task, "doc_id long, key long, votes array<tinyint>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of both."""
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return typed.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], gold: int, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
@@ -260,43 +271,44 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(sums + self.intercept, -50, 50)))
 
 
-def _log_ratio(at: np.ndarray, row: np.ndarray, width: int, target: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _log_ratio(at: np.ndarray, row: np.ndarray, width: int, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Log of how much likelier each feature is in bad texts than in good ones
     (smoothed), 0 where the difference is within ``SIGMAS`` standard errors."""
-    inside = rows[row]
-    bad = np.bincount(at[inside], target[row[inside]], width) + 0.5
-    good = np.bincount(at[inside], 1 - target[row[inside]], width) + 0.5
-    all_bad, all_good = target[rows].sum() + 1, (1 - target[rows]).sum() + 1
+    bad = np.bincount(at, (weight * target)[row], width) + 0.5
+    good = np.bincount(at, (weight * (1 - target))[row], width) + 0.5
+    all_bad, all_good = (weight * target).sum() + 1, (weight * (1 - target)).sum() + 1
     ratio = np.log(bad / all_bad) - np.log(good / all_good)
     error = np.sqrt(1 / bad + 1 / good)
     return np.where(np.abs(ratio) > SIGMAS * error, ratio, 0.0)
 
 
 def fit(features: np.ndarray, values: np.ndarray, starts: np.ndarray, target: np.ndarray, known: np.ndarray,
-        rounds: int = 200, rate: float = 0.5, decay: float = 1e-5) -> Scorer:
+        weight: np.ndarray, rounds: int = 200, rate: float = 0.5, decay: float = 1e-5) -> Scorer:
     """Logistic regression with adaptive steps on the features that tell bad
     from good texts, each scaled by its log ratio; ``known`` tells which rows
-    count for which of the two targets."""
+    count for which of the two targets, ``weight`` how much."""
     n = len(starts) - 1
     weights, intercept = np.zeros((2, _SIZE)), np.zeros(2)
-    every_row = np.repeat(np.arange(n), np.diff(starts))
     often = np.bincount(features, minlength=_SIZE) >= MIN_DOCS
-    keep = often[features]
-    features, values, every_row = features[keep], values[keep], every_row[keep]
-    used, every = np.unique(features, return_inverse=True)
+    keep, used = often[features], np.flatnonzero(often)
+    every_row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))[keep]
+    every, values = (np.cumsum(often, dtype=np.int32) - 1)[features[keep]], values[keep]
+    del features, keep
     for c in range(2):
-        rows, t = known[:, c], target[:, c]
+        rows, t = np.where(known[:, c], weight, 0.0), target[:, c]
         if not rows.any():
             intercept[c] = -4.0
             continue
         ratio = _log_ratio(every, every_row, len(used), t, rows)
-        telling = ratio[every] != 0
-        at, row, x = every[telling], every_row[telling], (values * ratio[every])[telling]
+        telling = (ratio != 0)[every]
+        at, row = every[telling].astype(np.int64), every_row[telling].astype(np.int64)
+        x = values[telling] * ratio[at]
+        del telling
         w, b = np.zeros(len(used)), 0.0
         seen_w, seen_b = np.full(len(used), 1e-8), 1e-8
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * x, n) + b, -50, 50)))
-            error = np.where(rows, p - t, 0) / rows.sum()
+            error = rows * (p - t) / rows.sum()
             grad, grad_b = np.bincount(at, error[row] * x, len(used)) + decay * w, error.sum()
             seen_w += grad ** 2
             seen_b += grad_b ** 2
@@ -306,17 +318,16 @@ def fit(features: np.ndarray, values: np.ndarray, starts: np.ndarray, target: np
     return Scorer(weights, intercept)
 
 
-def _sample(docs: DataFrame, human: DataFrame, labelled: int, voted: int, sample: int) -> DataFrame:
-    """text, q and t (human votes) of about ``sample`` documents at most: labelled
-    ones, and of the others, of which ``voted`` have a vote of some labeller, the
-    fewer the more labels there are, whatever the number of documents."""
-    def below(share: float):
-        return F.pmod(F.xxhash64("doc_id", "text"), F.lit(_PARTS)) < int(share * _PARTS)
+def _picks(judged: DataFrame, labelled: int, others: int, sample: int) -> DataFrame:
+    """key, q and t (human votes) of about ``sample`` rows at most of ``judged(key, junk,
+    toxic)``: half of them labelled, half others, of which there are ``labelled`` and
+    ``others``; all of them where there are fewer."""
+    def below(number: int):
+        return F.pmod("key", F.lit(_PARTS)) < int(min(1.0, sample / 2 / max(1, number)) * _PARTS)
 
-    has_label = F.coalesce(F.greatest("label_quality", "label_toxic") >= 0, F.lit(False))
-    share = min(1.0, sample / max(1, labelled)), min(1.0, max(0, sample - LABEL_WORTH * labelled) / max(1, voted))
-    return docs.join(human, "doc_id", "left").where(F.when(has_label, below(share[0])).otherwise(below(share[1]))).select(
-        "text", F.coalesce("label_quality", F.lit(-1)).alias("q"), F.coalesce("label_toxic", F.lit(-1)).alias("t"))
+    q, t = F.element_at("junk", -1), F.element_at("toxic", -1)
+    return judged.where(F.when(F.greatest(q, t) >= 0, below(labelled)).otherwise(below(others))).select(
+        "key", q.cast("int").alias("q"), t.cast("int").alias("t"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
@@ -327,12 +338,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
              .groupBy("doc_id").agg(F.coalesce(1 - F.min("quality"), F.lit(-1)).cast("int").alias("label_quality"),
                                     F.coalesce(F.max("toxic"), F.lit(-1)).cast("int").alias("label_toxic")))
     n = len(JUNK_LABELLERS) - 1
-    every = votes(docs).join(human, "doc_id", "left").select(
-        F.concat(F.slice("votes", 1, n), F.array(F.coalesce("label_quality", F.lit(-1)).cast("tinyint"))).alias("junk"),
+    judged = written(votes(docs).join(human, "doc_id", "left").select(
+        "key", F.concat(F.slice("votes", 1, n), F.array(F.coalesce("label_quality", F.lit(-1)).cast("tinyint"))).alias("junk"),
         F.concat(F.slice("votes", n + 1, len(TOXIC_LABELLERS) - 1),
-                 F.array(F.coalesce("label_toxic", F.lit(-1)).cast("tinyint"))).alias("toxic"))
+                 F.array(F.coalesce("label_toxic", F.lit(-1)).cast("tinyint"))).alias("toxic")), "quality_votes")
     counts = [(tuple(r["junk"]), tuple(r["toxic"]), r["n"])
-              for r in every.groupBy("junk", "toxic").agg(F.count("*").alias("n")).collect()]  # patterns only
+              for r in judged.groupBy("junk", "toxic").agg(F.count("*").alias("n")).collect()]  # patterns only
 
     def posterior(side: int, gold: int) -> dict:
         sums: dict[tuple[int, ...], int] = {}
@@ -343,8 +354,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     models = (posterior(0, n), posterior(1, len(TOXIC_LABELLERS) - 1))
 
     labelled = sum(c[2] for c in counts if max(c[0][-1], c[1][-1]) >= 0)
-    voted = sum(c[2] for c in counts if max(c[0][-1], c[1][-1]) < 0 <= max(*c[0], *c[1]))
-    picked = _sample(docs, human, labelled, voted, sample)
+    others = sum(c[2] for c in counts) - labelled
+    # about ``sample`` rows, so they are broadcast; equal rows share a key and become one
+    picks = F.broadcast(_picks(judged, labelled, others, sample).dropDuplicates(["key"]))
+    picked = _keyed(docs).join(picks, "key").dropDuplicates(["key"]).select("text", "q", "t")
 
     def task(batches):
         for batch in batches:
@@ -357,19 +370,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([models[0].get(tuple(p), 0.5) for p in junk]), pa.array([models[1].get(tuple(p), 0.5) for p in toxic]),
                      pa.array([max(p) >= 0 for p in junk]), pa.array([p[-1] >= 0 or max(p) > 0 for p in toxic]),
+                     pa.array(np.where((q[span] >= 0) | (t[span] >= 0), 1.0, VOTED_WEIGHT)),
                      pa.ListArray.from_arrays(starts.astype(np.int32), features.astype(np.int32)),
                      pa.ListArray.from_arrays(starts.astype(np.int32), values.astype(np.float32))],
-                    ["junk", "toxic", "junk_known", "toxic_known", "features", "values"])
+                    ["junk", "toxic", "junk_known", "toxic_known", "weight", "features", "values"])
 
-    got = picked.mapInArrow(task, "junk double, toxic double, junk_known boolean, toxic_known boolean, "
+    got = picked.mapInArrow(task, "junk double, toxic double, junk_known boolean, toxic_known boolean, weight double, "
                             "features array<int>, values array<float>").where("junk_known OR toxic_known").toArrow()
-    lists = got["features"].combine_chunks()
-    features = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    values = got["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    def flat(name, kind):
+        return np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy(zero_copy_only=False) for c in got[name].chunks]])
+
+    features, values = flat("features", np.int32), flat("values", np.float32)
+    sizes = pc.list_value_length(got["features"]).to_numpy().astype(np.int64)
     target = np.column_stack([got["junk"].to_numpy(), got["toxic"].to_numpy()])
     known = np.column_stack([got["junk_known"].to_numpy(), got["toxic_known"].to_numpy()]).astype(bool)
-    return fit(features, values, np.concatenate([[0], np.cumsum(sizes)]), target.reshape(-1, 2), known.reshape(-1, 2))
+    weight = got["weight"].to_numpy()
+    del got
+    release(spark)
+    return fit(features, values, np.concatenate([[0], np.cumsum(sizes)]), target.reshape(-1, 2), known.reshape(-1, 2), weight)
 
 
 def _scored(docs: DataFrame, scorer: Scorer, names: list[str], thresholds: tuple[float, float], only_kept: bool) -> DataFrame:

@@ -129,15 +129,31 @@ def test_quality_rejects_toxic_texts_of_every_language(judged):
     assert all(sum(v) >= 0.25 * len(v) for v in rate.values())
 
 
-def test_labels_stay_in_the_sample(spark):
-    """Few labels among many documents all enter the sample; rows without id are dealt by their text."""
-    docs = spark.createDataFrame([(i if i < 1000 else None, sentence(i, 12)) for i in range(3000)], "doc_id long, text string")
-    human = spark.createDataFrame([(i, i % 2, -1) for i in range(60)], "doc_id long, label_quality int, label_toxic int")
-    few = quality._sample(docs, human, 60, 2940, 600).collect()
-    assert sum(r.q >= 0 for r in few) == 60 and 80 <= sum(r.q < 0 for r in few) <= 160
-    ids = {t: i for i, t in ((r.doc_id, r.text) for r in docs.collect())}
-    assert 50 <= sum(ids[r.text] is None for r in few) <= 115
-    assert 10 <= len(quality._sample(docs, human, 60, 2940, 30).collect()) <= 50
+def test_both_strata_stay_in_the_sample(spark):
+    """Half labelled and half other rows at any number of labels; all of them where they are few."""
+    def judged(labelled, others):
+        key = F.xxhash64("id")
+        votes_of = lambda last, first: F.array(first, F.lit(-1), last).cast("array<tinyint>")
+        label = F.when(F.col("id") < labelled, (F.col("id") % 2).cast("int")).otherwise(-1)
+        vote = F.when(F.col("id") % 3 > 0, 1).otherwise(-1)
+        return spark.range(labelled + others).select(key.alias("key"), votes_of(label, vote).alias("junk"), votes_of(F.lit(-1), F.lit(-1)).alias("toxic"))
+
+    for labelled in (60, 999, 1000, 4000, 20_000):
+        got = quality._picks(judged(labelled, 9000), labelled, 9000, 8000).collect()
+        human, others = sum(r.q >= 0 for r in got), sum(r.q < 0 for r in got)
+        assert human == labelled if labelled <= 4000 else 3700 <= human <= 4300
+        assert 3700 <= others <= 4300
+    few = quality._picks(judged(10, 20), 10, 20, 8000).collect()
+    assert len(few) == 30
+
+
+def test_repeated_rows_count_once_in_the_sample(spark, monkeypatch):
+    sizes, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda f, v, starts, *a: sizes.append(len(starts) - 1) or fit(f, v, starts, *a))
+    docs = spark.createDataFrame([(1, "### $$$ %%% ^^^ &&& ***")] * 500 + [(i, sentence(i, 40)) for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2, 60)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 558 and sizes[0] == 59
 
 
 def test_quality_odd_rows(spark, sf):
