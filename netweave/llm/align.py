@@ -4,13 +4,13 @@ Two vocabularies, A (byte-level) and B (pieces), cut the same bytes of a text. T
 byte ranges overlap are linked; places where tokens of both end cut a text into
 groups. The count of a pair of ids is the number of documents in which they are linked.
 
-1. Texts are encoded once; ids are written to a scratch table, and every later pass
-   re-aligns documents from there (a few numpy passes over token lengths).
-2. Distinct pairs go to buckets by their A id. Each bucket gets a minimal perfect
+1. Texts are encoded and aligned; their ids and each text's distinct pairs are written to
+   a scratch table.
+2. Distinct pairs of the corpus go to buckets by their A id. Each bucket gets a minimal perfect
    hash (``phf``) with its keys stored for verification, in a file of the shared folder.
 3. Every task counts into dense vectors, one per bucket, indexed by the hash. The
    vectors are summed by a tree: ``FAN`` tasks' vectors at a time, until a bucket has one.
-4. The second pass re-aligns documents and looks their pairs up; foreign keys, which
+4. The second pass re-aligns documents from their ids and looks their pairs up; foreign keys, which
    would raise, cannot occur.
 
 A worker holds at most ``HOLD`` buckets of about ``BUCKET_PAIRS`` pairs, so its memory is
@@ -50,7 +50,7 @@ GROUP_TOKENS = 1 << 21
 #: Cached units of the B vocabulary; longer ones are not cached.
 CACHE_SIZE = 400_000
 CACHED_CHARS = 48
-_IDS = "doc_id long, ids_a binary, ids_b binary"
+_IDS = "doc_id long, ids_a binary, ids_b binary, pairs binary"
 _SCORED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
            "count_sum long, groups_sha256 string")
 _WORKER: dict[str, Pieces] = {}
@@ -74,27 +74,39 @@ class Pieces:
         self.space = np.array([self.model.piece_to_id("▁")], "<u2").tobytes()
         self.units = re.compile(" +[^ ]*").findall
         self.known: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
 
     def _raw(self, units: list[str]) -> list[bytes]:
         """Ids of units; each begins with the space that the model puts first."""
         got = self.model.encode([u[1:] for u in units], num_threads=1)
+        for u, ids in zip(units, got):
+            if len(u) > 1 and b"".join(map(self.bytes.__getitem__, ids)) != u.encode():
+                self.unlike.add(u)
         return [np.array(ids, "<u2").tobytes() if len(u) > 1 else self.space for u, ids in zip(units, got)]
 
-    def encode(self, spaced: str) -> bytes:
-        """Ids of a text that has its leading space put before it."""
-        if not self.by_unit:
-            return self._raw([spaced])[0] if len(spaced) > 1 else b""
-        units = self.units(spaced)
+    def spells(self, raw: bytes, spaced: str, units: list[str]) -> bool:
+        """Whether the ids spell the text. They do if every unit's ids spell the unit."""
+        if not self.unlike or self.unlike.isdisjoint(units):
+            return True
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(raw, "<u2").tolist())) == spaced.encode()
+
+    def encode(self, spaced: str) -> bytes | None:
+        """Ids of a text that has its leading space put before it; None if they do not
+        spell it."""
+        units = self.units(spaced) if self.by_unit else [spaced]
         known = self.known
         if len(known) > CACHE_SIZE:
             known.clear()
-        fresh = [u for u in dict.fromkeys(units) if u not in known]
+            self.unlike.clear()
+        fresh = list(set(units).difference(known))
         long = {}
-        for u, ids in zip(fresh, self._raw(fresh)):
+        for u, ids in zip(fresh, self._raw(fresh) if fresh else ()):
             (known if len(u) <= CACHED_CHARS else long)[u] = ids
-        if long:
-            return b"".join([known.get(u) or long[u] for u in units])
-        return b"".join(map(known.__getitem__, units))
+        raw = b"".join([known.get(u) or long[u] for u in units] if long else map(known.__getitem__, units))
+        if not self.spells(raw, spaced, units):
+            return None
+        self.unlike.difference_update(long)
+        return raw
 
 
 def pieces(path: str) -> Pieces:
@@ -112,28 +124,30 @@ def byte_tokens(path: str) -> list[bytes]:
 
 
 def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(doc_id, ids_a, ids_b) of ``docs(doc_id, text)``: unsigned 16-bit ids, empty
-    where a text has no tokens."""
+    """(doc_id, ids_a, ids_b, pairs) of ``docs(doc_id, text)``: unsigned 16-bit ids, empty
+    where a text has no tokens, and its distinct linked pairs, as unsigned 32-bit keys."""
 
     def task(batches):
-        a, b, of_a = tokens.encoder(path_a), pieces(path_b), byte_tokens(path_a)
-        of_b = b.bytes
+        a, b = tokens.encoder(path_a), pieces(path_b)
+        of_a, sizes = byte_tokens(path_a), _sizes(path_a, path_b)
         if len(of_a) > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        lossless = {bytes([i]) for i in range(256)} <= set(of_a)  # any bytes are spelled then
         for batch in batches:
             for first, texts in tokens.groups(batch.column(1).to_pylist(), 1 << 22):
                 rows_a, rows_b = [], []
                 for text, raw in zip(texts, a.encode([f" {t}" for t in texts])):
-                    ids_a, ids_b = np.frombuffer(raw, "<u4"), b""
-                    if text:
-                        spaced, ids_b = f" {text}".encode(), b.encode(f" {text}")
-                        if (b"".join(map(of_a.__getitem__, ids_a.tolist())) != spaced
-                                or b"".join(map(of_b.__getitem__, np.frombuffer(ids_b, "<u2").tolist())) != spaced):
-                            ids_b = b""
-                    rows_b.append(ids_b)
+                    ids_b = b.encode(f" {text}") if text else None
+                    ids_a = np.frombuffer(raw, "<u4")
+                    if ids_b and not lossless and b"".join(map(of_a.__getitem__, ids_a.tolist())) != f" {text}".encode():
+                        ids_b = None
+                    rows_b.append(ids_b or b"")
                     rows_a.append(ids_a.astype("<u2").tobytes() if ids_b else b"")
+                doc, keys = Aligned(rows_a, rows_b, *sizes).distinct()
+                raw, cuts = keys.astype("<u4").tobytes(), 4 * np.searchsorted(doc, np.arange(len(texts) + 1))
+                pairs = [raw[lo:hi] for lo, hi in zip(cuts.tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(rows_a, pa.binary()),
-                                                  pa.array(rows_b, pa.binary())], ["doc_id", "ids_a", "ids_b"])
+                                                  pa.array(rows_b, pa.binary()), pa.array(pairs, pa.binary())], ["doc_id", "ids_a", "ids_b", "pairs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(task, _IDS)
@@ -150,15 +164,17 @@ class Aligned:
         self.n_b = np.array([len(r) // 2 for r in raw_b], np.int64)
         self.a = np.frombuffer(b"".join(raw_a), "<u2").astype(np.int64)
         self.b = np.frombuffer(b"".join(raw_b), "<u2").astype(np.int64)
-        self.end_a, self.end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
-        first = np.searchsorted(self.end_b, self.end_a - size_a[self.a], side="right")
-        last = np.searchsorted(self.end_b - size_b[self.b], self.end_a, side="left")
-        per = last - first
+        end_a, end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
+        here_a, here_b = (np.zeros((end_a[-1] if len(end_a) else 0) + 1, bool) for _ in range(2))
+        here_a[end_a], here_b[end_b] = True, True
+        # Every stretch of bytes between two ends, of whichever side, is one link.
+        ends = np.flatnonzero(here_a | here_b)
+        stops_a, stops_b = here_a[ends], here_b[ends]
+        which = np.cumsum(stops_a) - stops_a
+        self.last_a, self.last_b = here_b[end_a], here_a[end_b]
         self.doc_a = np.repeat(np.arange(len(self.n_a)), self.n_a)
-        which = np.repeat(np.arange(len(self.a)), per)
-        to = np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per) + first[which]
         self.doc = self.doc_a[which]
-        self.key = self.a[which] << 16 | self.b[to]
+        self.key = self.a[which] << 16 | self.b[np.cumsum(stops_b) - stops_b]
 
     def sum_by_doc(self, values: np.ndarray) -> np.ndarray:
         """Exact sums of long values of links, by document."""
@@ -166,24 +182,22 @@ class Aligned:
         ends = np.cumsum(np.bincount(self.doc, minlength=len(self.n_a)))
         return np.diff(upto[np.concatenate([[0], ends])])
 
-    def distinct(self) -> np.ndarray:
-        """The pair of every (document, pair)."""
-        order = np.lexsort((self.key, self.doc))
-        key, doc = self.key[order], self.doc[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        return key[new]
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Document and key of every (document, pair), in order."""
+        both = np.sort(self.doc << 32 | self.key)
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+        return both >> 32, both & 0xFFFFFFFF
 
     def groups(self):
-        """Whether a token of A, of B, is the last of its group, and the order in
-        which groups list them: A's tokens, then B's."""
-        last_a = np.isin(self.end_a, self.end_b, assume_unique=True)
-        last_b = np.isin(self.end_b, self.end_a, assume_unique=True)
-        of_a = np.cumsum(last_a) - last_a
-        of_b = np.cumsum(last_b) - last_b
-        place_a = np.arange(len(self.a)) + np.searchsorted(of_b, of_a, side="left")
-        place_b = np.arange(len(self.b)) + np.searchsorted(of_a, of_b, side="right")
-        return last_a, last_b, place_a, place_b
+        """The places of A's and B's tokens in the list of groups, each of which lists A's
+        tokens, then B's."""
+        of_a = np.cumsum(self.last_a) - self.last_a
+        of_b = np.cumsum(self.last_b) - self.last_b
+        before_b = np.concatenate([[0], np.flatnonzero(self.last_b) + 1])
+        upto_a = np.flatnonzero(self.last_a) + 1
+        return np.arange(len(self.a)) + before_b[of_a], np.arange(len(self.b)) + upto_a[of_b]
 
 
 def _sizes(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
@@ -235,17 +249,30 @@ def _by_bucket(keys: np.ndarray, buckets: int, backwards: bool):
             yield b, order[cuts[b]:cuts[b + 1]]
 
 
-def _distinct_pairs(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def _pair_groups(batches):
+    """Keys of the distinct pairs of groups of documents; a document's are not repeated."""
+    for batch in batches:
+        held, size = [], 0
+        for raw in batch.column(0).to_pylist():
+            held.append(raw)
+            size += len(raw)
+            if size >= 4 * GROUP_TOKENS:
+                yield np.frombuffer(b"".join(held), "<u4").astype(np.int64)
+                held, size = [], 0
+        yield np.frombuffer(b"".join(held), "<u4").astype(np.int64)
+
+
+def _distinct_pairs(ids: DataFrame) -> DataFrame:
     def task(batches):
         kept = np.zeros(0, np.int64)
-        for _, part in _aligned(batches, path_a, path_b):
-            kept = np.union1d(kept, part.key)
+        for keys in _pair_groups(batches):
+            kept = np.union1d(kept, keys)
             if len(kept) > 4 * BUCKET_PAIRS:
                 yield pa.RecordBatch.from_arrays([pa.array(kept)], ["pair"])
                 kept = np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(kept)], ["pair"])
 
-    return ids.mapInArrow(task, "pair long").distinct()
+    return ids.select("pairs").mapInArrow(task, "pair long").distinct()
 
 
 def _build_hashes(pairs: DataFrame, folder: str, buckets: int) -> None:
@@ -265,7 +292,7 @@ def _build_hashes(pairs: DataFrame, folder: str, buckets: int) -> None:
     written(pairs.mapInArrow(add, "bucket int, pair long").groupBy("bucket").applyInArrow(build, "bucket int, n long"), "align_hashes")
 
 
-def _count(ids: DataFrame, folder: str, buckets: int, path_a: str, path_b: str) -> DataFrame:
+def _count(ids: DataFrame, folder: str, buckets: int) -> DataFrame:
     """(bucket, node, counts): each task's dense vectors of documents a pair."""
     def task(batches):
         node, store, sums = TaskContext.get().partitionId(), Store(folder, "hash", PerfectHash.load), {}
@@ -274,8 +301,7 @@ def _count(ids: DataFrame, folder: str, buckets: int, path_a: str, path_b: str)
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([node], pa.int32()),
                                                pa.array([sums.pop(bucket).astype("<i8").tobytes()], pa.binary())], ["bucket", "node", "counts"])
 
-        for turn, (_, part) in enumerate(_aligned(batches, path_a, path_b)):
-            keys = part.distinct()
+        for turn, keys in enumerate(_pair_groups(batches)):
             for bucket, rows in _by_bucket(keys, buckets, turn % 2 == 1):
                 table = store.get(bucket)
                 if bucket not in sums:
@@ -289,7 +315,7 @@ def _count(ids: DataFrame, folder: str, buckets: int, path_a: str, path_b: str)
         for bucket in list(sums):
             yield out(bucket)
 
-    return ids.mapInArrow(task, "bucket int, node int, counts binary")
+    return ids.select("pairs").mapInArrow(task, "bucket int, node int, counts binary")
 
 
 def _tree_sum(vectors: DataFrame, nodes: int) -> DataFrame:
@@ -346,34 +372,40 @@ def _load_counts(source):
     return np.load(source), np.load(source)
 
 
-def _labels(path_a: str, path_b: str) -> tuple[list[bytes], list[bytes]]:
-    """Decimal ids followed by what can follow them: a comma or the end of a list."""
-    n_a, n_b = (len(s) for s in _sizes(path_a, path_b))
-    return ([b"%d," % i for i in range(n_a)] + [b"%d|" % i for i in range(n_a)],
-            [b"%d," % i for i in range(n_b)] + [b"%d;" % i for i in range(n_b)])
-
-
-def _group_hashes(part: Aligned, labels) -> tuple[np.ndarray, list[str]]:
-    """Number of groups and the hash of their list, by document."""
-    last_a, last_b, place_a, place_b = part.groups()
-    n_a, words = len(labels[0]) // 2, labels[0] + labels[1]
-    codes = np.zeros(len(part.a) + len(part.b), np.int64)
-    codes[place_a] = part.a + n_a * last_a
-    codes[place_b] = len(labels[0]) + part.b + len(labels[1]) // 2 * last_b
-    ends = np.cumsum(part.n_a + part.n_b)
-    hashes, at = [], 0
-    for end in ends.tolist():
-        text = b"".join(map(words.__getitem__, codes[at:end].tolist()))
-        hashes.append(hashlib.sha256(text[:-1]).hexdigest() if text else "")
+_DIGITS = 5
+#: Decimal digits of all 16-bit ids, last digit first, and how many each has.
+_DECIMAL = np.stack([np.arange(1 << 16) // 10 ** k % 10 + 48 for k in range(_DIGITS)]).astype(np.uint8)
+_WIDTH = np.maximum(1, sum(np.arange(1 << 16) >= 10 ** k for k in range(_DIGITS)))
+
+
+def _group_hashes(part: Aligned) -> tuple[np.ndarray, list[str]]:
+    """Number of groups and the hash of their list, by document. The lists are written
+    digit by digit for all tokens at once; each id is followed by a comma or by the sign
+    that ends its side of the group."""
+    place_a, place_b = part.groups()
+    ids, sign = np.zeros(len(part.a) + len(part.b), np.int64), np.zeros(len(part.a) + len(part.b), np.uint8)
+    ids[place_a], ids[place_b] = part.a, part.b
+    sign[place_a] = np.where(part.last_a, ord("|"), ord(","))
+    sign[place_b] = np.where(part.last_b, ord(";"), ord(","))
+    width = _WIDTH[ids]
+    ends = np.cumsum(width + 1)
+    text = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    text[ends - 1] = sign
+    for k in range(_DIGITS):
+        has = np.flatnonzero(width > k)
+        text[ends[has] - 2 - k] = _DECIMAL[k][ids[has]]
+    raw, hashes, at = memoryview(text), [], 0
+    last = np.concatenate([[0], ends])[np.cumsum(part.n_a + part.n_b)]
+    for end in last.tolist():
+        hashes.append(hashlib.sha256(raw[at:end - 1]).hexdigest() if end > at else "")
         at = end
-    return np.bincount(part.doc_a, weights=last_a, minlength=len(part.n_a)).astype(np.int64), hashes
+    return np.bincount(part.doc_a, weights=part.last_a, minlength=len(part.n_a)).astype(np.int64), hashes
 
 
 def _score(ids: DataFrame, folder: str, buckets: int, path_a: str, path_b: str) -> DataFrame:
     """The second pass: documents aligned again, with their pairs' counts."""
     def task(batches):
         hashes, counts = Store(folder, "hash", PerfectHash.load), Store(folder, "counts", _load_counts)
-        labels = _labels(path_a, path_b)
         for turn, (doc_ids, part) in enumerate(_aligned(batches, path_a, path_b)):
             count, best = np.zeros(len(part.key), np.int64), np.zeros(len(part.key), np.int64)
             for bucket, rows in _by_bucket(part.key, buckets, turn % 2 == 1):
@@ -382,24 +414,24 @@ def _score(ids: DataFrame, folder: str, buckets: int, path_a: str, path_b: str)
                     raise RuntimeError("a pair without a slot")
                 counted, highest = counts.get(bucket)
                 count[rows], best[rows] = counted[slot], highest[slot]
-            n_groups, digests = _group_hashes(part, labels)
+            n_groups, digests = _group_hashes(part)
             columns = [part.n_a, part.n_b, n_groups, part.sum_by_doc(np.ones(len(count), np.int64)), part.sum_by_doc(best), part.sum_by_doc(count)]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *map(pa.array, columns), pa.array(digests, pa.string())],
                                              ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    return ids.mapInArrow(task, _SCORED)
+    return ids.select("doc_id", "ids_a", "ids_b").mapInArrow(task, _SCORED)
 
 
-def count_pairs(ids: DataFrame, folder: str, path_a: str, path_b: str) -> int:
+def count_pairs(ids: DataFrame, folder: str) -> int:
     """Hash and count all pairs of written ``ids`` into files of ``folder``; returns
     the number of buckets."""
-    pairs = written(_distinct_pairs(ids, path_a, path_b), "align_pairs")
+    pairs = written(_distinct_pairs(ids), "align_pairs")
     buckets = max(1, -(-pairs.count() // BUCKET_PAIRS))
     files, root = _filesystem(folder)
     files.create_dir(root, recursive=True)
     _build_hashes(pairs, folder, buckets)
     nodes = max(1, ids.rdd.getNumPartitions())
-    _save_counts(_tree_sum(_count(ids, folder, buckets, path_a, path_b), nodes), folder)
+    _save_counts(_tree_sum(_count(ids, folder, buckets), nodes), folder)
     return buckets
 
 
@@ -421,5 +453,5 @@ def align(docs: DataFrame, folder: str, path_a: str, path_b: str) -> DataFrame:
     """One row a document of ``docs(doc_id, text)``: tokens of both vocabularies,
     groups, links, links that are their A id's most frequent, and the sum of their counts."""
     ids = written(encode(docs, path_a, path_b), "align_ids")
-    buckets = count_pairs(ids, folder, path_a, path_b)
+    buckets = count_pairs(ids, folder)
     return _score(ids, folder, buckets, path_a, path_b)

@@ -99,7 +99,7 @@ def test_documents_and_awkward_texts(spark, sf, monkeypatch):
 
     ids = X.written(X.encode(docs, A, B), "ids")
     folder = scratch_path(spark, "pairs")
-    buckets = X.count_pairs(ids, folder, A, B)
+    buckets = X.count_pairs(ids, folder)
     assert buckets > 5
     assert {(r.id_a, r.id_b): r["count"] for r in X.pair_counts(spark, folder, buckets).collect()} == dict(counts)
 
@@ -155,6 +155,9 @@ def test_units_equal_the_library():
     pieces = X.pieces(B)
     assert pieces.by_unit
     for t in filter(None, TEXTS):
+        if "▁" in t:
+            assert pieces.encode(f" {t}") is None
+            continue
         assert np.frombuffer(pieces.encode(f" {t}"), "<u2").tolist() == pieces.model.encode(t)
 
 
