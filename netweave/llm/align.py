@@ -48,7 +48,7 @@ FAN = 16
 #: Tokens of both vocabularies that are aligned at once.
 GROUP_TOKENS = 1 << 21
 #: Cached units of the B vocabulary; longer ones are not cached.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 600_000
 CACHED_CHARS = 48
 _IDS = "doc_id long, ids_a binary, ids_b binary, pairs binary"
 _SCORED = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
@@ -74,6 +74,7 @@ class Pieces:
         self.space = np.array([self.model.piece_to_id("▁")], "<u2").tobytes()
         self.units = re.compile(" +[^ ]*").findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.unlike: set[str] = set()
 
     def _raw(self, units: list[str]) -> list[bytes]:
@@ -90,23 +91,31 @@ class Pieces:
             return True
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(raw, "<u2").tolist())) == spaced.encode()
 
-    def encode(self, spaced: str) -> bytes | None:
-        """Ids of a text that has its leading space put before it; None if they do not
-        spell it."""
-        units = self.units(spaced) if self.by_unit else [spaced]
-        known = self.known
-        if len(known) > CACHE_SIZE:
-            known.clear()
-            self.unlike.clear()
-        fresh = list(set(units).difference(known))
-        long = {}
-        for u, ids in zip(fresh, self._raw(fresh) if fresh else ()):
-            (known if len(u) <= CACHED_CHARS else long)[u] = ids
-        raw = b"".join([known.get(u) or long[u] for u in units] if long else map(known.__getitem__, units))
-        if not self.spells(raw, spaced, units):
-            return None
+    def _look_up(self, units: set[str]) -> dict[str, bytes]:
+        """Ids of units that are too long to be kept; all others are ``known`` after it.
+        Units met of late stay known when older ones are forgotten."""
+        if len(self.known) > CACHE_SIZE // 2:
+            self.known, self.older = {}, self.known
+            self.unlike.intersection_update(self.older)
+        fresh = units.difference(self.known)
+        again = fresh.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        new, long = list(fresh.difference(again)), {}
+        for u, ids in zip(new, self._raw(new) if new else ()):
+            (self.known if len(u) <= CACHED_CHARS else long)[u] = ids
+        return long
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts that have their leading space put before them; None where they
+        do not spell the text."""
+        cut = [self.units(t) if self.by_unit else [t] for t in texts]
+        long = self._look_up(set().union(*cut))
+        known, out = self.known, []
+        for spaced, units in zip(texts, cut):
+            raw = b"".join([known.get(u) or long[u] for u in units] if long else map(known.__getitem__, units))
+            out.append(raw if self.spells(raw, spaced, units) else None)
         self.unlike.difference_update(long)
-        return raw
+        return out
 
 
 def pieces(path: str) -> Pieces:
@@ -136,9 +145,9 @@ def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             for first, texts in tokens.groups(batch.column(1).to_pylist(), 1 << 22):
                 rows_a, rows_b = [], []
-                for text, raw in zip(texts, a.encode([f" {t}" for t in texts])):
-                    ids_b = b.encode(f" {text}") if text else None
-                    ids_a = np.frombuffer(raw, "<u4")
+                spaced = [f" {t}" for t in texts]
+                for text, raw, ids_b in zip(texts, a.encode(spaced), b.encode(spaced)):
+                    ids_a, ids_b = np.frombuffer(raw, "<u4"), ids_b if text else None
                     if ids_b and not lossless and b"".join(map(of_a.__getitem__, ids_a.tolist())) != f" {text}".encode():
                         ids_b = None
                     rows_b.append(ids_b or b"")
