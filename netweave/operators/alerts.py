@@ -179,34 +179,41 @@ def append_unstored(new_alerts: DataFrame, path: str, key: str, grain: str = "da
     stored, known = read_stored(spark, path, batch.schema), read_stored(spark, M.filter_path(path), M.SCHEMA)
     if stored is None:
         if not batch.isEmpty():
-            write_by_date(M.filters(batch, key), M.filter_path(path))
+            write_by_date(M.filters(batch, key), M.filter_path(path), "month")
             write_by_date(batch, path)
         return batch
     if known is None:
-        write_by_date(M.filters(stored, key), M.filter_path(path))
+        write_by_date(M.filters(stored, key), M.filter_path(path), "month")
         known = read_stored(spark, M.filter_path(path), M.SCHEMA)
     here = _within(batch, "date")
     if here is None:
         return batch
-    judged = materialize(M.possible(batch, known.where(here), key))
+    judged = materialize(M.possible(batch, known.where(_between("date", here) & _between("month", here)), key))
     unsure = judged.where("__possible").drop("__possible")
     fresh = judged.where("NOT __possible").drop("__possible")
     there = _within(unsure, "date")
     if there is not None:
-        ids = stored.where(there).select(F.col("date").alias("s_date"), F.col(key).alias("s_id"))
+        ids = stored.where(_between("date", there)).select(F.col("date").alias("s_date"), F.col(key).alias("s_id"))
         fresh = fresh.unionByName(unsure.join(ids, F.col("date").eqNullSafe(F.col("s_date")) & (F.col(key) == F.col("s_id")), "left_anti"))
-    write_by_date(M.filters(fresh, key), M.filter_path(path))
+    write_by_date(M.filters(fresh, key), M.filter_path(path), "month")
     write_by_date(fresh, path)
     return fresh
 
 
 def _within(rows: DataFrame, date: str):
-    """Literal bounds of the rows' dates, which prune folders; None without rows."""
+    """Least and greatest date of the rows, and whether some have none; None without rows."""
     lo, hi, n, undated = rows.agg(F.min(date), F.max(date), F.count(F.lit(1)), F.count_if(F.col(date).isNull())).first()
-    if not n:
-        return None
-    bounds = F.lit(False) if lo is None else F.col(date).between(F.lit(lo.isoformat()).cast("date"), F.lit(hi.isoformat()).cast("date"))
-    return bounds | F.col(date).isNull() if undated else bounds
+    return (lo, hi, undated > 0) if n else None
+
+
+def _between(column: str, bounds) -> Column:
+    """Literal bounds of dates, or of the months they lie in, which prune folders."""
+    lo, hi, undated = bounds
+    held = F.lit(False)
+    if lo is not None:
+        first = lo.replace(day=1) if column == "month" else lo
+        held = F.col(column).between(F.lit(first.isoformat()).cast("date"), F.lit(hi.isoformat()).cast("date"))
+    return held | F.col(column).isNull() if undated else held
 
 
 def append_structured_alerts(new_alerts: DataFrame, path: str, grain: str = "day") -> DataFrame:

@@ -1,7 +1,7 @@
 """Which ids a date-partitioned store can hold, without reading it.
 
-Beside a store lies a table of Bloom filters, one a date folder: rows (date, word,
-bits). An id sets ``PROBES`` bits of one 64-bit word of its date's filter, so a lookup is
+Beside a store lies a table of Bloom filters, one a date folder of the store: rows (date,
+word, bits), kept in folders by month, since a file costs more than a sparse day's rows. An id sets ``PROBES`` bits of one 64-bit word of its date's filter, so a lookup is
 one equi-join, a filter is built by a partially aggregated ``bit_or``, and the filters of
 several appends merge in the same way. A filter never denies a stored id; it holds an
 unknown one for stored in about one of a hundred cases with ten bits an id
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 WORDS = 1 << 20
 PROBES = 6
-SCHEMA = "word int, bits long, date date"
+SCHEMA = "word int, bits long, date date, month date"
 
 
 def filter_path(store: str) -> str:
@@ -35,9 +35,13 @@ def _bits(key: str) -> Column:
 
 
 def filters(ids: DataFrame, key: str) -> DataFrame:
-    """(word, bits, date) of ``ids(date, key)``."""
+    """(word, bits, date, month) of ``ids(date, key)``."""
     return ids.select("date", _word(key).alias("word"), _bits(key).alias("bits")).groupBy("date", "word").agg(
-        F.bit_or("bits").alias("bits")).select("word", "bits", "date")
+        F.bit_or("bits").alias("bits")).select("word", "bits", "date", month_of(F.col("date")).alias("month"))
+
+
+def month_of(date: Column) -> Column:
+    return F.to_date(F.trunc(date, "month"))
 
 
 def possible(ids: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -84,7 +84,7 @@ def test_a_store_without_filters_gets_them(spark, store):
 def test_broken_off_append_loses_nothing(spark, store):
     A.append_unstored(batch(spark, range(5)), store, "alert_id")
     ghost = batch(spark, range(5, 9)).withColumn("date", F.to_date("timestamp"))
-    M.filters(ghost, "alert_id").write.mode("append").partitionBy("date").parquet(M.filter_path(store))
+    M.filters(ghost, "alert_id").write.mode("append").partitionBy("month").parquet(M.filter_path(store))
     A.append_unstored(batch(spark, range(9)), store, "alert_id")
     assert ids_in(spark, store) == [f"a{i}" for i in range(9)]
 
