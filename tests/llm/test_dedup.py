@@ -159,3 +159,49 @@ def test_large_group_of_near_copies_is_one_component(spark, monkeypatch, block):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, shingle=2).collect()}
     assert got == want
     assert {c for _, c in want.values()} == {1000, 5000}
+
+
+def test_rows_that_share_a_doc_id_are_judged_apart(spark):
+    """A row's links are those of its own text; only near copies go."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows_ = [(1, a), (5, a + ["x"]), (5, b), (9, b + ["y"]), (5, b), (7, []), (7, [])]
+    docs = spark.createDataFrame([(i, " ".join(w), "k") for i, w in rows_], "doc_id long, text string, root string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 5).collect())
+    assert got == sorted([(1, 56, 1, True), (5, 57, 1, False), (5, 56, 5, True), (5, 56, 5, True), (9, 57, 5, False),
+                          (7, 0, 7, True), (7, 0, 7, True)])
+    kept = neardup.keep_one(docs, 5)
+    assert kept.schema == docs.schema
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, " ".join(a)), (5, " ".join(b)), (7, "")]
+
+
+def test_parities_rule_out_no_link():
+    """Buckets whose parity differs never exceed the members of one set only, at
+    every length to which parities fold."""
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 300, 3000, 30_000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for changed in (0, size // 10, size // 3):
+            other = np.concatenate([base[changed:], rng.integers(0, 1 << 63, 2 * changed, dtype=np.uint64)])
+            one, two = np.unique(base), np.unique(other)
+            flat, to = neardup._parities(np.concatenate([one, two]), np.array([len(one), len(two)]))
+            folded = neardup._folded(flat.view(np.uint64), np.diff(to))
+            for n in (n for n in folded if n <= np.diff(to).min()):
+                assert np.bitwise_count(folded[n][0] ^ folded[n][1]).sum() <= len(np.setxor1d(one, two))
+
+
+def test_family_below_the_similarity_makes_no_pairs(spark):
+    """Texts that share 70 % of their shingles lie within the signature distance
+    but have no link: they leave no pair to confirm, and links among them stay."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(60):
+        w = base[:]
+        for j in rng.choice(300, 27, replace=False):
+            w[j] = f"own{i}x{j}"
+        texts.append((i, " ".join(w)))
+    texts += [(100 + i, t + f" end{i}") for i, t in texts[:20]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = link_components(texts, 2, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, shingle=2).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 60
