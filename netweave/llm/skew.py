@@ -17,21 +17,29 @@ ROWS = 1000
 MAX_SALTS = 4096
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+def hot_keys(rows: DataFrame, *key: str) -> DataFrame:
     """(key, __salts) of the hot keys, at most ``KEYS`` rows, held by the driver."""
-    top = (rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-           .where(F.col("__n") > ROWS).orderBy(F.col("__n").desc()).limit(KEYS)
-           .select(key, F.least(F.ceil(F.col("__n") / ROWS), F.lit(MAX_SALTS)).cast("int").alias("__salts")))
-    return rows.sparkSession.createDataFrame(top.collect(), top.schema)
+    counts = rows.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    return hot_of_counts(counts, "__n", *key)
 
 
-def salted_left_join(rows: DataFrame, other: DataFrame, key: str, spread: list[str], how: str = "left") -> DataFrame:
+def hot_of_counts(counts: DataFrame, n: str, *key: str) -> DataFrame:
+    """``hot_keys`` from rows per key, where column ``n`` has them already."""
+    top = (counts.where(F.col(n) > ROWS).orderBy(F.col(n).desc()).limit(KEYS)
+           .select(*key, F.least(F.ceil(F.col(n) / ROWS), F.lit(MAX_SALTS)).cast("int").alias("__salts")))
+    return counts.sparkSession.createDataFrame(top.collect(), top.schema)
+
+
+def salted_left_join(rows: DataFrame, other: DataFrame, key: str | list[str], spread: list[str], how: str = "left",
+                     hot: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``other`` on ``key``; ``other`` has one row a key or a
-    few. ``spread`` are the columns that tell rows of one key apart."""
-    hot = F.broadcast(hot_keys(rows, key))
+    few. ``spread`` are the columns that tell rows of one key apart; ``hot`` the
+    hot keys, if they are known."""
+    key = [key] if isinstance(key, str) else key
+    hot = F.broadcast(hot_keys(rows, *key) if hot is None else hot)
     dealt = rows.join(hot, key, "left").withColumn(
         "__salt", F.when(F.col("__salts").isNull(), 0)
         .otherwise(F.pmod(F.xxhash64(*spread), F.col("__salts").cast("long"))).cast("int")).drop("__salts")
     copies = other.join(hot, key, "left").withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+    return dealt.join(copies, [*key, "__salt"], how).drop("__salt")

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from netweave.llm import words as W
 from netweave.llm.scratch import written
+from netweave.llm.skew import hot_of_counts, salted_left_join
 
 WINDOW = 50
 K = 16
@@ -176,15 +177,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = written(docs.mapInArrow(_anchor_rows(window), "doc_id long, node long, edge long"), "anchors")
-    repeated = anchors.groupBy("node").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    hits = written(anchors.join(repeated, "node"), "repeated")
-    edges = hits.groupBy("node", "edge").agg(F.count("*").alias("edges"))
-    marked = written(hits.join(edges, ["node", "edge"]).groupBy("doc_id").agg(
+    repeated = written(anchors.groupBy("node").agg(F.count("*").alias("nodes")).where("nodes > 1"), "nodes")
+    hits = written(salted_left_join(anchors, repeated, "node", ["doc_id", "edge"], "inner",
+                                    hot_of_counts(repeated, "nodes", "node")), "repeated")
+    edges = written(hits.groupBy("node", "edge").agg(F.count("*").alias("edges")), "edges")
+    of_edge = salted_left_join(hits, edges, ["node", "edge"], ["doc_id"], "inner", hot_of_counts(edges, "edges", "node", "edge"))
+    marked = written(of_edge.groupBy("doc_id").agg(
         F.collect_set(F.struct("node", "edge", "nodes", "edges")).alias("marks")), "marks")
     claims = written(docs.join(marked, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "marks")
                      .mapInArrow(_claim_rows(window), _CLAIMS), "claims")
-    source = claims.groupBy("side", "hash").agg(F.min("doc_id").alias("source"))
-    judged = written(claims.join(source, ["side", "hash"]).where("source < doc_id OR size(windows) > 0").select(
+    source = written(claims.groupBy("side", "hash").agg(F.min("doc_id").alias("source"), F.count("*").alias("held")), "sources")
+    sourced = salted_left_join(claims, source.drop("held"), ["side", "hash"], ["doc_id", "start"], "inner",
+                               hot_of_counts(source, "held", "side", "hash"))
+    judged = written(sourced.where("source < doc_id OR size(windows) > 0").select(
         "doc_id", "text_hash", "start", "length", "side", "hash", "source",
         F.when(F.col("source") == F.col("doc_id"), F.col("windows")).alias("windows")), "judged")
     first = judged.where("source = doc_id")
