@@ -39,6 +39,9 @@ ROUNDS = 12
 OVERHEAD_BYTES = 16
 #: Rows numbered by one task at most, about.
 BUCKET_ROWS = 50_000
+#: The most frequent texts, at most so many, are dealt out over a bucket per so
+#: many holders; any other text has at most one in ``HOT_TEXTS`` of all rows.
+HOT_TEXTS, HOT_ROWS, HOT_BUCKETS = 500, 1000, 4096
 
 
 def _numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -158,10 +161,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         if not moved:
             break
 
-    # Holders of a text, numbered; fragment f takes the next m numbers.
-    wide = nodes.join(held, "text_key").withColumn("bucket", F.when(
-        F.col("holders") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "text_key"), F.floor(
-            F.col("holders") / BUCKET_ROWS) + 1)))
+    # Holders of a text, numbered; fragment f takes the next m numbers. A hot text's
+    # holders are in buckets before they meet its count.
+    hot = F.broadcast(materialize(texts.where(F.col("holders") > HOT_ROWS).orderBy(F.desc("holders"), "text_key").limit(HOT_TEXTS)
+                                  .select("text_key", F.least(F.ceil(F.col("holders") / HOT_ROWS), F.lit(HOT_BUCKETS))
+                                          .cast("long").alias("buckets"))))
+    dealt = nodes.join(hot, "text_key", "left").withColumn("bucket", F.coalesce(
+        F.pmod(F.xxhash64("doc_id", "text_key"), F.col("buckets")), F.lit(0)).cast("long")).drop("buckets")
+    copies = held.join(hot, "text_key", "left").withColumn(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("buckets", F.lit(1)) - 1))).drop("buckets")
+    wide = dealt.join(copies, ["text_key", "bucket"])
     linked = _numbered(wide.where("holders > 1").drop("holders"), ["text_key"], ["doc_id"], "number")
     spans = state.select("text_key", F.posexplode(F.expr(
         "transform(frags, (f, i) -> named_struct('s', f.s, 'hi', aggregate(slice(frags, 1, i + 1), 0L, (x, g) -> x + g.m), 'm', f.m))")

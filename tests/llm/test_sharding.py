@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fixtures import none, odd, odd_rows, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from netweave.llm import sharding
 
@@ -25,6 +26,7 @@ def check(got, table, shards):
 def test_odd_rows(spark, monkeypatch):
     for bucket in (50_000, 2):
         monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket)
+        monkeypatch.setattr(sharding, "HOT_ROWS", bucket)
         for shards in (3, 40):
             check(rows(sharding.shard(odd(spark), shards)), [r[:2] for r in odd_rows()], shards)
     assert rows(sharding.shard(none(spark))) == []
@@ -34,6 +36,7 @@ def test_copies_stay_together(spark, monkeypatch):
     """A text with a third of all rows takes no more shards than it must, one
     more at most; small groups are whole."""
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(sharding, "HOT_ROWS", 16)
     table = [(i, "hot") for i in range(200)] + [(1000 + i, f"pair {i // 2}") for i in range(100)] + [
         (5000 + i, f"single {i}") for i in range(300)]
     got = rows(sharding.shard(spark.createDataFrame(table, "doc_id long, text string"), 10))
@@ -43,6 +46,31 @@ def test_copies_stay_together(spark, monkeypatch):
     assert len({shard_of[i] for i in range(200)}) <= 5
 
 
+def test_hot_text_is_numbered_in_many_tasks(spark, monkeypatch):
+    """Without broadcasts by size and without AQE, no task holds a hot text."""
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in plain}
+    seen, numbered = [], sharding._numbered
+
+    def watched(df, keys, order, out):
+        if keys == ["text_key"]:
+            seen.append(df)
+        return numbered(df, keys, order, out)
+
+    monkeypatch.setattr(sharding, "_numbered", watched)
+    table = [(i, "hot") for i in range(1000)] + [(5000 + i, f"pair {i // 2}") for i in range(400)]
+    try:
+        for name, value in plain.items():
+            spark.conf.set(name, value)
+        check(rows(sharding.shard(spark.createDataFrame(table, "doc_id long, text string"), 10)), table, 10)
+        tasks = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 1400 and max(tasks) < 500
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_all_linked(spark):
     """No free place: only exchanges are possible."""
     table = [(i, f"pair {i // 2}") for i in range(400)]
