@@ -1,6 +1,7 @@
 """Token-ID binary output: flat unsigned integers plus 64-bit document offsets.
 
-Documents are range-partitioned and sorted by ``doc_id``; every task encodes its
+Documents are range-partitioned and sorted by ``doc_id``, then text (so rows that share
+a doc_id are no single task); every task encodes its
 documents and writes three files to a folder that all machines see:
 
     tokens-NNNNN.bin    ids, little-endian unsigned, 16 bits where the
@@ -87,7 +88,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                                           "n_tokens": pa.array([ends[-1]], pa.int64()), "width": pa.array([width], pa.int32())})
 
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+               .withColumn("head", F.substring("text", 1, 32)).repartitionByRange("doc_id", "head")
+               .sortWithinPartitions("doc_id", "head", "text").drop("head"))
     spark = docs.sparkSession
     manifest = f"{folder}/manifest"
     ordered.mapInArrow(task, _MANIFEST).write.mode("overwrite").parquet(manifest)
@@ -127,8 +129,9 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     "start": pa.array(at[:-1] + row["base"], pa.int64()),
                     "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
-    spread = manifest.select("part", "width", "base").repartition(F.col("part"))
-    return spread.mapInArrow(task, _READ)
+    files = manifest.select("part", "width", "base")
+    # A stated number of partitions stays: the manifest is small, what it names is not.
+    return files.repartition(max(1, files.count()), "part").mapInArrow(task, _READ)
 
 
 def vocabulary(name: str) -> str:

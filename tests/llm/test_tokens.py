@@ -8,6 +8,7 @@ import pytest
 from fixtures import none, odd, odd_rows, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from netweave.llm import packing, token_files, tokens
 from netweave.session import scratch_path
@@ -54,6 +55,8 @@ def test_token_files_round_trip(spark, width):
         want.append((doc, start, len(ids), crc(ids)))
         start += len(ids)
     assert sorted(got, key=repr) == sorted(want, key=repr)
+    used = token_files.read_token_files(spark, folder, files).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 1 or files.count() == 1
     folder = scratch_path(spark, "token_files")
     files = token_files.write_token_files(none(spark), folder, token_files.vocabulary("byte_bpe_50k.json"), 2)
     assert rows(token_files.read_token_files(spark, folder, files)) == []
