@@ -9,9 +9,12 @@ text's length (a phrase costs its logarithm), wins; ties go to the language with
 more labelled documents, then to the smaller name.
 
 Training reads every labelled document outside the held-out fold to find the
-languages, and takes at most ``TRAIN_DOCS`` documents (least hash of doc_id, an eighth of
-``TRAIN_BYTES`` characters of each) and ``TRAIN_BYTES`` bytes in all per
-language: the bound on the model.
+languages, and takes at most ``TRAIN_DOCS`` different texts per language (least
+hash of doc_id; texts under ``SHORT`` characters only where longer ones are too few)
+and of all of them together about ``TRAIN_BYTES`` bytes, in spans at hashed places
+spread over the whole of each text: the bound on the model. More than
+``MOST_LANGUAGES`` labels are an error that says so, as the model is held whole by
+every task.
 
 Parsing runs for many texts at once. Since a phrase always starts at the
 automaton's root, failing transitions can be replaced by those of the root, which
@@ -37,6 +40,8 @@ from netweave.llm import words as W
 FOLDS = 5
 TRAIN_DOCS = 64
 TRAIN_BYTES = 24_000
+SHORT = 16
+MOST_LANGUAGES = 500
 BLOCK = 2048
 #: Bytes parsed at once.
 LANE_BYTES = 1 << 20
@@ -118,7 +123,7 @@ class Model:
 
     def __init__(self, training: dict[str, list[str]], documents: dict[str, int]):
         self.languages = sorted(training, key=lambda x: (-documents[x], x))
-        raw = {x: " ".join(training[x]).encode()[:TRAIN_BYTES] for x in self.languages}
+        raw = {x: " ".join(training[x]).encode() for x in self.languages}
         self.symbols = _symbols(list(raw.values()))
         self.width = int(self.symbols.max()) + 1
         self.tables, self.base, costs = [], [], []
@@ -154,22 +159,35 @@ def _has_letter(text: str) -> bool:
 
 def training_rows(docs: DataFrame, folds: int = FOLDS, per_language: int = TRAIN_DOCS) -> tuple[dict, dict]:
     """Bounded training texts per language, and labelled documents per language."""
-    doc_id = F.col("doc_id").cast("long")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     fold = F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
-    known = docs.select(doc_id.alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-                        F.length(F.col("text").cast("string")).alias("size")).where(
-        "lang IS NOT NULL AND doc_id IS NOT NULL AND size >= 16").where(fold != 0)
-    documents = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang")
-    chosen = F.broadcast(chosen.distinct())  # per_language rows a language
+    keys = [doc_id.alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("text_hash")]
+    known = docs.select(*keys, F.length(text).alias("size")).where(
+        "lang IS NOT NULL AND doc_id IS NOT NULL AND size > 0").where(fold != 0)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"documents have more than {MOST_LANGUAGES} languages in lang")
+    documents = {r["lang"]: r["n"] for r in counts}
+    # Copies of one text count once.
+    least = F.min(F.struct(F.xxhash64("doc_id").alias("order"), "doc_id")).alias("least")
+    different = known.groupBy("lang", "text_hash").agg(least, F.max("size").alias("size"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("size") < SHORT, "least", "text_hash"))
+    chosen = different.withColumn("rank", rank).where(F.col("rank") <= per_language)
+    chosen = chosen.select("lang", "text_hash", F.col("least.doc_id").alias("doc_id"),
+                           F.count("*").over(Window.partitionBy("lang")).alias("chosen"))  # per_language rows a language
+    spans = F.greatest(F.lit(1), F.floor(F.lit(per_language) / F.col("chosen"))).cast("int")
+    # As many characters as make the span's share of bytes; a part of the text for each span.
+    size = F.floor(TRAIN_BYTES / per_language * F.length("text") / F.octet_length("text")).cast("int")
+    pieces = F.expr("""IF(length(text) <= spans * size, array(text), transform(sequence(0, spans - 1), i -> substring(
+        text, CAST(i * part + pmod(xxhash64(doc_id, i), greatest(part - size, 0) + 1) AS INT) + 1, least(size, part))))""")
+    picked = (docs.select(*keys, text.alias("text")).join(F.broadcast(chosen), ["doc_id", "lang", "text_hash"])
+              .withColumn("spans", spans).withColumn("size", size)
+              .withColumn("part", F.floor(F.length("text") / F.col("spans")).cast("int"))
+              .select("lang", "doc_id", "text_hash", pieces.alias("pieces")).distinct()
+              .orderBy("lang", F.xxhash64("doc_id"), "text_hash"))
     texts: dict[str, list[str]] = {x: [] for x in documents}
-    picked = (docs.select(doc_id.alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-                          F.substring(F.col("text").cast("string"), 1, TRAIN_BYTES // 8).alias("text"))
-              .join(chosen, ["doc_id", "lang"]).orderBy("lang", F.xxhash64("doc_id"), "text"))
     for r in picked.collect():
-        if r["text"]:
-            texts[r["lang"]].append(r["text"])
+        texts[r["lang"]].extend(x for x in r["pieces"] if x)
     return {x: t for x, t in texts.items() if t}, documents
 
 

@@ -55,6 +55,27 @@ def test_language_odd_rows(spark, sf):
     assert [r.lang_pred == "und" for r in langid.predict(digits, *model).orderBy("doc_id").collect()] == [True, False, True]
 
 
+def test_language_learns_from_whole_texts_and_short_ones(spark):
+    """A language known beyond the beginnings of its texts alone, and one of short
+    texts alone, are learned; too many labels are an error."""
+    latin, greek = ["alpha beta gamma delta " * 400], "αλφα βητα γαμμα δελτα "
+    docs = [(i, latin[0] + f"{i}", "la") for i in range(1, 40)]
+    docs += [(i, "0 " * 3000 + greek * 200 + f"{i}", "el") for i in range(101, 140)]
+    docs += [(i, "今日は良い天気", "ja") for i in range(201, 240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    training, documents = langid.training_rows(df)
+    assert set(training) == {"la", "el", "ja"} and training["ja"] == ["今日は良い天気"]
+    assert all(sum(len(x.encode()) for x in t) <= 4 * langid.TRAIN_BYTES for t in training.values())
+    assert len(training["el"]) >= len([i for i in range(101, 140) if zlib.crc32(str(i).encode()) % 5])
+    assert sum("βητα" in x for x in training["el"]) > 5
+    asked = spark.createDataFrame([(1, "γαμμα δελτα"), (2, "gamma delta"), (3, "良い天気")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(asked, training, documents).collect()}
+    assert got == {1: "el", 2: "la", 3: "ja"}
+    many = spark.range(3000).selectExpr("id AS doc_id", "'some text here' AS text", "concat('x', id) AS lang")
+    with pytest.raises(ValueError, match="languages"):
+        langid.training_rows(many)
+
+
 def test_label_model_finds_accuracies():
     """Votes drawn from known accuracies: posteriors follow the truth."""
     rng = random.Random(3)
