@@ -23,6 +23,10 @@ The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, so what is
 broadcast has a bound whatever its size; each block is one pass over the
 documents. Documents are neither shuffled nor cut.
 
+An item of one or two words stands in any text: ``leaks`` reports it, ``drop_leaking``
+drops no document for items of fewer than ``LEAST_WORDS`` words; ``short_items``
+lists them.
+
 Words are runs of non-blanks (ASCII blanks) after A-Z are lower-cased. Null and
 empty texts and items match nothing. Rows that repeat a doc_id count as one
 document; rows without doc_id are compared like others. Empty tables give an
@@ -35,7 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave.llm import words as W
@@ -50,6 +54,8 @@ LOCAL_WORDS = 13
 #: Diagonals that one chain of hits may shift by at a time: words put in or left out together.
 SHIFT = 8
 #: Items of fewer words are also looked up by blocks that no allowed substitutions can all disturb.
+#: Items of fewer words drop no document.
+LEAST_WORDS = 3
 BLOCKS_BELOW = 64
 #: Words compared at once.
 STEP = 1 << 20
@@ -301,11 +307,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks=MAS
         (F.col("best.matched") / F.col("best.item_words")).alias("similarity"))
 
 
+def _n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
+
+
+def short_items(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Items that ``drop_leaking`` leaves out: item_id, item_words (under
+    ``least_words``, at least 1)."""
+    words = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
+                             _n_words(F.col("text").cast("string")).cast("long").alias("item_words"))
+    return words.where((F.col("item_words") > 0) & (F.col("item_words") < least_words))
+
+
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, masks=MASKS,
-                 block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, all columns as
-    they are. Decided row by row, so nothing is shuffled."""
+                 block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item of
+    ``least_words`` or more, all columns as they are. Decided row by row, so nothing
+    is shuffled."""
     names = docs.columns
+    benchmark = benchmark.where(_n_words(F.col("text").cast("string")) >= least_words)
 
     def filtered(rows: DataFrame, seeds: _Seeds) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(seeds)

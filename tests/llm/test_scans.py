@@ -174,3 +174,13 @@ def test_leaks_empty(spark):
     assert decontaminate.leaks(none(spark), bench).collect() == []
     assert decontaminate.leaks(odd(spark), bench.limit(0)).collect() == []
     assert decontaminate.drop_leaking(odd(spark), bench.limit(0)).count() == len(odd_rows())
+
+
+def test_items_of_a_word_or_two_drop_nothing(spark):
+    docs = spark.createDataFrame([(1, "the end of the line"), (2, "in the end all is well"), (3, "quiet")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the"), (2, " the  end "), (3, "all is well"), (4, ""), (5, None)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.drop_leaking(docs, bench).collect()) == [1, 3]
+    assert sorted(map(tuple, decontaminate.short_items(bench).collect())) == [(1, 1), (2, 2)]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {
+        (1, 1), (1, 2), (2, 1), (2, 2), (2, 3)}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaking(docs, bench, least_words=4).collect()) == [1, 2, 3]
