@@ -89,3 +89,45 @@ walk(word, root, k) AS (
 SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n::BIGINT AS form_n
 FROM formed f JOIN (SELECT word, arg_max(root, k) AS root FROM walk GROUP BY word) w USING (word)
 """
+
+
+#: Windows of 50 words as strings; a word goes if a covering window starts in a
+#: document with a smaller doc_id.
+SUBSTRING = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM t WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM starts),
+earliest AS (SELECT h, min(doc_id) AS source FROM windows GROUP BY h),
+repeated AS (SELECT doc_id, i FROM windows JOIN earliest USING (h) WHERE source < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM repeated),
+cut AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(cut.n, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN cut.n IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_filter(w, lambda x, k: NOT list_contains(ps, k)), ' ') END) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)
+"""
+
+#: Equal sets are one class; classes are joined on shared shingles and counted;
+#: components by recursion.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+           ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM t),
+classed AS (SELECT doc_id, len(s)::BIGINT AS n, sha256(array_to_string(s, chr(10))) AS h, s FROM sets),
+classes AS (SELECT h, n, min(doc_id) AS rep, any_value(s) AS s FROM classed WHERE n > 0 GROUP BY h, n),
+held AS (SELECT rep, n, unnest(s) AS x FROM classes),
+links AS (
+    SELECT a.rep AS a, b.rep AS b FROM held a JOIN held b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(rep, other) AS (
+    SELECT rep, rep FROM classes
+    UNION
+    SELECT reach.rep, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other),
+roots AS (SELECT rep, min(other) AS root FROM reach GROUP BY rep)
+SELECT c.doc_id, c.n AS n_shingles, coalesce(root, c.doc_id) AS component_id, c.doc_id = coalesce(root, c.doc_id) AS kept
+FROM classed c LEFT JOIN classes k ON c.h = k.h AND c.n = k.n LEFT JOIN roots USING (rep)
+"""

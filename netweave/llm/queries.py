@@ -48,7 +48,7 @@ def q_best_fit_packing(spark, sf):
     return P.pack(spark, cut)
 
 
-@register("op1_substring_dedup")
+@register("op1_substring_dedup", oracles.SUBSTRING)
 def q_substring_dedup(spark, sf):
     """Windows of 50 words that also start in a smaller doc_id, removed."""
     from netweave.llm import substring_dedup as S
@@ -63,7 +63,7 @@ def q_sharding(spark, sf):
     return H.shard(table(spark, sf, "documents"))
 
 
-@register("op3_near_duplicates")
+@register("op3_near_duplicates", oracles.NEAR_DUPLICATES)
 def q_near_duplicates(spark, sf):
     """Components of documents that share 80 % of their two-word shingles."""
     from netweave.llm import neardup as N
