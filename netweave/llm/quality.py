@@ -390,6 +390,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     return fit(features, values, np.concatenate([[0], np.cumsum(sizes)]), target.reshape(-1, 2), known.reshape(-1, 2), weight)
 
 
+#: Rows in a batch that leaves the filter.
+ROWS_OUT = 500
+
+
 def _scored(docs: DataFrame, scorer: Scorer, names: list[str], thresholds: tuple[float, float], only_kept: bool) -> DataFrame:
     """``names`` and, unless only kept rows are wanted, the three results."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -399,18 +403,23 @@ def _scored(docs: DataFrame, scorer: Scorer, names: list[str], thresholds: tuple
         s = shared.value
         for batch in batches:
             p = np.zeros((batch.num_rows, 2))
-            for seen in _look(batch.column(len(names))):
+            for seen in _look(batch.column(at)):
                 own = s(*_features(seen))
                 own[seen.stats["words"] == 0] = 0.0
                 p[seen.first:seen.first + seen.count] = own
             kept = (p <= thresholds).all(axis=1)
             rows = pa.RecordBatch.from_arrays(batch.columns[:len(names)], names)
             if only_kept:
-                yield rows.filter(pa.array(kept))
+                for lo in range(0, batch.num_rows, ROWS_OUT):  # copies of a few rows at a time
+                    yield rows.slice(lo, ROWS_OUT).filter(pa.array(kept[lo:lo + ROWS_OUT]))
             else:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(kept)], [*names, *results])
 
-    picked = docs.select(*names, F.col("text").cast("string").alias("whole text"))
+    # The text goes to Python once where it is among the columns as it is.
+    if "text" in names and docs.schema["text"].dataType.simpleString() == "string":
+        at, picked = names.index("text"), docs.select(*names)
+    else:
+        at, picked = len(names), docs.select(*names, F.col("text").cast("string").alias("whole text"))
     schema = docs.select(*names).schema
     for name in results:
         schema = schema.add(name, "boolean" if name == "kept" else "double")
