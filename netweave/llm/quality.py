@@ -14,7 +14,7 @@ labeller of each.
    about ``SAMPLE`` documents, which bounds the fit: half of it labelled documents, half
    others (all of them where there are fewer), at any number of either. Rows without a
    human label count where a heuristic votes (for toxicity: votes against them), with
-   ``VOTED_WEIGHT``. The sample is chosen on narrow rows (a hash of doc_id and text, and votes), and
+   a weight between 1 and ``VOTED_WEIGHT``, the less the more labels there are. The sample is chosen on narrow rows (a hash of doc_id and text, and votes), and
    only its texts are fetched again. Features met in fewer than ``MIN_DOCS`` of them, or no oftener in bad
    texts than in good ones, get no weight.
 3. Every document is scored on its whole text. It is kept if neither its
@@ -47,8 +47,9 @@ from netweave.llm.scratch import release, written
 BITS = 18
 SAMPLE = 8_000
 MIN_DOCS = 4
-#: Weight in the fit of a document without a human label.
-VOTED_WEIGHT = 1 / 8
+#: Weight in the fit of a document without a human label: 1 where there are no labels,
+#: near the least one where there are many, midway at ``VOTED_HALF`` of them in the sample.
+VOTED_WEIGHT, VOTED_HALF = 1 / 8, 200
 #: Probabilities of junk and of toxicity beyond which a text is rejected.
 THRESHOLDS = (0.5, 0.2)
 #: Bytes and words of plain prose that every text's statistics are mixed with, so few words say little.
@@ -355,6 +356,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
 
     labelled = sum(c[2] for c in counts if max(c[0][-1], c[1][-1]) >= 0)
     others = sum(c[2] for c in counts) - labelled
+    voted_weight = VOTED_WEIGHT + (1 - VOTED_WEIGHT) * VOTED_HALF / (VOTED_HALF + min(labelled, sample / 2))
     # about ``sample`` rows, so they are broadcast; equal rows share a key and become one
     picks = F.broadcast(_picks(judged, labelled, others, sample).dropDuplicates(["key"]))
     picked = _keyed(docs).join(picks, "key").dropDuplicates(["key"]).select("text", "q", "t")
@@ -370,7 +372,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([models[0].get(tuple(p), 0.5) for p in junk]), pa.array([models[1].get(tuple(p), 0.5) for p in toxic]),
                      pa.array([max(p) >= 0 for p in junk]), pa.array([p[-1] >= 0 or max(p) > 0 for p in toxic]),
-                     pa.array(np.where((q[span] >= 0) | (t[span] >= 0), 1.0, VOTED_WEIGHT)),
+                     pa.array(np.where((q[span] >= 0) | (t[span] >= 0), 1.0, voted_weight)),
                      pa.ListArray.from_arrays(starts.astype(np.int32), features.astype(np.int32)),
                      pa.ListArray.from_arrays(starts.astype(np.int32), values.astype(np.float32))],
                     ["junk", "toxic", "junk_known", "toxic_known", "weight", "features", "values"])

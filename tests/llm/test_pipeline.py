@@ -38,4 +38,4 @@ def test_pipeline_on_test_tables(spark, sf):
 
 def test_registered():
     names = set(queries.QUERIES)
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} and len(names) == 10
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} and len(names) == 13
