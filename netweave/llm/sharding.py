@@ -170,7 +170,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         F.pmod(F.xxhash64("doc_id", "text_key"), F.col("buckets")), F.lit(0)).cast("long")).drop("buckets")
     copies = held.join(hot, "text_key", "left").withColumn(
         "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("buckets", F.lit(1)) - 1))).drop("buckets")
-    wide = dealt.join(copies, ["text_key", "bucket"])
+    wide = materialize(dealt.join(copies, ["text_key", "bucket"]))  # read several times below
     linked = _numbered(wide.where("holders > 1").drop("holders"), ["text_key"], ["doc_id"], "number")
     spans = state.select("text_key", F.posexplode(F.expr(
         "transform(frags, (f, i) -> named_struct('s', f.s, 'hi', aggregate(slice(frags, 1, i + 1), 0L, (x, g) -> x + g.m), 'm', f.m))")
