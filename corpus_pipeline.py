@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netweave.llm import decontaminate, neardup, packing, quality, substring_dedup
+from netweave.llm.scratch import bounded_batches
 from netweave.llm.token_files import vocabulary
 from netweave.session import ensure_checkpoint_dir, scratch_path
 
@@ -13,33 +14,39 @@ from netweave.session import ensure_checkpoint_dir, scratch_path
 SHINGLE, SIMILARITY = 5, 80
 
 
+def _ready(spark: SparkSession) -> None:
+    """The shared folder is known; texts go to Python a few megabytes at a time."""
+    ensure_checkpoint_dir(spark)
+    bounded_batches(spark)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on them, does not reject."""
-    ensure_checkpoint_dir(spark)
+    _ready(spark)
     return quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    ensure_checkpoint_dir(spark)
+    _ready(spark)
     return neardup.keep_one(docs, SHINGLE, SIMILARITY)
 
 
 def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows that a smaller doc_id has too."""
-    ensure_checkpoint_dir(spark)
+    _ready(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ensure_checkpoint_dir(spark)
+    _ready(spark)
     return decontaminate.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 2048 ids."""
-    ensure_checkpoint_dir(spark)
+    _ready(spark)
     return packing.pack(spark, packing.pieces(docs, vocabulary("word_bpe_49k.json"), end_id=0))
 
 
