@@ -19,8 +19,9 @@ doc_id; windows are judged on the input.
    and give, at their own source coordinates, a 128-bit hash of every path, and
    for each anchor the run of its windows that no path covers: a hash of the
    run's words beside the anchor's. A path or run that a smaller doc_id has too
-   is removed. Of equal runs only the first holder goes on: its windows, one by
-   one, are compared with those of other runs at the same anchor.
+   is removed. What a text repeats within itself is one row with all its places.
+   Of equal runs only the first holder goes on: its windows, one by one, are
+   compared with those of other runs at the same anchor.
 
 Groups are never gathered: counts and smallest doc_ids are partial aggregates,
 and joins on hot k-mers can be split. Only the marks of one document come
@@ -52,7 +53,7 @@ K = 16
 _PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
 #: ``side`` is the anchor of a run, a second hash of a path; paths have no windows.
-_CLAIMS = "doc_id long, text_hash long, start int, length int, side long, hash long, windows array<long>"
+_CLAIMS = "doc_id long, text_hash long, starts array<int>, length int, side long, hash long, windows array<long>"
 
 
 class _Anchored:
@@ -157,19 +158,28 @@ def _claim_rows(window: int):
                 at = pa.array(row + group.first)
                 one, two = (W.SpanHash(h) for h in group.hashes)
                 sizes = np.concatenate([np.zeros(len(p_start), np.int64), r_end - r_start - window + 1])
+                side = np.concatenate([W.signed(two(p_start, p_end)), a.node[r_anchor]])
+                whole = W.signed(one(start, end))
+                # Equal claims of a text are neighbours; the first of them speaks for all.
+                order = np.lexsort((start, end - start, whole, side, row))
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([np.diff(x[order]) != 0 for x in (row, side, whole, end - start)], axis=0)
+                says = order[new]
+                places = np.append(np.flatnonzero(new), len(order)).astype(np.int32)
+                windows = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
+                                                   W.signed(one(alone, alone + window)))
+                at = at.take(pa.array(says))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), hashes.take(at), pa.array((start - a.bounds[row]).astype(np.int32)),
-                     pa.array((end - start).astype(np.int32)),
-                     pa.array(np.concatenate([W.signed(two(p_start, p_end)), a.node[r_anchor]])),
-                     pa.array(W.signed(one(start, end))),
-                     pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
-                                              W.signed(one(alone, alone + window)))],
-                    ["doc_id", "text_hash", "start", "length", "side", "hash", "windows"])
+                    [ids.take(at), hashes.take(at),
+                     pa.ListArray.from_arrays(places, (start - a.bounds[row])[order].astype(np.int32)),
+                     pa.array((end - start)[says].astype(np.int32)), pa.array(side[says]), pa.array(whole[says]),
+                     windows.take(pa.array(says))],
+                    ["doc_id", "text_hash", "starts", "length", "side", "hash", "windows"])
     return task
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Spans to remove: doc_id, text_hash (``xxhash64`` of the text), start and
+    """Spans to remove: doc_id, text_hash (``xxhash64`` of the text), starts and
     length in words. ``docs`` has doc_id and text."""
     if window < K:
         raise ValueError(f"a window has {K} words at least")
@@ -187,21 +197,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     claims = written(docs.join(marked, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "marks")
                      .mapInArrow(_claim_rows(window), _CLAIMS), "claims")
     source = written(claims.groupBy("side", "hash").agg(F.min("doc_id").alias("source"), F.count("*").alias("held")), "sources")
-    sourced = salted_left_join(claims, source.drop("held"), ["side", "hash"], ["doc_id", "start"], "inner",
+    sourced = salted_left_join(claims, source.drop("held"), ["side", "hash"], ["doc_id", "starts"], "inner",
                                hot_of_counts(source, "held", "side", "hash"))
     judged = written(sourced.where("source < doc_id OR size(windows) > 0").select(
-        "doc_id", "text_hash", "start", "length", "side", "hash", "source",
+        "doc_id", "text_hash", "starts", "length", "side", "hash", "source",
         F.when(F.col("source") == F.col("doc_id"), F.col("windows")).alias("windows")), "judged")
     first = judged.where("source = doc_id")
     contested = first.groupBy("side").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a < b").select("side")
-    single = written(first.join(contested, "side").select("doc_id", "text_hash", "side", "start", F.posexplode("windows"))
-                     .select("doc_id", "text_hash", "side", (F.col("start") + F.col("pos")).alias("start"),
+    single = written(first.join(contested, "side").select("doc_id", "text_hash", "side", "starts", F.posexplode("windows"))
+                     .select("doc_id", "text_hash", "side", F.expr("transform(starts, s -> s + pos)").alias("starts"),
                              F.col("col").alias("hash")), "windows")
     earliest = single.groupBy("side", "hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where(
         "source < last").drop("last")
     alone = single.join(earliest, ["side", "hash"]).where("source < doc_id").select(
-        "doc_id", "text_hash", "start", F.lit(window).alias("length"))
-    return judged.where("source < doc_id").select("doc_id", "text_hash", "start", "length").unionByName(alone)
+        "doc_id", "text_hash", "starts", F.lit(window).alias("length"))
+    return judged.where("source < doc_id").select("doc_id", "text_hash", "starts", "length").unionByName(alone)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -220,11 +230,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def strip_spans(docs: DataFrame, spans: DataFrame,
                 new: tuple[str, ...] = ("n_words", "n_removed", "kept", "kept_sha256")) -> DataFrame:
     """``docs`` with four more columns, by default n_words, n_removed, kept (the
-    words left, joined by one space) and kept_sha256. Columns that ``docs`` has
-    under those names are replaced."""
+    words outside ``spans``, joined by one space) and kept_sha256. Columns that
+    ``docs`` has under those names are replaced."""
     tag = uuid4().hex
     spans = spans.groupBy(F.col("doc_id").alias(f"id_{tag}"), F.col("text_hash").alias(f"hash_{tag}")).agg(
-        F.collect_list(F.struct("start", "length")).alias(f"spans_{tag}"))
+        F.collect_list(F.struct("starts", "length")).alias(f"spans_{tag}"))
     names = [c for c in docs.columns if c.lower() not in new]
     joined = docs.select(*names).join(spans, (F.col("doc_id").cast("long") == F.col(f"id_{tag}"))
                                       & (F.xxhash64(F.col("text").cast("string")) == F.col(f"hash_{tag}")), "left")
@@ -239,7 +249,9 @@ def strip_spans(docs: DataFrame, spans: DataFrame,
                 n_words.append(len(words))
                 if cut[i].is_valid:
                     s = cut[i].values
-                    start, length = (s.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1))
+                    start = s.field(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    length = np.repeat(s.field(1).to_numpy(zero_copy_only=False).astype(np.int64),
+                                       s.field(0).value_lengths().to_numpy(zero_copy_only=False))
                     change = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + length, minlength=len(words) + 1)
                     words = [words[j] for j in np.flatnonzero(np.cumsum(change)[:-1] == 0)]
                 n_removed.append(n_words[-1] - len(words))

@@ -205,3 +205,15 @@ def test_family_below_the_similarity_makes_no_pairs(spark):
     want = link_components(texts, 2, 80)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, shingle=2).collect()}
     assert got == want and len({c for _, c in want.values()}) == 60
+
+
+def test_substring_dedup_phrases_that_texts_repeat_within(spark):
+    """Two words in turn, in some texts at length, with and without other words between."""
+    beat = ["one two " * n for n in (24, 25, 26, 60, 200)]
+    texts = [*beat, "start " + beat[3] + "middle " + beat[2] + "end", "middle " + beat[2] + "other words " + beat[1],
+             " ".join(f"w{i % 7}" for i in range(300)), "w0 w1 " * 40 + " ".join(f"w{i % 7}" for i in range(160))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = substring_dedup.repeated_spans(docs)
+    got = substring_dedup.strip_spans(docs, spans).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(rows(got)) == sorted(cut_repeats(list(enumerate(texts))))
+    assert spans.count() < 60  # not a row a place
