@@ -373,6 +373,25 @@ def q_packets_scan(spark, sf):
     return packets(spark, sf)
 
 
+@register("packets_captured", _pk_sql("SELECT * FROM packets"))
+def q_packets_captured(spark, sf):
+    """All packets written as a capture and read back through the data source."""
+    from netweave.session import scratch_path
+    from netweave.sources import capture
+    path = scratch_path(spark, "capture")
+    capture.write_capture(packets(spark, sf), path)
+    return capture.read_capture(spark, path)
+
+
+@register("packets_from_messages", _pk_sql("SELECT * FROM packets"))
+def q_packets_from_messages(spark, sf):
+    """All packets as message-log rows, each delivered twice, decoded once."""
+    from netweave.sources import capture
+    messages = capture.message_of(packets(spark, sf), "packets")
+    decoded = capture.once(capture.decode_messages(messages.unionByName(messages)))
+    return decoded.where("malformed IS NULL").select(*capture.COLUMNS)
+
+
 @register("flows_from_packets", _pk_sql("SELECT * FROM pflows", [_PFLOWS_CTE]))
 def q_flows_from_packets(spark, sf):
     return PK.flows_from_packets(packets(spark, sf))
