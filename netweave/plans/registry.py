@@ -392,6 +392,17 @@ def q_packets_from_messages(spark, sf):
     return decoded.where("malformed IS NULL").select(*capture.COLUMNS)
 
 
+@register("heavy_hitters_daily", _pk_sql(
+    "SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, value, packets, share FROM ("
+    "SELECT date_trunc('day', ts) AS window_start, src_ip AS value, count(*) AS packets, "
+    "CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY date_trunc('day', ts)) AS share "
+    "FROM packets WHERE src_ip IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) WHERE share >= 0.01"))
+def q_heavy_hitters_daily(spark, sf):
+    """Sources of at least a hundredth of a day's packets, from sketches and an exact recount."""
+    from netweave.operators import heavy
+    return heavy.heavy_hitters(packets(spark, sf), "src_ip", 0.01)
+
+
 @register("flows_from_packets", _pk_sql("SELECT * FROM pflows", [_PFLOWS_CTE]))
 def q_flows_from_packets(spark, sf):
     return PK.flows_from_packets(packets(spark, sf))
