@@ -55,3 +55,32 @@ def test_queries_split_large_stages_in_any_session(spark, sf):
         assert int(spark.conf.get(name)) <= 8000
     finally:
         spark.conf.set(name, before)
+
+
+def test_pairs_of_addresses_are_numbers(spark):
+    """What is shuffled to count pairs holds no text where the addresses are IPv4, and a
+    protocol with a bit needs no row for each of its addresses."""
+    rows = [r for r in _rows() if r[0] and r[1] and r[3]]
+    sets = R._counted_sets(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sets and all(r.text is None and r.text2 is None for r in sets)
+    plain = [r for r in rows if r[2] < 63]
+    assert len({r.set for r in R._counted_sets(spark.createDataFrame(plain, SCHEMA)).collect()}) == 6
+
+
+def test_any_text_counts_as_an_address(spark):
+    """Texts that are no IPv4, protocols beyond the bits, and NULL in any place."""
+    day = dt.datetime(2024, 1, 1)
+    src, dst = ["10.0.0.1", "255.255.255.255", "host", "01.2.3.4", "::1", "", None], ["8.8.8.8", "0.0.0.0", "x|y", None]
+    rows = [(a, b, proto, port, 1, 1, day + dt.timedelta(hours=h)) for a in src for b in dst
+            for proto, port, h in ((0, 0, 0), (62, -1, 23), (63, 2 ** 31 - 1, 5), (-1, None, 5), (None, -2 ** 31, 7))]
+    got = {(r.gid, *(r[k] for k in R.FAMILY_KEYS)): r for r in R.family_statistics(spark.createDataFrame(rows, SCHEMA)).collect()}
+    at = {"src_ip": 0, "dst_ip": 1, "proto_num": 2, "port": 3}
+    values = {"src_ip": src, "proto_num": [0, 62, 63, -1, None], "port": [0, -1, 2 ** 31 - 1, None, -2 ** 31], "hour": [0, 23, 5, 7]}
+    assert len(got) == sum(map(len, values.values()))
+    for key, all_of in values.items():
+        for v in all_of:
+            held = [r for r in rows if (r[6].hour if key == "hour" else r[at[key]]) == v]
+            r = got[R._gid(key), *(v if k == key else None for k in R.FAMILY_KEYS)]
+            assert r.n == len(held)
+            for other in ("src_ip", "dst_ip") if key == "hour" else at.keys() - {key}:
+                assert r[R._MEMBERS[other]] == len({x[at[other]] for x in held} - {None}), (key, v, other)
