@@ -39,14 +39,16 @@ from pyspark.sql import functions as F
 
 from netweave.llm import tokens
 from netweave.llm.phf import PerfectHash, mix
-from netweave.llm.scratch import written
+from netweave.llm.scratch import bounded_batches, written
 from netweave.llm.token_files import _filesystem, _put
 
 BUCKET_PAIRS = 1 << 18
 HOLD = 24
 FAN = 16
-#: Tokens of both vocabularies that are aligned at once.
-GROUP_TOKENS = 1 << 21
+#: Tokens of both vocabularies that are aligned at once, and characters that are encoded
+#: at once; some 100 bytes a token are held.
+GROUP_TOKENS = 1 << 19
+GROUP_CHARS = 1 << 20
 #: Cached units of the B vocabulary; longer ones are not cached.
 CACHE_SIZE = 600_000
 CACHED_CHARS = 48
@@ -124,6 +126,12 @@ def pieces(path: str) -> Pieces:
     return _WORKER[path]
 
 
+def _forget() -> None:
+    """Passes after the encoding keep no vocabulary: their worker may have encoded before."""
+    _WORKER.clear()
+    tokens.forget()
+
+
 def byte_tokens(path: str) -> list[bytes]:
     """Bytes of each id of the byte-level vocabulary."""
     model = tokens.encoder(path).model
@@ -143,7 +151,7 @@ def encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             raise ValueError("ids need more than 16 bits")
         lossless = {bytes([i]) for i in range(256)} <= set(of_a)  # any bytes are spelled then
         for batch in batches:
-            for first, texts in tokens.groups(batch.column(1).to_pylist(), 1 << 22):
+            for first, texts in tokens.groups(batch.column(1).to_pylist(), GROUP_CHARS):
                 rows_a, rows_b = [], []
                 spaced = [f" {t}" for t in texts]
                 for text, raw, ids_b in zip(texts, a.encode(spaced), b.encode(spaced)):
@@ -213,9 +221,8 @@ def _sizes(path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.array([len(t) for t in byte_tokens(path_a)], np.int64), np.array([len(t) for t in pieces(path_b).bytes], np.int64))
 
 
-def _aligned(batches, path_a: str, path_b: str):
+def _aligned(batches, sizes: tuple[np.ndarray, np.ndarray]):
     """Groups of documents of (doc_id, ids_a, ids_b), with their ids."""
-    sizes = _sizes(path_a, path_b)
     for batch in batches:
         ids, raw_a, raw_b = (batch.column(i).to_pylist() for i in range(3))
         at = held = 0
@@ -273,6 +280,7 @@ def _pair_groups(batches):
 
 def _distinct_pairs(ids: DataFrame) -> DataFrame:
     def task(batches):
+        _forget()
         kept = np.zeros(0, np.int64)
         for keys in _pair_groups(batches):
             kept = np.union1d(kept, keys)
@@ -304,6 +312,7 @@ def _build_hashes(pairs: DataFrame, folder: str, buckets: int) -> None:
 def _count(ids: DataFrame, folder: str, buckets: int) -> DataFrame:
     """(bucket, node, counts): each task's dense vectors of documents a pair."""
     def task(batches):
+        _forget()
         node, store, sums = TaskContext.get().partitionId(), Store(folder, "hash", PerfectHash.load), {}
 
         def out(bucket):
@@ -412,10 +421,15 @@ def _group_hashes(part: Aligned) -> tuple[np.ndarray, list[str]]:
 
 
 def _score(ids: DataFrame, folder: str, buckets: int, path_a: str, path_b: str) -> DataFrame:
-    """The second pass: documents aligned again, with their pairs' counts."""
+    """The second pass: documents aligned again, with their pairs' counts. The tokens'
+    lengths come from the driver, so that no worker loads the vocabularies."""
+    sizes = _sizes(path_a, path_b)
+    _forget()
+
     def task(batches):
+        _forget()
         hashes, counts = Store(folder, "hash", PerfectHash.load), Store(folder, "counts", _load_counts)
-        for turn, (doc_ids, part) in enumerate(_aligned(batches, path_a, path_b)):
+        for turn, (doc_ids, part) in enumerate(_aligned(batches, sizes)):
             count, best = np.zeros(len(part.key), np.int64), np.zeros(len(part.key), np.int64)
             for bucket, rows in _by_bucket(part.key, buckets, turn % 2 == 1):
                 slot = hashes.get(bucket).slots(part.key[rows])
@@ -461,6 +475,7 @@ def pair_counts(spark: SparkSession, folder: str, buckets: int) -> DataFrame:
 def align(docs: DataFrame, folder: str, path_a: str, path_b: str) -> DataFrame:
     """One row a document of ``docs(doc_id, text)``: tokens of both vocabularies,
     groups, links, links that are their A id's most frequent, and the sum of their counts."""
+    bounded_batches(docs.sparkSession)
     ids = written(encode(docs, path_a, path_b), "align_ids")
     buckets = count_pairs(ids, folder)
     return _score(ids, folder, buckets, path_a, path_b)

@@ -117,3 +117,8 @@ def groups(texts: list[str | None], chars: int = 1 << 19):
             first, group, size = i + 1, [], 0
     if group:
         yield first, group
+
+
+def forget() -> None:
+    """Drop this worker's encoders and what they have kept."""
+    _WORKER.clear()

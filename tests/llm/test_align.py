@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from fixtures import none, odd, odd_rows, rows
@@ -175,3 +176,17 @@ def test_wide_vocabulary_is_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Wide)
     with pytest.raises(ValueError):
         X.Pieces("any")
+
+
+def test_passes_after_encoding_hold_little():
+    """They keep no vocabulary, need none, and align half a million tokens at a time."""
+    X.pieces(B), X.tokens.encoder(A)
+    sizes = X._sizes(A, B)
+    X._forget()
+    assert not X._WORKER and not X.tokens._WORKER
+    token = np.zeros(1 << 15, "<u2").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([token] * 40), pa.array([token] * 40)], ["doc_id", "ids_a", "ids_b"])
+    parts = list(X._aligned([batch], tuple(np.ones_like(s) for s in sizes)))
+    assert [i for ids, _ in parts for i in ids] == list(range(40))
+    assert all(len(p.a) + len(p.b) <= (1 << 19) + (1 << 16) for _, p in parts)
+    assert not X._WORKER and not X.tokens._WORKER
