@@ -11,7 +11,8 @@ doc_id; windows are judged on the input.
    leads from an anchor to the next one of the document and is named by the hash
    of all words from the one to the end of the other.
 2. *Compaction.* Only anchors met more than once go on. Joins on node and edge
-   tell how often each occurs in the corpus. An edge between nodes that occur
+   tell how often each occurs in the corpus; a text that meets an edge again and again
+   is one row there. An edge between nodes that occur
    exactly as often as the edge itself does not branch: every document that
    enters such a path walks it from end to end. A path of such edges is one span
    that stands for all its windows.
@@ -86,9 +87,14 @@ def _anchor_rows(window: int):
             for group in W.words_of(batch.column(1), W.PLAIN):
                 a = _Anchored(group, window)
                 if len(a.at):
+                    # A text that repeats itself has one row an edge, however often it is met.
+                    order = np.lexsort((a.edge, a.node, a.doc))
+                    new = np.ones(len(order), bool)
+                    new[1:] = np.any([np.diff(x[order]) != 0 for x in (a.doc, a.node, a.edge)], axis=0)
+                    one, times = order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(a.doc + group.first)), pa.array(a.node), pa.array(a.edge)],
-                        ["doc_id", "node", "edge"])
+                        [ids.take(pa.array(a.doc[one] + group.first)), pa.array(a.node[one]), pa.array(a.edge[one]),
+                         pa.array(times.astype(np.int64))], ["doc_id", "node", "edge", "times"])
     return task
 
 
@@ -186,11 +192,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = written(docs.mapInArrow(_anchor_rows(window), "doc_id long, node long, edge long"), "anchors")
-    repeated = written(anchors.groupBy("node").agg(F.count("*").alias("nodes")).where("nodes > 1"), "nodes")
+    anchors = written(docs.mapInArrow(_anchor_rows(window), "doc_id long, node long, edge long, times long"), "anchors")
+    repeated = written(anchors.groupBy("node").agg(F.sum("times").alias("nodes")).where("nodes > 1"), "nodes")
     hits = written(salted_left_join(anchors, repeated, "node", ["doc_id", "edge"], "inner",
                                     hot_of_counts(repeated, "nodes", "node")), "repeated")
-    edges = written(hits.groupBy("node", "edge").agg(F.count("*").alias("edges")), "edges")
+    edges = written(hits.groupBy("node", "edge").agg(F.sum("times").alias("edges")), "edges")
     of_edge = salted_left_join(hits, edges, ["node", "edge"], ["doc_id"], "inner", hot_of_counts(edges, "edges", "node", "edge"))
     marked = written(of_edge.groupBy("doc_id").agg(
         F.collect_set(F.struct("node", "edge", "nodes", "edges")).alias("marks")), "marks")

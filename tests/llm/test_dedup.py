@@ -217,3 +217,14 @@ def test_substring_dedup_phrases_that_texts_repeat_within(spark):
     got = substring_dedup.strip_spans(docs, spans).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted(rows(got)) == sorted(cut_repeats(list(enumerate(texts))))
     assert spans.count() < 60  # not a row a place
+
+
+def test_anchors_of_a_text_that_repeats_itself():
+    """Joins on anchors see an edge of a text once, with how often it is met."""
+    texts = ["again and " * 2000, " ".join(f"w{i}" for i in range(200)), None, "short"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], ["doc_id", "text"])
+    rows = pa.Table.from_batches(list(substring_dedup._anchor_rows(50)(iter([batch])))).to_pylist()
+    met = [r["times"] for r in rows if r["doc_id"] == 1]
+    assert len(met) <= 4 and sum(met) > 100
+    assert all(r["times"] == 1 for r in rows if r["doc_id"] == 2)
+    assert len({(r["doc_id"], r["node"], r["edge"]) for r in rows}) == len(rows)
